@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqwatch.llm import quality_rules, sharding
+from seqwatch.llm import bpe, quality_rules, sharding, token_files
 from seqwatch.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +17,31 @@ def op2_contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.contiguous_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    read = token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_contiguous_shards, op6_divergence_rules)}
+    return {f.__name__: f for f in (op2_contiguous_shards, op3_byte_bpe, op6_divergence_rules, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -111,3 +111,24 @@ def window_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     """The sorted distinct shingle hashes of one text."""
     return np.unique(window_hashes(word_hashes(text), size))
+
+
+def map_columns(df: DataFrame, function, schema: str, columns: list[str]) -> DataFrame:
+    """Applies `function(dict of lists) -> dict of lists` to slices of `columns`, in Arrow batches within tasks."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    out_schema = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                out = function(batch.slice(at, SLICE_ROWS).to_pydict())
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in out_schema], schema=out_schema)
+
+    return df.select(*columns).mapInArrow(run, schema)
+
+
+#: Rows that a Python task holds in decoded form at a time.
+SLICE_ROWS = 1000
