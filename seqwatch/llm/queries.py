@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwatch.llm import bpe, quality_rules, sharding, token_files
-from seqwatch.llm.shared import table
+from seqwatch.llm import bpe, classifier, html_text, langid, quality_rules, sharding, token_files
+from seqwatch.llm.shared import id_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,20 @@ def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(langid.training_rows(docs))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.fit(classifier.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = classifier.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,8 +54,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_contiguous_shards, op3_byte_bpe, op6_divergence_rules, op9_token_files)}
+    return {f.__name__: f for f in (op2_contiguous_shards, op3_byte_bpe, op6_divergence_rules, op7_language_id, op8_nb_svm, op9_token_files, op10_tag_paths)}
 
 
 def oracle_sql() -> dict[str, str]:
