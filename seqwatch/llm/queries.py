@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwatch.llm import bpe, classifier, html_text, langid, quality_rules, sharding, token_files
+from seqwatch.llm import bpe, classifier, html_text, jaccard, langid, quality_rules, sharding, token_files
 from seqwatch.llm.shared import id_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_contiguous_shards, op3_byte_bpe, op6_divergence_rules, op7_language_id, op8_nb_svm, op9_token_files, op10_tag_paths)}
+    return {f.__name__: f for f in (op2_contiguous_shards, op3_byte_bpe, op5_count_rtree, op6_divergence_rules, op7_language_id, op8_nb_svm, op9_token_files, op10_tag_paths)}
 
 
 def oracle_sql() -> dict[str, str]:
