@@ -123,8 +123,9 @@ def rank_table(encoded: DataFrame) -> np.ndarray:
 
         total = np.zeros(0, np.int64)
         for b in batches:
-            for width, ids in zip(b.column("width").to_pylist(), b.column("ids")):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"))
+            for width in set(b.column("width").to_pylist()):  # one for all rows of a vocabulary
+                joined = b"".join(x for w, x in zip(b.column("width").to_pylist(), b.column("ids").to_pylist()) if w == width)
+                found = np.bincount(np.frombuffer(joined, f"<u{width}"))
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
                 total[: len(found)] += found
@@ -167,7 +168,7 @@ def write_token_files(docs: DataFrame, path: str, to: str) -> None:
 
         for b in batches:
             for doc, width, packed in zip(b.column("doc_id").to_pylist(), b.column("width").to_pylist(), b.column("ids")):
-                parts.append(np.frombuffer(packed.as_buffer(), f"<u{width}").astype(np.uint32))
+                parts.append(np.frombuffer(packed.as_buffer(), f"<u{width}"))
                 ids.append(doc)
                 lens.append(len(parts[-1]))
                 held += lens[-1]
