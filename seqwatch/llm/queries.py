@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwatch.llm import bpe, classifier, html_text, jaccard, langid, quality_rules, sharding, token_files
+from seqwatch.llm import bpe, chat, classifier, decontaminate, html_text, jaccard, langid, quality_rules, sharding, token_files
 from seqwatch.llm.shared import id_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas = spark.createDataFrame(chat.REPLY_SCHEMA, "name string, argument string, type string, required boolean")
+    return chat.format_chat(chat.reply_events(table(spark, sf_dir, "conversations")), schemas)
+
+
 def op2_contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.contiguous_shards(table(spark, sf_dir, "documents"), shards=40)
 
@@ -29,6 +34,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -63,8 +72,55 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_contiguous_shards, op3_byte_bpe, op5_count_rtree, op6_divergence_rules, op7_language_id, op8_nb_svm, op9_token_files, op10_tag_paths)}
+    return {f.__name__: f for f in (op1_tool_linking, op2_contiguous_shards, op3_byte_bpe, op4_simhash_leaks, op5_count_rtree, op6_divergence_rules, op7_language_id, op8_nb_svm, op9_token_files, op10_tag_paths)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_tool_linking": OP1_SQL, "op2_contiguous_shards": OP2_SQL, "op6_divergence_rules": OP6_SQL} if OP6_SQL else {"op1_tool_linking": OP1_SQL, "op2_contiguous_shards": OP2_SQL}
+
+
+OP1_SQL = """
+WITH asked AS (
+  SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS of_turn
+  FROM conversations
+), kinds AS (
+  SELECT *, CASE WHEN role = 'user' THEN 'call' WHEN role = 'assistant' AND of_turn IS NOT NULL THEN 'result' ELSE 'message' END AS kind FROM asked
+), ids AS (
+  SELECT *, CASE kind WHEN 'call' THEN 'turn-' || turn WHEN 'result' THEN 'turn-' || of_turn END AS call_id FROM kinds
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, kind, call_id ORDER BY turn) AS nth,
+    min(CASE WHEN kind = 'result' THEN turn END) OVER (PARTITION BY conv_id, call_id) AS answer
+  FROM ids
+)
+SELECT conv_id, turn, 0 AS seq, kind, call_id,
+  CASE WHEN kind = 'message' THEN 'message' WHEN nth > 1 THEN 'duplicate' WHEN kind = 'result' THEN 'result' WHEN answer IS NULL THEN 'unanswered' ELSE 'call' END AS link,
+  CASE WHEN kind = 'result' THEN of_turn WHEN kind = 'call' AND nth = 1 THEN answer END AS linked_turn,
+  turn AS place, CASE WHEN kind = 'result' AND nth = 1 THEN 1 ELSE 0 END AS level, '' AS errors,
+  CASE kind
+    WHEN 'call' THEN '{"arguments":{"prompt":' || to_json(text)::VARCHAR || '},"id":"' || call_id || '","name":"reply","role":"user"}'
+    WHEN 'result' THEN '{"content":' || to_json(text)::VARCHAR || ',"role":"assistant","tool_call_id":"' || call_id || '"}'
+    ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}'
+  END AS json
+FROM ranked
+"""
+
+OP2_SQL = """
+WITH crcs AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc_of
+), rows_in AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(crc_of[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32
+  FROM documents, crcs
+), places AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER () AS total,
+    row_number() OVER (ORDER BY doc_id, text_crc32, size) AS place
+  FROM rows_in
+), shards AS (
+  SELECT *, least(39, ((2 * upto - size) * 40) // (2 * total))::INTEGER AS shard FROM places
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard
+FROM shards
+"""
+
+OP6_SQL = ""

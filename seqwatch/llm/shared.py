@@ -77,12 +77,16 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each A-Z-lower-cased word of one text, in order."""
+#: Bytes that end a word where only letters, digits and bytes above ASCII count.
+IS_MARK = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
+
+
+def word_hashes(text: str | None, ends: np.ndarray = _IS_SPACE) -> np.ndarray:
+    """A 64-bit hash of each A-Z-lower-cased word of one text, in order; words end at the bytes in `ends`."""
     if not text:
         return np.empty(0, np.uint64)
     raw = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    solid = ~_IS_SPACE[raw]
+    solid = ~ends[raw]
     edges = np.diff(np.concatenate([[False], solid, [False]]).view(np.int8))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if not len(starts):
