@@ -352,3 +352,23 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     smallest = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_point = own.join(smallest, "comp").select("sid", "component_id")
     return found.select("doc_id", "n", "sid").join(of_point, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("sid").isNull(), F.col("doc_id"))).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` without near copies: of each group the document with the smallest id stays.
+
+    Only rows that may belong to a group of several, by a bit set of fixed size, are shuffled with their texts.
+    Repeated rows are copies. Rows with null ids leave only if their group has a document with an id; without any,
+    one row of equal texts stays.
+    """
+    groups = written(jaccard_groups(docs, shingle, percent), "jaccard-groups")
+    size = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("members")).filter("members > 1")
+    several = groups.filter("n_shingles > 0").select("doc_id", "component_id").join(size.select(F.col("component_id").alias("c")), F.expr("component_id <=> c"))
+    several = written(several.groupBy("doc_id").agg(F.max(F.expr("doc_id <=> component_id")).alias("stays")), "jaccard-several")
+    bits = written(id_filter(several, "doc_id"), "jaccard-filter")
+    marked = maybe_in(docs, "doc_id", bits, how="left")
+    rows, columns = marked.filter("maybe"), docs.columns
+    flags = several.select(F.col("doc_id").alias("several_id"), "stays")
+    rows = rows.join(flags, F.expr("doc_id <=> several_id"), "left")
+    sole = rows.filter("stays").withColumn("text_print", F.sha2("text", 256)).dropDuplicates(["doc_id", "text_print"])
+    return marked.filter(~F.col("maybe")).select(*columns).unionByName(rows.filter("stays is null").select(*columns)).unionByName(sole.select(*columns))
