@@ -163,11 +163,11 @@ def quality_rules(
     measured = written(histograms(base_counts(docs), common), "quality-histograms")
     known = references(measured, common)
     chars = F.aggregate("classes", F.lit(0.0), lambda a, b: a + b)
-    shares = F.transform("classes", lambda x: x / F.col("chars"))
+    shares = F.transform("classes", lambda x: x / F.nullif(F.col("chars"), F.lit(0.0)))
     out = measured.withColumn("chars", chars).withColumn("shares", shares)
     by_class, by_word = [], []
     for lang, (classes, words) in sorted(known.items()):
-        own = [F.col("hits")[vocabulary.index(w)] / F.col("n_words") for w in common[lang]]
+        own = [F.col("hits")[vocabulary.index(w)] / F.nullif("n_words", F.lit(0)) for w in common[lang]]
         by_class.append(js_distance(F.col("shares"), classes))
         by_word.append(js_distance(F.array(*own, 1 - sum(own, F.lit(0.0))), words))
     least = lambda xs: F.array_min(F.array(*xs)) if xs else F.lit(None).cast("double")
