@@ -1 +1 @@
-
+"""Column functions, special functions and sequence recursions."""

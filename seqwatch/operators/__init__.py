@@ -1 +1 @@
-
+"""Operators on tick, segment and flag tables."""

@@ -1 +1 @@
-
+"""Queries by name, decoding and fitting."""

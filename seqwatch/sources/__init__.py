@@ -1 +1 @@
-
+"""Reading and writing annotations, event logs, parameters and splits."""
