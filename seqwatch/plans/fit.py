@@ -90,7 +90,7 @@ def hard_counts(ticks: DataFrame, segments: DataFrame, d_max: int) -> DataFrame:
     from seqwatch.operators.counts import transitions
 
     spans = segments.select("trial_id", "state", F.explode(F.sequence("tick_start", F.col("tick_end") - 1)).alias("tick"))
-    seen = ticks.join(spans, ["trial_id", "tick"])
+    seen = ticks.select("trial_id", "tick", "verb_id", "noun_id").join(spans, ["trial_id", "tick"])
     zero = F.lit(0)
     return (
         one(segments.filter("seg_idx = 0"), "init", F.col("state"), zero)

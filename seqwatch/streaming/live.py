@@ -23,10 +23,10 @@ def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def live_beliefs(ticks: DataFrame, model: Model, timeout_ms: int = 3_600_000) -> DataFrame:
+def live_beliefs(ticks: DataFrame, model: Model, timeout_ms: int | None = 3_600_000) -> DataFrame:
     """trial_id, tick, state (the likeliest before the tick is seen), belief in it, s_emit: on a stream of ticks.
 
-    The state of a trial is the filter's window (durations by states) and its next tick; it goes after the timeout.
+    The state of a trial is the filter's window (durations by states) and its last tick; it goes after the timeout, or never without one.
     Within a micro-batch a trial's ticks are taken in order; a tick that comes after its successors were seen is
     left out, as the filter can't go back.
     """
@@ -54,7 +54,8 @@ def live_beliefs(ticks: DataFrame, model: Model, timeout_ms: int = 3_600_000) ->
             out.append((key[0], int(tick), best, float(np.exp(belief[best])), float(-kernels.lse(belief + look, 0))))
             after = int(tick)
         state.update((after, window.tobytes()))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["trial_id", "tick", "state", "belief", "s_emit"])
 
-    return ticks.select("trial_id", "tick", "verb_id", "noun_id").groupBy("trial_id").applyInPandasWithState(step, schema, "after int, window binary", "append", "ProcessingTimeTimeout")
+    return ticks.select("trial_id", "tick", "verb_id", "noun_id").groupBy("trial_id").applyInPandasWithState(step, schema, "after int, window binary", "append", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout")
