@@ -76,7 +76,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_linking": OP1_SQL, "op2_contiguous_shards": OP2_SQL, "op6_divergence_rules": OP6_SQL} if OP6_SQL else {"op1_tool_linking": OP1_SQL, "op2_contiguous_shards": OP2_SQL}
+    return {"op1_tool_linking": OP1_SQL, "op2_contiguous_shards": OP2_SQL}
 
 
 OP1_SQL = """
@@ -122,5 +122,3 @@ WITH crcs AS (
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard
 FROM shards
 """
-
-OP6_SQL = ""
