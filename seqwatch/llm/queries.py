@@ -43,7 +43,8 @@ def op5_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    rows = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_linking": OP1_SQL, "op2_contiguous_shards": OP2_SQL}
+    return {"op1_tool_linking": OP1_SQL, "op2_contiguous_shards": OP2_SQL, "op6_divergence_rules": op6_sql()}
 
 
 OP1_SQL = """
@@ -122,3 +123,48 @@ WITH crcs AS (
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard
 FROM shards
 """
+
+
+def op6_sql() -> str:
+    """The quality rules over the same word lists; lists become tables of rows."""
+    from seqwatch.llm.quality_rules import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS
+
+    listed = ", ".join(f"('{lang}', '{w}')" for lang, ws in COMMON_WORDS.items() for w in ws)
+    only = {
+        "words": r"[\x20\x09-\x0D]+",
+        "symbols": r"[^#*$%&|<>]+",
+        "upper": r"[^\p{Lu}]+",
+        "digit": r"[^\p{Nd}]+",
+        "stop": r"""[^.,;:!?''"()\-]+""",
+        "symbol": r"""[\p{L}\p{M}\p{Nd}\s.,;:!?''"()\-]+""",
+    }
+    n = {k: f"length(regexp_replace(body, '{v}', '', 'g'))" for k, v in only.items()}
+    space, word = only["words"], r"[^\x20\x09-\x0D]"
+    term = lambda x, y: f"(CASE WHEN {x} > 0 THEN {x} * ln(2 * {x} / ({x} + {y})) ELSE 0 END + CASE WHEN {y} > 0 THEN {y} * ln(2 * {y} / ({x} + {y})) ELSE 0 END)"
+    return f"""
+WITH common(lang, w) AS (VALUES {listed}),
+docs AS (SELECT doc_id, lang, coalesce(text, '') AS body, list_filter(regexp_split_to_array(coalesce(text, ''), '{space}'), lambda w: w <> '') AS words,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '{word}')) AS lines FROM documents),
+counts AS (SELECT doc_id, lang, len(words) AS n_words, {n['words']} AS word_chars, {n['symbols']} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  length(body) AS chars, {n['upper']} AS upper, {n['digit']} AS digit, {n['stop']} AS stop, {n['symbol']} AS symbol FROM docs),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS g FROM docs, unnest(range(1, len(words) - 3)) AS u(i)),
+repeated AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, sum(gap) AS n_repeat_words FROM (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS gap FROM repeated) GROUP BY doc_id),
+base AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM counts c LEFT JOIN covered USING (doc_id)),
+classes AS (SELECT doc_id, lang, base_failed, unnest(['upper', 'digit', 'space', 'stop', 'symbol', 'letter']) AS class,
+  unnest([upper, digit, chars - word_chars, stop, symbol, greatest(chars - upper - digit - (chars - word_chars) - stop - symbol, 0)]) AS n FROM base),
+class_shares AS (SELECT doc_id, class, n / nullif(sum(n) OVER (PARTITION BY doc_id), 0) AS x, sum(n) OVER (PARTITION BY doc_id) AS total FROM classes),
+class_refs AS (SELECT lang, class, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS y FROM classes WHERE NOT base_failed AND lang IN (SELECT lang FROM common) GROUP BY lang, class),
+class_js AS (SELECT doc_id, total, min(d) AS class_distance FROM (SELECT doc_id, lang, total, sqrt(greatest(sum({term('x', 'y')}), 0) / (2 * ln(2))) AS d FROM class_shares JOIN class_refs USING (class) WHERE total > 0 GROUP BY ALL) GROUP BY ALL),
+hits AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, lower(unnest(words)) AS w FROM docs) WHERE w IN (SELECT w FROM common) GROUP BY ALL),
+lang_words AS (SELECT lang, sum(n_words) AS total FROM base WHERE NOT base_failed AND lang IN (SELECT lang FROM common) GROUP BY lang),
+word_refs AS (SELECT c.lang, c.w, coalesce(sum(h.n) FILTER (b.doc_id IS NOT NULL), 0) / max(total) AS y FROM common c JOIN lang_words USING (lang) LEFT JOIN hits h ON h.w = c.w LEFT JOIN base b ON b.doc_id = h.doc_id AND b.lang = c.lang AND NOT b.base_failed GROUP BY ALL),
+rests AS (SELECT lang, 1 - sum(y) AS y, sum(y) * ln(2) AS none FROM word_refs GROUP BY lang),
+own AS (SELECT b.doc_id, r.lang, r.w, h.n / b.n_words AS x, r.y FROM hits h JOIN base b USING (doc_id) JOIN word_refs r USING (w)),
+sums AS (SELECT doc_id, lang, sum(x) AS x, sum({term('x', 'y')} - y * ln(2)) AS more FROM own GROUP BY ALL),
+word_js AS (SELECT b.doc_id, min(sqrt(greatest(none + coalesce(more, 0) + {term('(1 - coalesce(x, 0))', 'r.y')}, 0) / (2 * ln(2)))) AS word_distance FROM (SELECT doc_id FROM base WHERE n_words > 0) b CROSS JOIN rests r LEFT JOIN sums s ON s.doc_id = b.doc_id AND s.lang = r.lang GROUP BY b.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (coalesce(class_distance, 0) > {MAX_CLASS_DISTANCE} AND chars >= {MIN_CHARS}) AND NOT (coalesce(word_distance, 0) > {MAX_WORD_DISTANCE} AND n_words >= {MIN_WORDS}) AS kept,
+  round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
+FROM base LEFT JOIN class_js USING (doc_id) LEFT JOIN word_js USING (doc_id)
+"""
