@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqwatch.llm.shared import _BASE, _BYTE_CODES, _IS_SPACE, _LOWER, _powers, id_bucket, mix64
+from seqwatch.llm.shared import _BASE, _BYTE_CODES, _IS_SPACE, _LOWER, _powers, id_bucket, mix64, slices
 
 #: About so many labelled rows are used at most: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 6000
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         import pyarrow as pa
 
         m = Model(*shared.value) if shared.value else None
-        for b in batches:
+        for b in slices(batches):
             found = [m.score(t) if m else 0.5 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, "score"])
 

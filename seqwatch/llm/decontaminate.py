@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqwatch.llm.shared import IS_MARK, mix64, window_hashes, word_hashes
+from seqwatch.llm.shared import IS_MARK, mix64, slices, window_hashes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints within RADIUS bits share a block of 16 bits but for RADIUS // 4 bits at most.
@@ -182,7 +182,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
 
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64()), ("windows", pa.int32())]))
             names = ("item_id", "start_word", "n_words", "similarity", "windows")
-            for b in batches:
+            for b in slices(batches):
                 before = b.column("leaks").to_pylist()
                 found = [old + [dict(zip(names, x)) for x in leaks(t, shared.value, similarity)] for old, t in zip(before, b.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, kind)], names=b.schema.names)

@@ -6,12 +6,14 @@ hashes. Two documents link when 100 * intersection >= 80 * union. Documents with
 Cells bring together the points that can link at all: two sets that similar share one of their first few shingles in
 any common order of all shingles (here the rarest first), so the cell of each such shingle misses no link. Within a
 cell the overlap of two points is at most the sum of the minima of their counts by group of hashes; an R-tree over
-the counts skips whole boxes by the same bound. Pairs that pass it on a finer grid are verified on the sets.
-
-First each point meets the least point of two of its cells only. This finds nearly all links in large groups of near
-copies with one pair per point. Only cells with points of different components so far are then searched in full, and
-only for pairs between components, so that a group's size never enters squared, and yet no link between components is
-missed.
+the counts skips whole boxes by the same bound. Pairs that pass it are held against the parities of counts in many
+more groups (each odd difference is a shingle that only one of the two has), and what passes is verified on the sets.
+
+First each point meets the least point of one of its cells only, which finds most links in large groups of near
+copies with one pair a point. Cells with points of different components so far are then searched, only for pairs
+between components, and of these first a spanning forest is verified, at most one pair a point. Cells of which pairs
+were left out are searched once more, for all pairs between the components that are left, so that no link between
+components is missed, and yet the pairs that leave a task don't grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from seqwatch.llm.components import components
-from seqwatch.llm.shared import mix64, shingle_set, written
+from seqwatch.llm.shared import mix64, shingle_set, slices, written
 
 SHINGLE, PERCENT = 5, 80
 #: A shingle is common, and comes late in the order, when at least this share of the documents has it.
 COMMON_SHARE, MOST_COMMON = 0.001, 1 << 16
-#: Groups of the coarse counts, and the fewest of the fine ones (a power of two from a quarter of the set's size).
+#: Groups of the coarse counts, and the fewest of the parities (a power of two from the set's size).
 COARSE, FINE = 32, 64
+#: Times the set's size: groups of the parities for the last search, of few cells but all their pairs.
+FINER = 4
 #: Cells with more points are dealt to pairs of chunks of about so many.
 CHUNK = 4096
 LEAF = 16
@@ -43,8 +47,59 @@ def counts(tokens: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)
 
 
-def fine_groups(n: int) -> int:
-    return max(FINE, 1 << max(0, (n // 4 - 1)).bit_length())
+def parities(tokens: np.ndarray, times: int = 1) -> bytes:
+    """One bit for each of many groups of hashes: whether its count is odd. A power of two of groups, from `times` the set's size."""
+    groups = max(FINE, 1 << max(0, times * len(tokens) - 1).bit_length())
+    return np.packbits(counts(tokens, groups) & 1, bitorder="little").tobytes()
+
+
+class Parities:
+    """The parities of many points, by the length of their grids."""
+
+    def __init__(self, blobs: list[bytes]):
+        length = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
+        self.length, self.place, self.tables = length, np.zeros(len(blobs), np.int64), {}
+        for size in np.unique(length):
+            at = np.flatnonzero(length == size)
+            self.place[at] = np.arange(len(at))
+            self.tables[int(size)] = np.frombuffer(b"".join([blobs[k] for k in at]), np.uint64).reshape(len(at), size)
+
+    def odd(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Odd differences of pairs; the finer grid of two is folded to the other's."""
+        out = np.zeros(len(i), np.int64)
+        kinds = self.length[i] << 32 | self.length[j]
+        for kind in np.unique(kinds):
+            n, m = int(kind) >> 32, int(kind) & 0xFFFFFFFF
+            same = np.flatnonzero(kinds == kind)
+            for part in np.array_split(same, min(len(same), 1 + len(same) * max(n, m) // (1 << 21))):
+                x, y = self.tables[n][self.place[i[part]]], self.tables[m][self.place[j[part]]]
+                g = min(n, m)
+                x, y = (np.bitwise_xor.reduce(v.reshape(len(v), -1, g), 1) for v in (x, y))
+                out[part] = np.bitwise_count(x ^ y).sum(1)
+        return out
+
+    def passes(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs may link: at most half of what is left of both sets after the odd differences is shared."""
+        return may_link((n + m - self.odd(i, j)) / 2, n, m, percent)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the pairs that join what earlier pairs didn't: a spanning forest."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            keep.append(k)
+    return np.array(keep, np.int64)
 
 
 def packed(c: np.ndarray) -> bytes:
@@ -101,38 +156,59 @@ class CountTree:
         return self.order[at]
 
 
-def group_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in one large group, of different components and, if it has two sides, of different sides."""
-    tree_at = np.flatnonzero(side == side.max())
-    ask_at = np.flatnonzero(side == side.min())
+def group_pairs(points, sizes, comps, side, fine: list[bytes], percent: int, thin: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of places in one large group, of different components and, if it has two sides, of different sides.
+
+    With `thin`, a point meets only what earlier pairs of the group have not joined it to; the last value is whether
+    that may have left out pairs.
+    """
+    tree_at, ask_at = np.flatnonzero(side == side.max()), np.flatnonzero(side == side.min())
     alone = side.max() == side.min()
-    tree = CountTree(points[tree_at], sizes[tree_at])
-    left, right = [], []
+    tree, bits = CountTree(points[tree_at], sizes[tree_at]), Parities(fine)
+    label = np.unique(comps, return_inverse=True)[1]
+    left, right, less = [np.empty(0, np.int64)], [np.empty(0, np.int64)], False
     for i in ask_at:
         j = tree_at[tree.near(points[i], sizes[i], percent)]
         j = j[(comps[j] != comps[i]) & ((j > i) if alone else True)]
+        apart = label[j] != label[i]
+        less |= not apart.all()
+        j = j[apart]
+        if not len(j):
+            continue
+        at = np.full(len(j), i)
+        j = j[bits.passes(at, j, sizes[at], sizes[j], percent)]
+        if thin and len(j):
+            labels, first = np.unique(label[j], return_index=True)
+            less |= len(first) < len(j)
+            j = j[first]
+            label[np.isin(label, labels)] = label[i]
         left.append(np.full(len(j), i))
         right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+    return np.concatenate(left), np.concatenate(right), less
 
 
-def small_pairs(starts: np.ndarray, lengths: np.ndarray, points, sizes, comps, side, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places within many small groups at once."""
-    left, right = [], []
+def small_pairs(starts: np.ndarray, lengths: np.ndarray, points, sizes, comps, side, fine: list[bytes], percent: int, thin: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places within many small groups at once, neighbours of each distance in turn; with `thin`, a forest
+    of them, and the first places of the left-out pairs."""
+    bits = Parities(fine)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for gap in range(1, int(lengths.max(initial=1))):
         some = lengths > gap
         n = lengths[some] - gap
         i = np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         j = i + gap
-        ok = comps[i] != comps[j]
-        ok &= (side[i] != side[j]) | (side[i] < 0)
+        ok = (comps[i] != comps[j]) & ((side[i] != side[j]) | (side[i] < 0))
         i, j = i[ok], j[ok]
         ok = may_link(np.minimum(sizes[i], sizes[j]), sizes[i], sizes[j], percent)
         i, j = i[ok], j[ok]
         ok = may_link(np.minimum(points[i], points[j]).sum(1), sizes[i], sizes[j], percent)
+        i, j = i[ok], j[ok]
+        ok = bits.passes(i, j, sizes[i], sizes[j], percent)
         left.append(i[ok])
         right.append(j[ok])
-    return np.concatenate(left or [np.empty(0, np.int64)]), np.concatenate(right or [np.empty(0, np.int64)])
+    i, j = np.concatenate(left), np.concatenate(right)
+    kept = forest(comps[i], comps[j]) if thin else np.arange(len(i))
+    return i[kept], j[kept], np.delete(i, kept)
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +220,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     def heavy(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             tokens, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(shingle_set(t, shingle) for t in b.column("text").to_pylist())]), return_counts=True)
             at = n >= max(2, int(COMMON_SHARE * b.num_rows))
             yield pa.RecordBatch.from_arrays([pa.array(tokens[at].view(np.int64)), pa.array(n[at].astype(np.int64))], names=["token", "n"])
@@ -172,14 +248,14 @@ def document_points(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         import pyarrow as pa
 
         common, often = shared.value
-        for b in batches:
-            sids, ns, rare, late, coarse, fine = [], [], [], [], [], []
+        for b in slices(batches):
+            sids, ns, rare, late, coarse, fine, finer = [], [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 tokens = shingle_set(text, shingle)
                 n = len(tokens)
                 ns.append(n)
                 if not n:
-                    for column in (sids, rare, late, coarse, fine):
+                    for column in (sids, rare, late, coarse, fine, finer):
                         column.append(None)
                     continue
                 sids.append(point_id(tokens))
@@ -192,14 +268,15 @@ def document_points(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 rare.append(own.view(np.int64))
                 late.append(rest.view(np.int64))
                 coarse.append(packed(counts(tokens, COARSE)))
-                fine.append(packed(counts(tokens, fine_groups(n))))
+                fine.append(parities(tokens))
+                finer.append(parities(tokens, FINER))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(rare, longs), pa.array(late, longs), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())],
-                names=["doc_id", "sid", "n", "rare", "common", "coarse", "fine"],
+                [b.column("doc_id"), pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(rare, longs), pa.array(late, longs), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary()), pa.array(finer, pa.binary())],
+                names=["doc_id", "sid", "n", "rare", "common", "coarse", "fine", "finer"],
             )
 
-    schema = "doc_id long, sid long, n long, rare array<long>, common array<long>, coarse binary, fine binary"
+    schema = "doc_id long, sid long, n long, rare array<long>, common array<long>, coarse binary, fine binary, finer binary"
     return written(docs.select("doc_id", "text").mapInArrow(run, schema), "jaccard-documents")
 
 
@@ -219,23 +296,19 @@ def cells(found: DataFrame) -> DataFrame:
 
 
 def passing(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the bound on the fine counts."""
+    """The pairs (a, b) that pass the bound on the parities."""
     side = lambda x: points.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            keep = []
-            for n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("na", "nb", "fa", "fb"))):
-                p, q = (np.frombuffer(v, np.uint8 if len(v) == fine_groups(k) else "<u2").astype(np.int32) for v, k in ((x, n), (y, m)))
-                groups = min(len(p), len(q))
-                p, q = p.reshape(-1, groups).sum(0), q.reshape(-1, groups).sum(0)
-                keep.append(bool(may_link(int(np.minimum(p, q).sum()), n, m, percent)))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    near = pairs.join(side("a"), "a").filter("na > 0").join(side("b"), "b")
-    near = near.filter((F.least("na", "nb") * 100) >= percent * F.greatest("na", "nb"))
+        for b in slices(batches):
+            n, m = (b.column(c).to_numpy() for c in ("na", "nb"))
+            bits = Parities([*b.column("fa").to_pylist(), *b.column("fb").to_pylist()])
+            at = np.arange(b.num_rows)
+            yield b.select(["a", "b"]).filter(pa.array(bits.passes(at, at + len(at), n, m, percent), pa.bool_()))
+
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.least("na", "nb") * 100) >= percent * F.greatest("na", "nb"))
     return written(near.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a long, b long"), "jaccard-candidates")
 
 
@@ -261,7 +334,7 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, shingle: int,
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([point_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "tokens"])
 
@@ -275,18 +348,21 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, shingle: int,
     return written(met.filter(may_link(F.col("both"), F.size("ta"), F.size("tb"), percent)).select("a", "b").distinct(), "jaccard-links")
 
 
-def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of points of different components that share a cell and pass the bound on the coarse counts."""
+def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent: int, thin: bool) -> DataFrame:
+    """Pairs of points of different components that share a cell and pass both bounds, as (a, b).
+
+    With `thin`, forests of them; the rows (again) then hold the keys of cells of which pairs were left out.
+    """
     rows = cell_rows.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
     rows = written(rows, "jaccard-cells")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.expr("bit_xor(xxhash64(sid))").alias("print"))
     mixed = mixed.filter("low < high").groupBy("print", "size").agg(F.min("key").alias("key"))  # one of the cells with equal points
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("int")
     rows = rows.join(mixed.select("key", parts.alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    rows = rows.join(points.select("sid", "n", "coarse"), "sid")
+    rows = rows.join(points.select("sid", "n", "coarse", F.col("fine" if thin else "finer").alias("fine")), "sid")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(
-        "key", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "sid", "comp", "n", "coarse"
+        "key", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "sid", "comp", "n", "coarse", "fine"
     )
     group = ["key", "c1", "c2"]
     parts_all = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -301,15 +377,19 @@ def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent:
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
             lengths = np.diff(np.append(starts, len(t)))
             points, sizes, comps, side, sid = coarse_rows(t["coarse"].tolist()), t["n"].to_numpy(), t["comp"].to_numpy(), t["side"].to_numpy(), t["sid"].to_numpy()
-            few = lengths <= SMALL
-            found = [small_pairs(starts[few], lengths[few], points, sizes, comps, side, percent)]
+            fine, few = t["fine"].tolist(), lengths <= SMALL
+            i, j, left_out = small_pairs(starts[few], lengths[few], points, sizes, comps, side, fine, percent, thin)
+            found, again = [(i, j)], [*np.unique(t["key"].to_numpy()[left_out])]
             for a, n in zip(starts[~few], lengths[~few]):
-                at = slice(a, a + n)
-                i, j = group_pairs(points[at], sizes[at], comps[at], side[at], percent)
+                i, j, less = group_pairs(*(x[a : a + n] for x in (points, sizes, comps, side, fine)), percent, thin)
                 found.append((i + a, j + a))
+                again += [key[a, 0]] * less
             i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             out = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+            none = [None] * len(out)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*out[:, 0], *[None] * len(again)], pa.int64()), pa.array([*out[:, 1], *[None] * len(again)], pa.int64()), pa.array([*none, *again], pa.int64())], names=["a", "b", "again"]
+            )
 
         held = None
         for b in batches:
@@ -323,7 +403,7 @@ def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent:
         if held is not None and len(held):
             yield pairs(held)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return written(rows.mapInArrow(run, "a long, b long, again long").distinct(), "jaccard-candidates")
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -336,17 +416,19 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     docs = docs.select("doc_id", "text")
     found = document_points(docs, shingle, percent)
     points = written(
-        found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine")), "jaccard-points"
+        found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine"), F.first("finer").alias("finer")), "jaccard-points"
     )
     cell_rows = cells(found.filter("sid is not null"))
-    least = cell_rows.filter("sid != pivot").groupBy("sid").agg(F.min_by("pivot", "key").alias("p1"), F.max_by("pivot", "key").alias("p2"))
-    first = least.select(F.explode(F.array_distinct(F.array("p1", "p2"))).alias("a"), F.col("sid").alias("b"))
+    first = cell_rows.filter("sid != pivot").groupBy("sid").agg(F.min_by("pivot", "key").alias("a")).select("a", F.col("sid").alias("b"))
     links = verified(passing(first, points, percent), points, docs, shingle, percent)
     comps = components(links)
-    rest = passing(searched(cell_rows, comps, points, percent), points, percent)
-    if not rest.isEmpty():
-        more = verified(rest, points, docs, shingle, percent)
-        comps = components(links.union(more))
+    for thin in (True, False):
+        rest = searched(cell_rows, comps, points, percent, thin)
+        pairs = rest.filter("a is not null").select("a", "b")
+        if not pairs.isEmpty():
+            links = links.union(verified(pairs, points, docs, shingle, percent))
+            comps = components(links)
+        cell_rows = cell_rows.join(rest.filter("again is not null").select(F.col("again").alias("key")), "key", "left_semi")
     # Components of points, then their smallest document, then each document's.
     own = points.select("sid", "doc_id").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     smallest = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -366,9 +448,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     several = groups.filter("n_shingles > 0").select("doc_id", "component_id").join(size.select(F.col("component_id").alias("c")), F.expr("component_id <=> c"))
     several = written(several.groupBy("doc_id").agg(F.max(F.expr("doc_id <=> component_id")).alias("stays")), "jaccard-several")
     bits = written(id_filter(several, "doc_id"), "jaccard-filter")
-    marked = maybe_in(docs, "doc_id", bits, how="left")
-    rows, columns = marked.filter("maybe"), docs.columns
+    packed_rows = docs.select("doc_id", F.struct("*").alias("row"))
+    marked = maybe_in(packed_rows, "doc_id", bits, how="left")
     flags = several.select(F.col("doc_id").alias("several_id"), "stays")
-    rows = rows.join(flags, F.expr("doc_id <=> several_id"), "left")
-    sole = rows.filter("stays").withColumn("text_print", F.sha2("text", 256)).dropDuplicates(["doc_id", "text_print"])
-    return marked.filter(~F.col("maybe")).select(*columns).unionByName(rows.filter("stays is null").select(*columns)).unionByName(sole.select(*columns))
+    rows = marked.filter("maybe").join(flags, F.expr("doc_id <=> several_id"), "left")
+    sole = rows.filter("stays").withColumn("text_print", F.sha2("row.text", 256)).dropDuplicates(["doc_id", "text_print"])
+    return marked.filter(~F.col("maybe")).select("row.*").unionByName(rows.filter("stays is null").select("row.*")).unionByName(sole.select("row.*"))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqwatch.llm.shared import id_bucket, mix64
+from seqwatch.llm.shared import id_bucket, mix64, slices
 
 UNKNOWN = "und"
 #: About so many training documents are used at most: those with the smallest hashes of their ids.
@@ -19,7 +19,7 @@ LONGEST_GRAM = 4
 #: Nats that a change of language costs.
 SWITCH = 8.0
 #: Words that a worker remembers; scores (words times languages) that it holds at a time.
-REMEMBERED, HELD_SCORES = 1 << 18, 1 << 24
+REMEMBERED, HELD_SCORES = 1 << 17, 1 << 22
 #: First code points of script ranges, each up to the next one.
 SCRIPT_STARTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -91,11 +91,11 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     chosen = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
 
     def count(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         found: dict[str, np.ndarray] = {}
-        for b in batches:
-            for lang, text in zip(b["lang"], b["text"]):
+        for b in slices(batches):
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 words = letter_runs(text.lower())
                 if words:
                     c = found.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
@@ -103,9 +103,9 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
                     c[BUCKETS:] += np.bincount(word_scripts(words), list(map(len, words)), len(SCRIPTS)).astype(np.int64)
         for lang, c in found.items():
             at = np.flatnonzero(c)
-            yield pd.DataFrame({"lang": lang, "at": at, "n": c[at]})
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(c[at])], names=["lang", "at", "n"])
 
-    counts = chosen.select("text", "lang").mapInPandas(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    counts = chosen.select("text", "lang").mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     if not languages:
         return None
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
         import pyarrow as pa
 
         read = Reader(Model(*shared.value), switch) if shared.value else None
-        for b in batches:
+        for b in slices(batches):
             found = read(b.column("text").to_pylist()) if read else [(UNKNOWN, 0.0, [])] * b.num_rows
             spans = pa.array([[{"lang": x, "words": n} for x, n in f[2]] for f in found], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())])))
             yield pa.RecordBatch.from_arrays(

@@ -117,6 +117,13 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(window_hashes(word_hashes(text), size))
 
 
+def slices(batches):
+    """Arrow batches in slices of few rows, so that a task's decoded rows stay few however large its batches are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def map_columns(df: DataFrame, function, schema: str, columns: list[str]) -> DataFrame:
     """Applies `function(dict of lists) -> dict of lists` to slices of `columns`, in Arrow batches within tasks."""
     import pyarrow as pa
@@ -126,10 +133,9 @@ def map_columns(df: DataFrame, function, schema: str, columns: list[str]) -> Dat
     out_schema = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                out = function(batch.slice(at, SLICE_ROWS).to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in out_schema], schema=out_schema)
+        for batch in slices(batches):
+            out = function(batch.to_pydict())
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in out_schema], schema=out_schema)
 
     return df.select(*columns).mapInArrow(run, schema)
 
