@@ -28,6 +28,10 @@ CLASSES = ["letter", "upper", "digit", "space", "stop", "symbol"]
 SLOTS = 4096
 MIN_CHARS, MAX_CLASS_DISTANCE = 200, 0.25
 MIN_WORDS, MAX_WORD_DISTANCE = 50, 0.70
+#: The word bound as a part of the distance that a text without any common word has.
+WORDLESS_PART = 0.90
+#: Common words that a text must be expected to have, by its length, before a lack of them tells something.
+EXPECTED_HITS = 10
 
 
 def _marks(words: list[str]) -> dict[str, str]:
@@ -126,6 +130,26 @@ def js_distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)) / (2 * math.log(2)))
 
 
+def wordless_distance(words: list[float]) -> float:
+    """The Jensen-Shannon distance of a reference of common words from a text that has none of them, all in the rest."""
+    rest = words[-1]
+    total = sum(words[:-1]) * math.log(2) + math.log(2 / (1 + rest)) + (rest * math.log(2 * rest / (1 + rest)) if rest > 0 else 0.0)
+    return math.sqrt(max(total, 0.0) / (2 * math.log(2)))
+
+
+def word_bound(known: dict[str, tuple[list[float], list[float]]], max_word_distance: float) -> tuple[float, float]:
+    """The allowed word distance, and the words from which a text is judged by it.
+
+    A text without common words is only as far from a reference as the language's share of common words makes it
+    (0.34 at 21 %), so the bound is a part of the least such distance, and `max_word_distance` at most. Short texts, or
+    references with few common words, expect too few to judge by; a reference with none judges nobody.
+    """
+    if not known:
+        return max_word_distance, math.inf
+    share = min(sum(words[:-1]) for _, words in known.values())
+    return min(max_word_distance, WORDLESS_PART * min(wordless_distance(words) for _, words in known.values())), EXPECTED_HITS / share if share > 0 else math.inf
+
+
 def references(measured: DataFrame, common: dict[str, list[str]]) -> dict[str, tuple[list[float], list[float]]]:
     """For each language, the shares of character classes and of its common words over all its documents that pass the base rules.
 
@@ -154,7 +178,9 @@ def quality_rules(
 
     The distances are those to the nearest language reference, so that a wrong or missing `lang` rejects nobody. A
     document is kept if it passes the base rules and neither histogram is further from the references than allowed;
-    a text under `min_chars` characters or `min_words` words is not judged by that histogram.
+    a text under `min_chars` characters or `min_words` words is not judged by that histogram. The word distance allowed
+    is that of `word_bound`, so that a text without common words is rejected; texts of a language that has no reference
+    are not judged by words.
 
     Null and blank texts have zero counts and fail the base rules. Without any reference (an empty table, no listed
     language) the distances are null and only the base rules decide. Repeated ids keep every row.
@@ -173,7 +199,9 @@ def quality_rules(
     least = lambda xs: F.array_min(F.array(*xs)) if xs else F.lit(None).cast("double")
     out = out.withColumn("class_distance", F.when(F.col("chars") > 0, least(by_class))).withColumn("word_distance", F.when(F.col("n_words") > 0, least(by_word)))
     odd = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > max_class_distance) & (F.col("chars") >= min_chars)
-    odd |= (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance) & (F.col("n_words") >= min_words)
+    bound, enough = word_bound(known, max_word_distance)
+    judged = F.coalesce(F.col("doc_lang").isin(*known), F.lit(True)) & (F.col("n_words") >= max(min_words, enough))
+    odd |= (F.coalesce(F.col("word_distance"), F.lit(0.0)) > bound) & judged
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "class_distance", "word_distance"
     )

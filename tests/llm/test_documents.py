@@ -211,6 +211,22 @@ def test_divergence_rejects_what_differs(spark):
     assert rows[901]["kept"]  # too short to be judged
 
 
+def test_only_the_word_rule_rejects(spark):
+    def text(seed, common):
+        draw = np.random.default_rng(seed)
+        return " ".join(draw.choice([*common, "Rivers", "mountain.", "garden", "stone,"], 150).tolist() + [f"word{chr(97 + seed % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)])
+
+    rows = [(k, text(k, ["the", "of", "and", "to"]), "en", "s", 1) for k in range(40)]
+    salad = [(900 + k, text(900 + k, ["hte", "fo", "nad", "ot"]), lang, "s", 1) for k, lang in enumerate(("en", None, "ru"))]
+    found = {r["doc_id"]: r for r in quality_rules.quality_rules(documents(spark, rows + salad)).collect()}
+    assert all(found[k]["kept"] for k in range(40))
+    for k in (900, 901):
+        assert not found[k]["base_failed"] and found[k]["class_distance"] <= 0.25 and not found[k]["kept"]
+    assert found[902]["kept"]  # no reference of its language
+    unlisted = quality_rules.quality_rules(documents(spark, [(k, prose(120, k), "en", "s", 1) for k in range(20)])).collect()
+    assert all(r["kept"] for r in unlisted)  # a reference without common words tells nothing
+
+
 def test_js_distance(spark):
     from pyspark.sql import functions as F
 
