@@ -62,9 +62,14 @@ def split_batch(replies: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def canonical_orders(steps: DataFrame) -> DataFrame:
-    """By recipe: its most frequent order of states (the smaller text of equals), how many trials have it, and how many orders there are."""
+    """By recipe: its most frequent order of states (the smaller text of equals), how many trials have it, how many orders
+    there are, and for each step of that order the median duration of its state in all trials of the recipe, cut to whole numbers."""
     orders = steps.groupBy("trial_id", "recipe").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "state"))).alias("s")).select("recipe", F.array_join(F.transform("s.state", lambda x: x.cast("string")), "-").alias("states"))
     n = orders.groupBy("recipe", "states").agg(F.count("*").alias("n_trials"))
     best = Window.partitionBy("recipe").orderBy(F.desc("n_trials"), "states")
     ranked = n.withColumn("rank", F.row_number().over(best)).withColumn("n_orders", F.count("*").over(Window.partitionBy("recipe")))
-    return ranked.filter("rank = 1").select("recipe", "states", "n_trials", "n_orders")
+    modes = ranked.filter("rank = 1").select("recipe", "states", "n_trials", "n_orders")
+    medians = steps.groupBy("recipe", F.col("state").cast("string").alias("state")).agg(F.percentile("duration", F.lit(0.5)).cast("int").cast("string").alias("d"))
+    each = modes.select("recipe", F.posexplode(F.split("states", "-")).alias("step", "state")).join(medians, ["recipe", "state"])
+    durations = each.groupBy("recipe").agg(F.array_join(F.array_sort(F.collect_list(F.struct("step", "d")))["d"], "-").alias("durations"))
+    return modes.join(durations, "recipe")

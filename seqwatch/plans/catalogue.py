@@ -572,7 +572,7 @@ def reply_grammar(spark, d):
 
 @query
 def batch_reply_split(spark, d):
-    steps = segments(spark, d).filter("seg_idx < 6")
+    steps = segments(spark, d)
     line = F.concat((F.col("seg_idx") + 1).cast("string"), F.lit(". "), F.when(F.col("state") % 2 == 0, "No Anomaly").otherwise("Omission Anomaly"))
     told = steps.filter("seg_idx != 2").groupBy("trial_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("reply"))
     return replies.split_batch(told, steps)
@@ -580,13 +580,13 @@ def batch_reply_split(spark, d):
 
 @query
 def prefix_prompt(spark, d):
-    steps = R.runs(ticks(spark, d).withColumn("noun", F.concat(F.lit("item"), F.col("noun_id").cast("string"))), ["verb", "noun"]).filter("seg_idx < 5")
+    steps = R.runs(ticks(spark, d).withColumn("noun", F.concat(F.lit("item"), F.col("noun_id").cast("string"))), ["verb", "noun"])
     return replies.prefix_prompts(steps.withColumn("text", replies.step_text(F.col("verb"), F.col("noun"), F.col("duration"))))
 
 
 @query
 def canonical_recipe(spark, d):
-    return replies.canonical_orders(segments(spark, d).filter("seg_idx < 3"))
+    return replies.canonical_orders(segments(spark, d))
 
 
 @query

@@ -96,3 +96,26 @@ def test_sessions(spark):
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00"), (1, "2024-01-01 02:00:00"), (2, "2024-01-01 00:05:00")]
     df = spark.createDataFrame(rows, "user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted((r["user_id"], r["n"]) for r in live.sessions(df).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_replies_cover_all_steps(spark):
+    """Whole trials against brute force; the SQL of these queries ends at the first steps of a trial."""
+    steps, pairs = {}, {}
+    for r in catalogue.segments(spark, SMALL).collect():
+        steps.setdefault((r["recipe"], r["trial_id"]), []).append((r["seg_idx"], r["state"], r["duration"]))
+    for r in catalogue.QUERIES["steps_text"](spark, SMALL).collect():
+        pairs.setdefault(r["trial_id"], []).append((r["seg_idx"], r["text"]))
+    prompts = {(t, k): "\n".join(f"{i + 1}. {x}" for i, x in sorted(rows)[: k + 1]) for t, rows in pairs.items() for k in range(len(rows))}
+    assert {(r["trial_id"], r["seg_idx"]): r["prompt"] for r in catalogue.QUERIES["prefix_prompt"](spark, SMALL).collect()} == prompts
+    told = {(t, k): None if k == 2 else "Omission Anomaly" if s % 2 else "No Anomaly" for (_, t), rows in steps.items() for k, s, _ in rows}
+    assert {(r["trial_id"], r["seg_idx"]): r["reply"] for r in catalogue.QUERIES["batch_reply_split"](spark, SMALL).collect()} == told
+    orders, lasted = {}, {}
+    for (recipe, _), rows in steps.items():
+        orders.setdefault(recipe, []).append("-".join(str(s) for _, s, _ in sorted(rows)))
+        for _, s, d in rows:
+            lasted.setdefault((recipe, str(s)), []).append(d)
+    expected = set()
+    for recipe, found in orders.items():
+        states = min(found, key=lambda x: (-found.count(x), x))
+        expected.add((recipe, states, found.count(states), len({*found}), "-".join(str(int(np.median(lasted[recipe, s]))) for s in states.split("-"))))
+    assert {tuple(r) for r in catalogue.QUERIES["canonical_recipe"](spark, SMALL).collect()} == expected
