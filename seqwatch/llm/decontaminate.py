@@ -1,10 +1,8 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted similarity of shingles."""
+"""Benchmark decontamination: SimHash of item-sized windows, Hamming distances, exact weighted similarity of shingles."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,8 +12,10 @@ from pyspark.sql import types as T
 from seqwatch.llm.shared import IS_MARK, mix64, slices, window_hashes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints within RADIUS bits share a block of 16 bits but for RADIUS // 4 bits at most.
-BITS, BLOCKS, RADIUS = 64, 4, 11
+#: Of pairs of similarity 0.8 with an edge of the item replaced, under 0.1 % lie beyond 19 bits (14 to 59 words).
+BITS, RADIUS = 64, 20
+#: Pairs of fingerprints that are compared at a time.
+PAIRS = 1 << 18
 #: Benchmark items are held against the documents in blocks of about so many.
 BLOCK_ITEMS = 20_000
 #: Shingles of items around which a document's windows are made at a time.
@@ -37,24 +37,17 @@ def fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(sums[starts + size] - sums[starts] > 0, axis=1).view(np.uint64).ravel()
 
 
-@lru_cache(maxsize=4)
-def flips(most: int) -> np.ndarray:
-    """16-bit masks with up to `most` bits."""
-    return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(16), k)], np.int64)
-
-
 @dataclass
 class Index:
-    """A block of benchmark items: ids, sizes in words, fingerprints by block, and weighted shingles."""
+    """A block of benchmark items: ids, sizes in words, fingerprints, and weighted shingles."""
 
     ids: list
     sizes: np.ndarray
     prints: np.ndarray
-    offsets: np.ndarray  # (BLOCKS, 65537): where each block value's items begin in `members`
-    members: list[np.ndarray]
     shingles: list[tuple[np.ndarray, np.ndarray]]  # sorted hashes and counts of each item
     known: dict[int, np.ndarray]  # length of a shingle -> sorted hashes of the items' shingles
     weights: dict[int, np.ndarray]
+    owners: dict[int, tuple[np.ndarray, np.ndarray]]  # of each known shingle: where its items begin, and the items
     rare: float
 
     def weight(self, hashes: np.ndarray, length: int) -> np.ndarray:
@@ -73,20 +66,16 @@ class Index:
         w = self.weight(both, min(SHINGLE, int(self.sizes[item])))
         return float((np.minimum(a, b) * w).sum() / (np.maximum(a, b) * w).sum())
 
-    def near(self, prints: np.ndarray, size: int, exact_size: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of all items of that size within the radius. Items of other sizes have windows of their own."""
-        found = []
-        for k in range(BLOCKS):
-            value = (prints >> np.uint64(16 * k)).astype(np.int64) & 0xFFFF
-            first, n = self.offsets[k][value], self.offsets[k][value + 1] - self.offsets[k][value]
-            window = np.repeat(np.arange(len(prints)), n)
-            item = self.members[k][np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            ok = self.sizes[item] == size if exact_size else self.sizes[item] > size
-            found.append(window[ok] * len(self.ids) + item[ok])
-        pair = np.unique(np.concatenate(found))
-        window, item = pair // len(self.ids), pair % len(self.ids)
-        ok = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
-        return window[ok], item[ok]
+    def holders(self, places: np.ndarray, length: int) -> np.ndarray:
+        """The items that have one of the known shingles at these places."""
+        first, items = self.owners[length]
+        return np.unique(np.concatenate([items[first[p] : first[p + 1]] for p in np.unique(places)]))
+
+    def near(self, prints: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all of these items within the radius."""
+        step = max(1, PAIRS // max(1, len(items)))
+        found = [np.nonzero(np.bitwise_count(prints[a : a + step, None] ^ self.prints[items]) <= RADIUS) for a in range(0, len(prints), step)]
+        return np.concatenate([w + k * step for k, (w, _) in enumerate(found)]), items[np.concatenate([i for _, i in found])]
 
 
 def build_index(items: list[tuple]) -> Index | None:
@@ -96,18 +85,14 @@ def build_index(items: list[tuple]) -> Index | None:
     sizes = np.array([len(w) for _, w in rows])
     prints = np.array([fingerprints(bit_sums(w), np.zeros(1, np.int64), len(w))[0] for _, w in rows])
     shingles = [np.unique(window_hashes(w, SHINGLE), return_counts=True) for _, w in rows]
-    known, weights = {}, {}
+    known, weights, owners = {}, {}, {}
     for length in sorted({min(SHINGLE, int(n)) for n in sizes}):
-        hashes, df = np.unique(np.concatenate([s for (s, _), n in zip(shingles, sizes) if min(SHINGLE, n) == length]), return_counts=True)
+        own = np.flatnonzero(np.minimum(sizes, SHINGLE) == length)
+        every, of = np.concatenate([shingles[i][0] for i in own]), np.repeat(own, [len(shingles[i][0]) for i in own])
+        hashes, df = np.unique(every, return_counts=True)
+        owners[length] = np.concatenate([[0], np.cumsum(df)]), of[np.argsort(every, kind="stable")]
         known[length], weights[length] = hashes, np.log1p(len(rows) / df)
-    offsets, members = [], []
-    masks = flips(RADIUS // BLOCKS)
-    for k in range(BLOCKS):
-        value = ((prints >> np.uint64(16 * k)).astype(np.int64) & 0xFFFF)[:, None] ^ masks
-        order = np.argsort(value.ravel(), kind="stable")
-        members.append(order // len(masks))
-        offsets.append(np.searchsorted(value.ravel()[order], np.arange(65537)))
-    return Index([i for i, _ in rows], sizes, prints, np.stack(offsets), members, shingles, known, weights, float(np.log1p(len(rows))))
+    return Index([i for i, _ in rows], sizes, prints, shingles, known, weights, owners, float(np.log1p(len(rows))))
 
 
 def leaks(text: str | None, index: Index, similarity: float = SIMILARITY) -> list[tuple]:
@@ -132,8 +117,9 @@ def leaks(text: str | None, index: Index, similarity: float = SIMILARITY) -> lis
                 low = max(0, int(near[0]) + length - reach)
                 high = min(len(words), int(near[-1]) + reach)
                 sums = bit_sums(words[low:high])
-                for size in sizes[sizes <= len(words)].tolist() + ([0] if sizes.max() > len(words) else []):
-                    exact, size = size > 0, size or len(words)
+                items = index.holders(at[near], length)  # all others have similarity 0
+                fits = np.minimum(index.sizes[items], len(words))
+                for size in np.unique(fits).tolist():
                     mark = np.zeros(high - low + 2, np.int32)  # starts whose window holds one of these shingles whole
                     np.add.at(mark, np.maximum(0, near - low + length - size), 1)
                     np.add.at(mark, near - low + 1, -1)
@@ -141,7 +127,7 @@ def leaks(text: str | None, index: Index, similarity: float = SIMILARITY) -> lis
                     starts = starts[starts + size <= high - low]
                     if not len(starts):
                         continue
-                    for s, item in zip(*index.near(fingerprints(sums, starts, size), size, exact)):
+                    for s, item in zip(*index.near(fingerprints(sums, starts, size), items[fits == size])):
                         start = int(starts[s]) + low
                         value = index.similarity(int(item), hashes[start : start + size - length + 1])
                         if value >= similarity:

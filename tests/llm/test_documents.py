@@ -333,3 +333,19 @@ def test_leaks_equal_brute_force():
         if item in found:
             assert found[item] == pytest.approx(best)
 
+
+
+def test_edge_edits_near_the_threshold_are_leaks():
+    items = [(k, prose(30 + k % 30, 3000 + k)) for k in range(150)]
+    index = decontaminate.build_index(items)
+    near = 0
+    for item, text in items:
+        w = text.split()
+        n, k = len(w), (len(w) - 4) // 9  # of n - 4 shingles k are lost and k new: similarity 0.8 or a little more
+        for edited in (w[:-k] + [f"other{item}x{j}" for j in range(k)], [f"other{item}x{j}" for j in range(k)] + w[k:]):
+            text = " ".join(prose(20, item).split() + edited + prose(9, item).split())
+            best = index.similarity(item, decontaminate.window_hashes(decontaminate.words_of(" ".join(edited)), 5))
+            found = {i for i, *_ in decontaminate.leaks(text, index)}
+            assert item in found or best < 0.8
+            near += 0.8 <= best < 0.85
+    assert near > 150
