@@ -80,10 +80,10 @@ class Words(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         stem = word.rstrip(self.MARKS)
-        low = stem.lower()
-        if len(stem) < len(word) and stem[-1:].isalnum() and not self.special & {*word}:
+        low = word.lower()
+        if len(stem) < len(word) and stem[-1:].lower()[-1:].isalnum() and not self.special & {*word}:
             found = self[stem] + self[word[len(stem) :]]
-        elif low.isalpha() and max(low) < "\u0250":
+        elif word.isalpha() and low.isalpha() and max(low) < "\u0250":
             if low == word:
                 found = self.packed([t.id for t in self.model(low if low.isascii() else "".join([self.letters[b] for b in low.encode()]))])
             else:
