@@ -116,22 +116,24 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
-    """The best path of each text: `scores` has the words of all texts in turn. All texts take each step together."""
+    """The best path of each text: `scores` has the words of all texts in turn. All texts take each step together.
+
+    Values are kept relative to each step's best, so that they stay small and exact however long a text is.
+    """
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
     falling = lengths[order]
     n, kinds = scores.shape
     came = np.empty((n, kinds), np.int16)
     own = np.arange(kinds)
-    value = np.zeros((len(lengths), kinds), np.float32)
+    value = np.zeros((len(lengths), kinds))
     longest = int(falling[0]) if len(falling) else 0
     live = len(falling) - np.searchsorted(falling[::-1], np.arange(longest), side="right")
     for t in range(longest):
         v, at = value[: live[t]], starts[: live[t]] + t
-        best = v.max(1, keepdims=True)
-        moved = v < best - switch
-        came[at] = np.where(moved, v.argmax(1)[:, None], own)
-        value[: live[t]] = np.maximum(v, best - switch) + scores[at]
+        v -= v.max(1, keepdims=True)
+        came[at] = np.where(v < -switch, v.argmax(1)[:, None], own)
+        value[: live[t]] = np.maximum(v, -switch) + scores[at]
     path = np.zeros(n, np.int16)
     now = value.argmax(1)
     for t in range(longest - 1, -1, -1):
