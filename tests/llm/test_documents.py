@@ -1,5 +1,6 @@
 """The operators on documents against brute force, on tables with awkward rows."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -104,6 +105,16 @@ def test_words_with_marks_equal_the_library():
         assert np.frombuffer(words.encode(t), words.dtype).tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_random_texts_equal_the_library():
+    words = token_files.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    draw = random.Random(4)
+    parts = [*"abcgAZÅéßÉİıſﬁΣς<>|!?.,;:'\"()[]#$%&*+-/=@^_`~\\0123456789 \t\n\r\x1c\x85\u200b\u0301\u0308漢😀½²", "at", "hello", "<|", "|>", "endoftext", "  ", "don't", "\u0130<"]
+    parts += [t.content for t in words.tokenizer.get_added_tokens_decoder().values()]
+    texts = ["at<", "hello<", "Å<", "İ:;"] + ["".join(draw.choice(parts) for _ in range(draw.randint(1, 14))) for _ in range(50_000)]
+    for t, e in zip(texts, words.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(words.encode(t), words.dtype).tolist() == e.ids, t
+
+
 def brute_groups(rows):
     sets = []
     for _, t, *_ in rows:
@@ -272,6 +283,20 @@ def test_viterbi_equals_enumeration():
         at += n
 
 
+def test_viterbi_of_long_texts_equals_the_exact_path():
+    draw, n, switch = np.random.default_rng(6), 200_000, 8.0
+    scores = draw.normal(-30, 6, (n, 2)).astype(np.float32)
+    scores[np.arange(n), np.arange(n) // 37 % 2] += 1.5
+    value, came = np.zeros(2, np.longdouble), np.zeros((n, 2), np.int64)
+    for t in range(n):
+        came[t] = np.where(value < value.max() - switch, value.argmax(), np.arange(2))
+        value = np.maximum(value, value.max() - switch) + scores[t]
+    path, now = np.zeros(n, np.int64), int(value.argmax())
+    for t in range(n - 1, -1, -1):
+        path[t], now = now, came[t, now]
+    assert (langid.viterbi(scores, np.array([n]), switch) == path).all()
+
+
 def test_classifier_learns_and_calibrates(spark):
     good = lambda k: prose(40, k).capitalize() + "."
     bad = lambda k: " | ".join(prose(25, k).split()) + " ### %%%"
