@@ -14,12 +14,15 @@ from seqwatch.llm.shared import map_columns
 VOID = {*"area base br col embed hr img input link meta param source track wbr".split()}
 RAW = {*"script style textarea title xmp iframe noembed noframes".split()}
 HIDDEN = {*"script style title xmp iframe noembed noframes noscript template head svg math object audio video canvas map".split()}
-FURNITURE = {*"nav footer aside form button select textarea menu dialog input label fieldset".split()}
+FURNITURE = {*"nav footer aside button select textarea menu dialog input".split()}
+#: Elements that are furniture but where a whole page may lie in one of them.
+WRAPPERS = {*"form fieldset label header".split()}
 BLOCKS = {
     *"address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form".split(),
     *"h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split(),
 }
-HOLDERS = {*"html body main article section div center table tbody tr td".split()}
+HOLDERS = {*"html body main article section div center form fieldset header td".split()}
+HEADINGS = {*"h1 h2 h3 h4 h5 h6".split()}
 #: What an opening tag ends, up to the element that bounds the search.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -32,94 +35,160 @@ ENDS = {
 }
 ENDS_P = BLOCKS - {"html", "head", "body", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dt", "dd", "legend"} | {"li", "dt", "dd"}
 BOUNDS_P = {"html", "body", "table", "td", "th", "caption", "object", "button", "template"}
-#: Words in a class or id that mark parts beside the article.
+#: Words in a class or id that mark parts beside the article; of these, the layout words also name whole pages.
 MARKS = {
     *"ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promoted promotion banner".split(),
-    *"nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside rail footer footnav masthead topbar toolbar".split(),
     *"comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay".split(),
-    *"newsletter subscribe subscription signup login share sharing social related recommended pagination pager skip widget widgets".split(),
+    *"newsletter subscribe subscription signup login breadcrumb breadcrumbs share sharing pagination pager skip".split(),
 }
-ROLES = {*"navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split()}
+LAYOUT_MARKS = {
+    *"nav navbar navigation menu menus submenu sidebar sidebars aside rail footer footnav masthead topbar toolbar".split(),
+    *"social related recommended widget widgets".split(),
+}
+#: Parts of a class that tell what a page has or lacks, not what the element is: no-sidebar, story-with-related.
+MODIFIERS = {*"no not has have with without is".split()}
+ROLES = {*"navigation banner contentinfo search dialog alert alertdialog menu menubar".split()}
+LAYOUT_ROLES = {*"complementary form".split()}
+COMMENTS = {*"comment comments commentlist reply replies".split()}
+NOTICE = re.compile(r"(?:©|\(c\)|copyright\b)", re.I).match
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？¿¡…]").findall
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""", re.S
-)
+_QUOTED_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")
 _MARKING = re.compile(r"""[\s"'/](class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z]+").findall
 
+#: What is known of an element before any ratio: nothing, a part beside the article unless most of the text is in it,
+#: or a part beside the article.
+FREE, LAYOUT, BESIDE = 0, 1, 2
+#: Weight of each neighbouring path in the smoothing.
+NEIGHBOUR = 0.1
+#: A layout element with so many times the text that lies free is taken for the page itself.
+WHOLE_PAGE = 2.0
+#: Characters outside links that such an element must have, where it holds no article, main or first heading.
+PAGE_CHARS = 140
+#: Above this share of characters in links, a part without a selected path is a menu.
+LINKED = 0.5
+
 
-def _beside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a part beside the article, by its tag, role, class or id."""
-    if tag in HIDDEN or tag in FURNITURE or tag == "header" and not in_article:
-        return True
+def prior(tag: str, attributes: str, in_article: bool) -> int:
+    """What an element's tag, role, class and id say of it."""
+    if tag in HIDDEN or tag in FURNITURE:
+        return BESIDE
+    found = LAYOUT if tag in WRAPPERS and not (tag == "header" and in_article) else FREE
     if not attributes or tag in ("html", "body"):
-        return False
+        return found
     for name, value in _MARKING.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
+            return BESIDE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and tag not in ("article", "main") and not MARKS.isdisjoint(_WORDS(value)):
-            return True
-        if name in ("class", "id") and tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(_WORDS(value)):
-            return True
-    return False
+            return BESIDE
+        if name == "role" and value in LAYOUT_ROLES:
+            found = LAYOUT
+        if name in ("class", "id"):
+            words = {w for token in value.split() if MODIFIERS.isdisjoint(parts := _WORDS(token)) for w in parts}
+            if tag in ("article", "main"):
+                words &= COMMENTS
+            if not MARKS.isdisjoint(words):
+                return BESIDE
+            if not LAYOUT_MARKS.isdisjoint(words):
+                found = LAYOUT
+    return found
+
+
+class Part:
+    """Text of one block, or of several blocks of one element: characters, punctuation and characters in links."""
+
+    __slots__ = ("element", "texts", "chars", "marks", "linked", "blocks")
+
+    def __init__(self, element: int):
+        self.element, self.texts, self.chars, self.marks, self.linked, self.blocks = element, [], 0, 0, 0, 0
+
+    def text(self) -> str:
+        return " ".join("".join(self.texts).split())
 
 
 class Page:
-    """Elements and text nodes of one page; unclosed elements end where a browser would end them."""
+    """Elements and text nodes of one page; unclosed elements end where a browser would end them.
+
+    The places of open elements are kept by tag, so that each tag is handled in constant time however deep it lies. A
+    tag whose quotes never end is cut at the next `>`, and from there on quotes protect no `>`.
+    """
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.paths, self.beside = ["html"], [-1], [0], [False]
+        self.tags, self.parents, self.paths, self.priors = ["html"], [-1], [0], [FREE]
         self.path_ids: dict[tuple[int, str], int] = {}
-        self.texts: list[tuple[int, int, str]] = []  # element, block number, text
+        self.texts: list[tuple[int, int, int, bool, str]] = []  # element, its block element, block number, in a link, text
         self.stack, self.block = [0], 0
-        at, end = 0, len(html)
+        self.depths: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
+        self.block_depths = [0]
+        at, end, quoted, last = 0, len(html), True, html.rfind(">")
         while at < end:
-            m = _TOKEN.search(html, at)
-            if not m:
+            start = html.find("<", at)
+            if start < 0 or start > last and not html.startswith("<!--", start):
                 break
-            if m.start() > at:
-                self._text(html[at : m.start()])
-            at = m.end()
-            closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if not tag:
-                if m[0].startswith("<![CDATA["):
-                    self._text(m[0][9:].removesuffix("]]>"))
+            follows = html[start + 1 : start + 2]
+            if follows in ("!", "?"):
+                stop, text = self._skipped(html, start, last)
+            elif follows.isascii() and follows.isalpha() or follows == "/" and html[start + 2 : start + 3].isalpha():
+                m = _QUOTED_TAG.match(html, start) if quoted else None
+                if not m:
+                    quoted, m = False, _PLAIN_TAG.match(html, start)
+                stop, text = (m.end(), None) if m else (start + 1, "<")
+            else:
+                m, stop, text = None, start + 1, "<"
+            if start > at:
+                self._text(html[at:start])
+            at = stop
+            if text is not None or follows in ("!", "?"):
+                if text:
+                    self._text(text)
                 continue
-            tag = tag.lower()
-            if closing:
+            tag = m[2].lower()
+            if m[1]:
                 self._close(tag)
                 continue
-            self._open(tag, attributes)
+            self._open(tag, m[3])
             if tag in RAW:
                 close = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
                 if not close:
                     at = end
                     break
-                if tag == "textarea":
-                    self._text(html[at : close.start()])
                 at = close.start()
         if at < end:
             self._text(html[at:])
 
+    @staticmethod
+    def _skipped(html: str, start: int, last: int) -> tuple[int, str | None]:
+        """Where a comment, declaration or section that begins at `start` ends, and its text."""
+        for opens, closes in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if html.startswith(opens, start):
+                at = html.find(closes, start + len(opens))
+                inner = html[start + len(opens) : at if at >= 0 else len(html)]
+                return (at + 3 if at >= 0 else len(html)), (inner if opens == "<![CDATA[" else None)
+        return html.index(">", start, last + 1) + 1, None
+
     def _text(self, raw: str) -> None:
-        self.texts.append((self.stack[-1], self.block, unescape(raw)))
+        self.texts.append((self.stack[-1], self.stack[self.block_depths[-1]], self.block, bool(self.depths.get("a")), unescape(raw)))
 
     def _pop_to(self, depth: int) -> None:
-        if any(self.tags[e] in BLOCKS for e in self.stack[depth:]):
+        if self.block_depths[-1] >= depth:
             self.block += 1
+        while self.block_depths[-1] >= depth:
+            self.block_depths.pop()
+        for e in self.stack[depth:]:
+            self.depths[self.tags[e]].pop()
         del self.stack[depth:]
 
+    def _last(self, tags) -> int:
+        """Place of the innermost open element with one of these tags, or 0."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
     def _end(self, tags: set[str], bounds: set[str]) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tags[self.stack[depth]]
-            if tag in tags:
-                return self._pop_to(depth)
-            if tag in bounds:
-                return None
+        depth = self._last(tags)
+        if depth > self._last(bounds):
+            self._pop_to(depth)
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "html":
@@ -136,77 +205,148 @@ class Page:
             self._end({"head"}, {"html"})
         if tag in ENDS:
             self._end(*ENDS[tag])
-        above = self.stack[-1]
-        in_article = tag == "header" and any(self.tags[e] in ("article", "main") for e in self.stack)
+        above, is_block = self.stack[-1], tag in BLOCKS
         self.tags.append(tag)
         self.parents.append(above)
-        self.paths.append(self.path_ids.setdefault((self.paths[above], tag), len(self.path_ids) + 1))
-        self.beside.append(self.beside[above] or _beside(tag, attributes, in_article))
+        self.paths.append(self.path_ids.setdefault((self.paths[above], tag), len(self.path_ids) + 1) if is_block else self.paths[above])
+        self.priors.append(prior(tag, attributes, tag == "header" and self._last(("article", "main")) > 0))
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        if is_block:
+            self.block_depths.append(len(self.stack))
+            self.block += 1
         self.stack.append(len(self.tags) - 1)
-        self.block += tag in BLOCKS
 
     def _close(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            here = self.tags[self.stack[depth]]
-            if here == tag:
-                return self._pop_to(depth)
-            if here in BLOCKS and tag not in BLOCKS:
-                return None  # an inline end tag doesn't end blocks
-
-    def path_values(self) -> dict[int, float]:
-        """Each path's mean text length times its mean punctuation, both smoothed over neighbouring paths."""
-        sums: dict[int, list[float]] = {}
-        for element, _, text in self.texts:
-            if not self.beside[element] and (n := len("".join(text.split()))):
-                s = sums.setdefault(self.paths[element], [0.0, 0.0, 0.0])
-                s[0] += n
-                s[1] += len(PUNCTUATION(text))
-                s[2] += 1
-        if not sums:
+        depth = self._last((tag,))
+        if depth and (tag in BLOCKS or depth > self.block_depths[-1]):  # an inline end tag doesn't end blocks
+            self._pop_to(depth)
+
+    def free_texts(self) -> list[tuple[int, int, int, bool, str]]:
+        """The text nodes outside parts beside the article.
+
+        A layout mark on an element that holds most of the text (a page within a form, a wrapper named after its
+        sidebar) says nothing of that text; so the one with most text of its own, if that is several times the free
+        text, is free with all around it. Where the page has an article or main element, it must hold that.
+        """
+        n = len(self.tags)
+        nearest, barred = [-1] * n, [False] * n
+        for e in range(n):
+            above = self.parents[e]
+            nearest[e] = e if self.priors[e] else nearest[above] if e else -1
+            barred[e] = self.priors[e] == BESIDE or e > 0 and barred[above]
+        roots, firsts = [False] * n, [False] * n
+        for e in range(n - 1, -1, -1):
+            roots[e] |= self.tags[e] in ("article", "main")
+            firsts[e] |= self.tags[e] == "h1"
+            if e:
+                roots[self.parents[e]] |= roots[e]
+                firsts[self.parents[e]] |= firsts[e]
+        own: dict[int, int] = {}
+        for element, _, _, linked, text in self.texts:
+            if not barred[element] and not linked:
+                own[nearest[element]] = own.get(nearest[element], 0) + len("".join(text.split()))
+        free = own.pop(-1, 0)
+        whole = max(own, key=lambda e: (own[e], -e), default=-1)
+        if whole >= 0 and own[whole] >= WHOLE_PAGE * free and (roots[whole] if roots[0] else firsts[whole] or own[whole] >= PAGE_CHARS):
+            e = whole
+            while e >= 0:
+                self.priors[e] = FREE
+                e = self.parents[e]
+            for e in range(1, n):
+                nearest[e] = e if self.priors[e] else nearest[self.parents[e]]
+        return [t for t in self.texts if nearest[t[0]] < 0]
+
+    def parts(self) -> list[Part]:
+        """The blocks with text, in page order."""
+        found: dict[int, Part] = {}
+        for _, holder, block, linked, text in self.free_texts():
+            part = found.get(block)
+            if part is None:
+                part = found[block] = Part(holder)
+            n = len("".join(text.split()))
+            part.texts.append(text)
+            part.chars += n
+            part.marks += len(PUNCTUATION(text))
+            part.linked += n * linked
+        return [p for p in found.values() if p.chars]
+
+    def path_table(self, parts: list[Part]) -> dict[int, list[int]]:
+        """Blocks, characters, punctuation marks and characters in links of each root-to-leaf path, in page order."""
+        table: dict[int, list[int]] = {}
+        for p in parts:
+            row = table.setdefault(self.paths[p.element], [0, 0, 0, 0])
+            for k, v in enumerate((1, p.chars, p.marks, p.linked)):
+                row[k] += v
+        return table
+
+    def path_values(self, parts: list[Part]) -> dict[int, float]:
+        """Text and punctuation a block of each path, smoothed over neighbouring paths, multiplied, less the part in links."""
+        table = self.path_table(parts)
+        if not table:
             return {}
-        table = np.array([*sums.values()])
-        ratios = table[:, :2] / table[:, 2:]
+        rows = np.array([*table.values()], float)
+        ratios = rows[:, 1:3] / rows[:, :1]
         if len(ratios) > 2:
             padded = np.pad(ratios, ((1, 1), (0, 0)), "edge")
-            ratios = 0.15 * padded[:-2] + 0.7 * padded[1:-1] + 0.15 * padded[2:]
-        return dict(zip(sums, ratios[:, 0] * (1 + ratios[:, 1])))
-
-    def content_root(self) -> int:
-        """The element that holds the selected nodes: those on paths whose value reaches the deviation of all values."""
-        values = self.path_values()
-        if not values:
-            return 0
-        least = min(np.std([*values.values()]), max(values.values()))
-        weight = np.zeros(len(self.tags))
-        for element, _, text in self.texts:
-            if not self.beside[element] and values.get(self.paths[element], -1.0) >= least:
-                weight[element] += len("".join(text.split()))
-        for e in range(len(weight) - 1, 0, -1):  # children come after their parents
-            weight[self.parents[e]] += weight[e]
-        root = 0
-        children: dict[int, list[int]] = {}
-        for e in range(1, len(self.tags)):
-            children.setdefault(self.parents[e], []).append(e)
-        while self.tags[root] not in ("article", "main"):
-            inside = [c for c in children.get(root, ()) if self.tags[c] in HOLDERS]
-            best = max(inside, key=lambda c: weight[c], default=None)
-            if best is None or weight[best] < 0.7 * weight[root] or not weight[best]:
-                break
-            root = best
-        return root
+            ratios = NEIGHBOUR * padded[:-2] + (1 - 2 * NEIGHBOUR) * padded[1:-1] + NEIGHBOUR * padded[2:]
+        return dict(zip(table, (ratios[:, 0] * (1 + ratios[:, 1]) * (1 - rows[:, 3] / rows[:, 1])).tolist()))
+
+    def content(self) -> list[Part]:
+        """The content blocks: those on paths whose value reaches the deviation of all values, and what belongs to them."""
+        parts = self.parts()
+        values = self.path_values(parts)
+        least = min(np.std([*values.values()]), max(values.values())) if values else 0.0
+        chosen = [values[self.paths[p.element]] >= max(least, 1e-9) for p in parts]
+        if not any(chosen):
+            return parts
+        n = len(self.tags)
+        held = [0] * n  # selected blocks in each element
+        for p, c in zip(parts, chosen):
+            held[p.element] += c
+        for e in range(n - 1, 0, -1):
+            held[self.parents[e]] += held[e]
+        # Each other block belongs to the outermost element around it without selected blocks, or stands in one with some.
+        outer = [-1] * n
+        for e in range(1, n):
+            if not held[e]:
+                outer[e] = e if held[self.parents[e]] else outer[self.parents[e]]
+        total = sum(chosen)
+        root = max(e for e in range(n) if held[e] == total)
+        while self.tags[root] not in HOLDERS:
+            root = self.parents[root]
+        others: dict[tuple[int, int], Part] = {}  # by the element that stands, or the block in an element with some
+        kin: list[tuple[int, int]] = []
+        for k, (p, c) in enumerate(zip(parts, chosen)):
+            kin.append(key := (-1, -1) if c else (outer[p.element], -1 if outer[p.element] >= 0 else k))
+            if not c:
+                o = others.setdefault(key, Part(outer[p.element] if outer[p.element] >= 0 else p.element))
+                o.chars, o.marks, o.linked, o.blocks = o.chars + p.chars, o.marks + p.marks, o.linked + p.linked, o.blocks + 1
+        above = {key: self.parents[o.element] if key[0] >= 0 else o.element for key, o in others.items()}
+        beside: dict[int, list[Part]] = {}
+        for key, o in others.items():
+            beside.setdefault(above[key], []).append(o)
+        while (up := self.parents[root]) >= 0 and self.tags[up] not in ("html", "body") and all(self._prose(o) for o in beside.get(up, ())):
+            root = up
+        first = chosen.index(True)
+        return [p for k, (p, c) in enumerate(zip(parts, chosen)) if c or self._kept(p, others[kin[k]], above[kin[k]], root, total, held, k < first)]
+
+    def _prose(self, o: Part) -> bool:
+        return self.tags[o.element] in HEADINGS or o.marks > 0 and o.linked <= LINKED * o.chars
+
+    def _kept(self, block: Part, o: Part, above: int, root: int, total: int, held: list[int], early: bool) -> bool:
+        """Whether an unselected block stays, by the part `o` that it belongs to and the element `above` around that."""
+        tag = self.tags[o.element]
+        outside = held[above] == total and above < root or self.tags[above] in ("html", "body") and tag in HOLDERS
+        if tag in HEADINGS:
+            return early or not outside
+        if o.linked > LINKED * o.chars:
+            return False
+        if outside:
+            return tag == "p" and o.marks > 0
+        return not (self.tags[block.element] not in ("p", "li", *HEADINGS) and NOTICE(block.text()))
 
     def main_text(self) -> str:
-        root = self.content_root()
-        within = [False] * len(self.tags)
-        within[root] = True
-        for e in range(root + 1, len(self.tags)):
-            within[e] = within[self.parents[e]]
-        blocks: dict[int, list[str]] = {}
-        for element, block, text in self.texts:
-            if within[element] and not self.beside[element]:
-                blocks.setdefault(block, []).append(text)
-        lines = (" ".join("".join(parts).split()) for parts in blocks.values())
-        return "\n".join(line for line in lines if line)
+        return "\n".join(p.text() for p in self.content())
 
 
 def main_text(html: str | None) -> str:
@@ -216,11 +356,16 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
-    Text nodes are grouped by their root-to-leaf tag path; mean text length and mean punctuation of each path are
-    smoothed over neighbouring paths, multiplied and held against the deviation of all paths. The container of the
-    selected nodes is the article; all its blocks are kept in page order but for parts marked as furniture. Null and
-    empty pages, and pages without text, give the empty string. A map over rows: repeated pages keep their rows,
-    other columns are ignored.
+    Blocks of text are grouped by their root-to-leaf tag path (inline elements belong to the text). Mean text length and
+    mean punctuation of each path are smoothed over neighbouring paths and multiplied, less the share of the text in
+    links; paths that reach the deviation of all values select the content nodes. What lies among these in the lowest
+    element that holds them all belongs to them (headings, short lists), but for menus and notices; outside it, only
+    headings before them and paragraphs with punctuation. Tags, roles, classes and ids serve as a prior: what they mark
+    as beside the article is no candidate.
+
+    Null and empty pages, and pages without text, give the empty string; if all text is in links, all stays. Ties at the
+    threshold are selected. Time and memory are linear in a page's length, however deep it nests. A map over rows:
+    repeated pages keep their rows, an empty table gives none, and other columns, whatever their names, are ignored.
     """
 
     def run(rows):

@@ -1,10 +1,14 @@
 """Tool-call linking, page extraction and the pipeline."""
 
 import json
+import random
 import re
+import statistics
+import time
 from html import unescape
 
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import documents, prose
 
 from seqwatch.llm import chat, html_text
@@ -62,7 +66,8 @@ def test_plain_turns_and_empty_tables(spark, tools):
 
 def test_pages_equal_a_plain_reading(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
-    found = {r["page_id"]: r for r in html_text.extract(pages.withColumnRenamed("url", "url")).collect()}
+    clashing = pages.withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash")).withColumn("paths", F.lit(None).cast("string"))
+    found = {r["page_id"]: r for r in html_text.extract(clashing).collect()}
     for r in pages.collect():
         article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:h1|p)>", article)]
@@ -88,6 +93,103 @@ def test_furniture_goes():
     assert html_text.main_text(page) == f"Title\n{long}\nSecond\nitem\nitem two"
 
 
+LONG = " ".join(["Words, of a long paragraph, follow here."] * 6)
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<body><form><nav>Menu</nav><div><h1>T</h1><p>{LONG}</p><p>b.</p></div><footer>f</footer></form></body>", f"T\n{LONG}\nb."),
+        (f'<div class="layout sidebar-right"><article><h1>T</h1><p>{LONG}</p></article><div class=sidebar>See also</div></div>', f"T\n{LONG}"),
+        (f'<div class="story-with-related"><h1>T</h1><p>{LONG}</p></div>', f"T\n{LONG}"),
+        (f"<div id=content><ul><li><a href=1>Home</a><li><a href=2>About</a></ul><h1>T</h1><p>{LONG}</p><p>{LONG}</p><div>© 2024 Example</div></div>", f"T\n{LONG}\n{LONG}"),
+        (f"<div><div><a>Home</a> | <a>Us</a></div><div id=content><h1>T</h1><p>lead.</p><div class=body><p>{LONG}</p><p>{LONG}</p></div></div><div>Contact us</div></div>", f"T\nlead.\n{LONG}\n{LONG}"),
+        (f"<div><section><h2>A</h2><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section><section><h2>B</h2><p>{LONG}</p></section></div>", f"A\n{LONG}\n{LONG}\n{LONG}\nB\n{LONG}"),
+        (f'<nav>x</nav><article></article><div class=ad>{LONG}</div><footer>f</footer>', ""),
+        (f'<article><p>{LONG}<ul><li>one<li>two</ul></article><div class=comments><p>{LONG * 9}</div>', f"{LONG}\none\ntwo"),
+        ("<p><a href=x>only a link</a></p>", "only a link"),
+    ],
+)
+def test_content_by_paths_and_priors(html, text):
+    assert html_text.main_text(html) == text
+
+
+def site(seed):
+    """A page of plain divisions, without any mark but its tags, and its article."""
+    draw = random.Random(seed)
+    said = lambda n: prose(n, draw.random()).capitalize() + ", " + prose(n, draw.random()) + "."
+    title, body = prose(4, draw.random()), [said(draw.randint(12, 40)) for _ in range(draw.randint(2, 8))]
+    items = [prose(3, draw.random()) for _ in range(draw.randint(0, 4))]
+    menu = "".join(f"<li><a href=/{k}>{prose(1, draw.random())}</a>" for k in range(draw.randint(3, 9)))
+    links = " | ".join(f"<a href=/{k}>{prose(2, draw.random())}</a>" for k in range(draw.randint(2, 5)))
+    listed = f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>" if items else ""
+    article = f"<h1>{title}</h1>" + f"<p>{body[0]}</p>" + listed + "".join(f"<p>{b}</p>" for b in body[1:])
+    html = f"<html><body><div>{prose(3, draw.random())}</div><div><ul>{menu}</ul></div><div><div>{article}</div></div><div>{links}</div><div>{prose(5, draw.random())}</div></body></html>"
+    return html, "\n".join([title, body[0], *items, *body[1:]])
+
+
+def test_pages_without_marks_are_told_by_their_paths(monkeypatch):
+    pages = [site(k) for k in range(60)]
+    assert [html_text.main_text(h) for h, _ in pages] == [t for _, t in pages]
+    monkeypatch.setattr(html_text.Page, "path_values", lambda self, parts: {self.paths[p.element]: 1.0 for p in parts})
+    assert sum(html_text.main_text(h) != t for h, t in pages) == len(pages)
+
+
+def test_path_values_equal_a_plain_table():
+    """Random trees: the table of each root-to-leaf path counted from the tree itself, smoothed by hand."""
+    for seed in range(40):
+        draw, leaves = random.Random(seed), []
+
+        def grow(path, depth):
+            out = []
+            for _ in range(draw.randint(1, 4)):
+                tag = draw.choice(["div", "section", "ul", "blockquote"])
+                if depth < 3 and draw.random() < 0.5:
+                    out.append(f"<{tag}>{grow((*path, tag), depth + 1)}</{tag}>")
+                else:
+                    text, linked = prose(draw.randint(1, 9), draw.random()) + draw.choice(["", ".", ", a!"]), draw.random() < 0.3
+                    leaves.append(((*path, tag), text, linked))
+                    out.append(f"<{tag}>" + (f"<b><a>{text}</a></b>" if linked else f"<i>{text}</i>") + f"</{tag}>")
+            return "".join(out)
+
+        page = html_text.Page(grow((), 0))
+        table = {}
+        for path, text, linked in leaves:
+            row = table.setdefault(path, [0, 0, 0, 0])
+            n = len(text.replace(" ", ""))
+            for k, v in enumerate((1, n, sum(c in ".,;:!?" for c in text), n * linked)):
+                row[k] += v
+        parts = page.parts()
+        assert [*page.path_table(parts).values()] == [*table.values()]
+        rows, expected = [*table.values()], []
+        for k, (n, chars, marks, linked) in enumerate(rows):
+            near = [rows[max(k - 1, 0)], rows[k], rows[min(k + 1, len(rows) - 1)]] if len(rows) > 2 else [rows[k]] * 3
+            smooth = [0.1 * near[0][c] / near[0][0] + 0.8 * near[1][c] / near[1][0] + 0.1 * near[2][c] / near[2][0] for c in (1, 2)]
+            expected.append(smooth[0] * (1 + smooth[1]) * (1 - linked / chars))
+        values = [*page.path_values(parts).values()]
+        assert values == pytest.approx(expected)
+        least = min(statistics.pstdev(expected), max(expected))
+        kept = {p.text() for p in page.content()}
+        chosen = {t for path, t, _ in leaves if (v := expected[[*table].index(path)]) >= least + 1e-9 or v == max(expected) > 1e-9}
+        assert chosen <= kept
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "x", "<b>" * 100_000 + "</i>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<a " * 100_000, "<a '\"<" * 100_000 + ">", "<ul><li>" * 50_000, "<form>" * 100_000 + "x", "<!a " * 100_000])
+def test_deep_and_broken_pages_take_linear_time(html):
+    began = time.time()
+    html_text.main_text(html)
+    assert time.time() - began < 10  # about 1 s; quadratic handling takes minutes
+
+
+def test_repeated_and_long_pages(spark):
+    words = prose(50_000, 1)
+    html = f"<div><h1>T</h1><p>{words}.</p></div>"
+    rows = spark.createDataFrame([(1, "u", html), (1, "u", html), (None, None, None)], "page_id long, url string, html string")
+    found = sorted(html_text.extract(rows).collect(), key=lambda r: r["n_chars"])
+    assert [(r["page_id"], r["url"], r["text"]) for r in found] == [(None, None, ""), *[(1, "u", f"T\n{words}.")] * 2]
+    assert found[1]["n_chars"] == len(words) + 3
+
+
 def test_empty_pages(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
