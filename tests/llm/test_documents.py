@@ -360,6 +360,31 @@ def test_leaks_equal_brute_force():
 
 
 
+def test_multi_index_finds_all_within_the_radius():
+    items = [(k, prose(20, k)) for k in range(400)]
+    index = decontaminate.build_index(items)
+    draw = np.random.default_rng(2)
+    prints = index.prints[draw.integers(0, 400, 300)].copy()
+    bits = prints.view(np.uint8)
+    for row in bits:  # up to 70 bits turned
+        turned = draw.permutation(decontaminate.BITS)[: draw.integers(0, 70)]
+        np.bitwise_xor.at(row, turned // 8, (1 << turned % 8).astype(np.uint8))
+    distance = np.bitwise_count(prints[:, None] ^ index.prints[None]).sum(2)
+    expected = {(w, i) for w, i in zip(*np.nonzero(distance <= decontaminate.RADIUS))}
+    found = {*zip(*index.near(prints, {20}))}
+    assert found == expected and len(expected) > 100
+
+
+def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(k, prose(15 + 3 * k, 700 + k)) for k in range(12)] + [(99, None)], "item_id long, text string")
+    rows = [(k, prose(9, k) + " " + " ".join(prose(15 + 3 * k, 700 + k).split()[k % 3 :]) + " " + prose(9, k), "en", "s", 1) for k in range(12)] + awkward_rows()
+    whole = sorted(map(tuple, decontaminate.find_leaks(documents(spark, rows), items).collect()))
+    clean = decontaminate.decontaminate(documents(spark, rows), items).count()
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+    assert sorted(map(tuple, decontaminate.find_leaks(documents(spark, rows), items).collect())) == whole and len(whole) == 11  # of 21 words without 2: 15 of 19 shingles
+    assert decontaminate.decontaminate(with_clashes(documents(spark, rows)), items).count() == clean == len(awkward_rows()) + 1
+
+
 def test_edge_edits_near_the_threshold_are_leaks():
     items = [(k, prose(30 + k % 30, 3000 + k)) for k in range(150)]
     index = decontaminate.build_index(items)
