@@ -42,8 +42,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without a benchmark passage."""
-    free, columns = with_free_names(docs, ["leaks"])
-    return decontaminate.decontaminate(free, table(spark, sf_dir, "benchmark")).select(*columns)
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
