@@ -4,16 +4,21 @@ Words are lower-cased (A-Z) runs `[^\\x20\\x09-\\x0D]+`; a document's set holds
 hashes. Two documents link when 100 * intersection >= 80 * union. Documents with equal sets are one point.
 
 Cells bring together the points that can link at all: two sets that similar share one of their first few shingles in
-any common order of all shingles (here the rarest first), so the cell of each such shingle misses no link. Within a
-cell the overlap of two points is at most the sum of the minima of their counts by group of hashes; an R-tree over
-the counts skips whole boxes by the same bound. Pairs that pass it are held against the parities of counts in many
-more groups (each odd difference is a shingle that only one of the two has), and what passes is verified on the sets.
-
-First each point meets the least point of one of its cells only, which finds most links in large groups of near
-copies with one pair a point. Cells with points of different components so far are then searched, only for pairs
-between components, and of these first a spanning forest is verified, at most one pair a point. Cells of which pairs
-were left out are searched once more, for all pairs between the components that are left, so that no link between
-components is missed, and yet the pairs that leave a task don't grow with the square of a group.
+any common order of all shingles (here the rarest first), so the cell of each such shingle misses no link. In the cell
+of the first shingle that two sets share they can share no more than what each has from its place on; so of two points
+that link, at least one has the shingle within its first ninth (a strong point), and weak points are never paired.
+
+Within the cells of a task, one R-tree over the points' counts by group of hashes finds the pairs: the overlap of a
+point and a box is at most the sum of the minima of the counts, and boxes that can't reach the similarity by that, by
+their sizes or by their cells are skipped. What passes is held against the parities of counts in many more groups (each
+odd difference is a shingle that only one of the two has), and what passes that is verified on the sets.
+
+First each point meets a pivot of one of its cells only, and the pivots of a cell its first one, which finds most links
+in large groups of near copies with one pair a point. Cells with points of different components so far are searched,
+only for pairs between components: a large cell's points outside its largest component are dealt to chunks that meet
+the others. A first search verifies a spanning forest only, at most one pair a point; cells of which pairs were left
+out are searched once more, for all pairs between the components that are left. So no link between components is
+missed, and yet the pairs that leave a task don't grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -29,17 +34,20 @@ from seqwatch.llm.components import components
 from seqwatch.llm.shared import mix64, shingle_set, slices, written
 
 SHINGLE, PERCENT = 5, 80
-#: A shingle is common, and comes late in the order, when at least this share of the documents has it.
-COMMON_SHARE, MOST_COMMON = 0.001, 1 << 16
+#: A shingle that this share of the documents has is common and comes late in the order; those of less than a sixth of
+#: it never are. Tasks count in rounds of so many rows, forgetting what can't reach the share.
+COMMON_SHARE, MOST_COMMON, COUNTED_ROWS = 0.003, 1 << 16, 2000
 #: Groups of the coarse counts, and the fewest of the parities (a power of two from the set's size).
 COARSE, FINE = 32, 64
 #: Times the set's size: groups of the parities for the last search, of few cells but all their pairs.
 FINER = 4
-#: Cells with more points are dealt to pairs of chunks of about so many.
-CHUNK = 4096
+#: Points of a cell that meet one pivot.
+PIVOT_ROWS = 1000
+#: Cells with more points are dealt to pairs of chunks of about half as many.
+CHUNK = 1024
 LEAF = 16
-#: Groups of up to so many points are compared without a tree.
-SMALL = 64
+#: Pairs of points and boxes that a task holds at a time; while a forest is made, fewer, as each step spares the next.
+HELD, HELD_THIN = 1 << 20, 1 << 17
 FILTER_BITS = 1 << 23
 
 
@@ -83,25 +91,6 @@ class Parities:
         return may_link((n + m - self.odd(i, j)) / 2, n, m, percent)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of the pairs that join what earlier pairs didn't: a spanning forest."""
-    root: dict[int, int] = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    keep = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = find(x), find(y)
-        if x != y:
-            root[x] = y
-            keep.append(k)
-    return np.array(keep, np.int64)
-
-
 def packed(c: np.ndarray) -> bytes:
     return c.astype(np.uint8 if c.max(initial=0) < 256 else "<u2").tobytes()
 
@@ -127,105 +116,145 @@ def may_link(overlap, n, m, percent: int = PERCENT):
     return overlap * (100 + percent) >= percent * (n + m)
 
 
+def strong(place, n, percent: int = PERCENT):
+    """Whether a point whose set of n has a cell's shingle at `place` may link with a set as large in that cell."""
+    return may_link(n - place, n, n, percent)
+
+
 class CountTree:
-    """A packed R-tree of points: boxes of up to 16 points or boxes, each with its largest counts and range of sizes."""
+    """A packed R-tree over the points of many cells: boxes of up to 16 points or boxes.
+
+    A box has its largest counts, its range of sizes, the largest overlap that one of its points can have in its cell,
+    and its range of cells. Points lie in the order of cells, then sizes, so that boxes are small in all of these.
+    """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        slab = np.searchsorted(np.unique(sizes)[:: max(1, LEAF)], sizes, side="right")
+    def __init__(self, cell: np.ndarray, points: np.ndarray, sizes: np.ndarray, reach: np.ndarray):
         half = points[:, : COARSE // 2].sum(1) - points[:, COARSE // 2 :].sum(1)
-        self.order = np.lexsort((points.argmax(1), half, slab))
-        level = (points[self.order], sizes[self.order], sizes[self.order])
+        self.order = np.lexsort((points.argmax(1), half, sizes, cell))
+        self.cell, self.points, self.sizes, self.reach = (x[self.order] for x in (cell, points, sizes, reach))
+        level = (self.points, self.sizes, self.sizes, self.reach, self.cell, self.cell)
         self.levels = [level]
         while len(level[0]) > 1:
             cut = np.arange(0, len(level[0]), LEAF)
-            level = (np.maximum.reduceat(level[0], cut), np.minimum.reduceat(level[1], cut), np.maximum.reduceat(level[2], cut))
+            level = tuple(f.reduceat(x, cut) for f, x in zip((np.maximum, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum), level))
             self.levels.append(level)
 
-    def near(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Places of the points whose bounded overlap with `point` may reach the similarity."""
-        at = np.arange(len(self.levels[-1][0]))
+    def pairs(self, ask: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(asking place, later place in the same cell) of all points whose bounded overlap may reach the similarity."""
+        q, at = ask, np.zeros(len(ask), np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            high, least, most = self.levels[depth]
+            high, least, most, reach, first, last = self.levels[depth]
             if depth < len(self.levels) - 1:
-                at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-                at = at[at < len(high)]
-            at = at[(most[at] * 100 >= percent * size) & (least[at] * percent <= 100 * size)]
-            at = at[may_link(np.minimum(high[at], point).sum(1), least[at], size, percent)]
-            if not len(at):
-                break
-        return self.order[at]
-
-
-def group_pairs(points, sizes, comps, side, fine: list[bytes], percent: int, thin: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of places in one large group, of different components and, if it has two sides, of different sides.
-
-    With `thin`, a point meets only what earlier pairs of the group have not joined it to; the last value is whether
-    that may have left out pairs.
-    """
-    tree_at, ask_at = np.flatnonzero(side == side.max()), np.flatnonzero(side == side.min())
-    alone = side.max() == side.min()
-    tree, bits = CountTree(points[tree_at], sizes[tree_at]), Parities(fine)
-    label = np.unique(comps, return_inverse=True)[1]
-    left, right, less = [np.empty(0, np.int64)], [np.empty(0, np.int64)], False
-    for i in ask_at:
-        j = tree_at[tree.near(points[i], sizes[i], percent)]
-        j = j[(comps[j] != comps[i]) & ((j > i) if alone else True)]
-        apart = label[j] != label[i]
-        less |= not apart.all()
-        j = j[apart]
-        if not len(j):
-            continue
-        at = np.full(len(j), i)
-        j = j[bits.passes(at, j, sizes[at], sizes[j], percent)]
-        if thin and len(j):
-            labels, first = np.unique(label[j], return_index=True)
-            less |= len(first) < len(j)
-            j = j[first]
-            label[np.isin(label, labels)] = label[i]
-        left.append(np.full(len(j), i))
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right), less
-
-
-def small_pairs(starts: np.ndarray, lengths: np.ndarray, points, sizes, comps, side, fine: list[bytes], percent: int, thin: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of places within many small groups at once, neighbours of each distance in turn; with `thin`, a forest
-    of them, and the first places of the left-out pairs."""
-    bits = Parities(fine)
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for gap in range(1, int(lengths.max(initial=1))):
-        some = lengths > gap
-        n = lengths[some] - gap
-        i = np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        j = i + gap
-        ok = (comps[i] != comps[j]) & ((side[i] != side[j]) | (side[i] < 0))
+                q, at = np.repeat(q, LEAF), (at[:, None] * LEAF + np.arange(LEAF)).ravel()
+                ok = at < len(high)
+                q, at = q[ok], at[ok]
+            n, cell = self.sizes[q], self.cell[q]
+            ok = ((at + 1) * LEAF**depth - 1 > q) & (first[at] <= cell) & (last[at] >= cell)
+            ok &= (most[at] * 100 >= percent * n) & (least[at] * percent <= 100 * n) & may_link(np.minimum(reach[at], self.reach[q]), least[at], n, percent)
+            q, at = q[ok], at[ok]
+            ok = np.concatenate([np.empty(0, bool), *(may_link(np.minimum(high[at[k]], self.points[q[k]]).sum(1), least[at[k]], self.sizes[q[k]], percent) for k in np.array_split(np.arange(len(q)), 1 + len(q) // HELD_THIN))])
+            q, at = q[ok], at[ok]
+        return q, at
+
+
+class Labels:
+    """Components of the points of many cells while they merge."""
+
+    def __init__(self, cell: np.ndarray, comps: np.ndarray):
+        both = np.stack([cell, comps], 1)
+        self.of = np.unique(both, axis=0, return_inverse=True)[1].ravel()
+        self.parent = np.arange(int(self.of.max(initial=-1)) + 1)
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return int(x)
+
+    def joined(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places of the pairs that join what earlier pairs didn't: a spanning forest."""
+        pairs, first = np.unique(np.stack([self.of[i], self.of[j]], 1), axis=0, return_index=True)
+        keep = []
+        for (a, b), k in zip(pairs[np.argsort(first)].tolist(), np.sort(first).tolist()):
+            a, b = self.root(a), self.root(b)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                keep.append(k)
+        if keep:
+            while (self.parent[self.parent] != self.parent).any():
+                self.parent = self.parent[self.parent]
+            self.of = self.parent[self.of]
+        return np.array(keep, np.int64)
+
+
+def cell_pairs(cell, points, sizes, reach, comps, fine: list[bytes], percent: int, thin: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places in equal cells, of different components, that pass both bounds; with `thin`, a spanning forest
+    of them, and the cells of which pairs were left out."""
+    tree = CountTree(cell, points, sizes, reach)
+    comps, bits = comps[tree.order], Parities([fine[k] for k in tree.order])
+    labels = Labels(tree.cell, comps)
+    left, right, less = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    rows = np.bincount(tree.cell)[tree.cell]
+    for ask in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(np.cumsum(rows) // (HELD_THIN if thin else HELD))) + 1):
+        i, j = tree.pairs(ask, percent)
+        ok = comps[i] != comps[j]
         i, j = i[ok], j[ok]
-        ok = may_link(np.minimum(sizes[i], sizes[j]), sizes[i], sizes[j], percent)
+        ok = may_link(np.minimum(tree.reach[i], tree.reach[j]), tree.sizes[i], tree.sizes[j], percent)
+        if thin:
+            known = labels.of[i] == labels.of[j]
+            less.append(tree.cell[i[ok & known]])
+            ok &= ~known
         i, j = i[ok], j[ok]
-        ok = may_link(np.minimum(points[i], points[j]).sum(1), sizes[i], sizes[j], percent)
+        ok = bits.passes(i, j, tree.sizes[i], tree.sizes[j], percent)
         i, j = i[ok], j[ok]
-        ok = bits.passes(i, j, sizes[i], sizes[j], percent)
-        left.append(i[ok])
-        right.append(j[ok])
-    i, j = np.concatenate(left), np.concatenate(right)
-    kept = forest(comps[i], comps[j]) if thin else np.arange(len(i))
-    return i[kept], j[kept], np.delete(i, kept)
+        if thin and len(i):
+            keep = labels.joined(i, j)
+            less.append(np.delete(tree.cell[i], keep))
+            i, j = i[keep], j[keep]
+        left.append(tree.order[i])
+        right.append(tree.order[j])
+    return np.concatenate(left), np.concatenate(right), np.unique(np.concatenate(less))
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The most common shingles, sorted, and their counts; they only decide the order of shingles, never a link.
 
-    A shingle with that share of all documents has it in some batch; tasks send only those, with their counts.
+    Each task counts by rounds and after each forgets what has at most one occurrence a round since it came up, so that
+    a count falls short by less than a row in COUNTED_ROWS; tasks send what at least as many rows have. A shingle with
+    COMMON_SHARE of all documents is thus found however the rows are dealt.
     """
+    share = 1 / COUNTED_ROWS
 
     def heavy(batches):
         import pyarrow as pa
 
-        for b in slices(batches):
-            tokens, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(shingle_set(t, shingle) for t in b.column("text").to_pylist())]), return_counts=True)
-            at = n >= max(2, int(COMMON_SHARE * b.num_rows))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[at].view(np.int64)), pa.array(n[at].astype(np.int64))], names=["token", "n"])
+        tokens, n, late = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        seen, rounds, sets = 0, 0, []
 
-    least = max(10, int(COMMON_SHARE * docs.count()))
+        def round_over():
+            nonlocal tokens, n, late, sets
+            new, m = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+            both, at = np.unique(np.concatenate([tokens, new]), return_inverse=True)
+            total, since = np.zeros(len(both), np.int64), np.full(len(both), rounds)
+            np.add.at(total, at[len(tokens) :], m)
+            total[at[: len(tokens)]] += n
+            since[at[: len(tokens)]] = late
+            ok = total + since > rounds + 1
+            tokens, n, late, sets = both[ok], total[ok], since[ok], []
+
+        for b in slices(batches):
+            sets += [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
+            seen += b.num_rows
+            if len(sets) >= COUNTED_ROWS:
+                round_over()
+                rounds += 1
+        if sets:
+            rounds = max(rounds - 1, 0)  # a part of a round forgets no more than the one before
+            round_over()
+        ok = n >= max(2, share * seen)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[ok].view(np.int64)), pa.array(n[ok])], names=["token", "n"])
+
+    least = max(10, int(share * docs.count()))
     found = docs.select("text").mapInArrow(heavy, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     rows = found.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toPandas()
     tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
@@ -240,7 +269,8 @@ def point_id(tokens: np.ndarray) -> int:
 
 
 def document_points(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, sid (hash of the set; null without words), n, the first shingles (rare and common ones) and the counts."""
+    """doc_id, print (hash of the text), sid (hash of the set; null without words), n, the first shingles (rare, then
+    common ones) and the counts."""
     common, often = common_shingles(docs, shingle)
     shared = docs.sparkSession.sparkContext.broadcast((common, often))  # MOST_COMMON entries at most
 
@@ -272,27 +302,39 @@ def document_points(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 finer.append(parities(tokens, FINER))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(rare, longs), pa.array(late, longs), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary()), pa.array(finer, pa.binary())],
-                names=["doc_id", "sid", "n", "rare", "common", "coarse", "fine", "finer"],
+                [b.column("doc_id"), b.column("print"), pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(rare, longs), pa.array(late, longs), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary()), pa.array(finer, pa.binary())],
+                names=["doc_id", "print", "sid", "n", "rare", "common", "coarse", "fine", "finer"],
             )
 
-    schema = "doc_id long, sid long, n long, rare array<long>, common array<long>, coarse binary, fine binary, finer binary"
-    return written(docs.select("doc_id", "text").mapInArrow(run, schema), "jaccard-documents")
+    schema = "doc_id long, print long, sid long, n long, rare array<long>, common array<long>, coarse binary, fine binary, finer binary"
+    return written(docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(run, schema), "jaccard-documents")
 
 
-def cells(found: DataFrame) -> DataFrame:
-    """(key, sid, pivot) of all points that share one of their first shingles with another point; pivot is the cell's least.
+def cells(points: DataFrame, percent: int) -> DataFrame:
+    """(key, sid, n, reach, pivot, first) of all points that share one of their first shingles with another point.
 
-    The common shingles are known to be shared and need no gathering: their least points come from a combined
-    aggregate. Each of the others belongs to a bounded share of the documents.
+    `reach` is the largest overlap that the point can have with those that share no earlier shingle; `pivot` is one of
+    the cell's strong points, dealt to each thousand points, and `first` the least strong point. Cells without a strong
+    point have no links. The common shingles are known to be shared and need no gathering: their aggregates are combined
+    before the shuffle. Each of the others belongs to a bounded share of the documents.
     """
-    rare = found.select(F.explode("rare").alias("key"), "sid")
+    rare = points.select("sid", "n", F.posexplode("rare").alias("place", "key"))
+    late = points.select("sid", "n", F.size("rare").alias("before"), F.posexplode("common").alias("at", "key")).select("sid", "n", (F.col("before") + F.col("at")).alias("place"), "key")
+    reach = (F.col("n") - F.col("place")).alias("reach")
+    head = F.when(strong(F.col("place"), F.col("n"), percent), F.col("sid"))
+    part = lambda size: F.pmod(F.xxhash64("sid"), F.greatest(F.lit(1), F.ceil(size / PIVOT_ROWS)))
     whole = Window.partitionBy("key")
-    rare = rare.withColumn("pivot", F.min("sid").over(whole)).withColumn("last", F.max("sid").over(whole)).filter("pivot < last").drop("last")
-    late = found.select(F.explode("common").alias("key"), "sid").distinct()
-    least = found.select(F.explode("common").alias("key"), "sid").groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).filter("pivot < last").drop("last")
-    late = late.join(F.broadcast(least), "key")  # MOST_COMMON rows at most
-    return written(rare.distinct().unionByName(late.select("key", "sid", "pivot")), "jaccard-cells")
+    rare = rare.select("key", "sid", "n", reach, F.count("*").over(whole).alias("size"), head.alias("head")).filter("size > 1").withColumn("first", F.min("head").over(whole)).filter("first is not null")
+    late = late.select("key", "sid", "n", reach, head.alias("head"))
+    sizes = late.groupBy("key").agg(F.count("*").alias("size"), F.min("head").alias("first")).filter("size > 1 and first is not null")
+    late = late.join(F.broadcast(sizes), "key")  # MOST_COMMON rows at most
+    rows = rare.select("key", "sid", "n", "reach", "head", "size", "first").unionByName(late.select("key", "sid", "n", "reach", "head", "size", "first"))
+    rows = rows.withColumn("part", F.when(F.col("size") > PIVOT_ROWS, part(F.col("size"))))
+    large = rows.filter("part is not null").groupBy("key", "part").agg(F.min("head").alias("pivot"))
+    near = rows.filter("part is null").withColumn("pivot", F.col("first")).drop("part")
+    far = rows.filter("part is not null").join(large, ["key", "part"]).withColumn("pivot", F.coalesce("pivot", "first")).drop("part")
+    columns = ["key", "sid", "n", "reach", "pivot", "first"]
+    return written(near.select(*columns).unionByName(far.select(*columns)), "jaccard-cells")
 
 
 def passing(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -312,19 +354,17 @@ def passing(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return written(near.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a long, b long"), "jaccard-candidates")
 
 
-def id_filter(ids: DataFrame, column: str) -> DataFrame:
+def id_filter(ids: DataFrame, *columns: str) -> DataFrame:
     """A hashed bit set of the ids as (word, bits): of fixed size, whatever the number of ids."""
-    place = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
+    place = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
     return ids.select(place.alias("place")).groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(place % 64))")).alias("bits"))
 
 
-def maybe_in(rows: DataFrame, column: str, bits: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows whose id may be among those of the bit set; with how="left", all rows and a column `maybe`."""
-    place = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
+def maybe_in(rows: DataFrame, columns: list[str], bits: DataFrame) -> DataFrame:
+    """All rows, and a column `maybe`: whether their ids may be among those of the bit set."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
     hit = F.expr("(bits & shiftleft(1L, int(filter_place % 64))) != 0")
-    joined = rows.withColumn("filter_place", place).withColumn("word", F.expr("filter_place div 64")).join(F.broadcast(bits), "word", how)
-    if how == "inner":
-        return joined.filter(hit).drop("filter_place", "word", "bits")
+    joined = rows.withColumn("filter_place", place).withColumn("word", F.expr("filter_place div 64")).join(F.broadcast(bits), "word", "left")
     return joined.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("filter_place", "word", "bits")
 
 
@@ -340,7 +380,7 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, shingle: int,
 
     needed = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     bits = written(id_filter(points.join(needed, "sid").select("doc_id"), "doc_id"), "jaccard-filter")
-    texts = maybe_in(docs.select("doc_id", "text"), "doc_id", bits).select("text")
+    texts = maybe_in(docs.select("doc_id", "text"), ["doc_id"], bits).filter("maybe").select("text")
     sets = written(texts.mapInArrow(run, "sid long, tokens array<long>"), "jaccard-sets")
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("tokens").alias(f"t{x}"))
     both = F.size(F.array_intersect("ta", "tb"))
@@ -348,23 +388,43 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, shingle: int,
     return written(met.filter(may_link(F.col("both"), F.size("ta"), F.size("tb"), percent)).select("a", "b").distinct(), "jaccard-links")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows of cells with several components, a copy for each `tile` that they are searched in.
+
+    A cell of up to CHUNK points is one tile. In a larger one the points outside the largest component, strong and weak
+    apart, are dealt to chunks, and so are the points of the largest; a tile is a pair of chunks that may have links:
+    none of two weak ones, and none within the largest component. A point of that has a copy for each chunk of the
+    others only.
+    """
+    by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("size"), F.count_if("strong").alias("heads"), F.bit_xor(F.xxhash64("sid")).alias("print"), F.sum("reach").alias("reach"))
+    by_key = by_comp.groupBy("key").agg(
+        F.max(F.struct("size", "heads", "comp")).alias("big"), F.sum("size").alias("size"), F.sum("heads").alias("heads"), F.bit_xor("print").alias("print"), F.sum("reach").alias("reach"), F.count("*").alias("comps")
+    )
+    strong_rest = F.col("heads") - F.col("big.heads")
+    by_key = by_key.filter("comps > 1").select(
+        "key", "size", "print", "reach", F.col("big.comp").alias("big"), strong_rest.alias("c0"), (F.col("size") - F.col("big.size") - strong_rest).alias("c1"), F.col("big.heads").alias("c2"), (F.col("big.size") - F.col("big.heads")).alias("c3")
+    )
+    by_key = by_key.filter("c0 > 0 or c1 > 0 and c2 > 0")
+    # Of cells with equal points, the one whose shingle comes first: there every point reaches furthest.
+    by_key = by_key.groupBy("print", "size").agg(F.max_by(F.struct("key", "big", "c0", "c1", "c2", "c3"), F.struct("reach", "key")).alias("cell")).select("size", "cell.*")
+    chunks = lambda c: F.ceil(F.col(f"c{c}") * 2 / CHUNK).cast("int")
+    units = lambda c: F.when(F.col(f"c{c}") > 0, F.transform(F.sequence(F.lit(0), chunks(c) - 1), lambda x: x + F.lit(c << 28))).otherwise(F.array().cast("array<int>"))
+    met = rows.join(by_key, "key").withColumn("kind", F.when(F.col("comp") != F.col("big"), F.lit(0)).otherwise(F.lit(2)) + (~F.col("strong")).cast("int"))
+    others = F.when(F.col("kind") == 0, F.concat(*map(units, range(4)))).when(F.col("kind") == 1, F.concat(units(0), units(2))).when(F.col("kind") == 2, F.concat(units(0), units(1))).otherwise(units(0))
+    mine = F.coalesce(*[F.when(F.col("kind") == c, F.pmod(F.xxhash64("sid"), chunks(c)).cast("int") + F.lit(c << 28)) for c in range(4)])
+    tiles = F.transform(others, lambda x: F.struct(F.least(x, mine).alias("low"), F.greatest(x, mine).alias("high")))
+    return met.withColumn("tile", F.explode(F.when(F.col("size") > CHUNK, tiles).otherwise(F.array(F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high")))))).select("key", "tile.*", "sid", "comp", "n", "reach")
+
+
 def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent: int, thin: bool) -> DataFrame:
     """Pairs of points of different components that share a cell and pass both bounds, as (a, b).
 
     With `thin`, forests of them; the rows (again) then hold the keys of cells of which pairs were left out.
     """
-    rows = cell_rows.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
-    rows = written(rows, "jaccard-cells")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.expr("bit_xor(xxhash64(sid))").alias("print"))
-    mixed = mixed.filter("low < high").groupBy("print", "size").agg(F.min("key").alias("key"))  # one of the cells with equal points
-    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("int")
-    rows = rows.join(mixed.select("key", parts.alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    rows = rows.join(points.select("sid", "n", "coarse", F.col("fine" if thin else "finer").alias("fine")), "sid")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(
-        "key", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "sid", "comp", "n", "coarse", "fine"
-    )
-    group = ["key", "c1", "c2"]
+    rows = cell_rows.join(comps.withColumnRenamed("node", "sid"), "sid", "left")
+    rows = rows.select("key", "sid", "n", "reach", strong(F.col("n") - F.col("reach"), F.col("n"), percent).alias("strong"), F.coalesce("comp", "sid").alias("comp"))
+    rows = dealt(written(rows, "jaccard-cells")).join(points.select("sid", "coarse", F.col("fine" if thin else "finer").alias("fine")), "sid")
+    group = ["key", "low", "high"]
     parts_all = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts_all, *group).sortWithinPartitions(*group)
 
@@ -374,17 +434,10 @@ def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent:
 
         def pairs(t):
             key = t[group].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-            lengths = np.diff(np.append(starts, len(t)))
-            points, sizes, comps, side, sid = coarse_rows(t["coarse"].tolist()), t["n"].to_numpy(), t["comp"].to_numpy(), t["side"].to_numpy(), t["sid"].to_numpy()
-            fine, few = t["fine"].tolist(), lengths <= SMALL
-            i, j, left_out = small_pairs(starts[few], lengths[few], points, sizes, comps, side, fine, percent, thin)
-            found, again = [(i, j)], [*np.unique(t["key"].to_numpy()[left_out])]
-            for a, n in zip(starts[~few], lengths[~few]):
-                i, j, less = group_pairs(*(x[a : a + n] for x in (points, sizes, comps, side, fine)), percent, thin)
-                found.append((i + a, j + a))
-                again += [key[a, 0]] * less
-            i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            cell = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).any(1)]))
+            points, sizes, reach, comps, sid = coarse_rows(t["coarse"].tolist()), *(t[c].to_numpy() for c in ("n", "reach", "comp", "sid"))
+            i, j, less = cell_pairs(cell, points, sizes, reach, comps, t["fine"].tolist(), percent, thin)
+            again = np.unique(key[np.searchsorted(cell, less), 0]).tolist()
             out = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1), axis=0)
             none = [None] * len(out)
             return pa.RecordBatch.from_arrays(
@@ -396,7 +449,7 @@ def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent:
             t = b.to_pandas()
             held = t if held is None else pd.concat([held, t], ignore_index=True)
             last = (held[group] == held[group].iloc[-1]).all(axis=1).to_numpy()
-            cut = int(np.argmax(last))  # the rows of the last group may go on
+            cut = int(np.argmax(last))  # the rows of the last tile may go on
             if cut:
                 yield pairs(held.iloc[:cut].reset_index(drop=True))
                 held = held.iloc[cut:].reset_index(drop=True)
@@ -406,21 +459,15 @@ def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent:
     return written(rows.mapInArrow(run, "a long, b long, again long").distinct(), "jaccard-candidates")
 
 
-def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of `docs`.
-
-    Null texts and texts without words have the empty set and are linked with nothing; texts with fewer words than a
-    shingle have one shingle of all their words. Repeated rows link by their equal sets. Null ids count as no id: such
-    rows take their group's smallest id, or null. An empty table gives no rows. Other columns are ignored.
-    """
-    docs = docs.select("doc_id", "text")
+def grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, print, n, sid and comp (equal in a group of linked documents; null for empty sets) of every row."""
     found = document_points(docs, shingle, percent)
-    points = written(
-        found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine"), F.first("finer").alias("finer")), "jaccard-points"
-    )
-    cell_rows = cells(found.filter("sid is not null"))
-    first = cell_rows.filter("sid != pivot").groupBy("sid").agg(F.min_by("pivot", "key").alias("a")).select("a", F.col("sid").alias("b"))
-    links = verified(passing(first, points, percent), points, docs, shingle, percent)
+    first = F.first("rare").alias("rare"), F.first("common").alias("common"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine"), F.first("finer").alias("finer")
+    points = written(found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *first), "jaccard-points")
+    cell_rows = cells(points, percent)
+    met = cell_rows.filter("sid != pivot").groupBy("sid").agg(F.min_by("pivot", "key").alias("a")).select("a", F.col("sid").alias("b"))
+    heads = cell_rows.filter("sid = pivot and sid != first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    links = verified(passing(met.union(heads).distinct(), points, percent), points, docs, shingle, percent)
     comps = components(links)
     for thin in (True, False):
         rest = searched(cell_rows, comps, points, percent, thin)
@@ -428,29 +475,46 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
         if not pairs.isEmpty():
             links = links.union(verified(pairs, points, docs, shingle, percent))
             comps = components(links)
-        cell_rows = cell_rows.join(rest.filter("again is not null").select(F.col("again").alias("key")), "key", "left_semi")
-    # Components of points, then their smallest document, then each document's.
-    own = points.select("sid", "doc_id").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    smallest = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_point = own.join(smallest, "comp").select("sid", "component_id")
-    return found.select("doc_id", "n", "sid").join(of_point, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("sid").isNull(), F.col("doc_id"))).alias("component_id"))
+        again = rest.filter("again is not null").select(F.col("again").alias("key")).distinct()
+        if not thin or again.isEmpty():
+            break
+        cell_rows = cell_rows.join(again, "key", "left_semi")
+    comp = F.coalesce("comp", "sid").alias("comp")
+    return found.select("doc_id", "print", "n", "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "print", "n", "sid", comp)
+
+
+def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of `docs`.
+
+    Null texts and texts without words have the empty set and are linked with nothing; texts with fewer words than a
+    shingle have one shingle of all their words. Repeated rows link by their equal sets. Null ids count as no id: such
+    rows take their group's smallest id, or null. A very long text is one set of 64-bit hashes, held by one task at a
+    time. A pair at exactly the similarity links. An empty table gives no rows. Other columns, whatever their names, are
+    ignored.
+    """
+    rows = written(grouped(docs.select("doc_id", "text"), shingle, percent), "jaccard-grouped")
+    smallest = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = rows.join(smallest, "comp", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` without near copies: of each group the document with the smallest id stays.
+    """The rows of `docs` without near copies: of each group of linked documents one row stays.
 
-    Only rows that may belong to a group of several, by a bit set of fixed size, are shuffled with their texts.
-    Repeated rows are copies. Rows with null ids leave only if their group has a document with an id; without any,
-    one row of equal texts stays.
+    That is the row with the smallest id (null ids last), of equal ids the one with the smallest hash of its text, and
+    one of rows that are alike in both. Rows are told apart by id and text, so other rows that repeat an id stay or go
+    with their own groups. Null, blank and unlinked texts stay. Only rows that may belong to a group of several, by a
+    bit set of fixed size, are shuffled with their texts. An empty table gives no rows; all columns stay.
     """
-    groups = written(jaccard_groups(docs, shingle, percent), "jaccard-groups")
-    size = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("members")).filter("members > 1")
-    several = groups.filter("n_shingles > 0").select("doc_id", "component_id").join(size.select(F.col("component_id").alias("c")), F.expr("component_id <=> c"))
-    several = written(several.groupBy("doc_id").agg(F.max(F.expr("doc_id <=> component_id")).alias("stays")), "jaccard-several")
-    bits = written(id_filter(several, "doc_id"), "jaccard-filter")
-    packed_rows = docs.select("doc_id", F.struct("*").alias("row"))
-    marked = maybe_in(packed_rows, "doc_id", bits, how="left")
-    flags = several.select(F.col("doc_id").alias("several_id"), "stays")
-    rows = marked.filter("maybe").join(flags, F.expr("doc_id <=> several_id"), "left")
-    sole = rows.filter("stays").withColumn("text_print", F.sha2("row.text", 256)).dropDuplicates(["doc_id", "text_print"])
+    rows = written(grouped(docs.select("doc_id", "text"), shingle, percent), "jaccard-grouped").filter("comp is not null")
+    who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print")
+    several = rows.groupBy("comp").agg(F.count("*").alias("members"), F.min(who).alias("stays")).filter("members > 1")
+    flags = rows.join(several, "comp").groupBy("doc_id", "print").agg(F.bool_or(who == F.col("stays")).alias("stays"))
+    flags = written(flags, "jaccard-several")
+    bits = written(id_filter(flags, "doc_id", "print"), "jaccard-filter")
+    packed_rows = docs.select("doc_id", F.xxhash64("text").alias("print"), F.struct("*").alias("row"))
+    marked = maybe_in(packed_rows, ["doc_id", "print"], bits)
+    flags = flags.select(F.col("doc_id").alias("flag_id"), F.col("print").alias("flag_print"), "stays")
+    rows = marked.filter("maybe").join(flags, F.expr("doc_id <=> flag_id and print = flag_print"), "left")
+    sole = rows.filter("stays").dropDuplicates(["doc_id", "print"])
     return marked.filter(~F.col("maybe")).select("row.*").unionByName(rows.filter("stays is null").select("row.*")).unionByName(sole.select("row.*"))

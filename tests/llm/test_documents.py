@@ -157,24 +157,68 @@ def test_jaccard_groups_equal_brute_force(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == brute_groups(rows)
 
 
-def test_jaccard_in_chunks_and_trees(spark, monkeypatch):
+def test_jaccard_in_chunks_and_by_many_pivots(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", 10)
-    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "PIVOT_ROWS", 7)
+    monkeypatch.setattr(jaccard, "COUNTED_ROWS", 50)
+    monkeypatch.setattr(jaccard, "HELD_THIN", 64)
     rows = near_rows()
     found = jaccard.jaccard_groups(documents(spark, rows).repartition(5))
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == brute_groups(rows)
 
 
-def test_count_tree_finds_all_within_the_bound():
+def test_count_tree_finds_all_within_the_bounds():
     draw = np.random.default_rng(1)
     points = draw.poisson(4, (700, jaccard.COARSE)).astype(np.int32)
     points[350:] = points[:350] + draw.integers(0, 2, (350, jaccard.COARSE))
-    sizes = points.sum(1)
-    tree = jaccard.CountTree(points, sizes)
-    for i in range(0, 700, 7):
-        bound = np.minimum(points, points[i]).sum(1)
-        expected = np.flatnonzero(jaccard.may_link(bound, sizes, sizes[i]) & (sizes * 100 >= 80 * sizes[i]) & (sizes * 80 <= 100 * sizes[i]))
-        assert sorted(tree.near(points[i], sizes[i], 80)) == expected.tolist()
+    sizes, cell = points.sum(1), np.tile(draw.integers(0, 9, 350) ** 2, 2)
+    reach = sizes - draw.integers(0, 20, 700)
+    tree = jaccard.CountTree(cell, points, sizes, reach)
+    q, at = tree.pairs(np.arange(700), 80)
+    found = {frozenset((tree.order[i], tree.order[j])) for i, j in zip(q, at)}
+    expected = set()
+    for i, j in combinations(range(700), 2):
+        bound = min(np.minimum(points[i], points[j]).sum(), reach[i], reach[j])
+        if cell[i] == cell[j] and jaccard.may_link(bound, sizes[i], sizes[j]):
+            expected.add(frozenset((i, j)))
+    assert expected <= found and len(expected) > 50
+    assert all(cell[i] == cell[j] for i, j in map(tuple, found)) and len(found) == len(q)
+
+
+def test_cell_pairs_join_all_components():
+    draw = np.random.default_rng(8)
+    sets = [np.unique(draw.integers(0, 1 << 63, 40).astype(np.uint64)) for _ in range(20)]
+    sets = [np.unique(np.concatenate([s[: 40 - k % 3], draw.integers(0, 1 << 63, k % 3).astype(np.uint64)])) for s in sets for k in range(12)]
+    cell = np.repeat(np.arange(4), 60)
+    points, sizes = np.array([jaccard.counts(s, jaccard.COARSE) for s in sets], np.int32), np.array([len(s) for s in sets])
+    fine, comps = [jaccard.parities(s) for s in sets], np.arange(240)
+    linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+    expected = {frozenset(p) for p in combinations(range(240), 2) if cell[p[0]] == cell[p[1]] and linked(*p)}
+    i, j, less = jaccard.cell_pairs(cell, points, sizes, sizes, comps, fine, 80, False)
+    assert expected <= {frozenset(p) for p in zip(i.tolist(), j.tolist())} and not len(less)
+    i, j, less = jaccard.cell_pairs(cell, points, sizes, sizes, comps, fine, 80, True)
+    assert len(i) < 240 and less.tolist() == [0, 1, 2, 3]
+    root = list(range(240))
+    for a, b in zip(i.tolist(), j.tolist()):
+        root = [root[a] if r == root[b] else r for r in root]
+    assert all(root[a] == root[b] for a, b in map(tuple, expected))
+
+
+def test_common_shingles_are_found_however_dealt(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNTED_ROWS", 50)
+    shared = prose(6, 77)
+    rows = [(k, prose(12, k) + (" . " + shared if k % 10 == 0 else ""), "en", "s", 1) for k in range(600)]
+    tokens, n = jaccard.common_shingles(documents(spark, rows).repartition(3), 5)
+    wanted = jaccard.shingle_set(shared, 5)
+    assert np.isin(wanted, tokens).all() and (n[np.isin(tokens, wanted)] > 30).all()
+
+
+def test_rows_that_repeat_an_id_go_with_their_own_groups(spark):
+    base, alone, other = prose(80, 1), prose(70, 2), prose(60, 3)
+    near = " ".join(base.split()[:-1])
+    rows = [(3, base), (7, near), (7, alone), (None, near), (None, other), (None, base + " x"), (9, alone), (9, alone), (None, prose(50, 4)), (None, prose(50, 4))]
+    kept = jaccard.one_of_each(documents(spark, [(i, t, "en", "s", 1) for i, t in rows])).select("doc_id", "text").collect()
+    assert Counter(map(tuple, kept)) == Counter([(3, base), (7, alone), (None, other), (None, prose(50, 4))])
 
 
 def test_one_of_each_group_stays(spark):
