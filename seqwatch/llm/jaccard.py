@@ -48,6 +48,8 @@ CHUNK = 1024
 LEAF = 16
 #: Pairs of points and boxes that a task holds at a time; while a forest is made, fewer, as each step spares the next.
 HELD, HELD_THIN = 1 << 20, 1 << 17
+#: Tasks that the members of one component are dealt to.
+SALTS = 16
 FILTER_BITS = 1 << 23
 
 
@@ -320,21 +322,21 @@ def cells(points: DataFrame, percent: int) -> DataFrame:
     """
     rare = points.select("sid", "n", F.posexplode("rare").alias("place", "key"))
     late = points.select("sid", "n", F.size("rare").alias("before"), F.posexplode("common").alias("at", "key")).select("sid", "n", (F.col("before") + F.col("at")).alias("place"), "key")
-    reach = (F.col("n") - F.col("place")).alias("reach")
-    head = F.when(strong(F.col("place"), F.col("n"), percent), F.col("sid"))
-    part = lambda size: F.pmod(F.xxhash64("sid"), F.greatest(F.lit(1), F.ceil(size / PIVOT_ROWS)))
+    columns = ["key", "sid", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("place")).cast("int").alias("reach")]
+    head = F.when(strong(F.col("n") - F.col("reach"), F.col("n"), percent), F.col("sid"))
     whole = Window.partitionBy("key")
-    rare = rare.select("key", "sid", "n", reach, F.count("*").over(whole).alias("size"), head.alias("head")).filter("size > 1").withColumn("first", F.min("head").over(whole)).filter("first is not null")
-    late = late.select("key", "sid", "n", reach, head.alias("head"))
-    sizes = late.groupBy("key").agg(F.count("*").alias("size"), F.min("head").alias("first")).filter("size > 1 and first is not null")
+    rare = rare.select(*columns).select("*", F.count("*").over(whole).alias("size"), F.min(head).over(whole).alias("first")).filter("size > 1 and first is not null")
+    late = late.select(*columns)
+    sizes = late.groupBy("key").agg(F.count("*").alias("size"), F.min(head).alias("first")).filter("size > 1 and first is not null")
     late = late.join(F.broadcast(sizes), "key")  # MOST_COMMON rows at most
-    rows = rare.select("key", "sid", "n", "reach", "head", "size", "first").unionByName(late.select("key", "sid", "n", "reach", "head", "size", "first"))
-    rows = rows.withColumn("part", F.when(F.col("size") > PIVOT_ROWS, part(F.col("size"))))
-    large = rows.filter("part is not null").groupBy("key", "part").agg(F.min("head").alias("pivot"))
-    near = rows.filter("part is null").withColumn("pivot", F.col("first")).drop("part")
-    far = rows.filter("part is not null").join(large, ["key", "part"]).withColumn("pivot", F.coalesce("pivot", "first")).drop("part")
-    columns = ["key", "sid", "n", "reach", "pivot", "first"]
-    return written(near.select(*columns).unionByName(far.select(*columns)), "jaccard-cells")
+    rows = written(rare.unionByName(late.select("key", "sid", "n", "reach", "size", "first")), "jaccard-cells")
+    part = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / PIVOT_ROWS))
+    large = rows.filter(F.col("size") > PIVOT_ROWS).withColumn("part", part)
+    pivots = large.groupBy("key", "part").agg(F.min(head).alias("pivot"))
+    far = large.join(pivots, ["key", "part"]).withColumn("pivot", F.coalesce("pivot", "first"))
+    near = rows.filter(F.col("size") <= PIVOT_ROWS).withColumn("pivot", F.col("first"))
+    kept = ["key", "sid", "n", "reach", "pivot", "first"]
+    return near.select(*kept).unionByName(far.select(*kept))
 
 
 def passing(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -459,8 +461,15 @@ def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent:
     return written(rows.mapInArrow(run, "a long, b long, again long").distinct(), "jaccard-candidates")
 
 
+def by_component(rows: DataFrame, of_comp: DataFrame) -> DataFrame:
+    """The rows joined with what is known of their `comp`; large components are dealt to SALTS tasks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(of_comp.select("*", salts), ["comp", "salt"]).drop("salt")
+
+
 def grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, print, n, sid and comp (equal in a group of linked documents; null for empty sets) of every row."""
+    """doc_id, print, n, sid, comp and component_id of every row; rows of linked documents share the last two, empty
+    sets have none."""
     found = document_points(docs, shingle, percent)
     first = F.first("rare").alias("rare"), F.first("common").alias("common"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine"), F.first("finer").alias("finer")
     points = written(found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *first), "jaccard-points")
@@ -479,8 +488,11 @@ def grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         if not thin or again.isEmpty():
             break
         cell_rows = cell_rows.join(again, "key", "left_semi")
-    comp = F.coalesce("comp", "sid").alias("comp")
-    return found.select("doc_id", "print", "n", "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "print", "n", "sid", comp)
+    own = points.select("sid", "doc_id")
+    joined = comps.withColumnRenamed("node", "sid").join(own, "sid")
+    named = by_component(joined.select("sid", "comp"), joined.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
+    of_point = own.join(named, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return written(found.select("doc_id", "print", "n", "sid").join(of_point, "sid", "left").select("doc_id", "print", "n", "sid", "comp", "component_id"), "jaccard-grouped")
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -492,10 +504,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     time. A pair at exactly the similarity links. An empty table gives no rows. Other columns, whatever their names, are
     ignored.
     """
-    rows = written(grouped(docs.select("doc_id", "text"), shingle, percent), "jaccard-grouped")
-    smallest = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = rows.join(smallest, "comp", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = grouped(docs.select("doc_id", "text"), shingle, percent)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -506,10 +516,10 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     with their own groups. Null, blank and unlinked texts stay. Only rows that may belong to a group of several, by a
     bit set of fixed size, are shuffled with their texts. An empty table gives no rows; all columns stay.
     """
-    rows = written(grouped(docs.select("doc_id", "text"), shingle, percent), "jaccard-grouped").filter("comp is not null")
+    rows = grouped(docs.select("doc_id", "text"), shingle, percent).filter("comp is not null").select("doc_id", "print", "comp")
     who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print")
     several = rows.groupBy("comp").agg(F.count("*").alias("members"), F.min(who).alias("stays")).filter("members > 1")
-    flags = rows.join(several, "comp").groupBy("doc_id", "print").agg(F.bool_or(who == F.col("stays")).alias("stays"))
+    flags = by_component(rows, several).groupBy("doc_id", "print").agg(F.bool_or(who == F.col("stays")).alias("stays"))
     flags = written(flags, "jaccard-several")
     bits = written(id_filter(flags, "doc_id", "print"), "jaccard-filter")
     packed_rows = docs.select("doc_id", F.xxhash64("text").alias("print"), F.struct("*").alias("row"))
