@@ -20,15 +20,18 @@ def covering_step(steps: DataFrame, points: DataFrame) -> DataFrame:
     return points.join(spans, inside, "left").select(points["trial_id"], "at", "seg_idx")
 
 
-def debris_steps(degraded: DataFrame, steps: DataFrame, truth: DataFrame) -> DataFrame:
+def debris_steps(degraded: DataFrame, truth: DataFrame) -> DataFrame:
     """Steps that the injection made or stretched without being the error: they hold or border an edited tick, or
-    span a place where successive ticks don't come from successive source ticks."""
+    span a place where successive ticks don't come from successive source ticks.
+
+    The ticks carry the number of their step (seg_idx), so no interval is joined.
+    """
     keys = ["trial_id", "error_type"]
     w = Window.partitionBy(*keys).orderBy("tick")
-    near = degraded.withColumn("next_src", F.lead("src_tick").over(w)).withColumn("by_edit", F.col("edited") | F.coalesce(F.lag("edited").over(w), F.lit(False)) | F.coalesce(F.lead("edited").over(w), F.lit(False)))
-    inside = near.join(steps.select(*keys, "seg_idx", "tick_start", "tick_end"), keys).filter((F.col("tick") >= F.col("tick_start")) & (F.col("tick") < F.col("tick_end")))
-    splice = (F.col("tick") < F.col("tick_end") - 1) & (F.col("next_src") != F.col("src_tick") + 1)
-    touched = inside.groupBy(*keys, "seg_idx").agg(F.max((F.col("by_edit") | splice).cast("int")).alias("touched")).filter("touched = 1").drop("touched")
+    by_edit = F.col("edited") | F.coalesce(F.lag("edited").over(w), F.lit(False)) | F.coalesce(F.lead("edited").over(w), F.lit(False))
+    splice = (F.lead("seg_idx").over(w) == F.col("seg_idx")) & (F.lead("src_tick").over(w) != F.col("src_tick") + 1)
+    near = degraded.select(*keys, "seg_idx", (by_edit | F.coalesce(splice, F.lit(False))).alias("touched"))
+    touched = near.groupBy(*keys, "seg_idx").agg(F.bool_or("touched").alias("touched")).filter("touched").drop("touched")
     return touched.join(truth.select(*keys, "seg_idx"), [*keys, "seg_idx"], "left_anti")
 
 
@@ -83,6 +86,17 @@ def counterfactual_report(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("error_type").agg(F.count("*").alias("n"), F.avg("detected").alias("detection_rate"), F.avg("localized").alias("localisation_rate"), F.avg("latency").alias("mean_latency"))
 
 
+def trial_location(outcomes: DataFrame, healthy: DataFrame) -> DataFrame:
+    """Counts of trials on the level of location: an error found in its window is tp, else fn, and fp too if something else
+    was flagged; a healthy trial is fp if anything was flagged, else tn."""
+    said = healthy.groupBy("trial_id").agg(F.bool_or("flagged").alias("any"))
+    n = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("long")
+    found, stray = F.col("detected") == 1, F.col("stray") == 1
+    errors = outcomes.agg(n(found).alias("tp"), n(~found & stray).alias("fp_out"), n(~found).alias("fn"))
+    well = said.agg(n(F.col("any")).alias("fp_healthy"), n(~F.col("any")).alias("tn"))
+    return errors.join(well, F.lit(True))  # one row each
+
+
 def mcnemar(pairs: DataFrame) -> DataFrame:
     """By error type, from (before, after) of each trial: discordant counts and the corrected chi-square."""
     b = F.sum(((F.col("after") == 1) & (F.col("before") == 0)).cast("int"))

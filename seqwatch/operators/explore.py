@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqwatch.sources.durable import written
+
 
 def edit_distances(steps: DataFrame, key: str = "recipe") -> DataFrame:
     """a, b, distance of all pairs of trials of one recipe: edits between their sequences of states.
@@ -23,7 +25,8 @@ def edit_distances(steps: DataFrame, key: str = "recipe") -> DataFrame:
 def participant_features(ticks: DataFrame, idle_verb: int) -> DataFrame:
     """trial_id, recipe, total ticks, share of idle ticks, number of items, total over the recipe's median."""
     rows = ticks.groupBy("trial_id", "recipe").agg(F.count("*").alias("total"), F.avg((F.col("verb_id") == idle_verb).cast("double")).alias("idle_share"), F.count_distinct("noun_id").alias("n_items"))
-    return rows.withColumn("relative", F.col("total") / F.percentile("total", F.lit(0.5)).over(Window.partitionBy("recipe")))
+    medians = rows.groupBy("recipe").agg(F.percentile("total", F.lit(0.5)).alias("median"))
+    return rows.join(F.broadcast(medians), "recipe").withColumn("relative", F.col("total") / F.col("median")).drop("median")  # one row a recipe
 
 
 def half_means(values: DataFrame) -> DataFrame:
@@ -41,45 +44,64 @@ def gaussian_fit(values: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "n", "mean", "sd", ll.alias("log_likelihood"))
 
 
-def two_components(x: np.ndarray, restarts: int = 5, steps: int = 200, seed: int = 0) -> float:
-    """Best log likelihood of a mixture of two Gaussians."""
-    draw, best = np.random.default_rng(seed), -np.inf
+def two_components(x: np.ndarray, times: np.ndarray | None = None, restarts: int = 5, steps: int = 200, seed: int = 0) -> float:
+    """Best log likelihood of a mixture of two Gaussians over values that occur so many times."""
+    times = np.ones(len(x)) if times is None else times.astype(float)
+    draw, best, size = np.random.default_rng(seed), -np.inf, times.sum()
+    spread = np.sqrt((times * (x - (times * x).sum() / size) ** 2).sum() / size)
     for _ in range(restarts):
-        mean, sd, w = draw.choice(x, 2, replace=False).astype(float), np.full(2, x.std() + 1e-6), np.full(2, 0.5)
+        mean, sd, w = draw.choice(x, 2, replace=len(x) < 2, p=times / size).astype(float), np.full(2, spread + 1e-6), np.full(2, 0.5)
         for _ in range(steps):
             logs = np.log(w) - np.log(sd) - 0.5 * np.log(2 * np.pi) - 0.5 * ((x[:, None] - mean) / sd) ** 2
             top = logs.max(1, keepdims=True)
             total = top + np.log(np.exp(logs - top).sum(1, keepdims=True))
-            part = np.exp(logs - total)
+            part = np.exp(logs - total) * times[:, None]
             n = part.sum(0) + 1e-12
-            w, mean = n / len(x), (part * x[:, None]).sum(0) / n
+            w, mean = n / size, (part * x[:, None]).sum(0) / n
             sd = np.sqrt((part * (x[:, None] - mean) ** 2).sum(0) / n) + 1e-3
-        best = max(best, float(total.sum()))
+        best = max(best, float((total[:, 0] * times).sum()))
     return best
 
 
 def bimodality(values: DataFrame, key: str, least_n: int = 15, margin: float = 6.0) -> DataFrame:
-    """By key of (key, x): BIC of one and two Gaussians, and whether two are better by the margin."""
+    """By key of (key, x): BIC of one and two Gaussians, and whether two are better by the margin.
+
+    Equal values are counted before they meet, so a key's group has its distinct values only.
+    """
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x = group["x"].to_numpy(float)
-        sd = x.std() + 1e-6
-        one = float((-np.log(sd) - 0.5 * np.log(2 * np.pi) - 0.5 * ((x - x.mean()) / sd) ** 2).sum())
-        two = two_components(x)
-        bic1, bic2 = 2 * np.log(len(x)) - 2 * one, 5 * np.log(len(x)) - 2 * two
-        return pd.DataFrame({key: [group[key].iloc[0]], "n": [len(x)], "bic1": [bic1], "bic2": [bic2], "bimodal": [bic1 - bic2 > margin]})
-
-    enough = values.withColumn("n", F.count("*").over(Window.partitionBy(key))).filter(F.col("n") >= least_n).drop("n")
+        x, times = group["x"].to_numpy(float), group["n"].to_numpy(float)
+        size = times.sum()
+        mean = (times * x).sum() / size
+        sd = np.sqrt((times * (x - mean) ** 2).sum() / size) + 1e-6
+        one = float((times * (-np.log(sd) - 0.5 * np.log(2 * np.pi) - 0.5 * ((x - mean) / sd) ** 2)).sum())
+        bic1, bic2 = 2 * np.log(size) - 2 * one, 5 * np.log(size) - 2 * two_components(x, times)
+        return pd.DataFrame({key: [group[key].iloc[0]], "n": [int(size)], "bic1": [bic1], "bic2": [bic2], "bimodal": [bic1 - bic2 > margin]})
+
+    counted = values.groupBy(key, "x").agg(F.count("*").alias("n"))
+    enough = counted.groupBy(key).agg(F.sum("n").alias("all")).filter(F.col("all") >= least_n).select(key)
     kind = dict(values.dtypes)[key]
-    return enough.groupBy(key).applyInPandas(fit, f"{key} {kind}, n long, bic1 double, bic2 double, bimodal boolean")
+    return counted.join(F.broadcast(enough), key).groupBy(key).applyInPandas(fit, f"{key} {kind}, n long, bic1 double, bic2 double, bimodal boolean")
+
+
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds `rank`, from 1, in the order of these columns: range partitions, and the counts of those before."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ranked")
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    offsets = counts.select("range", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.withColumn("within", within).join(F.broadcast(offsets), "range").withColumn("rank", (F.col("within") + F.col("before")).cast("int")).drop("range", "within", "before")
 
 
 def false_discoveries(tests: DataFrame, q: float = 0.10) -> DataFrame:
-    """Adds `rejected` to (id, p): the step-up rule that bounds the share of false discoveries by q."""
-    w = Window.partitionBy(F.lit(1)).orderBy("p", "id")  # one row for each test
-    ranked = tests.withColumn("rank", F.row_number().over(w)).withColumn("m", F.count("*").over(Window.partitionBy(F.lit(1))))
-    last = F.max(F.when(F.col("p") <= F.col("rank") / F.col("m") * q, F.col("rank"))).over(Window.partitionBy(F.lit(1)))
-    return ranked.withColumn("rejected", F.col("rank") <= F.coalesce(last, F.lit(0))).drop("m")
+    """Adds `rank` and `rejected` to (id, p): the step-up rule that bounds the share of false discoveries by q."""
+    rows = ranked(tests, "p", "id")
+    m = tests.count()
+    last = rows.agg(F.coalesce(F.max(F.when(F.col("p") <= F.col("rank") / F.lit(m) * q, F.col("rank"))), F.lit(0)).alias("last"))
+    return rows.join(F.broadcast(last), F.lit(True)).withColumn("rejected", F.col("rank") <= F.col("last")).drop("last")  # one row
 
 
 def spherical_kmeans(bags: DataFrame, k: int, iterations: int = 20) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DELTA, MOST = 1.0, 5.0
@@ -34,28 +34,37 @@ def consolidated(model: DataFrame, approved: DataFrame | None = None) -> DataFra
     return frozen.select("state", "token", "frozen", F.col("frozen").alias("live"))
 
 
-def rank_sum_p(x: list[float], y: list[float]) -> float:
-    """One-sided p of x being greater than y: exact for small samples without ties, else normal with corrections."""
-    n, m = len(x), len(y)
+def rank_sum_tail(u: float, n: int, m: int, tie_sum: float, tied: bool) -> float:
+    """One-sided p of a rank sum statistic u of n against m values; `tie_sum` adds t**3 - t of all groups of t equals.
+
+    Exact for small samples without ties, else normal with corrections for ties and continuity.
+    """
     if not n or not m:
         return 1.0
-    pooled = sorted([*x, *y])
-    rank = {v: (2 * pooled.index(v) + pooled.count(v) + 1) / 2 for v in set(pooled)}
-    u = sum(rank[v] for v in x) - n * (n + 1) / 2
-    ties = [pooled.count(v) for v in rank]
-    if min(n, m) <= 8 and max(ties) == 1:
+    if min(n, m) <= 8 and not tied:
         ways = {0: {0: 1}}  # by number of x placed: count of arrangements by u
         for k in range(1, n + m + 1):
             ways = {i: _added(ways.get(i, {}), ways.get(i - 1, {}), k - i) for i in range(0, min(n, k) + 1)}
         total = math.comb(n + m, n)
         return sum(c for v, c in ways[n].items() if v >= u) / total
     size = n + m
-    var = n * m / 12 * ((size + 1) - sum(t**3 - t for t in ties) / (size * (size - 1)))
+    var = n * m / 12 * ((size + 1) - tie_sum / (size * (size - 1)))
     if var <= 0:
         return 1.0
     return 0.5 * math.erfc((u - n * m / 2 - 0.5) / math.sqrt(2 * var))
 
 
+def rank_sum_p(x: list[float], y: list[float]) -> float:
+    """One-sided p of x being greater than y."""
+    at, u, ties = 0, -len(x) * (len(x) + 1) / 2, 0
+    a, b = Counter(x), Counter(y)
+    for v in sorted({*a, *b}):
+        t = a[v] + b[v]
+        u += a[v] * (at + (t + 1) / 2)
+        at, ties = at + t, ties + t**3 - t
+    return rank_sum_tail(u, len(x), len(y), ties, ties > 0)
+
+
 def _added(without: dict[int, int], with_one: dict[int, int], below: int) -> dict[int, int]:
     out = dict(without)
     for v, c in with_one.items():
@@ -66,17 +75,26 @@ def _added(without: dict[int, int], with_one: dict[int, int], below: int) -> dic
 def duration_drift(recent: DataFrame, frozen: DataFrame, least_n: int = 5, least_delta: float = 2.0, alpha: float = 0.05) -> DataFrame:
     """By state: counts, means, their difference, p of the rank sum test in its direction, and whether to report it.
 
-    Last segments are still open and don't count. The durations of one state meet in one group, as the exact test
-    needs them; equal durations could be counted first where states are very frequent.
+    Last segments are still open and don't count. Durations are counted first; ranks, rank sums and ties come from
+    cumulative counts over the distinct durations of a state, so only one row a state reaches Python.
     """
     rows = recent.filter("not is_last").select("state", "duration", F.lit(1).alias("new")).unionByName(frozen.filter("not is_last").select("state", "duration", F.lit(0).alias("new")))
-
-    def test(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = (group.loc[group["new"] == k, "duration"].astype(float).tolist() for k in (1, 0))
-        mx, my = (sum(v) / len(v) if v else float("nan") for v in (x, y))
-        delta = mx - my
-        p = rank_sum_p(x, y) if delta >= 0 else rank_sum_p(y, x)
-        report = len(x) >= least_n and len(y) >= least_n and abs(delta) >= least_delta and p < alpha
-        return pd.DataFrame([[int(group["state"].iloc[0]), len(x), len(y), mx, my, delta, p, report]], columns=["state", "n_recent", "n_frozen", "mean_recent", "mean_frozen", "delta", "p", "reportable"])
-
-    return rows.groupBy("state").applyInPandas(test, "state int, n_recent int, n_frozen int, mean_recent double, mean_frozen double, delta double, p double, reportable boolean")
+    counted = rows.groupBy("state", F.col("duration").cast("double").alias("d")).agg(F.sum("new").cast("double").alias("x"), F.sum(1 - F.col("new")).cast("double").alias("y"))
+    t = F.col("x") + F.col("y")
+    before = F.coalesce(F.sum(t).over(Window.partitionBy("state").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranks = counted.withColumn("rank", before + (t + 1) / 2)
+    sums = ranks.groupBy("state").agg(
+        F.sum("x").cast("int").alias("n_recent"), F.sum("y").cast("int").alias("n_frozen"), (F.sum(F.col("x") * F.col("d")) / F.nullif(F.sum("x"), F.lit(0.0))).alias("mean_recent"),
+        (F.sum(F.col("y") * F.col("d")) / F.nullif(F.sum("y"), F.lit(0.0))).alias("mean_frozen"), F.sum(F.col("x") * F.col("rank")).alias("rx"), F.sum(F.col("y") * F.col("rank")).alias("ry"), F.sum(t * t * t - t).alias("ties"),
+    )
+    sums = sums.withColumn("delta", F.col("mean_recent") - F.col("mean_frozen"))
+
+    @F.udf("double")
+    def p_of(delta, n, m, rx, ry, ties):
+        up = delta is None or delta >= 0
+        a, b, r = (n, m, rx) if up else (m, n, ry)
+        return rank_sum_tail(r - a * (a + 1) / 2, a, b, ties, ties > 0)
+
+    out = sums.withColumn("p", p_of("delta", "n_recent", "n_frozen", "rx", "ry", "ties"))
+    report = (F.col("n_recent") >= least_n) & (F.col("n_frozen") >= least_n) & (F.abs("delta") >= least_delta) & (F.col("p") < alpha)
+    return out.select("state", "n_recent", "n_frozen", "mean_recent", "mean_frozen", "delta", "p", F.coalesce(report, F.lit(False)).alias("reportable"))

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from seqwatch.operators.inject import ERROR_TYPES
 
-TYPES = "|".join(ERROR_TYPES)
+#: The phrases of a reply.
 NONE_FOUND = r"(?i)^\s*no\s+anomaly\b"
-STRICT = rf"(?i)^\s*({TYPES})\s+anomaly\b(?:.*?\bcorrect\s+move\s+would\s+have\s+been\s+(\w+)[\s_]+(\w+)\s+for\s+(\d+)\s+seconds?)?"
-LENIENT_TYPE = rf"(?i)\b({TYPES})\b"
-LENIENT_MOVE = r"(?i)\b(\w+)[\s_]+(\w+)\s+for\s+(\d+)\s+seconds?\b"
+CORRECT_MOVE = r"(?i)\bcorrect\s+move\s+would\s+have\s+been\b"
 
 
 def phrase(verb: Column, noun: Column, idle_verb: str = "stall", idle_noun: str = "kitchen") -> Column:
@@ -29,23 +27,63 @@ def prefix_prompts(steps: DataFrame, text: str = "text") -> DataFrame:
     return steps.select("trial_id", "seg_idx", F.array_join(F.collect_list(line).over(upto), "\n").alias("prompt"))
 
 
+def words_in(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def named_move(words: Column, at: Column) -> Column:
+    """(verb, noun) of the words before `at`: two words, or the parts of one around its last underscore."""
+    one, two = F.get(words, at - 1), F.get(words, at - 2)
+    apart = F.regexp_extract(one, r"^(.*[^_])_+([^_]+)$", 1)
+    both = F.when(two.rlike(r"^\w+$"), F.struct(two.alias("verb"), one.alias("noun")))
+    return F.coalesce(both, F.when(apart != "", F.struct(apart.alias("verb"), F.regexp_extract(one, r"^(.*[^_])_+([^_]+)$", 2).alias("noun"))))
+
+
+def timed(words: Column, at: Column) -> Column:
+    """Whether `for N seconds` stands at the place."""
+    return (F.lower(F.get(words, at)) == "for") & F.get(words, at + 1).rlike(r"^\d+$") & F.lower(F.get(words, at + 2)).isin("second", "seconds")
+
+
+def strict_reading(text: Column) -> Column:
+    """error_type and correction of a text that is a type, `anomaly` or not, and the correct move or nothing; else null.
+
+    The type may end in one of `.:!`, the move in one of `.!`.
+    """
+    parts = F.split(text, CORRECT_MOVE)
+    head = words_in(F.regexp_replace(parts[0], r"\s*[.:!]?\s*$", ""))
+    kind = F.when((F.size(head) == 1) | ((F.size(head) == 2) & (F.lower(F.get(head, F.lit(1))) == "anomaly")), F.lower(F.get(head, F.lit(0))))
+    tail = words_in(F.regexp_replace(F.get(parts, F.lit(1)), r"\s*[.!]?\s*$", ""))
+    at = F.size(tail) - 3
+    move = F.when(F.size(tail).isin(4, 5) & timed(tail, at) & F.get(tail, F.lit(0)).rlike(r"^\w+$") & F.get(tail, at - 1).rlike(r"^\w+$"), named_move(tail, at))
+    read = F.struct(kind.alias("error_type"), move["verb"].alias("verb"), move["noun"].alias("noun"), F.when(move.isNotNull(), F.get(tail, at + 1)).cast("int").alias("seconds"))
+    return F.when(kind.isin(*ERROR_TYPES) & ((F.size(parts) == 1) | ((F.size(parts) == 2) & move.isNotNull())), read)
+
+
+def loose_reading(text: Column) -> Column:
+    """The first type that a text names, and the first move that it times, if any; null without a type."""
+    words = words_in(F.regexp_replace(text, r"[^\w\s]", " \u0001 "))
+    kind = F.get(F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(*ERROR_TYPES)), F.lit(0))
+    places = F.when(F.size(words) > 3, F.filter(F.sequence(F.lit(1), F.size(words) - 3), lambda i: timed(words, i) & named_move(words, i).isNotNull()))
+    at = F.get(places, F.lit(0))
+    move = named_move(words, at)
+    return F.when(kind.isNotNull(), F.struct(kind.alias("error_type"), move["verb"].alias("verb"), move["noun"].alias("noun"), F.get(words, at + 1).cast("int").alias("seconds")))
+
+
 def parsed_replies(replies: DataFrame, verbs: DataFrame, nouns: DataFrame) -> DataFrame:
     """is_anomaly, error_type, verb, noun, seconds and parse_ok of each `reply`.
 
-    The first line with text is judged before the whole. What no rule reads is not an anomaly, with parse_ok false;
-    a correction counts only if both of its words are in the vocabulary, as written.
+    The first line with text is judged before the whole: `no anomaly` first, then the strict grammar; what only the
+    loose one reads has parse_ok false, and so has what none reads, which is no anomaly. A correction counts only if
+    both of its words are in the vocabulary, as written.
     """
     raw = F.trim(F.regexp_replace(F.coalesce("reply", F.lit("")), r"^\s+|\s+$", ""))
     first = F.coalesce(F.get(F.filter(F.split(F.col("raw"), "\n"), lambda x: F.trim(x) != ""), 0), F.lit(""))
     rows = replies.withColumn("raw", raw).withColumn("line", first)
-    none = F.col("line").rlike(NONE_FOUND) | F.col("raw").rlike(NONE_FOUND)
-    one_line = F.regexp_replace("raw", r"\n", " ")
-    strict_in = F.when(F.col("line").rlike(STRICT), F.col("line")).when(F.col("raw").rlike(STRICT), one_line)
-    rows = rows.withColumn("none", none).withColumn("strict", F.when(~none, strict_in)).withColumn("loose", F.when(~none & F.col("strict").isNull() & F.col("raw").rlike(LENIENT_TYPE), F.col("raw")))
-    part = lambda k: F.nullif(F.when(F.col("strict").isNotNull(), F.regexp_extract("strict", STRICT, k + 1)).otherwise(F.regexp_extract("loose", LENIENT_MOVE, k)), F.lit(""))
-    kind = F.lower(F.when(F.col("strict").isNotNull(), F.regexp_extract("strict", STRICT, 1)).when(F.col("loose").isNotNull(), F.regexp_extract("loose", LENIENT_TYPE, 1)))
-    rows = rows.withColumn("error_type", kind).withColumn("v", part(1)).withColumn("n", part(2)).withColumn("d", part(3).cast("int"))
-    known = lambda t, c: t.select(F.col("token").alias(c), F.lit(True).alias(f"{c}_known")).distinct()
+    rows = rows.withColumn("none", F.col("line").rlike(NONE_FOUND) | F.col("raw").rlike(NONE_FOUND))
+    rows = rows.withColumn("strict", F.when(~F.col("none"), F.coalesce(strict_reading(F.col("line")), strict_reading(F.col("raw")))))
+    rows = rows.withColumn("found", F.coalesce("strict", F.when(~F.col("none"), loose_reading(F.col("raw")))))
+    rows = rows.withColumns({"error_type": F.col("found.error_type"), "v": F.col("found.verb"), "n": F.col("found.noun"), "d": F.col("found.seconds")})
+    known = lambda t, c: F.broadcast(t.select(F.col("token").alias(c), F.lit(True).alias(f"{c}_known")).distinct())  # noqa: E731  # vocabularies
     rows = rows.join(known(verbs, "v"), "v", "left").join(known(nouns, "n"), "n", "left")
     ok = F.col("v_known") & F.col("n_known") & F.col("d").isNotNull()
     keep = lambda c: F.when(F.coalesce(ok, F.lit(False)), F.col(c))

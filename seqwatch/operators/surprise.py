@@ -22,21 +22,24 @@ def expected_next(logp: DataFrame) -> DataFrame:
     return logp.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("from_state", F.col("to_state").alias("expected_state"), "logp")
 
 
-def tail_threshold(support: DataFrame, key: list[str], score: str, mass: str, alpha: float) -> DataFrame:
+def tail_threshold(support: DataFrame, key: list[str], score: str, mass: str, alpha: float | list[float]) -> DataFrame:
     """Each key's threshold: the score t with the largest mass of greater scores that is still at most alpha.
 
     Equal scores pass or fail together; values without mass don't count. With `value > threshold` as the rule, at
-    most alpha of the mass is flagged. Never above the last level: the threshold is a score of the support.
+    most alpha of the mass is flagged. Never above the last level: the threshold is a score of the support. For a list
+    of alphas there is a row for each, with a column `alpha`; the support is read once.
     """
+    several = isinstance(alpha, list)
     levels = support.filter(F.col(mass) > 0).groupBy(*key, F.round(score, PLACES).alias("threshold")).agg(F.sum(mass).alias("mass"))
     falling = Window.partitionBy(*key).orderBy(F.desc("threshold"))
     ranked = levels.withColumn("upto", F.sum("mass").over(falling.rowsBetween(Window.unboundedPreceding, 0))).withColumn("level", F.row_number().over(falling))
-    whole = Window.partitionBy(*key)
-    pick = F.least(F.sum((F.col("upto") <= alpha + 1e-12).cast("int")).over(whole) + 1, F.count("*").over(whole))
-    return ranked.withColumn("pick", pick).filter("level = pick").select(*key, "threshold")
+    ranked = ranked.withColumn("alpha", F.explode(F.array(*map(F.lit, alpha if several else [alpha]))))
+    whole = Window.partitionBy(*key, "alpha")
+    pick = F.least(F.sum((F.col("upto") <= F.col("alpha") + 1e-12).cast("int")).over(whole) + 1, F.count("*").over(whole))
+    return ranked.withColumn("pick", pick).filter("level = pick").select(*key, *(["alpha"] if several else []), "threshold")
 
 
-def transition_thresholds(logp: DataFrame, alpha: float) -> DataFrame:
+def transition_thresholds(logp: DataFrame, alpha: float | list[float]) -> DataFrame:
     support = logp.select("from_state", (-F.col("logp")).alias("score"), F.exp("logp").alias("mass"))
     return tail_threshold(support, ["from_state"], "score", "mass", alpha)
 

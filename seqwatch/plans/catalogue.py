@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -16,6 +17,7 @@ from seqwatch.operators import explore, inject, lifecycle, narrate, replies, seq
 from seqwatch.operators import surprise as S
 from seqwatch.plans import decode, fit
 from seqwatch.sources import annotations, events
+from seqwatch.sources.durable import written
 from seqwatch.sources.events import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,8 +317,8 @@ def missing_step(spark, d):
 
 @query
 def swap_gain(spark, d):
-    rows = sequence.swap_gains(segments(spark, d), logp(spark, d)).filter("gain > -1e300")
-    return rounded(rows)
+    rows = sequence.swap_gains(segments(spark, d), logp(spark, d))  # without a gain where a state would follow itself
+    return rounded(rows.withColumn("gain", F.when(F.col("gain") > -1e300, F.col("gain"))))
 
 
 @query
@@ -330,15 +332,44 @@ def sequence_verdicts(spark, d):
     return rounded(sequence.verdicts(s, logp(spark, d), C.duration_moments(C.duration_counts(s, 50)), 0.05, 2.5, -1.35))
 
 
-def injected(spark, d, kind):
-    s = segments(spark, d)
-    return inject.inject(ticks(spark, d), s, kind, NOUNS)
+@dataclass
+class World:
+    """Tables that an evaluation shares, each written once."""
+
+    ticks: DataFrame
+    segments: DataFrame
+    logp: DataFrame
+
+
+@dataclass
+class Degraded(World):
+    rows: DataFrame  # degraded ticks with the number of their step
+    windows: DataFrame
+    steps: DataFrame
+
+
+def world(spark, d) -> World:
+    t = written(ticks(spark, d), "ticks")
+    s = written(R.runs(t.withColumn("state", F.col("verb_id")), ["state"], keep=["recipe"]), "segments")
+    return World(t, s, written(C.log_transitions(s), "logp"))
+
+
+def degraded(spark, d) -> Degraded:
+    w = world(spark, d)
+    rows, windows = inject.inject(w.ticks, w.segments, inject.ERROR_TYPES, NOUNS)
+    keyed = rows.withColumn("key", F.concat_ws("/", F.col("trial_id").cast("string"), "error_type"))
+    rows = written(R.run_numbers(keyed, ["verb_id"], key="key").drop("key"), "degraded")
+    whole = Window.partitionBy("trial_id", "error_type").orderBy("seg_idx")
+    steps = rows.groupBy("trial_id", "error_type", "seg_idx", F.col("verb_id").alias("state")).agg(F.min("tick").alias("tick_start"), (F.max("tick") + 1).cast("int").alias("tick_end"), F.count("*").cast("int").alias("duration"))
+    steps = steps.withColumn("from_state", F.lag("state").over(whole)).withColumn("is_last", F.lead("state").over(whole).isNull())
+    return Degraded(w.ticks, w.segments, w.logp, rows, written(windows, "windows"), written(steps, "steps"))
 
 
 for _kind in inject.ERROR_TYPES:
 
     def _inject(spark, d, kind=_kind):
-        return injected(spark, d, kind)[0]
+        w = world(spark, d)
+        return inject.inject(w.ticks, w.segments, kind, NOUNS)[0]
 
     _inject.__name__ = f"inject_{_kind}"
     query(_inject)
@@ -347,57 +378,45 @@ for _kind in inject.ERROR_TYPES:
 @query
 def inject_stall(spark, d):
     s = segments(spark, d)
-    return inject.stall(ticks(spark, d), inject.choices(s, "stall"))
+    return inject.stall(ticks(spark, d), inject.choices(s, ["stall"]))
 
 
 @query
 def inject_windows(spark, d):
-    s = segments(spark, d)
-    return reduce(DataFrame.unionByName, [inject.windows(s, k, inject.choices(s, k)) for k in inject.ERROR_TYPES])
+    return inject.windows(inject.choices(segments(spark, d), inject.ERROR_TYPES))
 
 
-def all_degraded(spark, d):
-    parts = [injected(spark, d, k) for k in inject.ERROR_TYPES]
-    return reduce(DataFrame.unionByName, [p[0] for p in parts]), reduce(DataFrame.unionByName, [p[1] for p in parts])
+def transition_step_flags(w: Degraded, alpha: float | list[float] = ALPHA) -> DataFrame:
+    """Steps whose first transition is flagged under the healthy model: key columns, seg_idx, tick_start (and alpha)."""
+    rows = w.steps.filter("from_state is not null").join(w.logp.withColumnRenamed("to_state", "state"), ["from_state", "state"]).withColumn("s_transition", -F.col("logp"))
+    found = S.transition_flags(rows, S.transition_thresholds(w.logp, alpha)).filter("flagged")
+    return found.select(*(["alpha"] if isinstance(alpha, list) else []), "trial_id", "error_type", "seg_idx", "tick_start")
 
 
-def degraded_steps(degraded):
-    """Steps of all degraded trials; a trial with one type of error is a sequence of its own."""
-    rows = degraded.withColumn("key", F.concat_ws("/", F.col("trial_id").cast("string"), "error_type"))
-    rows = rows.withColumn("state", F.col("verb_id"))
-    return R.runs(rows, ["state"], keep=["trial_id", "error_type"], key="key")
+def healthy_flags(w: World, alpha: float = ALPHA) -> DataFrame:
+    starts = S.transition_flags(S.transition_surprise(w.segments, w.logp), S.transition_thresholds(w.logp, alpha)).filter("flagged").select("trial_id", F.col("tick_start").alias("tick"), F.lit(True).alias("flagged"))
+    return w.ticks.select("trial_id", "tick").join(starts, ["trial_id", "tick"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
 
 
-def segment_step_flags(spark, d, steps, alpha=ALPHA):
-    """Steps whose first transition is flagged under the healthy model: key columns, seg_idx, tick_start."""
-    lp = logp(spark, d)
-    before = F.lag("state").over(Window.partitionBy("key").orderBy("seg_idx"))
-    rows = steps.withColumn("from_state", before).filter("from_state is not null").join(lp.withColumnRenamed("to_state", "state"), ["from_state", "state"]).withColumn("s_transition", -F.col("logp"))
-    return S.transition_flags(rows, S.transition_thresholds(lp, alpha)).filter("flagged").select("trial_id", "error_type", "seg_idx", "tick_start")
+def degraded_flags(w: Degraded, alpha: float = ALPHA) -> DataFrame:
+    found = transition_step_flags(w, alpha).select("trial_id", "error_type", F.col("tick_start").alias("tick"), F.lit(True).alias("flagged"))
+    return w.rows.join(found, ["trial_id", "error_type", "tick"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
 
 
-def healthy_flags(spark, d, alpha=ALPHA):
-    lp = logp(spark, d)
-    starts = S.transition_flags(S.transition_surprise(segments(spark, d), lp), S.transition_thresholds(lp, alpha)).filter("flagged").select("trial_id", F.col("tick_start").alias("tick"), F.lit(True).alias("flagged"))
-    return ticks(spark, d).select("trial_id", "tick").join(starts, ["trial_id", "tick"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
-
-
-def degraded_flags(spark, d, degraded, alpha=ALPHA):
-    found = segment_step_flags(spark, d, degraded_steps(degraded), alpha).select("trial_id", "error_type", F.col("tick_start").alias("tick"), F.lit(True).alias("flagged"))
-    return degraded.join(found, ["trial_id", "error_type", "tick"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+def outcomes(w: Degraded, alpha: float = ALPHA) -> DataFrame:
+    return E.tick_outcomes(w.windows, transition_step_flags(w, alpha).select("trial_id", "error_type", F.col("tick_start").alias("tick"), F.lit(True).alias("flagged")))
 
 
 @query
 def gt_steps(spark, d):
-    degraded, windows = all_degraded(spark, d)
-    return E.truth_steps(degraded_steps(degraded), windows).select("trial_id", "error_type", "seg_idx", "state", "duration")
+    w = degraded(spark, d)
+    return E.truth_steps(w.steps, w.windows).select("trial_id", "error_type", "seg_idx", "state", "duration")
 
 
 @query
 def debris_steps(spark, d):
-    degraded, windows = all_degraded(spark, d)
-    steps = degraded_steps(degraded)
-    return E.debris_steps(degraded, steps, E.truth_steps(steps, windows))
+    w = degraded(spark, d)
+    return E.debris_steps(w.rows, E.truth_steps(w.steps, w.windows))
 
 
 @query
@@ -408,62 +427,65 @@ def step_cover_tick(spark, d):
 
 @query
 def project_flags(spark, d):
-    degraded, _ = all_degraded(spark, d)
-    return E.projected_flags(degraded, healthy_flags(spark, d)).filter("projected").select("trial_id", "error_type", "tick", "src_tick")
+    w = degraded(spark, d)
+    return E.projected_flags(w.rows, healthy_flags(w)).filter("projected").select("trial_id", "error_type", "tick", "src_tick")
 
 
 @query
 def attributable(spark, d):
-    degraded, _ = all_degraded(spark, d)
-    rows = E.projected_flags(degraded_flags(spark, d, degraded), healthy_flags(spark, d))
+    w = degraded(spark, d)
+    rows = E.projected_flags(degraded_flags(w), healthy_flags(w))
     return rows.filter("flagged and not projected").select("trial_id", "error_type", "tick")
 
 
-def outcomes(spark, d, alpha=ALPHA):
-    degraded, windows = all_degraded(spark, d)
-    return E.tick_outcomes(windows, degraded_flags(spark, d, degraded, alpha))
-
-
 @query
 def tick_outcomes(spark, d):
-    return outcomes(spark, d)
+    return outcomes(degraded(spark, d))
 
 
 @query
 def tick_metrics(spark, d):
-    return rounded(E.tick_report(outcomes(spark, d), healthy_flags(spark, d)))
+    w = degraded(spark, d)
+    return rounded(E.tick_report(outcomes(w), healthy_flags(w)))
+
+
+@query
+def trial_location(spark, d):
+    w = degraded(spark, d)
+    return E.trial_location(outcomes(w), healthy_flags(w))
 
 
 @query
 def counterfactual(spark, d):
-    degraded, windows = all_degraded(spark, d)
-    rows = E.projected_flags(degraded_flags(spark, d, degraded), healthy_flags(spark, d))
-    return rounded(E.counterfactual_report(E.counterfactual_outcomes(rows, windows)))
+    w = degraded(spark, d)
+    rows = E.projected_flags(degraded_flags(w), healthy_flags(w))
+    return rounded(E.counterfactual_report(E.counterfactual_outcomes(rows, w.windows)))
 
 
 @query
 def mcnemar(spark, d):
-    a = outcomes(spark, d, 0.2).select("trial_id", "error_type", F.col("detected").alias("before"))
-    b = outcomes(spark, d, 0.4).select("trial_id", "error_type", F.col("detected").alias("after"))
-    return rounded(E.mcnemar(a.join(b, ["trial_id", "error_type"])))
+    w = degraded(spark, d)
+    flags = transition_step_flags(w, [0.2, 0.4]).withColumnRenamed("tick_start", "tick").withColumn("flagged", F.lit(True))
+    hit = lambda a: F.coalesce(F.max((F.col("hit") & (F.col("alpha") == a)).cast("int")), F.lit(0))
+    rows = w.windows.join(flags, ["trial_id", "error_type"], "left").withColumn("hit", F.coalesce(F.col("tick").between(F.col("t0"), F.col("t1") + E.TICK_TOLERANCE), F.lit(False)))
+    return rounded(E.mcnemar(rows.groupBy("trial_id", "error_type").agg(hit(0.2).alias("before"), hit(0.4).alias("after"))))
 
 
 @query
 def step_metrics(spark, d):
-    degraded, windows = all_degraded(spark, d)
-    steps = degraded_steps(degraded)
-    truth = E.truth_steps(steps, windows)
-    rows = E.step_outcomes(segment_step_flags(spark, d, steps), truth, E.debris_steps(degraded, steps, truth))
+    w = degraded(spark, d)
+    truth = written(E.truth_steps(w.steps, w.windows).select("trial_id", "error_type", "seg_idx"), "truth")
+    rows = E.step_outcomes(transition_step_flags(w), truth, E.debris_steps(w.rows, truth))
     return rounded(rows.groupBy("error_type").agg(F.count("*").alias("n"), F.sum("detected").alias("tp"), F.sum("false_steps").alias("false_steps"), F.avg("detected").alias("recall")))
 
 
 def sweep(spark, d):
     """Precision, recall and F1 of flagged transitions against a change of item at the same tick, for all alphas at once."""
-    lp = logp(spark, d)
-    thresholds = reduce(DataFrame.unionByName, [S.transition_thresholds(lp, a).withColumn("alpha", F.lit(a)) for a in ALPHAS])
-    scored = S.transition_surprise(segments(spark, d), lp).withColumnRenamed("tick_start", "tick")
+    w = world(spark, d)
+    thresholds = S.transition_thresholds(w.logp, ALPHAS)
+    scored = S.transition_surprise(w.segments, w.logp).withColumnRenamed("tick_start", "tick")
     rows = scored.join(thresholds, "from_state").withColumn("flagged", F.round("s_transition", S.PLACES) > F.col("threshold"))
-    changed = ticks(spark, d).withColumn("true", F.col("noun_id") % 3 == 0).select("trial_id", "tick", "true")
+    changed = w.ticks.withColumn("true", F.col("noun_id") % 3 == 0).select("trial_id", "tick", "true")
     rows = rows.join(changed, ["trial_id", "tick"])
     n = lambda c: F.sum(c.cast("int"))
     f, t = F.col("flagged"), F.col("true")
@@ -488,7 +510,7 @@ def best_alpha(spark, d):
 
 @query
 def alarm_runs(spark, d):
-    return E.alarm_runs(healthy_flags(spark, d), ["trial_id"])
+    return E.alarm_runs(healthy_flags(world(spark, d)), ["trial_id"])
 
 
 @query
@@ -557,9 +579,15 @@ def effective_k(spark, d):
     return C.effective_clusters(modal_verbs(spark, d), "verb_id")
 
 
+REPLIES = [
+    "No Anomaly", "Substitution Anomaly. Correct move would have been view item3 for 12 seconds", "omission anomaly", "I think this is a repetition, maybe click item2 for 4 seconds.",
+    "Abandonment Anomaly. Correct move would have been fly item1 for 3 seconds", "who knows", "", "\n  no anomaly here", "Omission.", "Transposition anomaly. It was odd, really.",
+    "substitution: correct move would have been view_item3 for 1 second.",
+]
+
+
 def synthetic_replies(spark, d):
-    kinds = ["No Anomaly", "Substitution Anomaly. Correct move would have been view item3 for 12 seconds", "omission anomaly", "I think this is a repetition, maybe click item2 for 4 seconds.", "Abandonment Anomaly. Correct move would have been fly item1 for 3 seconds", "who knows", "", "\n  no anomaly here"]
-    pick = reduce(lambda c, k: c.when(F.col("doc_id") % 8 == k[0], k[1]), list(enumerate(kinds))[1:], F.when(F.col("doc_id") % 8 == 0, kinds[0]))
+    pick = reduce(lambda c, k: c.when(F.col("doc_id") % len(REPLIES) == k[0], k[1]), list(enumerate(REPLIES))[1:], F.when(F.col("doc_id") % len(REPLIES) == 0, REPLIES[0]))
     return table(spark, d, "documents").select("doc_id", pick.alias("reply"))
 
 

@@ -123,7 +123,7 @@ dsteps AS (SELECT trial_id, error_type, seg_idx, verb_id AS state, min(tick) AS
 truth AS (SELECT s.* FROM dsteps s JOIN windows w ON w.trial_id = s.trial_id AND w.error_type = s.error_type AND tick_start <= t1 AND tick_end > t0),
 debris AS (SELECT trial_id, error_type, seg_idx FROM (
   SELECT n.trial_id, n.error_type, n.seg_idx, max(CASE WHEN by_edit OR (n.tick < s.tick_end - 1 AND next_src <> src_tick + 1) THEN 1 ELSE 0 END) AS touched
-  FROM dnumbered n JOIN dsteps s USING (trial_id, error_type, seg_idx) GROUP BY ALL) WHERE touched = 1 AND (trial_id, error_type, seg_idx) NOT IN (SELECT (trial_id, error_type, seg_idx) FROM truth))"""
+  FROM dnumbered n JOIN dsteps s USING (trial_id, error_type, seg_idx) GROUP BY ALL) x WHERE touched = 1 AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.trial_id = x.trial_id AND t.error_type = x.error_type AND t.seg_idx = x.seg_idx))"""
 )
 
 
@@ -256,7 +256,7 @@ surv AS (SELECT s.state, top, e, first_value(p_ge IGNORE NULLS) OVER (PARTITION
         ",\nafter AS (SELECT *, lag(verb_id) OVER (PARTITION BY trial_id ORDER BY tick) AS prev FROM ticks)" + emission("en", "noun_id", "prev", "after") + emission("ev", "verb_id", "prev", "after"),
     ),
     "missing_step": sql("SELECT from_state, to_state, bridge, round(gain, 6) AS gain FROM bridges", BRIDGES),
-    "swap_gain": sql("SELECT trial_id, seg_idx, a, b, round(gain, 6) + 0.0 AS gain FROM gains WHERE gain IS NOT NULL", GAINS),
+    "swap_gain": sql("SELECT j.trial_id, j.seg_idx, j.a, j.b, round(gain, 6) + 0.0 AS gain FROM junctions j LEFT JOIN gains g ON g.trial_id = j.trial_id AND g.seg_idx = j.seg_idx", GAINS),
     "repetition_ratio": sql("SELECT trial_id, seg_idx, state, round(duration / mean_duration, 6) AS ratio FROM segments JOIN moments USING (state)"),
     "sequence_verdicts": sql(
         """SELECT trial_id, seg_idx, error_type, round(CASE WHEN error_type = 'omission' THEN bridge_gain ELSE gain END, 6) + 0.0 AS value, CASE WHEN error_type = 'omission' THEN bridge END AS bridge FROM (
@@ -276,16 +276,21 @@ UNION ALL SELECT trial_id, seg_idx, 'repetition', round(duration / mean_duration
     "debris_steps": sql("SELECT * FROM debris", ALL_DEGRADED),
     "step_cover_tick": sql("SELECT p.trial_id, p.point AS \"at\", seg_idx FROM (SELECT trial_id, CAST(max(tick) - 5 AS INTEGER) AS point FROM ticks GROUP BY ALL) p LEFT JOIN segments s ON s.trial_id = p.trial_id AND p.point >= tick_start AND p.point < tick_end"),
     "project_flags": sql("SELECT trial_id, error_type, d.tick, src_tick FROM degraded d JOIN hflag h USING (trial_id) WHERE h.tick = src_tick", ALL_DEGRADED + flagged(0.3)),
-    "attributable": sql("SELECT d.trial_id, d.error_type, d.tick FROM degraded d JOIN dflag f ON f.trial_id = d.trial_id AND f.error_type = d.error_type AND f.tick_start = d.tick WHERE (d.trial_id, src_tick) NOT IN (SELECT (trial_id, tick) FROM hflag)", ALL_DEGRADED + flagged(0.3)),
+    "attributable": sql("SELECT d.trial_id, d.error_type, d.tick FROM degraded d JOIN dflag f ON f.trial_id = d.trial_id AND f.error_type = d.error_type AND f.tick_start = d.tick WHERE NOT EXISTS (SELECT 1 FROM hflag h WHERE h.trial_id = d.trial_id AND h.tick = src_tick)", ALL_DEGRADED + flagged(0.3)),
     "tick_outcomes": sql("SELECT * FROM outcome", ALL_DEGRADED + flagged(0.3)),
     "tick_metrics": sql(
         """SELECT error_type, n, tp, fp_out, round(tp / n, 6) AS recall, round(coalesce(tp / nullif(tp + fp_out + healthy, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fp_out, 0), 0), 6) AS precision_excl_healthy, round(mean_latency, 6) AS mean_latency FROM (
   SELECT error_type, count(*) AS n, CAST(sum(detected) AS BIGINT) AS tp, CAST(sum(CASE WHEN detected = 0 AND stray = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp_out, avg(latency) AS mean_latency FROM outcome GROUP BY ALL), (SELECT count(DISTINCT trial_id) AS healthy FROM hflag)""",
         ALL_DEGRADED + flagged(0.3),
     ),
+    "trial_location": sql(
+        """SELECT * FROM (SELECT CAST(count(*) FILTER (detected = 1) AS BIGINT) AS tp, count(*) FILTER (detected = 0 AND stray = 1) AS fp_out, count(*) FILTER (detected = 0) AS fn FROM outcome),
+  (SELECT (SELECT count(DISTINCT trial_id) FROM hflag) AS fp_healthy, count(DISTINCT trial_id) - (SELECT count(DISTINCT trial_id) FROM hflag) AS tn FROM ticks)""",
+        ALL_DEGRADED + flagged(0.3),
+    ),
     "counterfactual": sql(
         """SELECT error_type, count(*) AS n, round(avg(CASE WHEN first IS NULL THEN 0 ELSE 1 END), 6) AS detection_rate, round(avg(CASE WHEN first BETWEEN t0 AND t1 + 5 THEN 1 ELSE 0 END), 6) AS localisation_rate, round(avg(CASE WHEN first BETWEEN t0 AND t1 + 5 THEN first - t0 END), 6) AS mean_latency
-FROM windows w LEFT JOIN (SELECT d.trial_id, d.error_type, min(d.tick) AS first FROM degraded d JOIN dflag f ON f.trial_id = d.trial_id AND f.error_type = d.error_type AND f.tick_start = d.tick WHERE (d.trial_id, src_tick) NOT IN (SELECT (trial_id, tick) FROM hflag) GROUP BY ALL) USING (trial_id, error_type) GROUP BY ALL""",
+FROM windows w LEFT JOIN (SELECT d.trial_id, d.error_type, min(d.tick) AS first FROM degraded d JOIN dflag f ON f.trial_id = d.trial_id AND f.error_type = d.error_type AND f.tick_start = d.tick WHERE NOT EXISTS (SELECT 1 FROM hflag h WHERE h.trial_id = d.trial_id AND h.tick = src_tick) GROUP BY ALL) USING (trial_id, error_type) GROUP BY ALL""",
         ALL_DEGRADED + flagged(0.3),
     ),
     "mcnemar": sql(
@@ -335,16 +340,23 @@ h{k} AS (SELECT from_state, to_state, ln(mass) - ln(greatest(sum(mass) OVER (PAR
         MODAL + ",\nc AS (SELECT verb_id AS a, recipe AS b, count(*) AS n FROM modal GROUP BY ALL)",
     ),
     "effective_k": sql("SELECT count(*) AS effective_k FROM (SELECT verb_id, count(*) AS n FROM modal GROUP BY ALL) WHERE n >= 0.02 * (SELECT count(*) FROM modal)", MODAL),
-    "batch_reply_split": sql("SELECT trial_id, seg_idx, CASE WHEN seg_idx = 2 THEN NULL WHEN state % 2 = 0 THEN 'No Anomaly' ELSE 'Omission Anomaly' END AS reply FROM segments WHERE seg_idx < 6"),
-    "prefix_prompt": sql("SELECT trial_id, seg_idx, string_agg((seg_idx + 1) || '. ' || text, chr(10)) OVER (PARTITION BY trial_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING) AS prompt FROM texts WHERE seg_idx < 5", TEXTS),
+    "batch_reply_split": sql("SELECT trial_id, seg_idx, CASE WHEN seg_idx = 2 THEN NULL WHEN state % 2 = 0 THEN 'No Anomaly' ELSE 'Omission Anomaly' END AS reply FROM segments"),
+    "prefix_prompt": sql("SELECT trial_id, seg_idx, string_agg((seg_idx + 1) || '. ' || text, chr(10)) OVER (PARTITION BY trial_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING) AS prompt FROM texts", TEXTS),
     "reply_grammar": sql(
-        """SELECT doc_id, doc_id % 8 IN (1, 2, 3, 4) AS is_anomaly, CASE doc_id % 8 WHEN 1 THEN 'substitution' WHEN 2 THEN 'omission' WHEN 3 THEN 'repetition' WHEN 4 THEN 'abandonment' END AS error_type,
-  CASE doc_id % 8 WHEN 1 THEN (SELECT token FROM vocab WHERE token = 'view') WHEN 3 THEN (SELECT token FROM vocab WHERE token = 'click') END AS verb,
-  CASE WHEN doc_id % 8 = 1 AND 'view' IN (SELECT token FROM vocab) THEN 'item3' WHEN doc_id % 8 = 3 AND 'click' IN (SELECT token FROM vocab) THEN 'item2' END AS noun,
-  CASE WHEN doc_id % 8 = 1 AND 'view' IN (SELECT token FROM vocab) THEN 12 WHEN doc_id % 8 = 3 AND 'click' IN (SELECT token FROM vocab) THEN 4 END AS seconds, doc_id % 8 IN (0, 1, 2, 4, 7) AS parse_ok FROM documents"""
+        """SELECT doc_id, k IN (1, 2, 3, 4, 8, 9, 10) AS is_anomaly,
+  CASE WHEN k IN (1, 10) THEN 'substitution' WHEN k IN (2, 8) THEN 'omission' WHEN k = 3 THEN 'repetition' WHEN k = 4 THEN 'abandonment' WHEN k = 9 THEN 'transposition' END AS error_type,
+  CASE WHEN k IN (1, 10) THEN v.token WHEN k = 3 THEN c.token END AS verb,
+  CASE WHEN k IN (1, 10) AND v.token IS NOT NULL THEN 'item3' WHEN k = 3 AND c.token IS NOT NULL THEN 'item2' END AS noun,
+  CASE WHEN v.token IS NOT NULL AND k = 1 THEN 12 WHEN v.token IS NOT NULL AND k = 10 THEN 1 WHEN k = 3 AND c.token IS NOT NULL THEN 4 END AS seconds, k IN (0, 1, 2, 4, 7, 8, 10) AS parse_ok
+FROM (SELECT doc_id, doc_id % 11 AS k FROM documents) LEFT JOIN vocab v ON v.token = 'view' LEFT JOIN vocab c ON c.token = 'click'"""
     ),
     "canonical_recipe": sql(
-        "SELECT recipe, states, n_trials, n_orders FROM (SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY n_trials DESC, states) AS rank, count(*) OVER (PARTITION BY recipe) AS n_orders FROM (SELECT recipe, states, count(*) AS n_trials FROM (SELECT trial_id, recipe, string_agg(state::VARCHAR, '-' ORDER BY seg_idx) AS states FROM segments WHERE seg_idx < 3 GROUP BY ALL) GROUP BY ALL)) WHERE rank = 1"
+        """SELECT recipe, states, n_trials, n_orders, durations FROM best JOIN (
+  SELECT recipe, string_agg(d, '-' ORDER BY step) AS durations FROM (SELECT recipe, unnest(string_split(states, '-')) AS state, unnest(range(len(string_split(states, '-')))) AS step FROM best)
+  JOIN (SELECT recipe, state::VARCHAR AS state, trunc(median(duration))::INTEGER::VARCHAR AS d FROM segments GROUP BY ALL) USING (recipe, state) GROUP BY recipe) USING (recipe)""",
+        """,
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY n_trials DESC, states) AS rank, count(*) OVER (PARTITION BY recipe) AS n_orders FROM (
+  SELECT recipe, states, count(*) AS n_trials FROM (SELECT trial_id, recipe, string_agg(state::VARCHAR, '-' ORDER BY seg_idx) AS states FROM segments GROUP BY ALL) GROUP BY ALL)) WHERE rank = 1)""",
     ),
     "edit_distance_pairs": sql("SELECT a.recipe, a.trial_id AS a, b.trial_id AS b, CAST(levenshtein(a.w, b.w) AS INTEGER) AS distance FROM w a JOIN w b ON a.recipe = b.recipe AND a.trial_id < b.trial_id", ",\nw AS (SELECT trial_id, recipe, string_agg(chr(CAST(state + 65 AS INTEGER)), '' ORDER BY seg_idx) AS w FROM segments GROUP BY ALL)"),
     "participant_features": sql("SELECT trial_id, recipe, total, round(idle, 6) AS idle_share, n_items, round(total / median(total) OVER (PARTITION BY recipe), 6) AS relative FROM (SELECT trial_id, recipe, count(*) AS total, avg(CASE WHEN verb_id = 0 THEN 1.0 ELSE 0 END) AS idle, count(DISTINCT noun_id) AS n_items FROM ticks GROUP BY ALL)"),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Cameras in order of preference.
 CAMERA_PRIORITY = ["cam01", "cam02", "stereo01", "webcam01", "webcam02"]
-FILE_NAME = r"(P\d+)_([a-z0-9]+)_P\d+_([a-z]+)\.txt$"
+#: The names of the files and the grammar of their lines.
+FILE_NAME = r"(?:^|/)(P\d+)_([a-zA-Z0-9]+)_P\d+_([a-zA-Z0-9]+)\.txt$"
 LINE = r"^(\d+)-(\d+)\s+(\S+)"
 
 
@@ -78,11 +79,24 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
 
 
 def random_split(trials: DataFrame, test_frac: float, seed: int) -> DataFrame:
-    """(trial_id, part): round(n * test_frac) trials, those of the smallest seeded hashes, are for testing."""
-    ids = trials.select("trial_id").distinct().withColumn("draw", F.xxhash64(F.lit(seed), "trial_id"))
-    n = ids.count()
-    last = ids.orderBy("draw", "trial_id").select("draw").limit(max(0, round(n * test_frac))).agg(F.max("draw")).first()[0]
-    return ids.select("trial_id", F.when(F.col("draw") <= F.lit(last), "test").otherwise("train").alias("part"))
+    """(trial_id, part): round(n * test_frac) trials, those of the smallest seeded hashes, are for testing.
+
+    The hashes are counted by their first 16 bits; only the trials of the class in which the split falls are sorted.
+    """
+    ids = trials.select("trial_id").distinct().withColumn("draw", F.xxhash64(F.lit(seed), "trial_id")).withColumn("first_bits", F.shiftright("draw", 48))
+    counts = sorted(ids.groupBy("first_bits").count().collect())  # 65,536 rows at most
+    left, within = round(sum(r["count"] for r in counts) * test_frac), None
+    for r in counts:
+        if left < r["count"]:
+            within = r["first_bits"]
+            break
+        left -= r["count"]
+    if within is None:
+        return ids.select("trial_id", F.lit("test").alias("part"))
+    last = ids.filter(F.col("first_bits") == within).orderBy("draw").limit(left).agg(F.max("draw")).first()[0]
+    before = F.col("first_bits") < within
+    chosen = before if last is None else before | ((F.col("first_bits") == within) & (F.col("draw") <= last))
+    return ids.select("trial_id", F.when(chosen, "test").otherwise("train").alias("part"))
 
 
 def write_sequences(ticks: DataFrame, path: str) -> None:
