@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqwatch.llm.shared import written
+from seqwatch.llm.shared import appended, durable_root, written
 
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
-#: The tool by which plain conversations are read as calls: a user turn asks, the assistant turns after it answer.
-REPLY = "reply"
-REPLY_SCHEMA = [(REPLY, "prompt", "string", True)]
+#: Tools by which plain conversations are read as calls, with their arguments: name, argument, type, required.
+TURN_TOOLS = [
+    ("reply", "prompt", "string", True),
+    ("lookup", "query", "string", True),
+    ("lookup", "limit", "integer", True),
+    ("measure", "chars", "number", True),
+    ("measure", "exact", "boolean", False),
+]
+#: Turns of a conversation that are ordered in one group.
+SPAN = 1000
 
 
 def canonical(json: Column) -> Column:
@@ -46,19 +55,44 @@ def parsed_events(messages: DataFrame) -> DataFrame:
     return call.unionByName(answer).unionByName(plain)
 
 
-def reply_events(messages: DataFrame) -> DataFrame:
-    """Plain conversations as calls: each user turn calls `reply` and each assistant turn answers the last user turn before it."""
-    earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = messages.select("conv_id", "turn", "role", "text").withColumn("asked", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(earlier))
-    role = F.coalesce("role", F.lit(""))
-    kind = F.when(role == "user", "call").when((role == "assistant") & F.col("asked").isNotNull(), "result").otherwise("message")
-    rows = rows.withColumn("kind", kind)
+def last_asked(rows: DataFrame) -> DataFrame:
+    """Adds `asked`: the last user turn of its conversation that is lower than each row's.
+
+    Turns are ordered within spans of SPAN turns, and the last user turns of spans over the spans, so that no
+    conversation is gathered whole.
+    """
+    rows = rows.withColumn("span", F.floor(F.col("turn") / SPAN))
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    within = Window.partitionBy("conv_id", "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("conv_id").orderBy(F.col("span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy("conv_id", "span").agg(F.max(user).alias("last")).select(F.col("conv_id").alias("of"), F.col("span").alias("of_span"), F.last("last", ignorenulls=True).over(over).alias("earlier"))
+    met = rows.withColumn("asked", F.max(user).over(within)).join(spans, F.expr("conv_id <=> of and span <=> of_span"))
+    return met.withColumn("asked", F.coalesce("asked", "earlier")).drop("span", "of", "of_span", "earlier")
+
+
+def turn_events(messages: DataFrame) -> DataFrame:
+    """Plain conversations as calls: each user turn calls a tool and each assistant turn answers the last user turn before it.
+
+    The turn decides the tool (`reply`, `lookup`, `measure` in turn) and the length of the text what is told: some calls
+    lack an argument, have one of a wrong type or one too many. A call needs the one of the user turn before, but for
+    every fourth length; lengths of 7 modulo 13 also need an identifier that nobody has.
+    """
+    rows = last_asked(messages.select("conv_id", "turn", "role", "text"))
+    role, n = F.coalesce("role", F.lit("")), F.coalesce(F.length("text"), F.lit(0))
+    rows = rows.withColumn("kind", F.when(role == "user", "call").when((role == "assistant") & F.col("asked").isNotNull(), "result").otherwise("message"))
     of = F.when(F.col("kind") == "call", F.col("turn")).when(F.col("kind") == "result", F.col("asked"))
-    body = F.when(F.col("kind") == "call", F.concat(F.lit('{"prompt":'), quoted(F.col("text")), F.lit("}"))).otherwise(F.col("text"))
-    return rows.select(
-        "conv_id", "turn", F.lit(0).alias("seq"), "role", "kind", F.concat(F.lit("turn-"), of.cast("string")).alias("call_id"), F.when(F.col("kind") == "call", REPLY).alias("name"), body.alias("body"),
-        F.lit(None).cast("array<string>").alias("depends_on"),
-    )
+    name_of = lambda turn: F.concat(F.lit("turn-"), turn.cast("string"))
+    tool, odd, text, turn = F.pmod("turn", F.lit(3)), n % 5, quoted(F.col("text")), F.coalesce(F.col("turn").cast("string"), F.lit("0"))
+    reply = F.concat(F.lit('{"prompt":'), text, F.lit("}"))
+    limit = F.when(odd == 0, "").when(odd == 1, F.concat(F.lit('"limit":"'), turn, F.lit('",'))).otherwise(F.concat(F.lit('"limit":'), turn, F.lit(",")))
+    lookup = F.concat(F.lit("{"), limit, F.lit('"query":'), text, F.lit("}"))
+    told = F.when(odd == 2, '.5,"exact":true}').when(odd == 3, ',"extra":[1]}').when(odd == 4, ',"exact":"yes"}').otherwise("}")
+    measure = F.concat(F.lit('{"chars":'), n.cast("string"), told)
+    body = F.when(F.col("kind") == "call", F.when(tool == 1, lookup).when(tool == 2, measure).otherwise(reply)).otherwise(F.col("text"))
+    name = F.when(F.col("kind") == "call", F.when(tool == 1, "lookup").when(tool == 2, "measure").otherwise("reply"))
+    needs = F.filter(F.array(F.when(n % 4 != 3, name_of(F.col("asked"))), F.when(n % 13 == 7, F.lit("turn-none"))), lambda x: x.isNotNull())
+    needs = F.when((F.col("kind") == "call") & (F.size(needs) > 0), needs)
+    return rows.select("conv_id", "turn", F.lit(0).alias("seq"), "role", "kind", name_of(of).alias("call_id"), name.alias("name"), body.alias("body"), needs.alias("depends_on"))
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
@@ -66,7 +100,7 @@ def call_levels(calls: DataFrame) -> DataFrame:
 
     The place is the call's turn, or a later turn in which the last needed call stands or is answered.
 
-    Levels settle in rounds, one for each step of the longest chain. Calls in or behind a cycle, or behind an
+    Levels settle in rounds, one for each step of the longest chain; each appends to one table. Calls in or behind a cycle, or behind an
     unknown identifier, have no level.
     """
     first = calls.filter("link = 'call' or link = 'unanswered'").select("conv_id", "call_id", "turn", "linked_turn", "depends_on")
@@ -75,7 +109,8 @@ def call_levels(calls: DataFrame) -> DataFrame:
     edges = written(edges, "chat-edges")
     if edges.isEmpty():
         return done.drop("ready")
-    done = written(done, "chat-levels")
+    root = f"{durable_root(calls.sparkSession)}/chat-levels-{uuid.uuid4().hex}"
+    done = appended(done, root)
     answers = first.select("conv_id", "call_id", "linked_turn")
     needed = edges.groupBy("conv_id", "call_id", "turn").agg(F.count("*").alias("needed"))
     while True:
@@ -84,10 +119,10 @@ def call_levels(calls: DataFrame) -> DataFrame:
         fresh = needed.join(met, ["conv_id", "call_id"]).filter("met = needed").join(done, ["conv_id", "call_id"], "left_anti")
         place = F.greatest("turn", "ready")
         fresh = fresh.join(answers, ["conv_id", "call_id"]).select("conv_id", "call_id", (F.col("below") + 1).alias("level"), place.alias("place"), F.greatest(place, "linked_turn").alias("ready"))
-        fresh = written(fresh, "chat-levels")
+        fresh = written(fresh, "chat-level")
         if fresh.isEmpty():
             return done.drop("ready")
-        done = done.unionByName(fresh)
+        done = appended(fresh, root)
 
 
 def type_of(value: Column) -> Column:
@@ -132,8 +167,9 @@ def format_chat(events: DataFrame, schemas: DataFrame) -> DataFrame:
     in a cycle or behind an unknown identifier, with their results, keep their turn and have no level.
 
     Null roles and texts are plain messages with JSON null; null identifiers link with nothing. Repeated rows keep
-    their rows, the later ones as duplicates. An empty table gives no rows. No conversation is gathered into one
-    task but for window functions over one identifier, which keep no list of rows.
+    their rows, the later ones as duplicates (of equal turns the lower seq, name, body is first). A very long text is one
+    JSON string of its row. An empty table gives no rows. Other columns, whatever their names, are ignored. No
+    conversation is gathered into one task: window functions order the rows of one identifier, or of one span of turns.
     """
     events = written(events, "chat-events")
     same = Window.partitionBy("conv_id", "kind", "call_id").orderBy(F.col("turn").asc_nulls_last(), "seq", "name", "body")

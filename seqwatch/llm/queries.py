@@ -14,8 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schemas = spark.createDataFrame(chat.REPLY_SCHEMA, "name string, argument string, type string, required boolean")
-    return chat.format_chat(chat.reply_events(table(spark, sf_dir, "conversations")), schemas)
+    schemas = spark.createDataFrame(chat.TURN_TOOLS, "name string, argument string, type string, required boolean")
+    return chat.format_chat(chat.turn_events(table(spark, sf_dir, "conversations")), schemas)
 
 
 def op2_contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,28 +81,45 @@ def oracle_sql() -> dict[str, str]:
 
 
 OP1_SQL = """
-WITH asked AS (
-  SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS of_turn
+WITH RECURSIVE asked AS (
+  SELECT *, coalesce(length(text), 0) AS n, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS of_turn
   FROM conversations
 ), kinds AS (
-  SELECT *, CASE WHEN role = 'user' THEN 'call' WHEN role = 'assistant' AND of_turn IS NOT NULL THEN 'result' ELSE 'message' END AS kind FROM asked
+  SELECT *, CASE WHEN role = 'user' THEN 'call' WHEN role = 'assistant' AND of_turn IS NOT NULL THEN 'result' ELSE 'message' END AS kind,
+    CASE turn % 3 WHEN 1 THEN 'lookup' WHEN 2 THEN 'measure' ELSE 'reply' END AS tool, to_json(text)::VARCHAR AS quoted
+  FROM asked
 ), ids AS (
   SELECT *, CASE kind WHEN 'call' THEN 'turn-' || turn WHEN 'result' THEN 'turn-' || of_turn END AS call_id FROM kinds
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, kind, call_id ORDER BY turn) AS nth,
     min(CASE WHEN kind = 'result' THEN turn END) OVER (PARTITION BY conv_id, call_id) AS answer
   FROM ids
+), calls AS (
+  SELECT conv_id, turn, call_id, answer, CASE WHEN n % 4 <> 3 THEN 'turn-' || of_turn END AS needs FROM ranked WHERE kind = 'call' AND nth = 1 AND n % 13 <> 7
+), levels AS (
+  SELECT conv_id, call_id, 0 AS level, turn AS place, greatest(turn, answer) AS ready FROM calls WHERE needs IS NULL
+  UNION ALL
+  SELECT c.conv_id, c.call_id, l.level + 1, greatest(c.turn, l.ready), greatest(c.turn, l.ready, c.answer) FROM calls c JOIN levels l ON l.conv_id = c.conv_id AND l.call_id = c.needs
 )
-SELECT conv_id, turn, 0 AS seq, kind, call_id,
+SELECT r.conv_id, r.turn, 0 AS seq, kind, r.call_id,
   CASE WHEN kind = 'message' THEN 'message' WHEN nth > 1 THEN 'duplicate' WHEN kind = 'result' THEN 'result' WHEN answer IS NULL THEN 'unanswered' ELSE 'call' END AS link,
   CASE WHEN kind = 'result' THEN of_turn WHEN kind = 'call' AND nth = 1 THEN answer END AS linked_turn,
-  turn AS place, CASE WHEN kind = 'result' AND nth = 1 THEN 1 ELSE 0 END AS level, '' AS errors,
+  CASE WHEN kind = 'message' OR nth > 1 THEN r.turn WHEN kind = 'call' THEN coalesce(place, r.turn) ELSE greatest(r.turn, coalesce(place, of_turn)) END AS place,
+  CASE WHEN kind = 'message' OR nth > 1 THEN 0 WHEN kind = 'call' THEN 2 * level ELSE 2 * level + 1 END AS level,
+  CASE WHEN kind <> 'call' THEN ''
+    WHEN tool = 'reply' THEN CASE WHEN text IS NULL THEN 'type:prompt' ELSE '' END
+    WHEN tool = 'lookup' THEN concat_ws(';', CASE n % 5 WHEN 0 THEN 'missing:limit' WHEN 1 THEN 'type:limit' END, CASE WHEN text IS NULL THEN 'type:query' END)
+    ELSE CASE n % 5 WHEN 3 THEN 'unknown:extra' WHEN 4 THEN 'type:exact' ELSE '' END END AS errors,
   CASE kind
-    WHEN 'call' THEN '{"arguments":{"prompt":' || to_json(text)::VARCHAR || '},"id":"' || call_id || '","name":"reply","role":"user"}'
-    WHEN 'result' THEN '{"content":' || to_json(text)::VARCHAR || ',"role":"assistant","tool_call_id":"' || call_id || '"}'
-    ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}'
+    WHEN 'call' THEN '{"arguments":' || CASE tool
+        WHEN 'reply' THEN '{"prompt":' || quoted || '}'
+        WHEN 'lookup' THEN '{' || CASE n % 5 WHEN 0 THEN '' WHEN 1 THEN '"limit":"' || r.turn || '",' ELSE '"limit":' || r.turn || ',' END || '"query":' || quoted || '}'
+        ELSE '{"chars":' || n || CASE n % 5 WHEN 2 THEN '.5,"exact":true}' WHEN 3 THEN ',"extra":[1]}' WHEN 4 THEN ',"exact":"yes"}' ELSE '}' END END
+      || ',"id":"' || r.call_id || '","name":"' || tool || '","role":"user"}'
+    WHEN 'result' THEN '{"content":' || quoted || ',"role":"assistant","tool_call_id":"' || r.call_id || '"}'
+    ELSE '{"content":' || quoted || ',"role":' || to_json(role)::VARCHAR || '}'
   END AS json
-FROM ranked
+FROM ranked r LEFT JOIN levels l ON l.conv_id = r.conv_id AND l.call_id = r.call_id
 """
 
 OP2_SQL = """
@@ -127,7 +144,7 @@ FROM shards
 
 def op6_sql() -> str:
     """The quality rules over the same word lists; lists become tables of rows."""
-    from seqwatch.llm.quality_rules import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS
+    from seqwatch.llm.quality_rules import COMMON_WORDS, EXPECTED_HITS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, WORDLESS_PART
 
     listed = ", ".join(f"('{lang}', '{w}')" for lang, ws in COMMON_WORDS.items() for w in ws)
     only = {
@@ -160,11 +177,13 @@ hits AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, lower(unnest(words
 lang_words AS (SELECT lang, sum(n_words) AS total FROM base WHERE NOT base_failed AND lang IN (SELECT lang FROM common) GROUP BY lang),
 word_refs AS (SELECT c.lang, c.w, coalesce(sum(h.n) FILTER (b.doc_id IS NOT NULL), 0) / max(total) AS y FROM common c JOIN lang_words USING (lang) LEFT JOIN hits h ON h.w = c.w LEFT JOIN base b ON b.doc_id = h.doc_id AND b.lang = c.lang AND NOT b.base_failed GROUP BY ALL),
 rests AS (SELECT lang, 1 - sum(y) AS y, sum(y) * ln(2) AS none FROM word_refs GROUP BY lang),
+bounds AS (SELECT least({MAX_WORD_DISTANCE}, {WORDLESS_PART} * min(sqrt(greatest(none + ln(2 / (1 + y)) + CASE WHEN y > 0 THEN y * ln(2 * y / (1 + y)) ELSE 0 END, 0) / (2 * ln(2))))) AS bound,
+  CASE WHEN min(1 - y) > 0 THEN {EXPECTED_HITS} / min(1 - y) END AS enough FROM rests),
 own AS (SELECT b.doc_id, r.lang, r.w, h.n / b.n_words AS x, r.y FROM hits h JOIN base b USING (doc_id) JOIN word_refs r USING (w)),
 sums AS (SELECT doc_id, lang, sum(x) AS x, sum({term('x', 'y')} - y * ln(2)) AS more FROM own GROUP BY ALL),
 word_js AS (SELECT b.doc_id, min(sqrt(greatest(none + coalesce(more, 0) + {term('(1 - coalesce(x, 0))', 'r.y')}, 0) / (2 * ln(2)))) AS word_distance FROM (SELECT doc_id FROM base WHERE n_words > 0) b CROSS JOIN rests r LEFT JOIN sums s ON s.doc_id = b.doc_id AND s.lang = r.lang GROUP BY b.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (coalesce(class_distance, 0) > {MAX_CLASS_DISTANCE} AND chars >= {MIN_CHARS}) AND NOT (coalesce(word_distance, 0) > {MAX_WORD_DISTANCE} AND n_words >= {MIN_WORDS}) AS kept,
+  NOT base_failed AND NOT (coalesce(class_distance, 0) > {MAX_CLASS_DISTANCE} AND chars >= {MIN_CHARS}) AND NOT (coalesce(word_distance, 0) > bound AND enough IS NOT NULL AND (lang IS NULL OR lang IN (SELECT lang FROM rests)) AND n_words >= greatest({MIN_WORDS}, enough)) AS kept,
   round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
-FROM base LEFT JOIN class_js USING (doc_id) LEFT JOIN word_js USING (doc_id)
+FROM base CROSS JOIN bounds LEFT JOIN class_js USING (doc_id) LEFT JOIN word_js USING (doc_id)
 """

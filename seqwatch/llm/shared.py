@@ -1,36 +1,21 @@
-"""Helpers that the operators of this package share: durable intermediate tables and word splitting."""
+"""Helpers that the operators of this package share: intermediate tables and word splitting."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqwatch.sources.durable import durable_root, written  # noqa: F401
+
 #: White space between words: the space and the control characters 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
-def durable_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="seqwatch-checkpoint-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{durable_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def appended(df: DataFrame, path: str) -> DataFrame:
+    """The table at `path` with the rows of `df` added, read back."""
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from tests.llm.helpers import documents, prose
 from seqwatch.llm import chat, html_text
 
 SMALL = "/root/testdata/sf0.001"
-TOOLS = [("add", "a", "integer", True), ("add", "b", "number", False), ("f", "x", "object", True), *chat.REPLY_SCHEMA]
+TOOLS = [("add", "a", "integer", True), ("add", "b", "number", False), ("f", "x", "object", True), *chat.TURN_TOOLS]
 
 
 @pytest.fixture(scope="module")
@@ -56,12 +56,48 @@ def test_calls_are_linked_ordered_and_validated(spark, tools):
 
 
 def test_plain_turns_and_empty_tables(spark, tools):
-    rows = [(1, 0, "system", "s"), (1, 1, "assistant", "hello"), (1, 2, "user", "a"), (1, 3, "assistant", "b"), (1, 4, "assistant", "c"), (1, 5, "user", None), (1, 5, "user", None)]
+    rows = [(1, 0, "system", "s"), (1, 1, "assistant", "hello"), (1, 3, "user", "a"), (1, 4, "assistant", "b"), (1, 5, "assistant", "c"), (1, 6, "user", None), (1, 6, "user", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    found = chat.format_chat(chat.reply_events(df), tools).orderBy("turn", "link").collect()
+    found = chat.format_chat(chat.turn_events(df), tools).orderBy("turn", "link").collect()
     assert [r["link"] for r in found] == ["message", "message", "call", "result", "duplicate", "duplicate", "unanswered"]
-    assert [r["errors"] for r in found][-1] == "type:prompt"
-    assert chat.format_chat(chat.reply_events(df.limit(0)), tools).count() == 0
+    assert [r["errors"] for r in found][-1] == "type:prompt" and found[-1]["level"] == 2
+    assert chat.format_chat(chat.turn_events(df.limit(0)), tools).count() == 0
+
+
+def test_turns_of_every_tool(spark, tools):
+    """Tools, errors and levels of derived calls, on conversations with a very long text and clashing columns."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "x" * (c + 7 * t) if c else "y" * 200_000) for c in range(40) for t in range(8)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for name in ("level", "place", "link", "errors", "json", "asked", "span"):
+        df = df.withColumn(name, F.lit("clash"))
+    found = {(r["conv_id"], r["turn"]): r for r in chat.format_chat(chat.turn_events(df), tools).collect()}
+    for (c, t), r in found.items():
+        if t % 2:
+            continue
+        n, level = (c + 7 * t if c else 200_000), 0
+        tool = ("reply", "lookup", "measure")[t % 3]
+        errors = {"lookup": {0: "missing:limit", 1: "type:limit"}, "measure": {3: "unknown:extra", 4: "type:exact"}}.get(tool, {}).get(n % 5, "")
+        for k in range(t, -1, -2):  # the chain of calls that this one needs
+            m = c + 7 * k if c else 200_000
+            if m % 13 == 7:
+                level = None
+                break
+            if k == 0 or m % 4 == 3:
+                break
+            level += 2
+        said = json.loads(r["json"])
+        assert (said["name"], r["errors"], r["level"]) == (tool, errors, level)
+        assert json.dumps(said, sort_keys=True, separators=(",", ":")) == r["json"]
+
+
+def test_long_conversations_are_ordered_by_spans(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SPAN", 3)
+    draw = random.Random(1)
+    rows = [(c, t, draw.choice(["user", "assistant", "system"]), "x") for c in range(5) for t in range(draw.randint(0, 20))] + [(9, None, "user", "x"), (None, 4, "user", "x"), (None, 5, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.last_asked(df).collect():
+        before = [t for c, t, role, _ in rows if c == r["conv_id"] and role == "user" and t is not None and r["turn"] is not None and t < r["turn"]]
+        assert r["asked"] == max(before, default=None)
 
 
 def test_pages_equal_a_plain_reading(spark):
