@@ -25,7 +25,8 @@ NOT_CLASS = {
     "symbol": r"""[\p{L}\p{M}\p{Nd}\s.,;:!?'"()\-]+""",
 }
 CLASSES = ["letter", "upper", "digit", "space", "stop", "symbol"]
-SLOTS = 4096
+#: Slots of the hash table of common words; of so many seeds, the first by which no two words share a slot is taken.
+SLOTS, SEEDS = 8192, 64
 MIN_CHARS, MAX_CLASS_DISTANCE = 200, 0.25
 MIN_WORDS, MAX_WORD_DISTANCE = 50, 0.70
 #: The word bound as a part of the distance that a text without any common word has.
@@ -34,11 +35,6 @@ WORDLESS_PART = 0.90
 EXPECTED_HITS = 10
 
 
-def _marks(words: list[str]) -> dict[str, str]:
-    """One character for each common word of all languages."""
-    return {w: chr(0x4E00 + k) for k, w in enumerate(words)}
-
-
 def _stripped(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
@@ -86,32 +82,37 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+def perfect_hash(spark, words: list[str]) -> tuple[int, list[int]]:
+    """A seed by which no two words share a slot, and their slots."""
+    seeds = F.array(*[F.pmod(xxhash64("w", F.lit(k)), F.lit(SLOTS)).cast("int") for k in range(SEEDS)])
+    rows = {r["w"]: r["slots"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", seeds.alias("slots")).collect()}
+    for k in range(SEEDS):
+        slots = [rows[w][k] for w in words]
+        if len({*slots}) == len(slots):
+            return k, slots
+    raise ValueError(f"too many words for {SLOTS} slots: {len(words)}")
+
+
 def histograms(counted: DataFrame, common: dict[str, list[str]]) -> DataFrame:
     """Adds `classes` (characters by class) and `hits` (occurrences of each common word of any language).
 
-    Each word becomes one character by a hash table held in an array literal, so that counting a word is a count of
-    a character in a string of one character a word.
+    Each word is hashed once to a slot of a table that is held in array literals; the common ones become one character
+    each, so that counting a word is a count of a character in a string of the text's common words only.
     """
     vocabulary = sorted({w for ws in common.values() for w in ws})
-    marks = _marks(vocabulary)
-    spark = counted.sparkSession
-    slots = [r[0] for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select(F.pmod(xxhash64("w"), F.lit(SLOTS))).collect()]
-    held: dict[int, list[str]] = {}
-    for w, s in zip(vocabulary, slots):
-        held.setdefault(s, []).append(w)
-    deepest = max(len(v) for v in held.values())
-    mark = F.lit(".")
-    low = lambda w: F.lower(w)
-    for depth in range(deepest):
-        column = [held.get(k, [])[depth] if len(held.get(k, [])) > depth else "" for k in range(SLOTS)]
-        names, letters = F.array(*map(F.lit, column)), F.array(*[F.lit(marks.get(w, ".")) for w in column])
-        mark = (lambda names, letters, rest: lambda w: F.when(F.get(names, F.pmod(xxhash64(w), F.lit(SLOTS)).cast("int")) == w, F.get(letters, F.pmod(xxhash64(w), F.lit(SLOTS)).cast("int"))).otherwise(rest(w) if callable(rest) else rest))(names, letters, mark)
+    marks = {w: chr(0x4E00 + k) for k, w in enumerate(vocabulary)}
+    seed, places = perfect_hash(counted.sparkSession, vocabulary)
+    names, letters = [""] * SLOTS, [""] * SLOTS
+    for w, k in zip(vocabulary, places):
+        names[k], letters[k] = w, marks[w]
+    names, letters = F.array(*map(F.lit, names)), F.array(*map(F.lit, letters))
     body = F.col("body")
-    kinds = {k: _stripped(body, p) for k, p in NOT_CLASS.items()}
-    coded = F.array_join(F.transform(F.transform(F.col("words"), low), mark), "")
-    out = counted.withColumn("coded", coded)
-    for k, c in kinds.items():
-        out = out.withColumn(k, c)
+    low = F.split(F.lower(F.array_join("words", " ")), " ")
+    slots = F.transform("low", lambda w: F.pmod(xxhash64(w, F.lit(seed)), F.lit(SLOTS)).cast("int"))
+    coded = F.array_join(F.zip_with("low", "slots", lambda w, k: F.when(F.get(names, k) == w, F.get(letters, k)).otherwise("")), "")
+    out = counted.withColumn("low", low).withColumn("slots", slots).withColumn("coded", coded)
+    for k, pattern in NOT_CLASS.items():
+        out = out.withColumn(k, _stripped(body, pattern))
     out = out.withColumn("n_chars_all", F.length("body").cast("long")).withColumn("space", F.col("n_chars_all") - F.col("word_chars"))
     rest = F.col("n_chars_all") - sum((F.col(k) for k in CLASSES if k not in ("letter",)), F.lit(0))
     hits = F.array(*[(F.length("coded") - F.length(F.replace(F.col("coded"), F.lit(marks[w]), F.lit("")))).cast("double") for w in vocabulary])
@@ -119,7 +120,7 @@ def histograms(counted: DataFrame, common: dict[str, list[str]]) -> DataFrame:
         out.withColumn("letter", F.greatest(rest, F.lit(0)))
         .withColumn("classes", F.array(*[F.col(k).cast("double") for k in CLASSES]))
         .withColumn("hits", hits)
-        .drop("coded", "body", "words", "n_chars_all", *CLASSES)
+        .drop("coded", "low", "slots", "body", "words", "n_chars_all", *CLASSES)
     )
 
 
@@ -183,7 +184,9 @@ def quality_rules(
     are not judged by words.
 
     Null and blank texts have zero counts and fail the base rules. Without any reference (an empty table, no listed
-    language) the distances are null and only the base rules decide. Repeated ids keep every row.
+    language) the distances are null and only the base rules decide. A distance equal to its bound is allowed; repeated
+    ids keep every row. The words of a very long text are lists within its row. Other columns than doc_id, text and lang,
+    whatever their names, are ignored.
     """
     vocabulary = sorted({w for ws in common.values() for w in ws})
     measured = written(histograms(base_counts(docs), common), "quality-histograms")
