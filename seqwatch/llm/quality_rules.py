@@ -105,7 +105,7 @@ def histograms(counted: DataFrame, common: dict[str, list[str]]) -> DataFrame:
     names, letters = [""] * SLOTS, [""] * SLOTS
     for w, k in zip(vocabulary, places):
         names[k], letters[k] = w, marks[w]
-    names, letters = F.array(*map(F.lit, names)), F.array(*map(F.lit, letters))
+    names, letters = (F.split(F.lit(" ".join(x)), " ", -1) for x in (names, letters))  # folded to one literal each
     body = F.col("body")
     low = F.split(F.lower(F.array_join("words", " ")), " ")
     slots = F.transform("low", lambda w: F.pmod(xxhash64(w, F.lit(seed)), F.lit(SLOTS)).cast("int"))
