@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqwatch.operators.surprise import severity
+from seqwatch.operators.surprise import PLACES, severity
 
 
 def order_questions(flagged: DataFrame, expected: DataFrame, bridges: DataFrame, names: DataFrame, least_gain: float = 2.0) -> DataFrame:
@@ -26,7 +26,7 @@ def order_questions(flagged: DataFrame, expected: DataFrame, bridges: DataFrame,
 def duration_questions(completed: DataFrame, segments: DataFrame, names: DataFrame, expected: DataFrame, alpha: float) -> DataFrame:
     """Of closed segments with durations in the tails: left early, or stuck."""
     limit = -F.log(F.lit(alpha))
-    rows = completed.filter(F.col("s_dur_two") > limit).join(segments.select("trial_id", "seg_idx", "tick_end"), ["trial_id", "seg_idx"]).join(names, "state").join(expected.select("state", "mean_duration"), "state")
+    rows = completed.filter(F.round("s_dur_two", PLACES) > F.round(limit, PLACES)).join(segments.select("trial_id", "seg_idx", "tick_end"), ["trial_id", "seg_idx"]).join(names, "state").join(expected.select("state", "mean_duration"), "state")
     early = F.format_string("'%s' ended after %d ticks; usually it takes about %d. Was it left early?", "name", "duration", F.round("mean_duration").cast("int"))
     late = F.format_string("'%s' took %d ticks; usually about %d. Was something wrong?", "name", "duration", F.round("mean_duration").cast("int"))
     return rows.select(
@@ -35,6 +35,38 @@ def duration_questions(completed: DataFrame, segments: DataFrame, names: DataFra
     )
 
 
+def emission_questions(flags: DataFrame, ticks: DataFrame, log_nouns: DataFrame, log_verbs: DataFrame, names: DataFrame) -> DataFrame:
+    """Of flagged items and actions, the most surprising tick of each segment and channel (the first of equals): what was
+    seen, and what is likeliest in the believed state.
+
+    `flags` has (trial_id, tick, seg_idx, channel, place, value, threshold); a tick's item is asked for only if it is more
+    surprising than its action, and the other way round.
+    """
+    sums = flags.groupBy("trial_id", "tick").pivot("channel", ["s_noun", "s_verb"]).agg(F.first("value")).withColumnsRenamed({"s_noun": "vn", "s_verb": "vv"})
+    rows = flags.filter("channel in ('s_noun', 's_verb')").join(sums, ["trial_id", "tick"])
+    other = F.when(F.col("channel") == "s_noun", F.coalesce("vv", F.lit(float("-inf")))).otherwise(F.coalesce("vn", F.lit(float("-inf"))))
+    best = Window.partitionBy("trial_id", "seg_idx", "channel").orderBy(F.desc(F.round("value", PLACES)), "tick")
+    rows = rows.filter(F.round("value", PLACES) > F.round(other, PLACES)).withColumn("rank", F.row_number().over(best)).filter("rank = 1")
+    top = lambda t, token: t.groupBy("state").agg(F.min_by(token, F.struct(-F.round("logp", PLACES), F.col(token))).alias("likeliest")).withColumnRenamed("state", "place")
+    rows = rows.join(ticks.select("trial_id", "tick", "verb_id", "noun_id"), ["trial_id", "tick"])
+    item = rows.filter("channel = 's_noun'").join(top(log_nouns, "noun_id"), "place")
+    item = item.withColumn("text", F.format_string("Was 'item%d' meant here? 'item%d' was expected.", "noun_id", "likeliest")).withColumn("kind", F.lit("item_substitution"))
+    verb = rows.filter("channel = 's_verb'").join(top(log_verbs, "verb_id"), "place")
+    for of, alias in (("verb_id", "n_seen"), ("likeliest", "n_likeliest")):
+        verb = verb.join(names.select(F.col("state").alias(of), F.col("name").alias(alias)), of)
+    verb = verb.withColumn("text", F.format_string("Was '%s' meant here? '%s' was expected.", "n_seen", "n_likeliest")).withColumn("kind", F.lit("wrong_action"))
+    columns = ["trial_id", "tick", "channel", "kind", severity(F.col("value"), F.col("threshold")).alias("severity"), "text"]
+    return item.select(*columns).unionByName(verb.select(*columns))
+
+
+def stall_questions(flags: DataFrame, names: DataFrame, expected: DataFrame, segments: DataFrame) -> DataFrame:
+    """The first tick of each segment that lasts too long so far."""
+    first = flags.filter("channel = 's_temporal'").groupBy("trial_id", "seg_idx").agg(F.min_by(F.struct("tick", "value", "threshold"), "tick").alias("x")).select("trial_id", "seg_idx", "x.*")
+    rows = first.join(segments.select("trial_id", "seg_idx", "state", "tick_start"), ["trial_id", "seg_idx"]).join(names, "state").join(expected.select("state", "mean_duration"), "state")
+    text = F.format_string("Still at '%s' after %d ticks? Usually it takes about %d.", "name", (F.col("tick") - F.col("tick_start") + 1).cast("int"), F.round("mean_duration").cast("int"))
+    return rows.select("trial_id", "tick", F.lit("s_temporal").alias("channel"), F.lit("stall").alias("kind"), severity(F.col("value"), F.col("threshold")).alias("severity"), text.alias("text"))
+
+
 def narrated(*questions: DataFrame) -> DataFrame:
     """All questions; their order is (trial_id, tick, channel)."""
     out = questions[0]

@@ -44,19 +44,19 @@ def transition_thresholds(logp: DataFrame, alpha: float | list[float]) -> DataFr
     return tail_threshold(support, ["from_state"], "score", "mass", alpha)
 
 
-def excess_thresholds(logp: DataFrame, marginal: DataFrame, alpha: float) -> DataFrame:
+def excess_thresholds(logp: DataFrame, marginal: DataFrame, alpha: float | list[float]) -> DataFrame:
     """By recipe and from_state: of log P(marginal) - log P(recipe), with the recipe's mass; may be negative."""
     both = logp.join(marginal.withColumnRenamed("logp", "logm"), ["from_state", "to_state"])
     support = both.select("recipe", "from_state", (F.col("logm") - F.col("logp")).alias("score"), F.exp("logp").alias("mass"))
     return tail_threshold(support, ["recipe", "from_state"], "score", "mass", alpha)
 
 
-def token_thresholds(log_emission: DataFrame, token: str, alpha: float) -> DataFrame:
+def token_thresholds(log_emission: DataFrame, token: str, alpha: float | list[float]) -> DataFrame:
     support = log_emission.select("state", (-F.col("logp")).alias("score"), F.exp("logp").alias("mass"))
     return tail_threshold(support, ["state"], "score", "mass", alpha)
 
 
-def pair_thresholds(log_verbs: DataFrame, log_nouns: DataFrame, alpha: float) -> DataFrame:
+def pair_thresholds(log_verbs: DataFrame, log_nouns: DataFrame, alpha: float | list[float]) -> DataFrame:
     """Of -log P(verb, noun | state), the two being independent given the state."""
     both = log_verbs.select("state", F.col("logp").alias("lv")).join(log_nouns.select("state", F.col("logp").alias("ln")), "state")
     support = both.select("state", (-F.col("lv") - F.col("ln")).alias("score"), F.exp(F.col("lv") + F.col("ln")).alias("mass"))
@@ -77,7 +77,7 @@ def duration_tails(histogram: DataFrame) -> DataFrame:
     return histogram.select("state", "d", ((total - upto + F.col("n")) / total).alias("p_ge"), (upto / total).alias("p_le"), ((upto - F.col("n")) / total).alias("p_lt"), (F.col("n") / total).alias("p_eq"))
 
 
-def completed_durations(segments: DataFrame, tails: DataFrame, d_max: int) -> DataFrame:
+def completed_durations(segments: DataFrame, tails: DataFrame, d_max: int, keys: list[str] | None = None) -> DataFrame:
     """Two-sided surprise of each closed segment's duration; the last segment is still open and scores 0."""
     rows = segments.withColumn("d", F.least("duration", F.lit(d_max))).join(tails, ["state", "d"])
     longer, shorter = -F.log("p_ge"), -F.log("p_le")
@@ -85,15 +85,17 @@ def completed_durations(segments: DataFrame, tails: DataFrame, d_max: int) -> Da
     closed = lambda c: F.when(F.col("is_last"), 0.0).otherwise(c)
     cause = F.when(F.col("is_last"), "none").when(F.col("p_ge") < F.col("p_le"), "stuck").otherwise("left_early")
     pit = F.col("p_lt") + 0.5 * F.col("p_eq")
-    return rows.select("trial_id", "seg_idx", "state", "duration", closed(longer).alias("s_long"), closed(shorter).alias("s_short"), closed(two).alias("s_dur_two"), cause.alias("cause"), pit.alias("pit"))
+    named = ["trial_id"] if keys is None else [*keys, "tick_end"]
+    return rows.select(*named, "seg_idx", "state", "duration", closed(longer).alias("s_long"), closed(shorter).alias("s_short"), closed(two).alias("s_dur_two"), cause.alias("cause"), pit.alias("pit"))
 
 
-def live_stall(segments: DataFrame, tails: DataFrame, d_max: int) -> DataFrame:
+def live_stall(segments: DataFrame, tails: DataFrame, d_max: int, keys: list[str] | None = None) -> DataFrame:
     """trial_id, tick, elapsed and -log P(duration >= elapsed | state): grows within a segment, starts anew with the next.
 
     Beyond the longest duration seen, the least observed share holds.
     """
-    rows = segments.select("trial_id", "state", "tick_start", F.explode(F.sequence("tick_start", F.col("tick_end") - 1)).alias("tick")).withColumn("elapsed", F.col("tick") - F.col("tick_start") + 1)
+    keys = keys or ["trial_id"]
+    rows = segments.select(*keys, "state", "tick_start", F.explode(F.sequence("tick_start", F.col("tick_end") - 1)).alias("tick")).withColumn("elapsed", F.col("tick") - F.col("tick_start") + 1)
     # The share of durations at least e is that at the next duration seen from e on.
     spine = tails.groupBy("state").agg(F.max("d").alias("top")).select("state", "top", F.explode(F.sequence(F.lit(1), F.col("top"))).alias("e"))
     seen = spine.join(tails.select("state", F.col("d").alias("e"), "p_ge"), ["state", "e"], "left")
@@ -101,7 +103,7 @@ def live_stall(segments: DataFrame, tails: DataFrame, d_max: int) -> DataFrame:
     survival = seen.select("state", "top", "e", F.first("p_ge", ignorenulls=True).over(onward).alias("p"))
     tops = survival.select("state", "top").distinct()
     rows = rows.join(tops, "state").withColumn("e", F.least("elapsed", F.lit(d_max), "top")).join(survival.drop("top"), ["state", "e"])
-    return rows.select("trial_id", "tick", "state", "elapsed", (-F.log("p")).alias("s_temporal"))
+    return rows.select(*keys, "tick", "state", "elapsed", (-F.log("p")).alias("s_temporal"))
 
 
 def transition_flags(scored: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqwatch.functions import runs as R
+from seqwatch.operators import channels
 from seqwatch.operators import counts as C
 from seqwatch.operators import evaluate as E
 from seqwatch.operators import explore, inject, lifecycle, narrate, replies, sequence
@@ -479,6 +480,164 @@ def step_metrics(spark, d):
     return rounded(rows.groupBy("error_type").agg(F.count("*").alias("n"), F.sum("detected").alias("tp"), F.sum("false_steps").alias("false_steps"), F.avg("detected").alias("recall")))
 
 
+def emission_table(w: World, token: str) -> DataFrame:
+    """state, token, logp: tokens that follow a tick of each state, with one added to every count."""
+    before = F.lag("verb_id").over(Window.partitionBy("trial_id").orderBy("tick"))
+    rows = w.ticks.withColumn("state", before).filter("state is not null").groupBy("state", token).agg(F.count("*").alias("n"))
+    spine = rows.select("state").distinct().join(rows.select(token).distinct(), F.lit(True))  # states times tokens
+    n = F.coalesce("n", F.lit(0)) + 1.0
+    return spine.join(rows, ["state", token], "left").select("state", token, F.log(n / F.sum(n).over(Window.partitionBy("state"))).alias("logp"))
+
+
+def channel_tables(w: World) -> channels.Tables:
+    smooth = C.backoff(C.transition_counts(w.segments, ["recipe"]), 5.0).filter("from_state != to_state")
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("recipe", "from_state"))
+    own = written(smooth.select("recipe", "from_state", "to_state", F.log(share).alias("logp")), "recipe-logp")
+    marginal = written(C.marginal_transitions(own, C.recipe_shares(w.ticks.select("trial_id", "recipe").distinct())), "marginal")
+    verbs, nouns = (written(emission_table(w, token), "emissions") for token in ("verb_id", "noun_id"))
+    return channels.Tables(verbs, nouns, w.logp, own, marginal, written(S.duration_tails(C.duration_counts(w.segments, D_MAX)), "tails"), D_MAX)
+
+
+def healthy_steps(w: World) -> DataFrame:
+    return w.segments.withColumn("from_state", F.lag("state").over(Window.partitionBy("trial_id").orderBy("seg_idx")))
+
+
+def recipe_steps(w: Degraded) -> DataFrame:
+    return w.steps.join(w.ticks.select("trial_id", "recipe").distinct(), "trial_id")
+
+
+HEALTHY, DEGRADED = ["trial_id"], ["trial_id", "error_type"]
+#: Of the duration channels and the others alike; flags of all channels.
+CHANNEL_ALPHA = 0.2
+
+
+def written_bundle(t: channels.Tables, alphas: list[float]) -> DataFrame:
+    return written(channels.bundle(t, alphas).coalesce(1), "bundle")  # a few rows a state
+
+
+def healthy_channel_flags(w: World, t: channels.Tables, alphas: list[float]) -> DataFrame:
+    return channels.flagged(channels.scores(w.ticks, healthy_steps(w), HEALTHY, t), written_bundle(t, alphas))
+
+
+def degraded_channel_flags(w: Degraded, t: channels.Tables, alphas: list[float]) -> DataFrame:
+    return channels.flagged(channels.scores(w.rows, recipe_steps(w), DEGRADED, t), written_bundle(t, alphas))
+
+
+@query
+def threshold_bundle(spark, d):
+    return rounded(channels.bundle(channel_tables(world(spark, d)), [0.1, CHANNEL_ALPHA]))
+
+
+@query
+def flags_channels(spark, d):
+    w = world(spark, d)
+    found = healthy_channel_flags(w, channel_tables(w), [CHANNEL_ALPHA])
+    return rounded(found.select("trial_id", "tick", "channel", "value", "threshold", S.severity(F.col("value"), F.col("threshold")).alias("severity")))
+
+
+@query
+def flags_wide(spark, d):
+    w = world(spark, d)
+    return channels.wide(healthy_channel_flags(w, channel_tables(w), [CHANNEL_ALPHA]), HEALTHY)
+
+
+@query
+def attribution_matrix(spark, d):
+    """By type of error and channel: trials in which the channel is flagged in the error's window, or a little after."""
+    w = degraded(spark, d)
+    rows = degraded_channel_flags(w, channel_tables(w), [CHANNEL_ALPHA]).join(w.windows, DEGRADED)
+    inside = rows.filter(F.col("tick").between(F.col("t0"), F.col("t1") + E.TICK_TOLERANCE))
+    return inside.groupBy("error_type", "channel").agg(F.count_distinct("trial_id").alias("trials"))
+
+
+@query
+def type_confusion(spark, d):
+    """True against predicted type of error, over the flagged steps of the errors."""
+    w = degraded(spark, d)
+    t = channel_tables(w)
+    flags = written(degraded_channel_flags(w, t, [CHANNEL_ALPHA]), "flags")
+    stuck = S.completed_durations(w.steps, t.tails, D_MAX, DEGRADED).select(*DEGRADED, "seg_idx", (F.col("cause") == "stuck").alias("stuck"))
+    steps = w.steps.join(stuck, [*DEGRADED, "seg_idx"], "left").withColumn("stuck", F.coalesce("stuck", F.lit(False)))
+    found = channels.predicted_types(flags, steps, DEGRADED).join(E.truth_steps(w.steps, w.windows).select(*DEGRADED, "seg_idx"), [*DEGRADED, "seg_idx"])
+    return found.groupBy("error_type", "predicted").agg(F.count("*").alias("steps"))
+
+
+def judged_ticks(w: Degraded, t: channels.Tables, alphas: list[float], by_channel: bool = False) -> DataFrame:
+    """Ticks of healthy and degraded trials: key, seg_idx, is_error, is_positive, and the alphas at which they are flagged."""
+    truth = written(E.truth_steps(w.steps, w.windows).select(*DEGRADED, "seg_idx"), "truth")
+    positive = truth.unionByName(E.debris_steps(w.rows, truth)).withColumn("is_positive", F.lit(True))
+    key = F.concat_ws("/", F.col("trial_id").cast("string"), "error_type")
+    bad = w.rows.select(*DEGRADED, "tick", "seg_idx").join(positive, [*DEGRADED, "seg_idx"], "left").select(key.alias("key"), "tick", "seg_idx", F.lit(True).alias("is_error"), F.coalesce("is_positive", F.lit(False)).alias("is_positive"))
+    good = R.run_numbers(w.ticks.select("trial_id", "tick", "verb_id"), ["verb_id"]).select(F.col("trial_id").cast("string").alias("key"), "tick", "seg_idx", F.lit(False).alias("is_error"), F.lit(False).alias("is_positive"))
+    flags = degraded_channel_flags(w, t, alphas).select(key.alias("key"), "tick", "channel", "alpha").unionByName(healthy_channel_flags(w, t, alphas).select(F.col("trial_id").cast("string").alias("key"), "tick", "channel", "alpha"))
+    group = ["key", "tick", *(["channel"] if by_channel else [])]
+    flags = flags.groupBy(*group).agg(F.collect_set("alpha").alias("alphas"))  # a few alphas
+    return bad.unionByName(good).join(flags, ["key", "tick"], "left")
+
+
+@query
+def level_counts(spark, d):
+    """Confusion counts of the union of all channels on four levels, with their rates."""
+    w = degraded(spark, d)
+    rows = judged_ticks(w, channel_tables(w), [CHANNEL_ALPHA]).withColumn("is_flagged", F.col("alphas").isNotNull())
+    cells = channels.level_counts(rows, [], ["key"])
+    return rounded(cells.select("level", "tp", "fp", "fn", "tn", *E.rates(*map(F.col, ("tp", "fp", "fn", "tn")))))
+
+
+SWEPT = [0.05, 0.1, 0.2]
+
+
+def trial_hits(spark, d) -> DataFrame:
+    """trial, is_error, channel, alpha, hit, stray of trials with flags, and all trials with channel null."""
+    w = degraded(spark, d)
+    rows = judged_ticks(w, channel_tables(w), SWEPT, by_channel=True)
+    each = rows.filter("channel is not null").withColumn("alpha", F.explode("alphas"))
+    hits = each.groupBy(F.col("key").alias("trial"), "is_error", "channel", "alpha").agg(F.bool_or("is_positive").alias("hit"), F.bool_or(~F.col("is_positive")).alias("stray"))
+    none = rows.select(F.col("key").alias("trial"), "is_error").distinct()
+    return hits.unionByName(none.select("trial", "is_error", F.lit(None).cast("string").alias("channel"), F.lit(None).cast("double").alias("alpha"), F.lit(False).alias("hit"), F.lit(False).alias("stray")))
+
+
+@query
+def channel_sweep(spark, d):
+    """By channel and alpha: confusion counts on the level of location of that channel alone, with their rates."""
+    hits = written(trial_hits(spark, d), "hits")
+    trials = hits.filter("channel is null").select("trial", "is_error")
+    grid = trials.withColumn("channel", F.explode(F.array(*map(F.lit, channels.CHANNELS)))).withColumn("alpha", F.explode(F.array(*map(F.lit, SWEPT))))
+    rows = grid.join(hits.filter("channel is not null").drop("is_error"), ["trial", "channel", "alpha"], "left").fillna(False, ["hit", "stray"])
+    n = lambda c: F.sum(c.cast("int"))
+    e, h, s = F.col("is_error"), F.col("hit"), F.col("stray")
+    cells = rows.groupBy("channel", "alpha").agg(n(e & h).alias("tp"), n(F.when(e, s).otherwise(h | s)).alias("fp"), n(e & ~h).alias("fn"), n(~e & ~(h | s)).alias("tn"))
+    return rounded(cells.select("channel", "alpha", "tp", "fp", "fn", "tn", *E.rates(*map(F.col, ("tp", "fp", "fn", "tn")))))
+
+
+@query
+def coordinate_sweep(spark, d):
+    """The alphas that a sweep of one channel after another chooses; iterative, so without SQL."""
+    hits = written(trial_hits(spark, d), "hits")
+    found = channels.coordinate_sweep(hits, channels.CHANNELS, SWEPT, SWEPT[0])
+    return spark.createDataFrame([(k, c, a, f) for k, (c, a, f) in enumerate(found)], "step int, channel string, alpha double, f1 double")
+
+
+@query
+def transition_ceiling(spark, d):
+    """Junctions that omission and transposition make: seen in the trial's recipe, elsewhere only, or never."""
+    w = degraded(spark, d)
+    made = channels.created_junctions(w.rows.filter("error_type in ('omission', 'transposition')"), w.segments).join(w.ticks.select("trial_id", "recipe").distinct(), "trial_id")
+    own = C.transition_counts(w.segments, ["recipe"]).select("recipe", "from_state", "to_state", F.lit(True).alias("in_recipe"))
+    rows = made.join(own, ["recipe", "from_state", "to_state"], "left").join(own.select("from_state", "to_state").distinct().withColumn("anywhere", F.lit(True)), ["from_state", "to_state"], "left")
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return rows.groupBy("error_type").agg(F.count("*").alias("junctions"), n(F.col("in_recipe")).alias("seen_in_recipe"), n(F.col("anywhere") & F.col("in_recipe").isNull()).alias("seen_elsewhere"), n(F.col("anywhere").isNull()).alias("novel"))
+
+
+@query
+def positive_ticks(spark, d):
+    """Ticks of each degraded trial in steps of the error or its debris."""
+    w = degraded(spark, d)
+    truth = written(E.truth_steps(w.steps, w.windows).select(*DEGRADED, "seg_idx"), "truth")
+    positive = truth.unionByName(E.debris_steps(w.rows, truth))
+    return w.rows.join(positive, [*DEGRADED, "seg_idx"]).groupBy(*DEGRADED).agg(F.count("*").alias("positive_ticks"), F.count_distinct("seg_idx").alias("positive_steps"))
+
+
 def sweep(spark, d):
     """Precision, recall and F1 of flagged transitions against a change of item at the same tick, for all alphas at once."""
     w = world(spark, d)
@@ -713,12 +872,16 @@ def mannwhitney_drift(spark, d):
 
 @query
 def narrated_flags(spark, d):
-    s, lp = segments(spark, d), logp(spark, d)
+    w = world(spark, d)
+    t = channel_tables(w)
     names = events.vocabulary(table(spark, d, "events"), "event_type").select(F.col("id").alias("state"), F.col("token").alias("name"))
-    flagged = S.transition_flags(S.transition_surprise(s, lp), S.transition_thresholds(lp, ALPHA))
-    means = C.duration_moments(C.duration_counts(s, 50))
-    order = narrate.order_questions(flagged, S.expected_next(lp).drop("logp"), sequence.bridges(lp), names)
-    return narrate.narrated(order, narrate.duration_questions(S.completed_durations(s, tails(spark, d), D_MAX), s, names, means, 0.2))
+    numbered = R.run_numbers(w.ticks.select("trial_id", "tick", "verb_id"), ["verb_id"]).select("trial_id", "tick", "seg_idx")
+    flags = written(healthy_channel_flags(w, t, [CHANNEL_ALPHA]).join(numbered, ["trial_id", "tick"]), "flags")
+    flagged = S.transition_flags(S.transition_surprise(w.segments, w.logp), S.transition_thresholds(w.logp, ALPHA))
+    means = C.duration_moments(C.duration_counts(w.segments, 50))
+    order = narrate.order_questions(flagged, S.expected_next(w.logp).drop("logp"), sequence.bridges(w.logp), names)
+    durations = narrate.duration_questions(S.completed_durations(w.segments, t.tails, D_MAX), w.segments, names, means, CHANNEL_ALPHA)
+    return narrate.narrated(order, durations, narrate.emission_questions(flags, w.ticks, t.nouns, t.verbs, names), narrate.stall_questions(flags, names, means, w.segments))
 
 
 def queries() -> dict[str, Query]:

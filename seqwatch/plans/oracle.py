@@ -197,6 +197,97 @@ gains AS (SELECT j.trial_id, j.seg_idx, a, b,
   LEFT JOIN logp oi ON oi.from_state = before AND oi.to_state = a LEFT JOIN logp ni ON ni.from_state = before AND ni.to_state = b
   LEFT JOIN logp oo ON oo.from_state = b AND oo.to_state = after LEFT JOIN logp no ON no.from_state = a AND no.to_state = after
   WHERE (before IS NULL OR before <> b) AND (after IS NULL OR after <> a))"""
+CHANNEL_BASE = (
+    ",\nafter AS (SELECT *, lag(verb_id) OVER (PARTITION BY trial_id ORDER BY tick) AS prev FROM numbered)"
+    + emission("en", "noun_id", "prev", "after")
+    + emission("ev", "verb_id", "prev", "after")
+    + """,
+spine AS (SELECT state, max(d) AS top, unnest(range(1, max(d) + 1)) AS e FROM tails GROUP BY state),
+surv AS (SELECT s.state, top, e, first_value(p_ge IGNORE NULLS) OVER (PARTITION BY s.state ORDER BY e ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM spine s LEFT JOIN tails t ON t.state = s.state AND t.d = e),
+hst AS (SELECT *, lag(state) OVER (PARTITION BY trial_id ORDER BY seg_idx) AS from_state FROM segments)"""
+)
+DEGRADED_STEPS = """,
+dst AS (SELECT *, lag(state) OVER (PARTITION BY trial_id, error_type ORDER BY seg_idx) AS from_state, seg_idx = max(seg_idx) OVER (PARTITION BY trial_id, error_type) AS is_last, CAST(trial_id % 5 AS INTEGER) AS recipe FROM dsteps),
+dticks AS (SELECT *, lag(verb_id) OVER (PARTITION BY trial_id, error_type ORDER BY tick) AS prev FROM dnumbered)"""
+
+
+def bundle(alphas: list[float]) -> str:
+    """CTE bundle: (channel, place, recipe, alpha, threshold)."""
+    out, rows = "", []
+    supports = {
+        "s_verb": ("SELECT state, -logp AS score, exp(logp) AS mass FROM ev", "state", "state", "NULL::INTEGER"),
+        "s_noun": ("SELECT state, -logp AS score, exp(logp) AS mass FROM en", "state", "state", "NULL::INTEGER"),
+        "s_emit": ("SELECT state, -ev.logp - en.logp AS score, exp(ev.logp + en.logp) AS mass FROM ev JOIN en USING (state)", "state", "state", "NULL::INTEGER"),
+        "s_transition": (TRANSITION, "from_state", "from_state", "NULL::INTEGER"),
+        "s_recipe_transition": ("SELECT recipe, from_state, m.logp - r.logp AS score, exp(r.logp) AS mass FROM rlogp r JOIN marginal m USING (from_state, to_state)", "recipe, from_state", "from_state", "recipe"),
+    }
+    for k, a in enumerate(alphas):
+        for c, (support, keys, place, recipe) in supports.items():
+            out += tail(f"{c}_{k}", support, keys, str(a))
+            rows.append(f"SELECT '{c}' AS channel, {place} AS place, {recipe} AS recipe, {a}::DOUBLE AS alpha, threshold FROM {c}_{k}")
+        rows += [f"SELECT '{c}', NULL, NULL, {a}::DOUBLE, round(-ln({a}::DOUBLE), 9)" for c in ("s_temporal", "s_dur_two")]
+    return out + ",\nbundle AS (" + " UNION ALL ".join(rows) + ")"
+
+
+def channel_flags(name: str, ticks: str, steps: str, keys: str) -> str:
+    """CTE `name`: the scores of all channels above their thresholds."""
+    return f""",
+{name}_scores AS (
+  SELECT {keys}, tick, 's_verb' AS channel, prev AS place, NULL::INTEGER AS recipe, -ev.logp AS value FROM {ticks} t JOIN ev ON ev.state = t.prev AND ev.verb_id = t.verb_id
+  UNION ALL SELECT {keys}, tick, 's_noun', prev, NULL, -en.logp FROM {ticks} t JOIN en ON en.state = t.prev AND en.noun_id = t.noun_id
+  UNION ALL SELECT {keys}, tick, 's_emit', prev, NULL, -ev.logp - en.logp FROM {ticks} t JOIN ev ON ev.state = t.prev AND ev.verb_id = t.verb_id JOIN en ON en.state = t.prev AND en.noun_id = t.noun_id
+  UNION ALL SELECT {keys}, tick, 's_temporal', x.state, NULL, -ln(p) FROM (SELECT *, verb_id AS state, row_number() OVER (PARTITION BY {keys}, seg_idx ORDER BY tick) AS elapsed FROM {ticks}) x JOIN surv ON surv.state = x.state AND surv.e = least(elapsed, 6, top)
+  UNION ALL SELECT {keys}, tick_end - 1, 's_dur_two', s.state, NULL, greatest(0, -(ln(2.0) + least(ln(p_ge), ln(p_le)))) FROM {steps} s JOIN tails t ON t.state = s.state AND t.d = least(duration, 6) WHERE NOT is_last
+  UNION ALL SELECT {keys}, tick_start, 's_transition', s.from_state, NULL, -logp FROM {steps} s JOIN logp l ON l.from_state = s.from_state AND l.to_state = s.state
+  UNION ALL SELECT {keys}, tick_start, 's_recipe_transition', s.from_state, s.recipe, m.logp - r.logp FROM {steps} s JOIN rlogp r ON r.recipe = s.recipe AND r.from_state = s.from_state AND r.to_state = s.state JOIN marginal m ON m.from_state = s.from_state AND m.to_state = s.state),
+{name} AS (SELECT s.*, alpha, threshold FROM {name}_scores s JOIN bundle b ON b.channel = s.channel AND (b.place IS NULL OR b.place = s.place) AND (b.place IS NULL OR b.recipe IS NOT DISTINCT FROM s.recipe) WHERE round(value, 9) > threshold)"""
+
+
+HEALTHY_FLAGS = CHANNEL_BASE + bundle([0.2]) + channel_flags("hf", "after", "hst", "trial_id")
+BOTH = ALL_DEGRADED + CHANNEL_BASE + DEGRADED_STEPS
+
+
+def both_flags(alphas: list[float]) -> str:
+    return BOTH + bundle(alphas) + channel_flags("hf", "after", "hst", "trial_id") + channel_flags("df", "dticks", "dst", "trial_id, error_type")
+
+
+POSITIVE = ",\npositive AS (SELECT trial_id, error_type, seg_idx FROM truth UNION ALL SELECT * FROM debris)"
+JUDGED = (
+    POSITIVE
+    + """,
+marks AS (SELECT trial_id || '/' || error_type AS key, tick, channel, alpha FROM df UNION ALL SELECT trial_id::VARCHAR, tick, channel, alpha FROM hf),
+world AS (SELECT d.trial_id || '/' || d.error_type AS key, tick, d.seg_idx, true AS e, p.seg_idx IS NOT NULL AS p FROM dnumbered d LEFT JOIN positive p ON p.trial_id = d.trial_id AND p.error_type = d.error_type AND p.seg_idx = d.seg_idx
+  UNION ALL SELECT trial_id::VARCHAR, tick, seg_idx, false, false FROM numbered)"""
+)
+RATES = """round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS fpr"""
+CELLS = "count(*) FILTER (p AND f) AS tp, count(*) FILTER (NOT p AND f) AS fp, count(*) FILTER (p AND NOT f) AS fn, count(*) FILTER (NOT p AND NOT f) AS tn"
+NARRATED = f"""
+SELECT trial_id, tick_start AS tick, 's_transition' AS channel, CASE WHEN bridge IS NULL THEN 'out_of_order' ELSE 'missing_step' END AS kind, {severity('s_transition', 'threshold')} AS severity,
+  CASE WHEN bridge IS NULL THEN '''' || st.token || ''' came after ''' || fr.token || '''; usually ''' || nx.token || ''' does. Is that right?' ELSE 'Did you skip ''' || br.token || ''' between ''' || fr.token || ''' and ''' || st.token || '''?' END AS text
+FROM scored c JOIN thr USING (from_state) LEFT JOIN (SELECT * FROM bridges WHERE gain >= 2) b ON b.from_state = c.from_state AND b.to_state = c.state
+  JOIN (SELECT from_state, to_state AS expected, row_number() OVER (PARTITION BY from_state ORDER BY round(logp, 9) DESC, to_state) AS rank FROM logp) x ON x.from_state = c.from_state AND x.rank = 1
+  JOIN vocab st ON st.id = c.state JOIN vocab fr ON fr.id = c.from_state JOIN vocab nx ON nx.id = expected LEFT JOIN vocab br ON br.id = bridge
+WHERE round(s_transition, 9) > threshold
+UNION ALL
+SELECT trial_id, CAST(tick_end - 1 AS INTEGER), 's_dur_two', CASE WHEN p_ge < p_le THEN 'retro_stall' ELSE 'left_early' END, {severity('two', 'limit_')},
+  '''' || token || CASE WHEN p_ge < p_le THEN ''' took ' || duration || ' ticks; usually about ' || CAST(round(mean_duration) AS INTEGER) || '. Was something wrong?' ELSE ''' ended after ' || duration || ' ticks; usually it takes about ' || CAST(round(mean_duration) AS INTEGER) || '. Was it left early?' END
+FROM (SELECT s.*, p_ge, p_le, greatest(0, -(ln(2.0) + least(ln(p_ge), ln(p_le)))) AS two, -ln(0.2::DOUBLE) AS limit_ FROM segments s JOIN tails t ON t.state = s.state AND t.d = least(duration, 6) WHERE NOT is_last) s JOIN vocab ON id = s.state JOIN moments m ON m.state = s.state
+WHERE round(two, 9) > round(limit_, 9)
+UNION ALL
+SELECT trial_id, tick, channel, CASE WHEN channel = 's_noun' THEN 'item_substitution' ELSE 'wrong_action' END, {severity('value', 'threshold')},
+  CASE WHEN channel = 's_noun' THEN 'Was ''item' || noun_id || ''' meant here? ''item' || ln_.noun || ''' was expected.' ELSE 'Was ''' || v1.token || ''' meant here? ''' || v2.token || ''' was expected.' END
+FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, seg_idx, channel ORDER BY round(value, 9) DESC, tick) AS rank FROM (
+    SELECT f.*, a.seg_idx, a.noun_id, a.verb_id, max(value) FILTER (channel = 's_noun') OVER w AS vn, max(value) FILTER (channel = 's_verb') OVER w AS vv FROM hf f JOIN after a ON a.trial_id = f.trial_id AND a.tick = f.tick WHERE channel IN ('s_noun', 's_verb') WINDOW w AS (PARTITION BY f.trial_id, f.tick))
+  WHERE round(value, 9) > round(coalesce(CASE WHEN channel = 's_noun' THEN vv ELSE vn END, '-infinity'::DOUBLE), 9)) f
+  JOIN (SELECT state, noun_id AS noun, row_number() OVER (PARTITION BY state ORDER BY round(logp, 9) DESC, noun_id) AS rank FROM en) ln_ ON ln_.state = f.place AND ln_.rank = 1
+  JOIN (SELECT state, verb_id AS verb, row_number() OVER (PARTITION BY state ORDER BY round(logp, 9) DESC, verb_id) AS rank FROM ev) lv_ ON lv_.state = f.place AND lv_.rank = 1
+  JOIN vocab v1 ON v1.id = f.verb_id JOIN vocab v2 ON v2.id = lv_.verb
+WHERE f.rank = 1
+UNION ALL
+SELECT f.trial_id, f.tick, 's_temporal', 'stall', {severity('value', 'threshold')}, 'Still at ''' || token || ''' after ' || (f.tick - tick_start + 1) || ' ticks? Usually it takes about ' || CAST(round(mean_duration) AS INTEGER) || '.'
+FROM (SELECT f.*, seg_idx, row_number() OVER (PARTITION BY f.trial_id, seg_idx ORDER BY f.tick) AS rank FROM hf f JOIN after a ON a.trial_id = f.trial_id AND a.tick = f.tick WHERE channel = 's_temporal') f
+  JOIN segments s ON s.trial_id = f.trial_id AND s.seg_idx = f.seg_idx JOIN vocab ON id = s.state JOIN moments m ON m.state = s.state WHERE rank = 1"""
 LABEL = "CASE WHEN tick = 0 THEN 'SIL' ELSE verb || '_item_' || noun_id END"
 
 SQL: dict[str, str] = {
@@ -283,6 +374,40 @@ UNION ALL SELECT trial_id, seg_idx, 'repetition', round(duration / mean_duration
   SELECT error_type, count(*) AS n, CAST(sum(detected) AS BIGINT) AS tp, CAST(sum(CASE WHEN detected = 0 AND stray = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp_out, avg(latency) AS mean_latency FROM outcome GROUP BY ALL), (SELECT count(DISTINCT trial_id) AS healthy FROM hflag)""",
         ALL_DEGRADED + flagged(0.3),
     ),
+    "threshold_bundle": sql("SELECT channel, place, recipe, alpha, round(threshold, 6) + 0.0 AS threshold FROM bundle", CHANNEL_BASE + bundle([0.1, 0.2])),
+    "flags_channels": sql(f"SELECT trial_id, tick, channel, round(value, 6) AS value, round(threshold, 6) AS threshold, {severity('value', 'threshold')} AS severity FROM hf", HEALTHY_FLAGS),
+    "flags_wide": sql("SELECT trial_id, tick, " + ", ".join(f"bool_or(channel = '{c}') AS {c}" for c in ("s_dur_two", "s_emit", "s_noun", "s_recipe_transition", "s_temporal", "s_transition", "s_verb")) + " FROM hf GROUP BY ALL", HEALTHY_FLAGS),
+    "narrated_flags": sql(NARRATED, HEALTHY_FLAGS + tail("thr", TRANSITION, "from_state", "0.3") + BRIDGES),
+    "attribution_matrix": sql("SELECT f.error_type, channel, count(DISTINCT f.trial_id) AS trials FROM df f JOIN windows w ON w.trial_id = f.trial_id AND w.error_type = f.error_type WHERE tick BETWEEN t0 AND t1 + 5 GROUP BY ALL", both_flags([0.2])),
+    "type_confusion": sql(
+        """SELECT error_type, CASE WHEN rank = 2 AND stuck THEN 'repetition' ELSE ['omission', 'abandonment', 'repetition', 'substitution', 'substitution', 'omission'][rank] END AS predicted, count(*) AS steps FROM (
+  SELECT f.trial_id, f.error_type, d.seg_idx, min(CASE channel WHEN 's_transition' THEN 1 WHEN 's_dur_two' THEN 2 WHEN 's_temporal' THEN 3 WHEN 's_noun' THEN 4 WHEN 's_verb' THEN 5 WHEN 's_recipe_transition' THEN 6 END) AS rank
+  FROM df f JOIN dnumbered d ON d.trial_id = f.trial_id AND d.error_type = f.error_type AND d.tick = f.tick JOIN truth t ON t.trial_id = f.trial_id AND t.error_type = f.error_type AND t.seg_idx = d.seg_idx GROUP BY ALL) x
+  LEFT JOIN (SELECT trial_id, error_type, seg_idx, p_ge < p_le AND NOT is_last AS stuck FROM dst s JOIN tails t ON t.state = s.state AND t.d = least(duration, 6)) USING (trial_id, error_type, seg_idx) GROUP BY ALL""",
+        both_flags([0.2]),
+    ),
+    "level_counts": sql(
+        f"""SELECT level, tp, fp, fn, tn, {RATES} FROM (
+  SELECT 'tick' AS level, {CELLS} FROM judged
+  UNION ALL SELECT 'step', {CELLS} FROM (SELECT key, seg_idx, bool_or(p) AS p, bool_or(f) AS f FROM judged GROUP BY ALL)
+  UNION ALL SELECT 'trial', {CELLS} FROM (SELECT key, e AS p, bool_or(f) AS f FROM judged GROUP BY ALL)
+  UNION ALL SELECT 'trial_loc', count(*) FILTER (e AND hit), count(*) FILTER (CASE WHEN e THEN stray ELSE any_ END), count(*) FILTER (e AND NOT hit), count(*) FILTER (NOT e AND NOT any_) FROM (SELECT key, e, bool_or(f) AS any_, bool_or(f AND p) AS hit, bool_or(f AND NOT p) AS stray FROM judged GROUP BY ALL))""",
+        both_flags([0.2]) + JUDGED + ",\njudged AS (SELECT w.*, m.key IS NOT NULL AS f FROM world w LEFT JOIN (SELECT DISTINCT key, tick FROM marks) m ON m.key = w.key AND m.tick = w.tick)",
+    ),
+    "channel_sweep": sql(
+        f"""SELECT channel, alpha, tp, fp, fn, tn, {RATES} FROM (SELECT channel, alpha, count(*) FILTER (e AND hit) AS tp, count(*) FILTER (CASE WHEN e THEN stray ELSE hit OR stray END) AS fp, count(*) FILTER (e AND NOT hit) AS fn, count(*) FILTER (NOT e AND NOT (hit OR stray)) AS tn FROM (
+  SELECT g.key, g.e, g.channel, g.alpha, coalesce(bool_or(p), false) AS hit, coalesce(bool_or(NOT p), false) AS stray FROM (SELECT * FROM (SELECT DISTINCT key, e FROM world), (SELECT DISTINCT channel, alpha FROM bundle)) g
+  LEFT JOIN (SELECT m.*, p FROM marks m JOIN world w ON w.key = m.key AND w.tick = m.tick) x ON x.key = g.key AND x.channel = g.channel AND x.alpha = g.alpha GROUP BY ALL) GROUP BY ALL)""",
+        both_flags([0.05, 0.1, 0.2]) + JUDGED,
+    ),
+    "transition_ceiling": sql(
+        """SELECT error_type, count(*) AS junctions, count(*) FILTER (r.recipe IS NOT NULL) AS seen_in_recipe, count(*) FILTER (r.recipe IS NULL AND g.from_state IS NOT NULL) AS seen_elsewhere, count(*) FILTER (g.from_state IS NULL) AS novel
+FROM made m LEFT JOIN rc r ON r.recipe = m.recipe AND r.from_state = m.from_state AND r.to_state = m.state LEFT JOIN tc g ON g.from_state = m.from_state AND g.to_state = m.state GROUP BY error_type""",
+        ALL_DEGRADED + """,
+source AS (SELECT d.trial_id, d.error_type, d.tick, n.verb_id AS state, lag(n.verb_id) OVER (PARTITION BY d.trial_id, d.error_type ORDER BY d.tick) AS from_state FROM degraded d JOIN numbered n ON n.trial_id = d.trial_id AND n.tick = d.src_tick WHERE d.error_type IN ('omission', 'transposition')),
+made AS (SELECT s.*, CAST(trial_id % 5 AS INTEGER) AS recipe FROM source s WHERE from_state <> state AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.trial_id = s.trial_id AND p.from_state = s.from_state AND p.to_state = s.state))""",
+    ),
+    "positive_ticks": sql("SELECT d.trial_id, d.error_type, count(*) AS positive_ticks, count(DISTINCT d.seg_idx) AS positive_steps FROM dnumbered d JOIN positive p ON p.trial_id = d.trial_id AND p.error_type = d.error_type AND p.seg_idx = d.seg_idx GROUP BY ALL", ALL_DEGRADED + POSITIVE),
     "trial_location": sql(
         """SELECT * FROM (SELECT CAST(count(*) FILTER (detected = 1) AS BIGINT) AS tp, count(*) FILTER (detected = 0 AND stray = 1) AS fp_out, count(*) FILTER (detected = 0) AS fn FROM outcome),
   (SELECT (SELECT count(DISTINCT trial_id) FROM hflag) AS fp_healthy, count(DISTINCT trial_id) - (SELECT count(DISTINCT trial_id) FROM hflag) AS tn FROM ticks)""",
