@@ -16,7 +16,7 @@ from seqwatch.operators import counts as C
 from seqwatch.operators import evaluate as E
 from seqwatch.operators import explore, inject, lifecycle, narrate, replies, sequence
 from seqwatch.operators import surprise as S
-from seqwatch.plans import decode, fit
+from seqwatch.plans import decode, fit, joint, recipes
 from seqwatch.sources import annotations, events
 from seqwatch.sources.durable import written
 from seqwatch.sources.events import table
@@ -847,6 +847,19 @@ def soft_em_iter(spark, d):
     return fit.soft_em(ticks(spark, d), event_model(spark, d), 1, anneal=1.0)[0].long(spark)
 
 
+@query
+def joint_em_iter(spark, d):
+    """One step of the joint model of two recipes, in its stored form."""
+    return joint.joint_em(ticks(spark, d), joint.start(event_model(spark, d), 2, 1), 1)[0].long(spark)
+
+
+@query
+def recipe_hmm(spark, d):
+    """The recipe of each trial by an HMM over its segments, after three iterations."""
+    s = segments(spark, d)
+    return recipes.decoded_recipes(s, recipes.recipe_em(s, 3, 5, 3, [0])[0])
+
+
 @query
 def kmeans_spherical(spark, d):
     bags = C.pair_bags(ticks(spark, d)).select("trial_id", F.concat_ws("-", F.col("verb_id").cast("string"), F.col("noun_id").cast("string")).alias("item"), "weight")
