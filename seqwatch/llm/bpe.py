@@ -116,7 +116,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Each match of `pattern` is merged separately, without special tokens. A map over rows: nothing is shuffled. A
     worker keeps the ids of short pieces that it has met, up to a fixed number; very long pieces cost n log n. Null
-    and empty texts have no ids. Rows, repeated ones included, keep their ids; other columns are ignored.
+    and empty texts have no ids and decode to no bytes; a null doc_id stays null. Of pairs of equal rank the leftmost
+    merges first. Rows, repeated ones included, keep their ids; an empty table gives no rows. Other columns are
+    ignored, those named ids or decoded too.
     """
 
     def encode(rows):

@@ -197,8 +197,9 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
 
     A word is a run of letters, lower-cased. The text's language is the one with most letters in its spans, ties
     going to the first name; the score is its share of the letters. Null texts and texts without a letter, and all
-    texts where nothing could be learned, are `und` with score 0. A map over rows: all columns stay, nothing is
-    shuffled.
+    texts where nothing could be learned, are `und` with score 0. A map over rows: all columns stay but those named
+    like the new ones, which are replaced; nothing is shuffled. Repeated rows get equal results, an empty table none.
+    Very long texts get the exact path, in memory that grows with their words.
     """
     from pyspark.sql import types as T
 

@@ -221,8 +221,8 @@ def token_files(docs: DataFrame, path: str) -> DataFrame:
     """Writes the documents' ids to files in the shared folder and reads them back.
 
     Null and blank texts have the end id only. Documents with equal ids follow each other in the order of a hash of
-    their contents; null ids come first. An empty table gives files without blocks and no rows. Other columns of the
-    input are ignored.
+    their contents; null ids come first. Repeated rows are repeated in the files. A very long text lies whole in one block,
+    so in one task. An empty table gives files without blocks and no rows. Other columns of the input are ignored.
     """
     to = f"{durable_root(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     write_token_files(docs, path, to)

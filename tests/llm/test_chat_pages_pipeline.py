@@ -5,11 +5,12 @@ import random
 import re
 import statistics
 import time
+from collections import Counter
 from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
-from tests.llm.helpers import documents, prose
+from tests.llm.helpers import awkward_rows, documents, prose, with_clashes
 
 from seqwatch.llm import chat, html_text
 
@@ -249,3 +250,36 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
     stage = corpus_pipeline.language_stage(spark, docs.withColumnRenamed("n_chars", "score"), d)
     assert stage.columns == ["doc_id", "text", "lang", "source", "score"] and stage.filter("doc_id in (202, 203)").count() == 0
+
+
+def test_pipeline_stages_bear_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns in every stage; then empty tables."""
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    good = [(100 + k, prose(40, 300 + k).capitalize() + ".", "en", "s", 1) for k in range(40)]
+    rows = awkward_rows() + good + [good[0]]
+    plain = documents(spark, rows)
+    plain.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(r[0], int(k % 9 > 0), None) for k, r in enumerate(good)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(None, None), (0, ""), (1, good[5][1])], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = with_clashes(plain).withColumn("score__kept", F.lit("clash")).cache()
+    whole = {tuple(r) for r in docs.collect()}
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, d)
+        assert found.columns == docs.columns
+        kept[name] = [tuple(r) for r in found.collect()]
+        assert {*kept[name]} <= whole
+    ids = lambda name: Counter(r[0] for r in kept[name])
+    assert not {1, 2, 3, 4} & {*ids("language_id")} and ids("language_id")[100] == 2
+    assert ids("quality_classifier")[100] in (0, 2)
+    assert ids("jaccard_join") == Counter({r[0]: 1 for r in rows if r[0] not in (6, 7, 8, 12)})
+    assert ids("decontamination") == Counter(r[0] for r in rows if r[0] != 105)
+    coded = corpus_pipeline.token_stage(spark, docs, d).collect()
+    assert Counter(r["doc_id"] for r in coded) == Counter(r[0] for r in rows)
+    assert {r["n_tokens"] for r in coded if r["doc_id"] in (1, 2)} == {0}
+    none = str(tmp_path / "none")
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{d}/{t}.parquet").limit(0).write.parquet(f"{none}/{t}.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0

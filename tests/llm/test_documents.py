@@ -364,6 +364,29 @@ def test_descent_reaches_the_dual_optimum():
     assert (margin > 0).mean() > 0.95
 
 
+def test_descent_equals_the_optimum_by_projected_gradients():
+    """The primal objective of the descent against that of the dense dual problem, solved by plain projected gradients."""
+    draw = np.random.default_rng(11)
+    rows = [np.unique(draw.integers(0, 30, 9)).astype(np.int32) for _ in range(50)]
+    labels = np.array([int((3 in x) != (draw.random() < 0.2)) for x in rows])
+    ratios = classifier.log_count_ratios(rows, labels)
+    signs = np.where(labels, 1.0, -1.0)
+    x = np.zeros((50, 31))
+    for k, r in enumerate(rows):
+        x[k, r], x[k, 30] = ratios[r] / np.sqrt(len(r)), 1.0
+    limit = 0.5 / np.where(labels, labels.mean(), 1 - labels.mean())
+    objective = lambda w: w @ w / 2 + limit @ np.maximum(0, 1 - signs * (x @ w))
+    q = (signs[:, None] * x) @ (signs[:, None] * x).T
+    alpha, step = np.zeros(50), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(200_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, limit)
+    best = objective(x.T @ (signs * alpha))
+    assert best - (alpha.sum() - alpha @ q @ alpha / 2) < 1e-6 * best  # no gap: this is the optimum
+    found, bias = classifier.descend(rows, labels, ratios, epochs=2000)
+    w = np.append(np.divide(found[:30], ratios[:30], out=np.zeros(30), where=ratios[:30] != 0), bias)
+    assert objective(w) == pytest.approx(best, rel=2e-3) and objective(np.zeros(31)) > 1.05 * best
+
+
 def test_leaks_are_found(spark):
     items = [(k, prose(15 + 3 * k, 700 + k)) for k in range(12)] + [(50, "only four words here"), (51, None), (52, ""), (53, prose(15, 700))]
     rows = awkward_rows()
