@@ -20,6 +20,17 @@ def covering_step(steps: DataFrame, points: DataFrame) -> DataFrame:
     return points.join(spans, inside, "left").select(points["trial_id"], "at", "seg_idx")
 
 
+def matched_corrections(rows: DataFrame, least_seconds: float = 2.0, part: float = 0.5) -> DataFrame:
+    """Adds move_ok and duration_ok to rows with (move, seconds) proposed and (true_move, true_seconds).
+
+    The duration may be off by `part` of the true one, or by `least_seconds`; it is judged apart from the move, since an
+    abandoned step keeps its move. Without a proposal or a truth both are null.
+    """
+    both = F.col("move").isNotNull() & F.col("true_move").isNotNull()
+    near = F.abs(F.col("seconds") - F.col("true_seconds")) <= F.greatest(F.lit(least_seconds), part * F.col("true_seconds"))
+    return rows.withColumn("move_ok", F.when(both, F.col("move") == F.col("true_move"))).withColumn("duration_ok", F.when(both, near))
+
+
 def debris_steps(degraded: DataFrame, truth: DataFrame) -> DataFrame:
     """Steps that the injection made or stretched without being the error: they hold or border an edited tick, or
     span a place where successive ticks don't come from successive source ticks.

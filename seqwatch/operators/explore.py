@@ -29,6 +29,21 @@ def participant_features(ticks: DataFrame, idle_verb: int) -> DataFrame:
     return rows.join(F.broadcast(medians), "recipe").withColumn("relative", F.col("total") / F.col("median")).drop("median")  # one row a recipe
 
 
+def representatives(steps: DataFrame, key: str = "recipe") -> DataFrame:
+    """By recipe, the trial to show: length nearest to the upper median, then fewest segments, then the smallest trial_id.
+
+    The median is read off the counts by length, so no recipe's trials are gathered in one task.
+    """
+    trials = steps.groupBy(key, "trial_id").agg(F.sum("duration").alias("total"), F.count("*").alias("n_segments"))
+    up = Window.partitionBy(key).orderBy("total").rowsBetween(Window.unboundedPreceding, 0)
+    lengths = trials.groupBy(key, "total").agg(F.count("*").alias("n"))
+    reached = F.sum("n").over(up) > F.floor(F.sum("n").over(Window.partitionBy(key)) / 2)
+    medians = lengths.withColumn("reached", reached).filter("reached").groupBy(key).agg(F.min("total").alias("median"))
+    near = trials.join(F.broadcast(medians), key)  # one row a recipe
+    best = F.min(F.struct(F.abs(F.col("total") - F.col("median")).alias("off"), "n_segments", "trial_id", "total"))
+    return near.groupBy(key, "median").agg(best.alias("b")).select(key, "median", "b.trial_id", "b.total", "b.n_segments")
+
+
 def half_means(values: DataFrame) -> DataFrame:
     """Each trial's means over its odd and even blocks of (trial_id, block, value)."""
     nth = F.row_number().over(Window.partitionBy("trial_id").orderBy("block"))

@@ -58,6 +58,21 @@ def verdicts(segments: DataFrame, logp: DataFrame, expected: DataFrame, swap_abo
     return found.unionByName(repeats.select("trial_id", "seg_idx", F.lit("repetition").alias("error_type"), F.col("ratio").alias("value"), F.lit(None).cast("int").alias("bridge")))
 
 
+def step_verdicts(found: DataFrame, segments: DataFrame, numbered: DataFrame) -> DataFrame:
+    """trial_id, step, error_type of steps that share a tick with what a verdict speaks of.
+
+    That is the segment of a repetition, else both segments at the junction. Of several verdicts the first counts, of
+    those at one segment the first by name. `numbered` are ticks with the number of their step (`step`), so spans meet
+    steps by ticks and no interval is joined.
+    """
+    following = F.lead("tick_end").over(Window.partitionBy("trial_id").orderBy("seg_idx"))
+    spans = segments.select("trial_id", "seg_idx", "tick_start", "tick_end", following.alias("next_end"))
+    end = F.when(F.col("error_type") == "repetition", F.col("tick_end")).otherwise(F.coalesce("next_end", "tick_end"))
+    at = found.join(spans, ["trial_id", "seg_idx"]).select("trial_id", "seg_idx", "error_type", F.explode(F.sequence("tick_start", end - 1)).alias("tick"))
+    at = at.groupBy("trial_id", "tick").agg(F.min(F.struct("seg_idx", "error_type")).alias("v"))
+    return at.join(numbered.select("trial_id", "tick", "step"), ["trial_id", "tick"]).groupBy("trial_id", "step").agg(F.min("v").alias("v")).select("trial_id", "step", "v.error_type")
+
+
 def relabelled(step_verdicts: DataFrame, sequence_verdicts: DataFrame) -> DataFrame:
     """Omissions become transpositions in trials in which the order of segments speaks for a swap."""
     swapped = sequence_verdicts.filter("error_type = 'transposition'").select("trial_id", F.lit(True).alias("swapped")).distinct()

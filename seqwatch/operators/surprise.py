@@ -89,6 +89,40 @@ def completed_durations(segments: DataFrame, tails: DataFrame, d_max: int, keys:
     return rows.select(*named, "seg_idx", "state", "duration", closed(longer).alias("s_long"), closed(shorter).alias("s_short"), closed(two).alias("s_dur_two"), cause.alias("cause"), pit.alias("pit"))
 
 
+def whole_tails(histogram: DataFrame, d_max: int) -> DataFrame:
+    """Like `duration_tails`, for every duration from 1 to `d_max` of each state, seen or not."""
+    spine = histogram.select("state").distinct().withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(d_max))))
+    return duration_tails(spine.join(histogram, ["state", "d"], "left").fillna(0, ["n"]))
+
+
+def duration_power(segments: DataFrame, d_max: int, alphas: list[float]) -> DataFrame:
+    """By alpha: closed segments, and how many have a two-sided duration surprise above -log alpha as they are, twice as
+    long, and cut to one tick: what the channel raises on healthy segments, on repetitions and on abandonments.
+
+    Durations are counted by state first, so all but that count is of the size of the model. The last segment of a trial
+    is still open and not judged.
+    """
+    closed = segments.filter("not is_last").groupBy("state", "duration").agg(F.count("*").alias("n"))
+    kinds = {"as_is": F.col("duration"), "doubled": 2 * F.col("duration"), "cut": F.lit(1)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.least(c, F.lit(d_max)).cast("int").alias("d")) for k, c in kinds.items()]))
+    rows = closed.select("state", "n", each.alias("x")).select("state", "n", "x.kind", "x.d").join(whole_tails(segments_histogram(segments, d_max), d_max), ["state", "d"])
+    rows = rows.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    above = F.round(2 * F.least("p_ge", "p_le"), PLACES) < F.col("alpha")
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return rows.groupBy("alpha").agg(n(F.col("kind") == "as_is").alias("segments"), *[n((F.col("kind") == k) & above).alias(k) for k in kinds])
+
+
+def segments_histogram(segments: DataFrame, d_max: int) -> DataFrame:
+    return segments.groupBy("state", F.least("duration", F.lit(d_max)).alias("d")).agg(F.count("*").alias("n"))
+
+
+def pit_deciles(completed: DataFrame) -> DataFrame:
+    """decile (0 to 9), n, share of the mid-PIT values of closed segments; even shares speak for the model of durations."""
+    decile = F.least(F.floor(F.round("pit", PLACES) * 10), F.lit(9)).cast("int")
+    n = completed.filter("cause != 'none'").groupBy(decile.alias("decile")).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # ten rows
+
+
 def live_stall(segments: DataFrame, tails: DataFrame, d_max: int, keys: list[str] | None = None) -> DataFrame:
     """trial_id, tick, elapsed and -log P(duration >= elapsed | state): grows within a segment, starts anew with the next.
 

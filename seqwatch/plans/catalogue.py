@@ -16,7 +16,7 @@ from seqwatch.operators import counts as C
 from seqwatch.operators import evaluate as E
 from seqwatch.operators import explore, inject, lifecycle, narrate, replies, sequence
 from seqwatch.operators import surprise as S
-from seqwatch.plans import decode, fit, joint, recipes
+from seqwatch.plans import decode, fit, joint, lexical, recipes
 from seqwatch.sources import annotations, events
 from seqwatch.sources.durable import written
 from seqwatch.sources.events import table
@@ -805,6 +805,49 @@ def bh_fdr(spark, d):
     return rounded(explore.false_discoveries(rows))
 
 
+@query
+def duration_power(spark, d):
+    return S.duration_power(segments(spark, d), D_MAX, [0.02, 0.05, 0.1, 0.3, 0.5])
+
+
+@query
+def pit_deciles(spark, d):
+    return rounded(S.pit_deciles(S.completed_durations(segments(spark, d), tails(spark, d), D_MAX)))
+
+
+@query
+def representative_trials(spark, d):
+    return explore.representatives(segments(spark, d))
+
+
+@query
+def verdict_steps(spark, d):
+    w = world(spark, d)
+    found = sequence.verdicts(w.segments, w.logp, C.duration_moments(C.duration_counts(w.segments, 50)), 0.05, 2.5, -1.35)
+    numbered = R.run_numbers(w.ticks.select("trial_id", "tick", "verb_id", "noun_id"), ["verb_id", "noun_id"]).withColumnRenamed("seg_idx", "step")
+    return sequence.step_verdicts(found, w.segments, numbered)
+
+
+@query
+def correction_accuracy(spark, d):
+    """By error type: windows, those with a proposal, and the shares whose state and whose duration are those before the
+    injection. The model proposes the likeliest state after the one before, and its mean duration."""
+    w = degraded(spark, d)
+    starts = w.rows.join(w.windows.select(*DEGRADED, F.col("t0").alias("tick")), [*DEGRADED, "tick"]).select(*DEGRADED, "seg_idx", F.col("src_tick").alias("tick"))
+    source = R.run_numbers(w.ticks.select("trial_id", "tick", "verb_id"), ["verb_id"]).withColumnRenamed("seg_idx", "true_idx").join(w.segments.select("trial_id", F.col("seg_idx").alias("true_idx"), "duration"), ["trial_id", "true_idx"])
+    rows = starts.join(source.select("trial_id", "tick", F.col("verb_id").alias("true_move"), F.col("duration").alias("true_seconds")), ["trial_id", "tick"])
+    means = C.duration_moments(C.duration_counts(w.segments, 50)).select(F.col("state").alias("move"), F.floor(F.round("mean_duration", 6) + 0.5).alias("seconds"))
+    proposed = S.expected_next(w.logp).select("from_state", F.col("expected_state").alias("move")).join(means, "move")  # one row a state
+    rows = rows.join(w.steps.select(*DEGRADED, "seg_idx", "from_state"), [*DEGRADED, "seg_idx"]).join(F.broadcast(proposed), "from_state", "left")
+    ok = lambda c: F.avg(F.col(c).cast("int"))
+    return rounded(E.matched_corrections(rows).groupBy("error_type").agg(F.count("*").alias("n"), F.count("move").alias("proposed"), ok("move_ok").alias("move_ok"), ok("duration_ok").alias("duration_ok")))
+
+
+@query
+def lexical_start(spark, d):
+    return rounded(lexical.lexical_start(ticks(spark, d)))
+
+
 # Without SQL: sequential recursions, iterative fits and tests; the tests hold them against brute force.
 
 

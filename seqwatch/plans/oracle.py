@@ -363,6 +363,60 @@ UNION ALL SELECT trial_id, seg_idx, 'repetition', round(duration / mean_duration
         chosen("stall"),
     ),
     "inject_windows": sql("SELECT * FROM windows", ALL_DEGRADED),
+    "verdict_steps": sql(
+        "SELECT trial_id, step, error_type FROM (SELECT s.trial_id, p.seg_idx AS step, error_type, row_number() OVER (PARTITION BY s.trial_id, p.seg_idx ORDER BY s.seg_idx, error_type) AS rank FROM spans s JOIN psteps p ON p.trial_id = s.trial_id AND p.tick_start < s.z AND p.tick_end > s.a) WHERE rank = 1",
+        BRIDGES + GAINS + TEXTS + """,
+found AS (SELECT j.trial_id, j.seg_idx, CASE WHEN g.gain > 0.05 THEN 'transposition' WHEN b.gain >= -1.35 THEN 'omission' END AS error_type
+  FROM junctions j LEFT JOIN gains g ON g.trial_id = j.trial_id AND g.seg_idx = j.seg_idx LEFT JOIN bridges b ON b.from_state = j.a AND b.to_state = j.b
+  UNION ALL SELECT trial_id, seg_idx, 'repetition' FROM segments JOIN moments USING (state) WHERE duration / mean_duration > 2.5),
+spans AS (SELECT f.trial_id, f.seg_idx, error_type, tick_start AS a, CASE WHEN error_type = 'repetition' THEN tick_end ELSE coalesce(next_end, tick_end) END AS z
+  FROM found f JOIN (SELECT *, lead(tick_end) OVER (PARTITION BY trial_id ORDER BY seg_idx) AS next_end FROM segments) s ON s.trial_id = f.trial_id AND s.seg_idx = f.seg_idx WHERE error_type IS NOT NULL)""",
+    ),
+    "correction_accuracy": sql(
+        """SELECT error_type, count(*) AS n, count(move) AS proposed, round(avg(CASE WHEN move IS NOT NULL THEN CAST(move = true_move AS INTEGER) END), 6) AS move_ok,
+  round(avg(CASE WHEN move IS NOT NULL THEN CAST(abs(seconds - true_seconds) <= greatest(2.0, 0.5 * true_seconds) AS INTEGER) END), 6) AS duration_ok FROM judged GROUP BY error_type""",
+        ALL_DEGRADED + """,
+nexts AS (SELECT from_state, to_state AS move, floor(round(mean_duration, 6) + 0.5) AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY from_state ORDER BY round(logp, 9) DESC, to_state) AS rank FROM logp) l JOIN moments m ON m.state = l.to_state WHERE rank = 1),
+befores AS (SELECT *, lag(state) OVER (PARTITION BY trial_id, error_type ORDER BY seg_idx) AS from_state FROM dsteps),
+judged AS (SELECT w.error_type, h.state AS true_move, h.duration AS true_seconds, move, seconds FROM windows w JOIN dnumbered d ON d.trial_id = w.trial_id AND d.error_type = w.error_type AND d.tick = w.t0
+  JOIN segments h ON h.trial_id = w.trial_id AND d.src_tick >= h.tick_start AND d.src_tick < h.tick_end
+  JOIN befores b ON b.trial_id = w.trial_id AND b.error_type = w.error_type AND b.seg_idx = d.seg_idx LEFT JOIN nexts x ON x.from_state = b.from_state)""",
+    ),
+    "duration_power": sql(
+        """SELECT alpha, CAST(sum(CASE WHEN kind = 'as_is' THEN 1 ELSE 0 END) AS BIGINT) AS segments, count(*) FILTER (kind = 'as_is' AND low < alpha) AS as_is, count(*) FILTER (kind = 'doubled' AND low < alpha) AS doubled, count(*) FILTER (kind = 'cut' AND low < alpha) AS cut FROM judged GROUP BY alpha""",
+        """,
+lows AS (SELECT s.state, k.d, round(2 * least(sum(CASE WHEN h.d >= k.d THEN n ELSE 0 END), sum(CASE WHEN h.d <= k.d THEN n ELSE 0 END)) / sum(n), 9) AS low FROM states s CROSS JOIN (SELECT unnest(range(1, 7)) AS d) k JOIN hist h ON h.state = s.state GROUP BY ALL),
+kinds AS (SELECT state, 'as_is' AS kind, duration AS d FROM segments WHERE NOT is_last UNION ALL SELECT state, 'doubled', 2 * duration FROM segments WHERE NOT is_last UNION ALL SELECT state, 'cut', 1 FROM segments WHERE NOT is_last),
+judged AS (SELECT kind, low, alpha FROM kinds x JOIN lows l ON l.state = x.state AND l.d = least(x.d, 6) CROSS JOIN (SELECT unnest([0.02, 0.05, 0.1, 0.3, 0.5])::DOUBLE AS alpha))""",
+    ),
+    "pit_deciles": sql("SELECT decile, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT CAST(least(floor(round(p_lt + 0.5 * p_eq, 9) * 10), 9) AS INTEGER) AS decile, count(*) AS n FROM segments s JOIN tails t ON t.state = s.state AND t.d = least(duration, 6) WHERE NOT is_last GROUP BY ALL)"),
+    "representative_trials": sql(
+        "SELECT recipe, median, trial_id, total, n_segments FROM (SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY abs(total - median), n_segments, trial_id) AS best FROM lengths JOIN medians USING (recipe)) WHERE best = 1",
+        """,
+lengths AS (SELECT recipe, trial_id, CAST(sum(duration) AS BIGINT) AS total, count(*) AS n_segments FROM segments GROUP BY ALL),
+medians AS (SELECT recipe, list_sort(list(total))[count(*) // 2 + 1] AS median FROM lengths GROUP BY recipe)""",
+    ),
+    "lexical_start": sql(
+        """SELECT 'recipe' AS family, recipe, NULL::INTEGER AS i, NULL::INTEGER AS j, round(ln((n + 1) / sum(n + 1) OVER ()), 6) AS value FROM lt
+UNION ALL SELECT 'init', t.recipe, p.state, NULL, round(ln((coalesce(f.n, 0) + 5 * p.n / sum(p.n) OVER (PARTITION BY t.recipe)) / (t.n + 5)), 6) FROM lt t CROSS JOIN (SELECT state, sum(n) AS n FROM lf GROUP BY state) p LEFT JOIN lf f ON f.recipe = t.recipe AND f.state = p.state
+UNION ALL SELECT 'trans', recipe, a, b, round(ln(n / sum(n) OVER (PARTITION BY recipe, a)), 6) FROM (SELECT t.recipe, p.a, p.b, coalesce(c.n, 0) + 5 * p.n / sum(p.n) OVER (PARTITION BY t.recipe, p.a) AS n
+  FROM lt t CROSS JOIN (SELECT a, b, sum(n) AS n FROM lc GROUP BY ALL) p LEFT JOIN lc c ON c.recipe = t.recipe AND c.a = p.a AND c.b = p.b)
+UNION ALL SELECT 'verb', NULL, state, token, round(ln((1 / count(*) OVER (PARTITION BY state) + CASE WHEN verb_id = token THEN 50 ELSE 0 END) / 51), 6) FROM lp CROSS JOIN (SELECT DISTINCT verb_id AS token FROM ticks)
+UNION ALL SELECT 'noun', NULL, state, token, round(ln((1 / count(*) OVER (PARTITION BY state) + CASE WHEN noun_id = token THEN 50 ELSE 0 END) / 51), 6) FROM lp CROSS JOIN (SELECT DISTINCT noun_id AS token FROM ticks)
+UNION ALL SELECT 'dur_r', NULL, state, NULL, round(r, 6) FROM lr
+UNION ALL SELECT 'dur_p', NULL, state, NULL, round(greatest(least(r * n / (r * n + s + 1e-8), 1 - 1e-8), 1e-8), 6) FROM lr""",
+        """,
+lp AS (SELECT *, CAST(row_number() OVER (ORDER BY n DESC, verb_id, noun_id) - 1 AS INTEGER) AS state FROM (SELECT verb_id, noun_id, count(*) AS n FROM ticks GROUP BY ALL HAVING count(*) >= 5)),
+lk AS (SELECT t.trial_id, t.recipe, t.tick, state AS k FROM ticks t LEFT JOIN lp ON lp.verb_id = t.verb_id AND lp.noun_id = t.noun_id),
+la AS (SELECT *, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY trial_id ORDER BY tick ROWS UNBOUNDED PRECEDING), first_value(k IGNORE NULLS) OVER (PARTITION BY trial_id ORDER BY tick ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS state FROM lk),
+ln_ AS (SELECT *, sum(new) OVER (PARTITION BY trial_id ORDER BY tick ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY trial_id ORDER BY tick) = state THEN 0 ELSE 1 END AS new FROM la)),
+ls AS (SELECT trial_id, recipe, seg, state, count(*) AS duration, lead(state) OVER (PARTITION BY trial_id ORDER BY seg) AS following FROM ln_ GROUP BY trial_id, recipe, seg, state),
+lf AS (SELECT recipe, state, count(*) AS n FROM ls WHERE seg = 1 GROUP BY ALL),
+lt AS (SELECT recipe, sum(n) AS n FROM lf GROUP BY recipe),
+lc AS (SELECT recipe, state AS a, following AS b, count(*) AS n FROM ls WHERE following IS NOT NULL GROUP BY ALL),
+lm AS (SELECT state, sum(n) AS n, sum(n * (d - 1)) AS s, sum(n * (d - 1) * (d - 1)) AS q FROM (SELECT state, least(duration, 50) AS d, count(*) AS n FROM ls GROUP BY ALL) GROUP BY state),
+lr AS (SELECT *, CASE WHEN var > mean AND mean > 0 THEN least(mean * mean / (var - mean), 1e4) ELSE 5.0 END AS r FROM (SELECT *, s / n AS mean, q / n - (s / n) * (s / n) AS var FROM lm))""",
+    ),
     "gt_steps": sql("SELECT trial_id, error_type, seg_idx, state, duration FROM truth", ALL_DEGRADED),
     "debris_steps": sql("SELECT * FROM debris", ALL_DEGRADED),
     "step_cover_tick": sql("SELECT p.trial_id, p.point AS \"at\", seg_idx FROM (SELECT trial_id, CAST(max(tick) - 5 AS INTEGER) AS point FROM ticks GROUP BY ALL) p LEFT JOIN segments s ON s.trial_id = p.trial_id AND p.point >= tick_start AND p.point < tick_end"),
