@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwatch.llm import bpe, chat, classifier, decontaminate, html_text, jaccard, langid, quality_rules, sharding, token_files
+from seqwatch.llm import bpe, chat, classifier, decontaminate, html_text, jaccard, langid, quality_rules, sharding, suffix_dedup, token_files
 from seqwatch.llm.shared import id_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,8 +72,13 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_tool_linking, op2_contiguous_shards, op3_byte_bpe, op4_simhash_leaks, op5_count_rtree, op6_divergence_rules, op7_language_id, op8_nb_svm, op9_token_files, op10_tag_paths)}
+    return {f.__name__: f for f in (op1_tool_linking, op2_contiguous_shards, op3_byte_bpe, op4_simhash_leaks, op5_count_rtree, op6_divergence_rules, op7_language_id, op8_nb_svm, op9_token_files, op10_tag_paths, op12_suffix_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
