@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwatch.llm import bpe, chat, classifier, decontaminate, html_text, jaccard, langid, quality_rules, sharding, suffix_dedup, token_files
+from seqwatch.llm import bpe, chat, classifier, decontaminate, filter_audit, html_text, jaccard, langid, quality_rules, sharding, suffix_dedup, token_files
 from seqwatch.llm.shared import id_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,17 +72,21 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_mask_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_tool_linking, op2_contiguous_shards, op3_byte_bpe, op4_simhash_leaks, op5_count_rtree, op6_divergence_rules, op7_language_id, op8_nb_svm, op9_token_files, op10_tag_paths, op12_suffix_groups)}
+    return {f.__name__: f for f in (op1_tool_linking, op2_contiguous_shards, op3_byte_bpe, op4_simhash_leaks, op5_count_rtree, op6_divergence_rules, op7_language_id, op8_nb_svm, op9_token_files, op10_tag_paths, op11_mask_matrices, op12_suffix_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_linking": OP1_SQL, "op2_contiguous_shards": OP2_SQL, "op6_divergence_rules": op6_sql()}
+    return {"op1_tool_linking": OP1_SQL, "op2_contiguous_shards": OP2_SQL, "op6_divergence_rules": op6_sql(), "op11_mask_matrices": OP11_SQL}
 
 
 OP1_SQL = """
@@ -146,6 +150,40 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' A
 FROM shards
 """
 
+OP11_SQL = """
+WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a JOIN letters b ON b.f <> a.f JOIN letters c ON c.f NOT IN (a.f, b.f) JOIN letters d ON d.f NOT IN (a.f, b.f, c.f) JOIN letters e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+), steps AS (
+  SELECT filter_order, unnest(range(1, 6))::INTEGER AS step, bits FROM orders
+), rules AS (
+  SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[:step - 1]), 0)::INTEGER AS earlier FROM steps
+), texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY body) THEN 16 ELSE 0 END AS mask
+  FROM texts t LEFT JOIN known k ON k.doc_id = t.doc_id
+), cells AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY ALL
+), counted AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (earlier | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & earlier = 0 AND mask & own > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & earlier > 0 AND mask & own > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & earlier = 0 AND mask & own > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & earlier = 0 AND mask & own > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM cells CROSS JOIN rules GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM counted
+"""
+
 
 def op6_sql() -> str:
     """The quality rules over the same word lists; lists become tables of rows."""
