@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwatch.llm import bpe, chat, classifier, decontaminate, filter_audit, html_text, jaccard, langid, quality_rules, sharding, suffix_dedup, token_files
+from seqwatch.llm import bpe, chat, classifier, decontaminate, filter_audit, html_text, jaccard, langid, phrases, quality_rules, sharding, suffix_dedup, token_files
 from seqwatch.llm.shared import id_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,12 +81,16 @@ def op12_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_suffix_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_tool_linking, op2_contiguous_shards, op3_byte_bpe, op4_simhash_leaks, op5_count_rtree, op6_divergence_rules, op7_language_id, op8_nb_svm, op9_token_files, op10_tag_paths, op11_mask_matrices, op12_suffix_groups)}
+    return {f.__name__: f for f in (op1_tool_linking, op2_contiguous_shards, op3_byte_bpe, op4_simhash_leaks, op5_count_rtree, op6_divergence_rules, op7_language_id, op8_nb_svm, op9_token_files, op10_tag_paths, op11_mask_matrices, op12_suffix_groups, op13_suffix_sigma)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_linking": OP1_SQL, "op2_contiguous_shards": OP2_SQL, "op6_divergence_rules": op6_sql(), "op11_mask_matrices": OP11_SQL}
+    return {"op1_tool_linking": OP1_SQL, "op2_contiguous_shards": OP2_SQL, "op6_divergence_rules": op6_sql(), "op11_mask_matrices": OP11_SQL, "op13_suffix_sigma": OP13_SQL}
 
 
 OP1_SQL = """
@@ -184,6 +188,36 @@ orders AS (
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM counted
 """
 
+OP13_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), lengths AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), counts AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m AS words, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words) JOIN (SELECT unnest([1, 2, 3, 4]) AS m) ON i + m - 1 <= len(w)
+  GROUP BY ALL HAVING count(*) >= 30
+), candidates AS (
+  SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE words > 1
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM candidates JOIN (SELECT unnest([1, 2, 3]) AS k) ON k < words
+), scored AS (
+  SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f::HUGEINT + r.f))::BIGINT AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = x JOIN counts r ON r.lang = c.lang AND r.phrase = y
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), around AS (
+  SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM candidates JOIN (SELECT unnest([2, 3]) AS m) ON m < words JOIN (SELECT unnest([1, 2, 3]) AS s) ON s + m - 1 <= words GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN lengths USING (lang) WHERE rank <= 2000
+"""
+
 
 def op6_sql() -> str:
     """The quality rules over the same word lists; lists become tables of rows."""
