@@ -276,7 +276,8 @@ def without_repeats(docs: DataFrame, most_of_key: int = MOST_OF_KEY) -> DataFram
     marks = distinct.mapInArrow(_marks, "digest binary, marks binary")
     places = told.mapInArrow(_places, "tid binary, start long, digest binary")
     found = places.join(marks, "digest").groupBy("tid").agg(F.collect_list(F.struct("start", "marks")).alias("found"))
-    kept = texts.join(found, "tid").select("tid", "text", "found").mapInArrow(_kept, "tid binary, n_removed long, n_spans long, left binary, left_sha string")
+    # the same columns as `told` has, so that one shuffle of the texts serves both
+    kept = texts.join(found, "tid").select("tid", "text", "copies", "found").mapInArrow(_kept, "tid binary, n_removed long, n_spans long, left binary, left_sha string")
     none = F.lit(0).cast("long")
     return rows.join(kept, "tid", "left").select(
         "doc_id",
