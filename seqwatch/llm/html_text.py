@@ -50,7 +50,19 @@ MODIFIERS = {*"no not has have with without is".split()}
 ROLES = {*"navigation banner contentinfo search dialog alert alertdialog menu menubar".split()}
 LAYOUT_ROLES = {*"complementary form".split()}
 COMMENTS = {*"comment comments commentlist reply replies".split()}
-NOTICE = re.compile(r"(?:©|\(c\)|copyright\b)", re.I).match
+#: Words that name a mark's kind or state, not what it is: what stands before them counts, or nothing does.
+NEUTRAL = {
+    *"box wrap wrapper container block area list section bar inner outer top bottom left right links link buttons button text form slot unit body".split(),
+    *"content item items row col column group holder panel module zone frame image title label center mobile desktop small large header".split(),
+}
+STATES = {*"open opened shown visible active enabled disabled accepted loaded ready state on off in out free true false closed".split()}
+#: Marks that say what a part is wherever they stand in a name.
+ADVERTS = {*"ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promoted promotion".split()}
+#: Elements of running text within an article, on which only some marks are plain.
+RUNNING = {*"p blockquote pre li dd dt td th figure figcaption q span em strong b i small".split()}
+NOTICE = re.compile(r"(?:©|\(c\)\s|copyright\s+(?:©|\(c\)|by\b|(?:19|20)\d\d))", re.I).match
+#: Characters of a notice of rights at most.
+NOTICE_CHARS = 300
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？¿¡…]").findall
 
 _QUOTED_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -59,8 +71,10 @@ _MARKING = re.compile(r"""[\s"'/](class|id|role|hidden|aria-hidden|style)(?:\s*=
 _WORDS = re.compile(r"[a-z]+").findall
 
 #: What is known of an element before any ratio: nothing, a part beside the article unless most of the text is in it,
-#: or a part beside the article.
-FREE, LAYOUT, BESIDE = 0, 1, 2
+#: a part beside the article by its role unless the article is in it, or a part beside the article.
+FREE, LAYOUT, ROLE, BESIDE = 0, 1, 2, 3
+#: What a name that marks a part beside the article leaves of its path's value: of a plain mark, and of a doubtful one.
+PLAIN, DOUBTFUL = 1e-4, 0.3
 #: Weight of each neighbouring path in the smoothing.
 NEIGHBOUR = 0.1
 #: A layout element with so many times the text that lies free is taken for the page itself.
@@ -71,30 +85,46 @@ PAGE_CHARS = 140
 LINKED = 0.5
 
 
-def prior(tag: str, attributes: str, in_article: bool) -> int:
-    """What an element's tag, role, class and id say of it."""
+def mark(token: str, running: bool) -> float:
+    """What one name of a class or id leaves of the value of an element's path; 1 if it marks nothing."""
+    parts = _WORDS(token)
+    if not MODIFIERS.isdisjoint(parts) or parts and parts[-1] in STATES or MARKS.isdisjoint(parts):
+        return 1.0
+    while parts[-1] in NEUTRAL:
+        parts.pop()
+    if not ADVERTS.isdisjoint((parts[0], parts[-1])):
+        return PLAIN
+    return PLAIN if parts[-1] in MARKS and not running else DOUBTFUL
+
+
+def prior(tag: str, attributes: str, in_article: bool) -> tuple[int, float]:
+    """What an element's tag, role, class and id say of it: a part beside the article, and the weight of its path."""
     if tag in HIDDEN or tag in FURNITURE:
-        return BESIDE
-    found = LAYOUT if tag in WRAPPERS and not (tag == "header" and in_article) else FREE
+        return BESIDE, 1.0
+    found, weight = LAYOUT if tag in WRAPPERS and not (tag == "header" and in_article) else FREE, 1.0
     if not attributes or tag in ("html", "body"):
-        return found
+        return found, weight
     for name, value in _MARKING.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return BESIDE
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return BESIDE, 1.0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return BESIDE
+            return BESIDE, 1.0
+        if name == "role" and value in ROLES:
+            found = max(found, ROLE)
         if name == "role" and value in LAYOUT_ROLES:
-            found = LAYOUT
+            found = max(found, LAYOUT)
         if name in ("class", "id"):
-            words = {w for token in value.split() if MODIFIERS.isdisjoint(parts := _WORDS(token)) for w in parts}
-            if tag in ("article", "main"):
-                words &= COMMENTS
-            if not MARKS.isdisjoint(words):
-                return BESIDE
-            if not LAYOUT_MARKS.isdisjoint(words):
-                found = LAYOUT
-    return found
+            for token in value.split():
+                words = set(_WORDS(token))
+                if tag in ("article", "main") and COMMENTS.isdisjoint(words):
+                    continue
+                weight = min(weight, mark(token, in_article and tag in RUNNING))
+                if MODIFIERS.isdisjoint(words) and not LAYOUT_MARKS.isdisjoint(words) and tag not in ("article", "main"):
+                    found = max(found, LAYOUT)
+    if weight < DOUBTFUL and tag not in BLOCKS:
+        return BESIDE, 1.0
+    return found, weight if tag in BLOCKS else 1.0
 
 
 class Part:
@@ -117,8 +147,8 @@ class Page:
     """
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.paths, self.priors = ["html"], [-1], [0], [FREE]
-        self.path_ids: dict[tuple[int, str], int] = {}
+        self.tags, self.parents, self.paths, self.priors, self.weights = ["html"], [-1], [0], [FREE], [1.0]
+        self.path_ids: dict[tuple[int, str, float], int] = {}
         self.texts: list[tuple[int, int, int, bool, str]] = []  # element, its block element, block number, in a link, text
         self.stack, self.block = [0], 0
         self.depths: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
@@ -208,8 +238,10 @@ class Page:
         above, is_block = self.stack[-1], tag in BLOCKS
         self.tags.append(tag)
         self.parents.append(above)
-        self.paths.append(self.path_ids.setdefault((self.paths[above], tag), len(self.path_ids) + 1) if is_block else self.paths[above])
-        self.priors.append(prior(tag, attributes, tag == "header" and self._last(("article", "main")) > 0))
+        found, weight = prior(tag, attributes, self._last(("article", "main")) > 0)
+        self.paths.append(self.path_ids.setdefault((self.paths[above], tag, weight), len(self.path_ids) + 1) if is_block else self.paths[above])
+        self.priors.append(found)
+        self.weights.append(weight)
         self.depths.setdefault(tag, []).append(len(self.stack))
         if is_block:
             self.block_depths.append(len(self.stack))
@@ -221,19 +253,44 @@ class Page:
         if depth and (tag in BLOCKS or depth > self.block_depths[-1]):  # an inline end tag doesn't end blocks
             self._pop_to(depth)
 
+    def _article(self) -> int:
+        """The first with text of: main elements, articles without a mark around them, h1, other articles; or -1."""
+        n = len(self.tags)
+        full = [False] * n
+        for element, _, _, _, text in self.texts:
+            full[element] |= not text.isspace() and text != ""
+        for e in range(n - 1, 0, -1):
+            full[self.parents[e]] |= full[e]
+        shown, marked = [True] * n, [False] * n
+        for e in range(1, n):
+            shown[e] = shown[self.parents[e]] and self.priors[e] != BESIDE
+            marked[e] = marked[self.parents[e]] or self.weights[e] < 1
+        order = {("main", False): 0, ("main", True): 0, ("article", False): 1, ("h1", False): 2, ("h1", True): 2, ("article", True): 3}
+        found = [(order[self.tags[e], marked[e]], e) for e in range(n) if (self.tags[e], marked[e]) in order and full[e] and shown[e]]
+        return min(found, default=(0, -1))[1]
+
     def free_texts(self) -> list[tuple[int, int, int, bool, str]]:
         """The text nodes outside parts beside the article.
 
-        A layout mark on an element that holds most of the text (a page within a form, a wrapper named after its
-        sidebar) says nothing of that text; so the one with most text of its own, if that is several times the free
-        text, is free with all around it. Where the page has an article or main element, it must hold that.
+        Names and roles of elements around the page's article say nothing of it. A layout mark on an element that holds
+        most of the text (a page within a form, a wrapper named after its sidebar) says nothing of that text; so the one
+        with most text of its own, if that is several times the free text, is free with all around it. Where the page
+        has an article or main element, it must hold that. Weights become those of the whole path.
         """
         n = len(self.tags)
+        e = self._article()
+        if e >= 0 and self.tags[e] != "h1" and self.weights[e] < 1:
+            e = self.parents[e]
+        while e >= 0:
+            self.priors[e], self.weights[e] = (FREE if self.priors[e] == ROLE else self.priors[e]), 1.0
+            e = self.parents[e]
         nearest, barred = [-1] * n, [False] * n
         for e in range(n):
             above = self.parents[e]
+            if e:
+                self.weights[e] = min(self.weights[e], self.weights[above])
             nearest[e] = e if self.priors[e] else nearest[above] if e else -1
-            barred[e] = self.priors[e] == BESIDE or e > 0 and barred[above]
+            barred[e] = self.priors[e] >= ROLE or self.weights[e] < DOUBTFUL or e > 0 and barred[above]
         roots, firsts = [False] * n, [False] * n
         for e in range(n - 1, -1, -1):
             roots[e] |= self.tags[e] in ("article", "main")
@@ -280,7 +337,10 @@ class Page:
         return table
 
     def path_values(self, parts: list[Part]) -> dict[int, float]:
-        """Text and punctuation a block of each path, smoothed over neighbouring paths, multiplied, less the part in links."""
+        """Text and punctuation a block of each path, smoothed over neighbours, multiplied, less the part in links.
+
+        A path through a marked element keeps the weight of the mark.
+        """
         table = self.path_table(parts)
         if not table:
             return {}
@@ -289,16 +349,19 @@ class Page:
         if len(ratios) > 2:
             padded = np.pad(ratios, ((1, 1), (0, 0)), "edge")
             ratios = NEIGHBOUR * padded[:-2] + (1 - 2 * NEIGHBOUR) * padded[1:-1] + NEIGHBOUR * padded[2:]
-        return dict(zip(table, (ratios[:, 0] * (1 + ratios[:, 1]) * (1 - rows[:, 3] / rows[:, 1])).tolist()))
+        weights = {self.paths[p.element]: self.weights[p.element] for p in parts}
+        prior = np.array([weights[path] for path in table])
+        return dict(zip(table, (ratios[:, 0] * (1 + ratios[:, 1]) * (1 - rows[:, 3] / rows[:, 1]) * prior).tolist()))
 
     def content(self) -> list[Part]:
         """The content blocks: those on paths whose value reaches the deviation of all values, and what belongs to them."""
         parts = self.parts()
+        plain = [self.weights[p.element] >= DOUBTFUL for p in parts]
         values = self.path_values(parts)
-        least = min(np.std([*values.values()]), max(values.values())) if values else 0.0
+        least = min(np.std([*values.values()]), max(values.values())) if any(plain) else np.inf
         chosen = [values[self.paths[p.element]] >= max(least, 1e-9) for p in parts]
         if not any(chosen):
-            return parts
+            return [p for p, c in zip(parts, plain) if c]
         n = len(self.tags)
         held = [0] * n  # selected blocks in each element
         for p, c in zip(parts, chosen):
@@ -328,7 +391,10 @@ class Page:
         while (up := self.parents[root]) >= 0 and self.tags[up] not in ("html", "body") and all(self._prose(o) for o in beside.get(up, ())):
             root = up
         first = chosen.index(True)
-        return [p for k, (p, c) in enumerate(zip(parts, chosen)) if c or self._kept(p, others[kin[k]], above[kin[k]], root, total, held, k < first)]
+        kept = [p for k, (p, c) in enumerate(zip(parts, chosen)) if c or plain[k] and self._kept(p, others[kin[k]], above[kin[k]], root, total, held, k < first)]
+        while len(kept) > 1 and kept[-1].chars <= NOTICE_CHARS and NOTICE(kept[-1].text()):
+            kept.pop()  # a notice of rights at the end
+        return kept
 
     def _prose(self, o: Part) -> bool:
         return self.tags[o.element] in HEADINGS or o.marks > 0 and o.linked <= LINKED * o.chars
@@ -341,9 +407,9 @@ class Page:
             return early or not outside
         if o.linked > LINKED * o.chars:
             return False
-        if outside:
-            return tag == "p" and o.marks > 0
-        return not (self.tags[block.element] not in ("p", "li", *HEADINGS) and NOTICE(block.text()))
+        if outside or self.weights[block.element] < 1:
+            return block.marks > 0 and (tag == "p" or not outside)
+        return True
 
     def main_text(self) -> str:
         return "\n".join(p.text() for p in self.content())

@@ -151,6 +151,45 @@ def test_content_by_paths_and_priors(html, text):
     assert html_text.main_text(html) == text
 
 
+ARTICLE = f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article>"
+
+
+@pytest.mark.parametrize("wrapper", ['class="cookie-consent-open page"', "class=overlay-open", "class=login-state-out", "class=skip-ads", 'id="notice-shown"', "role=alert", "class=popup role=dialog", 'class="ad"'])
+@pytest.mark.parametrize("inner", [ARTICLE, ARTICLE.replace("article>", "main>"), ARTICLE.replace("article>", "div>")])
+def test_names_around_the_article_say_nothing_of_it(wrapper, inner):
+    if "<div>" in inner and wrapper.startswith("role"):
+        inner = f"<div>{inner}</div>"
+    assert html_text.main_text(f"<body><div {wrapper}>{inner}</div><div class=ad>{LONG}</div><div class=comments><article><p>{LONG * 9}</p></article></div></body>") == f"T\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    "inner,kept",
+    [
+        ("<p class=share-price>The share, at 5.</p>", "The share, at 5."),
+        ("<blockquote class=reply>He said no, twice.</blockquote>", "He said no, twice."),
+        ("<div>Copyright law is the topic, says A.</div>", "Copyright law is the topic, says A."),
+        ("<p>© 2020 Foo Inc.</p>", None),
+        ("<div>Copyright 2020 Foo Inc.</div>", None),
+        ("<div class=ad-leaderboard>Buy now, buy cheap, today.</div>", None),
+        ("<p class=sponsored>Buy now, buy cheap, today.</p>", None),
+        ("<div class=comment-list><p>Nice one, thanks.</p></div>", None),
+        ("<div class=share-links>Share this, or that.</div>", None),
+        ("<div class=ad-free>Plain text, here.</div>", "Plain text, here."),
+    ],
+)
+def test_marks_within_the_article(inner, kept):
+    page = f"<body><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p>{inner}</article></body>"
+    assert html_text.main_text(page) == "\n".join(filter(None, ["T", LONG, LONG, kept]))
+
+
+def test_ratios_part_what_is_marked_on_the_given_pages(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("html").collect()]
+    plain = [html_text.main_text(h) for h in pages]
+    draw, values = random.Random(1), html_text.Page.path_values
+    monkeypatch.setattr(html_text.Page, "path_values", lambda self, parts: {k: draw.random() for k in values(self, parts)})
+    assert sum(html_text.main_text(h) != t for h, t in zip(pages, plain)) > len(pages) // 2
+
+
 def site(seed):
     """A page of plain divisions, without any mark but its tags, and its article."""
     draw = random.Random(seed)
