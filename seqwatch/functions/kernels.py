@@ -49,6 +49,19 @@ def forward(look, init, trans, pmf, survival):
     return np.array(beliefs), np.array(ends), np.array(starts), float(total)
 
 
+def stacked_likelihoods(look, init, trans, pmf, survival) -> np.ndarray:
+    """Log likelihoods (R,) of one sequence under R models at once: init (R, K), trans (R, K, K), pmf and survival (R, K, D)."""
+    pmf, survival = pmf.transpose(0, 2, 1), survival.transpose(0, 2, 1)
+    window = np.full(pmf.shape, -np.inf)
+    window[:, 0] = init
+    for t, x in enumerate(look):
+        window = window + x
+        if t + 1 < len(look):
+            ended = lse(window + pmf, 1)
+            window = np.concatenate([lse(ended[:, :, None] + trans, 1)[:, None], window[:, :-1]], axis=1)
+    return lse(lse(window + survival, 1), 1)
+
+
 def expectations(look, init, trans, pmf, survival):
     """Expected statistics of one sequence: transitions (K, K), closed durations (K, D), the open one (K, D),
     occupancy (T, K), log likelihood."""

@@ -16,7 +16,7 @@ from seqwatch.operators import counts as C
 from seqwatch.operators import evaluate as E
 from seqwatch.operators import explore, inject, lifecycle, narrate, replies, sequence
 from seqwatch.operators import surprise as S
-from seqwatch.plans import decode, fit, joint, lexical, recipes
+from seqwatch.plans import decode, fit, joint, lexical, recipes, traces
 from seqwatch.sources import annotations, events
 from seqwatch.sources.durable import written
 from seqwatch.sources.events import table
@@ -896,6 +896,89 @@ def joint_em_iter(spark, d):
     return joint.joint_em(ticks(spark, d), joint.start(event_model(spark, d), 2, 1), 1)[0].long(spark)
 
 
+def event_joint_model(spark, d) -> joint.JointModel:
+    """The model of `event_model` with each recipe's own transitions and, for the odd ones, longer durations."""
+    m = event_model(spark, d)
+    rows = recipe_logp(spark, d).toPandas()  # recipes times states squared
+    n = int(rows["recipe"].max()) + 1
+    trans = np.full((n, *m.trans.shape), -np.inf)
+    trans[rows["recipe"], rows["from_state"], rows["to_state"]] = rows["logp"]
+    share = shares(spark, d).toPandas()
+    pi = np.full(n, -np.inf)
+    pi[share["recipe"]] = np.log(share["share"])
+    r = np.tile(m.r, (n, 1)) + (np.arange(n) % 2)[:, None]
+    return joint.JointModel(pi, np.tile(m.init, (n, 1)), trans, m.verbs, m.nouns, r, np.tile(m.p, (n, 1)), m.d_max)
+
+
+@query
+def decode_by_recipe(spark, d):
+    """Two stages: each trial's likeliest recipe, then its segments under that recipe's own tables."""
+    m = event_joint_model(spark, d)
+    return traces.decode_conditioned(traces.recipes_of(traces.packed(ticks(spark, d), HEALTHY), m, HEALTHY), m, HEALTHY)
+
+
+def healthy_trace(spark, d) -> tuple[joint.JointModel, World, DataFrame]:
+    m, w = event_joint_model(spark, d), world(spark, d)
+    return m, w, written(traces.trace_joint(w.ticks, m, HEALTHY), "trace")
+
+
+def degraded_trace(w: World, m: joint.JointModel, trace: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Errors injected into decoded trials: their ticks, the windows, the healthy segments, and the traces of the ticks."""
+    decoded = written(traces.segments_of(trace, HEALTHY), "decoded")
+    rows, windows = inject.inject(w.ticks, decoded, inject.ERROR_TYPES, NOUNS)
+    rows = written(rows, "degraded")
+    return rows, written(windows, "windows"), decoded, written(traces.trace_joint(rows, m, DEGRADED), "degraded-trace")
+
+
+@query
+def trace_joint(spark, d):
+    """Everything that the joint model says of each tick, by its belief, its decoded segments and its recipe."""
+    return rounded(healthy_trace(spark, d)[2].drop("belief"))
+
+
+@query
+def trace_flags(spark, d):
+    """Flags of the traces of the joint model, with their severity: fit, decode, score, flag."""
+    m, _, trace = healthy_trace(spark, d)
+    found = traces.flags(trace, written(traces.bundle(spark, m, [CHANNEL_ALPHA]).coalesce(1), "bundle"), HEALTHY)
+    return rounded(found.select("trial_id", "tick", "channel", "place", "recipe", "value", "threshold", S.severity(F.col("value"), F.col("threshold")).alias("severity")))
+
+
+@query
+def trace_cascade(spark, d):
+    """Flags by channel under one model of all trials, with the recipes of segments by an HMM over decoded segments."""
+    m, t = event_model(spark, d), ticks(spark, d)
+    hmm = recipes.recipe_em(segments(spark, d), 3, 5, 3, [0])[0]
+    trace = traces.trace_cascade(t, m, hmm, HEALTHY)
+    found = traces.flags(trace, traces.bundle(spark, traces.single(m), [CHANNEL_ALPHA], hmm=hmm), HEALTHY, by_recipe_path=True)
+    return found.groupBy("trial_id", "channel").agg(F.count("*").alias("flags"))
+
+
+@query
+def belief_diagnostic(spark, d):
+    return rounded(traces.belief_diagnostic(healthy_trace(spark, d)[2], HEALTHY))
+
+
+@query
+def evaluate_decoded(spark, d):
+    """By type of error: what the union of all channels finds in errors injected into decoded trials, ticks of traces."""
+    m, w, trace = healthy_trace(spark, d)
+    rows, windows, _, bad = degraded_trace(w, m, trace)
+    thresholds = written(traces.bundle(spark, m, [CHANNEL_ALPHA / 10]).coalesce(1), "bundle")
+    any_flag = lambda found, keys: found.select(*keys, "tick").distinct().withColumn("flagged", F.lit(True))
+    good = w.ticks.select("trial_id", "tick").join(any_flag(traces.flags(trace, thresholds, HEALTHY), HEALTHY), ["trial_id", "tick"], "left").fillna(False, ["flagged"])
+    return rounded(E.tick_report(E.tick_outcomes(windows, any_flag(traces.flags(bad, thresholds, DEGRADED), DEGRADED)), good))
+
+
+@query
+def junction_fates(spark, d):
+    """What becomes of never-seen moves that injected errors make: decoded away, decoded, flagged; and flipped recipes."""
+    m, w, trace = healthy_trace(spark, d)
+    rows, _, decoded, bad = degraded_trace(w, m, trace)
+    found = traces.flags(bad, written(traces.bundle(spark, m, [CHANNEL_ALPHA]).coalesce(1), "bundle"), DEGRADED)
+    return traces.junction_fates(bad, found, rows, decoded, decoded.select("trial_id", "recipe").distinct())
+
+
 @query
 def recipe_hmm(spark, d):
     """The recipe of each trial by an HMM over its segments, after three iterations."""
