@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from seqwatch.sources.durable import written
 
 
+#: Letters of two bytes from 256 on, below the surrogates.
+MOST_STATES = 0xD800 - 256
+
+
 def edit_distances(steps: DataFrame, key: str = "recipe") -> DataFrame:
     """a, b, distance of all pairs of trials of one recipe: edits between their sequences of states.
 
-    Each state is one letter, so the built-in edit distance counts steps. Pairs grow with the square of a recipe's
+    Each state is one letter, so the built-in edit distance counts steps; states from 0 to `MOST_STATES` have one. Pairs grow with the square of a recipe's
     trials, which is what is asked for; give it trials of one study, not a corpus.
     """
-    letter = F.char(F.col("state") + 65)
+    letter = F.when(F.col("state").between(0, MOST_STATES - 1), F.decode(F.unhex(F.lpad(F.hex(F.col("state") + 256), 4, "0")), "UTF-16BE")).otherwise(F.raise_error(F.lit("a state beyond those that letters stand for")))
     words = steps.groupBy("trial_id", key).agg(F.array_sort(F.collect_list(F.struct("seg_idx", letter.alias("c")))).alias("s")).select("trial_id", key, F.array_join("s.c", "").alias("w"))
     a, b = words.select(key, F.col("trial_id").alias("a"), F.col("w").alias("wa")), words.select(key, F.col("trial_id").alias("b"), F.col("w").alias("wb"))
     return a.join(b, key).filter("a < b").select(key, "a", "b", F.levenshtein("wa", "wb").alias("distance"))

@@ -35,12 +35,12 @@ def duration_questions(completed: DataFrame, segments: DataFrame, names: DataFra
     )
 
 
-def emission_questions(flags: DataFrame, ticks: DataFrame, log_nouns: DataFrame, log_verbs: DataFrame, names: DataFrame) -> DataFrame:
+def emission_questions(flags: DataFrame, ticks: DataFrame, log_nouns: DataFrame, log_verbs: DataFrame, names: DataFrame, items: DataFrame) -> DataFrame:
     """Of flagged items and actions, the most surprising tick of each segment and channel (the first of equals): what was
     seen, and what is likeliest in the believed state.
 
     `flags` has (trial_id, tick, seg_idx, channel, place, value, threshold); a tick's item is asked for only if it is more
-    surprising than its action, and the other way round.
+    surprising than its action, and the other way round. `names` has (state, name) of actions, `items` (noun_id, item).
     """
     sums = flags.groupBy("trial_id", "tick").pivot("channel", ["s_noun", "s_verb"]).agg(F.first("value")).withColumnsRenamed({"s_noun": "vn", "s_verb": "vv"})
     rows = flags.filter("channel in ('s_noun', 's_verb')").join(sums, ["trial_id", "tick"])
@@ -50,7 +50,9 @@ def emission_questions(flags: DataFrame, ticks: DataFrame, log_nouns: DataFrame,
     top = lambda t, token: t.groupBy("state").agg(F.min_by(token, F.struct(-F.round("logp", PLACES), F.col(token))).alias("likeliest")).withColumnRenamed("state", "place")
     rows = rows.join(ticks.select("trial_id", "tick", "verb_id", "noun_id"), ["trial_id", "tick"])
     item = rows.filter("channel = 's_noun'").join(top(log_nouns, "noun_id"), "place")
-    item = item.withColumn("text", F.format_string("Was 'item%d' meant here? 'item%d' was expected.", "noun_id", "likeliest")).withColumn("kind", F.lit("item_substitution"))
+    for of, alias in (("noun_id", "n_seen"), ("likeliest", "n_likeliest")):
+        item = item.join(items.select(F.col("noun_id").alias(of), F.col("item").alias(alias)), of)
+    item = item.withColumn("text", F.format_string("Was '%s' meant here? '%s' was expected.", "n_seen", "n_likeliest")).withColumn("kind", F.lit("item_substitution"))
     verb = rows.filter("channel = 's_verb'").join(top(log_verbs, "verb_id"), "place")
     for of, alias in (("verb_id", "n_seen"), ("likeliest", "n_likeliest")):
         verb = verb.join(names.select(F.col("state").alias(of), F.col("name").alias(alias)), of)

@@ -102,6 +102,27 @@ def view_disagreement(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count_distinct("l_partkey").alias("n_contents")).filter("n_contents > 1")
 
 
+def camera_files(spark, d):
+    """Line items as views of trials: the five first of an order are what five cameras saw, and so on."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1
+    cameras = [*annotations.CAMERA_PRIORITY[1:], annotations.CAMERA_PRIORITY[0]]
+    rows = table(spark, d, "lineitem").withColumn("k", k)
+    camera = F.get(F.array(*map(F.lit, cameras)), F.col("k") % len(cameras))
+    path = F.format_string("x/P%d_%s_P%d_trial%d.txt", "l_orderkey", camera, "l_orderkey", F.floor(F.col("k") / len(cameras)))
+    return rows.select(path.alias("path"), F.concat_ws("/", F.col("l_returnflag"), F.col("l_linestatus")).alias("content"))
+
+
+@query
+def canonical_cameras(spark, d):
+    return annotations.canonical_views(annotations.named_views(camera_files(spark, d))).select("trial_id", "camera", "recipe", "content")
+
+
+@query
+def camera_disagreements(spark, d):
+    return annotations.view_disagreements(annotations.named_views(camera_files(spark, d)))
+
+
 @query
 def segment_parse(spark, d):
     line = F.concat((F.col("tick") * 10 + 1).cast("string"), F.lit("-"), (F.col("tick") * 10 + 10).cast("string"), F.lit(" "), F.col("verb"), F.lit("_item_"), F.col("noun_id").cast("string"))
@@ -741,7 +762,7 @@ def effective_k(spark, d):
 REPLIES = [
     "No Anomaly", "Substitution Anomaly. Correct move would have been view item3 for 12 seconds", "omission anomaly", "I think this is a repetition, maybe click item2 for 4 seconds.",
     "Abandonment Anomaly. Correct move would have been fly item1 for 3 seconds", "who knows", "", "\n  no anomaly here", "Omission.", "Transposition anomaly. It was odd, really.",
-    "substitution: correct move would have been view_item3 for 1 second.",
+    "substitution: correct move would have been view_item3 for 1 second.", "No anomaly? Substitution anomaly, rather.",
 ]
 
 
@@ -1014,13 +1035,14 @@ def narrated_flags(spark, d):
     w = world(spark, d)
     t = channel_tables(w)
     names = events.vocabulary(table(spark, d, "events"), "event_type").select(F.col("id").alias("state"), F.col("token").alias("name"))
+    items = w.ticks.select("noun_id", F.concat(F.lit("item"), F.col("noun_id").cast("string")).alias("item")).distinct()
     numbered = R.run_numbers(w.ticks.select("trial_id", "tick", "verb_id"), ["verb_id"]).select("trial_id", "tick", "seg_idx")
     flags = written(healthy_channel_flags(w, t, [CHANNEL_ALPHA]).join(numbered, ["trial_id", "tick"]), "flags")
     flagged = S.transition_flags(S.transition_surprise(w.segments, w.logp), S.transition_thresholds(w.logp, ALPHA))
     means = C.duration_moments(C.duration_counts(w.segments, 50))
     order = narrate.order_questions(flagged, S.expected_next(w.logp).drop("logp"), sequence.bridges(w.logp), names)
     durations = narrate.duration_questions(S.completed_durations(w.segments, t.tails, D_MAX), w.segments, names, means, CHANNEL_ALPHA)
-    return narrate.narrated(order, durations, narrate.emission_questions(flags, w.ticks, t.nouns, t.verbs, names), narrate.stall_questions(flags, names, means, w.segments))
+    return narrate.narrated(order, durations, narrate.emission_questions(flags, w.ticks, t.nouns, t.verbs, names, items), narrate.stall_questions(flags, names, means, w.segments))
 
 
 def queries() -> dict[str, Query]:

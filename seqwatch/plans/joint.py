@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +54,24 @@ class JointModel:
                 rows.append((family, int(r), int(i), int(j), float(v)))
         return spark.createDataFrame(rows, "family string, r int, i int, j int, value double")
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """A checkpoint: the table appears at the path when it is complete."""
-        self.long(spark).coalesce(1).write.mode("overwrite").parquet(path)
+    def save(self, spark: SparkSession, path: str, iteration: int = 0, history: list[float] = (), temperature: float = 1.0, converged: bool = False) -> None:
+        """Adds a checkpoint, with where the fit is, to those at the path.
+
+        Each is one file in a folder of its own, which Spark's commit moves into place when it is whole; those before
+        stay as they are, so a lost driver costs one iteration at most.
+        """
+        state = [("history", 0, k, 0, float(x)) for k, x in enumerate(history)] + [("temperature", 0, 0, 0, float(temperature)), ("converged", 0, 0, 0, float(converged))]
+        rows = self.long(spark).unionByName(spark.createDataFrame(state, "family string, r int, i int, j int, value double"))
+        rows.coalesce(1).withColumn("iteration", F.lit(iteration)).write.mode("append").partitionBy("iteration").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> JointModel:
-        table = spark.read.parquet(path).toPandas()  # a model: recipes times states squared
+        """The model of the last checkpoint."""
+        return Checkpoint.load(spark, path).model
+
+    @staticmethod
+    def read(rows: DataFrame) -> JointModel:
+        table = rows.toPandas()  # a model: recipes times states squared
 
         def get(family, columns):
             t = table[table["family"] == family]
@@ -70,6 +82,37 @@ class JointModel:
         return JointModel(get("pi", "r"), get("init", "ri"), get("trans", "rij"), get("verbs", "ij"), get("nouns", "ij"), get("r", "ri"), get("p", "ri"), int(get("d_max", "r")[0]))
 
 
+@dataclass
+class Checkpoint:
+    """A model and where its fit is: iterations done, log likelihood of each, the last temperature, whether it is done."""
+
+    model: JointModel
+    iteration: int
+    history: list[float]
+    temperature: float
+    converged: bool
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Checkpoint:
+        """The last one at the path. An iteration that a resumed fit has written twice has two files; the later one counts."""
+        files = spark.read.parquet(path).select("*", F.struct("iteration", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file")).alias("of"))
+        last = files.agg(F.max("of")).first()[0]
+        rows = files.filter((F.col("iteration") == last["iteration"]) & (F.col("of.file") == last["file"])).select("family", "r", "i", "j", "value")
+        state = {(r["family"], r["i"]): r["value"] for r in rows.filter("family in ('history', 'temperature', 'converged')").collect()}
+        history = [state[k] for k in sorted(k for k in state if k[0] == "history")]
+        return Checkpoint(JointModel.read(rows), last["iteration"], history, state["temperature", 0], state["converged", 0] > 0)
+
+    @staticmethod
+    def find(spark: SparkSession, path: str) -> Checkpoint | None:
+        """The last one, or None where there is none yet."""
+        try:
+            return Checkpoint.load(spark, path)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+
 def start(model: Model, recipes: int, seed: int, strength: float = 2.0) -> JointModel:
     """A joint model around one for all recipes: each recipe's order is a draw around the common one."""
     draw = np.random.default_rng(seed)
@@ -152,17 +195,29 @@ def maximised(stats: pd.DataFrame, model: JointModel, alpha: float = 0.5, kappa:
     return new, float(get("log_z", (1, 1, 1))[0, 0, 0])
 
 
-def joint_em(ticks: DataFrame, model: JointModel, iterations: int, tol: float = 1e-3, anneal: float = 1.0, kappa: float = 2.0, checkpoint: str | None = None) -> tuple[JointModel, list[float]]:
-    """Expectation maximisation of all recipes at once; one Spark job an iteration. With `checkpoint`, the model is saved
-    there after each iteration, so that a lost driver costs one."""
-    trials, history = packed_trials(ticks).cache(), []
-    for i in range(iterations):
+def joint_em(
+    ticks: DataFrame, model: JointModel, iterations: int, tol: float = 1e-3, anneal: float = 1.0, kappa: float = 2.0, checkpoint: str | None = None, resume: bool = False
+) -> tuple[JointModel, list[float]]:
+    """Expectation maximisation of all recipes at once; one Spark job an iteration.
+
+    With `checkpoint`, the model and the state of the fit are saved there after each iteration. With `resume`, the fit
+    goes on from the last of these, with its history and where it was in the annealing; one that had converged is told
+    as it is. The last iteration of a fit that only ran out of iterations isn't converged, so a longer one goes on.
+    """
+    spark, history, done = ticks.sparkSession, [], 0
+    if resume and checkpoint and (found := Checkpoint.find(spark, checkpoint)):
+        model, history, done = found.model, found.history, found.iteration
+        if found.converged:
+            return model, history
+    trials = packed_trials(ticks).cache()
+    for i in range(done, iterations):
         temperature = max(1.0, anneal * 0.9**i)
         model, total = maximised(expected_statistics(trials, model, temperature), model, kappa=kappa)
         history.append(total)
+        converged = temperature == 1.0 and len(history) > 1 and abs(history[-1] - history[-2]) < tol
         if checkpoint:
-            model.save(ticks.sparkSession, checkpoint)
-        if temperature == 1.0 and len(history) > 1 and abs(history[-1] - history[-2]) < tol:
+            model.save(spark, checkpoint, i + 1, history, temperature, converged)
+        if converged:
             break
     trials.unpersist()
     return model, history

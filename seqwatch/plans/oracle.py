@@ -61,6 +61,11 @@ def emission(name: str, token: str, state: str = "verb_id", rows: str = "ticks")
   LEFT JOIN (SELECT {state} AS state, {token} AS token, count(*) AS n FROM {rows} WHERE {state} IS NOT NULL GROUP BY ALL) c ON c.state = a.state AND c.token = b.token)"""
 
 
+CAMERAS = """WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS k FROM lineitem),
+views AS (SELECT 'P' || l_orderkey || '_trial' || (k // 5) AS trial_id, ['cam02', 'stereo01', 'webcam01', 'webcam02', 'cam01'][k % 5 + 1] AS camera, 'trial' || (k // 5) AS recipe, l_returnflag || '/' || l_linestatus AS content FROM numbered)
+"""
+
+
 def sql(select: str, more: str = "", tau: float = 5.0) -> str:
     return "WITH " + BASE.replace("{tau}", str(tau)).strip() + more + "\n" + select
 
@@ -296,6 +301,8 @@ SQL: dict[str, str] = {
     "vocab_ids": sql("SELECT * FROM vocab"),
     "canonical_view": "SELECT l_orderkey, l_returnflag, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank FROM lineitem) WHERE rank = 1",
     "view_disagreement": "SELECT l_orderkey, l_returnflag, count(DISTINCT l_partkey) AS n_contents FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey) > 1",
+    "canonical_cameras": CAMERAS + "SELECT trial_id, camera, recipe, content FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY CASE camera WHEN 'cam01' THEN 1 WHEN 'cam02' THEN 2 WHEN 'stereo01' THEN 3 WHEN 'webcam01' THEN 4 ELSE 5 END) AS rank FROM views) WHERE rank = 1",
+    "camera_disagreements": CAMERAS + "SELECT trial_id, count(DISTINCT content)::INTEGER AS n_contents FROM views GROUP BY ALL HAVING count(DISTINCT content) > 1",
     "segment_parse": sql("SELECT trial_id, tick, verb || '_item_' || noun_id AS label, CAST(tick * 10 + 1 AS INTEGER) AS start_frame, CAST(tick * 10 + 10 AS INTEGER) AS end_frame FROM ticks WHERE tick % 7 <> 3"),
     "verb_noun_split": sql(f"SELECT trial_id, tick, CASE WHEN label = 'SIL' THEN 'stall' ELSE split_part(label, '_', 1) END AS verb, CASE WHEN label = 'SIL' THEN 'kitchen' ELSE substr(label, instr(label, '_') + 1) END AS noun FROM (SELECT *, {LABEL} AS label FROM ticks)"),
     "tick_expand_plurality": sql(expanded("verb_id", "verb_id"), FRAMES),
@@ -522,12 +529,12 @@ h{k} AS (SELECT from_state, to_state, ln(mass) - ln(greatest(sum(mass) OVER (PAR
     "batch_reply_split": sql("SELECT trial_id, seg_idx, CASE WHEN seg_idx = 2 THEN NULL WHEN state % 2 = 0 THEN 'No Anomaly' ELSE 'Omission Anomaly' END AS reply FROM segments"),
     "prefix_prompt": sql("SELECT trial_id, seg_idx, string_agg((seg_idx + 1) || '. ' || text, chr(10)) OVER (PARTITION BY trial_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING) AS prompt FROM texts", TEXTS),
     "reply_grammar": sql(
-        """SELECT doc_id, k IN (1, 2, 3, 4, 8, 9, 10) AS is_anomaly,
-  CASE WHEN k IN (1, 10) THEN 'substitution' WHEN k IN (2, 8) THEN 'omission' WHEN k = 3 THEN 'repetition' WHEN k = 4 THEN 'abandonment' WHEN k = 9 THEN 'transposition' END AS error_type,
+        """SELECT doc_id, k IN (1, 2, 3, 4, 8, 9, 10, 11) AS is_anomaly,
+  CASE WHEN k IN (1, 10, 11) THEN 'substitution' WHEN k IN (2, 8) THEN 'omission' WHEN k = 3 THEN 'repetition' WHEN k = 4 THEN 'abandonment' WHEN k = 9 THEN 'transposition' END AS error_type,
   CASE WHEN k IN (1, 10) THEN v.token WHEN k = 3 THEN c.token END AS verb,
   CASE WHEN k IN (1, 10) AND v.token IS NOT NULL THEN 'item3' WHEN k = 3 AND c.token IS NOT NULL THEN 'item2' END AS noun,
-  CASE WHEN v.token IS NOT NULL AND k = 1 THEN 12 WHEN v.token IS NOT NULL AND k = 10 THEN 1 WHEN k = 3 AND c.token IS NOT NULL THEN 4 END AS seconds, k IN (0, 1, 2, 4, 7, 8, 10) AS parse_ok
-FROM (SELECT doc_id, doc_id % 11 AS k FROM documents) LEFT JOIN vocab v ON v.token = 'view' LEFT JOIN vocab c ON c.token = 'click'"""
+  CASE WHEN v.token IS NOT NULL AND k = 1 THEN 12 WHEN v.token IS NOT NULL AND k = 10 THEN 1 WHEN k = 3 AND c.token IS NOT NULL THEN 4 END AS seconds, k IN (0, 1, 2, 4, 8, 10) AS parse_ok
+FROM (SELECT doc_id, doc_id % 12 AS k FROM documents) LEFT JOIN vocab v ON v.token = 'view' LEFT JOIN vocab c ON c.token = 'click'"""
     ),
     "canonical_recipe": sql(
         """SELECT recipe, states, n_trials, n_orders, durations FROM best JOIN (

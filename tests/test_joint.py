@@ -73,6 +73,19 @@ def test_joint_em_parts_recipes_and_resumes(spark, tmp_path):
     loaded = joint.JointModel.load(spark, path)
     for family in ("pi", "init", "trans", "verbs", "nouns", "r", "p"):
         np.testing.assert_array_equal(getattr(loaded, family), getattr(model, family))
+    state = joint.Checkpoint.load(spark, path)
+    assert (state.iteration, state.temperature) == (len(history), 1.0) and state.history == history
+    part = str(tmp_path / "part")
+    assert joint.Checkpoint.find(spark, part) is None
+    joint.joint_em(ticks, joint.start(forward, 2, 5), 3, anneal=1.5, checkpoint=part, resume=True)
+    assert not joint.Checkpoint.load(spark, part).converged
+    (tmp_path / "part" / "iteration=99" / "_temporary").mkdir(parents=True)  # what a killed driver leaves
+    resumed, told = joint.joint_em(ticks, joint.start(forward, 2, 6), 6, anneal=1.5, checkpoint=part, resume=True)
+    straight, whole = joint.joint_em(ticks, joint.start(forward, 2, 5), 6, anneal=1.5)
+    np.testing.assert_allclose(told, whole)
+    np.testing.assert_allclose(resumed.trans, straight.trans, atol=1e-6)
+    resumed.save(spark, part, 6, told, 1.0, True)
+    assert joint.joint_em(ticks, model, 50, checkpoint=part, resume=True)[1] == told
     rows = decode.recipe_posteriors(ticks, [model.recipe(0), model.recipe(1)], model.pi.tolist()).collect()
     first = {r["r_hat"] for r in rows if r["trial_id"] < 100}
     assert len(first) == 1 and {r["r_hat"] for r in rows if r["trial_id"] >= 100} == {1 - first.pop()}

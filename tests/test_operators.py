@@ -200,14 +200,15 @@ def test_rank_sum_equals_enumeration():
 def test_replies(spark):
     texts = [
         "No Anomaly", "Substitution Anomaly. Correct move would have been pour milk for 12 seconds", "Omission Anomaly", "I believe it is a repetition here, stir dough for 3 seconds", "Substitution Anomaly. Correct move would have been fly milk for 2 seconds",
-        "Teleport Anomaly", "", None, "Substitution Anomaly. Correct move would have been stir_dough for 4 seconds",
+        "Teleport Anomaly", "", None, "No anomaly? Substitution anomaly, rather.", "no anomaly here", " No anomaly!\nfine", "Substitution Anomaly. Correct move would have been stir_dough for 4 seconds",
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, reply string")
     token = lambda xs: spark.createDataFrame([(x,) for x in xs], "token string")
     found = replies.parsed_replies(df, token(["pour", "stir"]), token(["milk", "dough"])).orderBy("i").drop("i", "reply")
     assert [tuple(r) for r in found.collect()] == [
         (False, None, None, None, None, True), (True, "substitution", "pour", "milk", 12, True), (True, "omission", None, None, None, True), (True, "repetition", "stir", "dough", 3, False), (True, "substitution", None, None, None, True),
-        (False, None, None, None, None, False), (False, None, None, None, None, False), (False, None, None, None, None, False), (True, "substitution", "stir", "dough", 4, True),
+        (False, None, None, None, None, False), (False, None, None, None, None, False), (False, None, None, None, None, False),
+        (True, "substitution", None, None, None, False), (False, None, None, None, None, False), (False, None, None, None, None, True), (True, "substitution", "stir", "dough", 4, True),
     ]
 
 
@@ -223,6 +224,8 @@ def test_ari_and_clusters(spark):
 def test_edit_distance_and_fdr(spark):
     steps = spark.createDataFrame([(1, 0, i, s) for i, s in enumerate([0, 1, 2, 3])] + [(2, 0, i, s) for i, s in enumerate([0, 2, 3])], "trial_id long, recipe int, seg_idx int, state int")
     assert explore.edit_distances(steps).first()["distance"] == 1
+    far = spark.createDataFrame([(t, 0, i, s) for t, xs in enumerate([[5, 300, 7], [261, 300, 7], [5, 44, 7, 55_039]]) for i, s in enumerate(xs)], "trial_id long, recipe int, seg_idx int, state int")
+    assert {(r["a"], r["b"]): r["distance"] for r in explore.edit_distances(far).collect()} == {(0, 1): 1, (0, 2): 2, (1, 2): 3}
     tests = spark.createDataFrame([(0, 0.01), (1, 0.02), (2, 0.2), (3, 0.9)], "id int, p double")
     assert [r["rejected"] for r in explore.false_discoveries(tests).orderBy("id").collect()] == [True, True, False, False]
 
