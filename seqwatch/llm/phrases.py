@@ -22,8 +22,10 @@ REDUNDANT_PERCENT = 80
 SCALE = 2_000_000
 UNKNOWN = "und"
 #: Words that a task combines at a time, and bytes of text for one task after the shuffle.
-BATCH_WORDS = 2_000_000
+BATCH_WORDS = 500_000
 TASK_BYTES = 1 << 24
+#: A prefix is hot if it has more than this part of a task's even share of words.
+KEYS_OF_TASK = 8
 #: Partial tops of a language, so that no task sees all its candidates.
 TOP_PARTS = 64
 
@@ -96,7 +98,7 @@ def _heavy(batches, share: float):
     import pyarrow as pa
 
     out: list[tuple] = []
-    for lang, words, ranks in _word_batches(batches, 4 * BATCH_WORDS):
+    for lang, words, ranks in _word_batches(batches, 2 * BATCH_WORDS):
         n = int((ranks > 0).sum())
         out.append((lang, b"", n))
         least = max(1, share * n / 2)
@@ -248,7 +250,7 @@ def _counted(batches, hot: dict[str, set[bytes]]):
                 if now:
                     ended(*now, total, lines, keys, rows)
                     size += total if total >= LEAST_COUNT else 0
-                    if size >= BATCH_WORDS // 4:
+                    if size >= BATCH_WORDS:
                         solved(keys, rows)
                         keys, rows, size = [], [], 0
                         yield told()
@@ -268,12 +270,12 @@ def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.filter("text IS NOT NULL").select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    share = 1 / (2 * tasks)
+    share = 1 / (KEYS_OF_TASK * tasks)
     heavy = written(texts.mapInArrow(lambda b: _heavy(b, share), "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "heavy")
     lengths = heavy.filter(F.octet_length("phrase") == 0).select("lang", "n")
     all_words = lengths.agg(F.sum("n")).first()[0] or 0
     hot: dict[str, set[bytes]] = {}
-    # each has 1 / (4 tasks) of all words or more: 4 tasks of each length at most, whatever the input
+    # each has share / 2 of all words or more, so of each length there are 2 / share at most, whatever the input
     for row in heavy.filter((F.octet_length("phrase") > 0) & (F.col("n") >= share * all_words / 2)).collect():
         hot.setdefault(row["lang"], set()).add(bytes(row["phrase"]))
     lines = texts.mapInArrow(lambda b: _lines(b, hot), "lang string, key binary, n long, lines binary")
