@@ -2,8 +2,8 @@
 
 Every word of a piece of text starts a suffix of at most four words. Suffixes go to tasks by language and first word,
 equal ones of a batch as one line with a count; in a task they are sorted in descending order, and one stack counts all
-their prefixes. A first word that would outweigh a task is dealt by its first two words, such a pair by three: what tasks
-count of the shorter prefix is then added up. Scores and tests of phrases inside longer ones are joins of these counts.
+their prefixes. A first word that would outweigh a task is dealt by its first two words, such a pair by three: its
+own count is told beside them, summed over a batch first. Scores and tests of phrases inside longer ones are joins of these counts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ UNKNOWN = "und"
 BATCH_WORDS = 500_000
 TASK_BYTES = 1 << 24
 #: A prefix is hot if it has more than this part of a task's even share of words.
-KEYS_OF_TASK = 8
+KEYS_OF_TASK = 4
 #: Partial tops of a language, so that no task sees all its candidates.
 TOP_PARTS = 64
 
@@ -117,7 +117,10 @@ def _heavy(batches, share: float):
 
 
 def _lines(batches, hot: dict[str, set[bytes]]):
-    """(language, key, n, lines) of suffixes: key is the shortest prefix that isn't hot, lines have the other words."""
+    """(language, key, n, lines) of suffixes: key is the shortest prefix that isn't hot, lines have the other words.
+
+    Hot prefixes are told too, with their counts and without lines, as their suffixes have longer keys.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -126,6 +129,7 @@ def _lines(batches, hot: dict[str, set[bytes]]):
         if not len(rows):
             continue
         depth = np.ones(len(rows), np.int64)
+        heard = []
         number = {w: k for k, w in enumerate(words, start=1)}
         for phrase in hot.get(lang, ()):
             parts = [number.get(w) for w in phrase.split(b" ")]
@@ -135,6 +139,14 @@ def _lines(batches, hot: dict[str, set[bytes]]):
                 for k, part in enumerate(parts):
                     low, high = low + np.searchsorted(rows[low:high, k], part), low + np.searchsorted(rows[low:high, k], part, "right")
                 depth[low:high] = np.maximum(depth[low:high], len(parts) + 1)
+                if low < high:
+                    heard.append((lang, phrase, int(counts[low:high].sum()), None))
+        if heard:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in heard], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64(), pa.binary()))], names=["lang", "key", "n", "lines"])
+            longer = rows[np.arange(len(rows)), depth - 1] > 0  # what is a hot prefix alone has been told
+            rows, counts, depth = rows[longer], counts[longer], depth[longer]
+            if not len(rows):
+                continue
         texts = pa.array([None, *words], pa.binary())
         columns = [texts.take(pa.array(rows[:, k])) for k in range(MAX_WORDS)]
         nothing = pa.nulls(len(rows), pa.binary())
@@ -153,13 +165,13 @@ def _lines(batches, hot: dict[str, set[bytes]]):
 
 
 def _prefix_counts(rows: list[tuple], emit) -> None:
-    """Counts every prefix of the suffixes of some keys, (number of the key, its n, lines), by one stack.
+    """Counts every prefix of the suffixes of some keys, (number of the key, lines), by one stack.
 
     Calls `emit(number, words after the key, count)` for each prefix with `LEAST_COUNT` or more, the keys themselves not
     among them.
     """
     ids = _Ids()
-    text = b" \xff ".join(lines.replace(b"\n", b" \xff ") for _, _, lines in rows) + b" \xff"
+    text = b" \xff ".join(lines.replace(b"\n", b" \xff ") for _, lines in rows) + b" \xff"
     tokens = text.split()
     x = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
     names = list(ids)
@@ -176,7 +188,7 @@ def _prefix_counts(rows: list[tuple], emit) -> None:
     starts = np.concatenate([[0], np.flatnonzero(x == 0)[:-1] + 1])
     column = np.arange(len(x)) - starts[line_of]
     table = np.full((n_lines, MAX_WORDS), -1, np.int64)
-    table[:, 0] = np.repeat([r[0] for r in rows], [r[2].count(b"\n") + 1 for r in rows])
+    table[:, 0] = np.repeat([r[0] for r in rows], [r[1].count(b"\n") + 1 for r in rows])
     table[line_of[solid], column[solid] + 1] = rank[x[solid]]
     order = np.lexsort(table.T[::-1])[::-1]
     table, counts = table[order], counts[order]
@@ -205,62 +217,64 @@ def _prefix_counts(rows: list[tuple], emit) -> None:
                 emit(int(table[at, 0]), [names[ordered[r]] for r in table[at, 1 : len(stack) + 1].tolist()], total)
 
 
-def _counted(batches, hot: dict[str, set[bytes]]):
-    """(language, phrase, words, f) of frequent phrases, from lines in the order of their keys; of hot ones, partial f."""
+def _counted(batches):
+    """(language, phrase, words, f) of frequent phrases, from lines in the order of their keys."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     out: list[tuple] = []
-    parts: dict[tuple, int] = {}
+    keys: list[tuple] = []
+    rows: list[tuple] = []
+
+    def ended(lang, key, total, lines):
+        """Tells a whole key; its lines wait, as they may hold longer phrases."""
+        if total < LEAST_COUNT:
+            return 0
+        out.append((lang, key, total))
+        rows.extend((len(keys), x) for x in lines if x is not None)
+        keys.append((lang, key))
+        return total
 
-    def solved(keys: list[tuple], rows: list[tuple]):
+    def told():
         def emit(number, words, total):
             lang, key = keys[number]
             out.append((lang, b" ".join([key, *words]), total))
 
         if rows:
             _prefix_counts(rows, emit)
-
-    def ended(lang, key, total, lines, keys, rows):
-        """Tells a whole key: its own count, its share of hot prefixes; its lines wait where they may hold a phrase."""
-        split = key.split(b" ")
-        for k in range(1, len(split)):
-            prefix = (lang, b" ".join(split[:k]))
-            parts[prefix] = parts.get(prefix, 0) + total
-        if key in hot.get(lang, ()):
-            parts[lang, key] = parts.get((lang, key), 0) + total
-        elif total >= LEAST_COUNT:
-            out.append((lang, key, total))
-            rows += [(len(keys), n, x) for n, x in lines]
-            keys.append((lang, key))
-
-    def told():
         made = pa.RecordBatch.from_arrays(
             [pa.array([x[0] for x in out], pa.string()), pa.array([x[1].decode("utf-8", "surrogatepass") for x in out], pa.string()), pa.array([x[1].count(b" ") + 1 for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64())],
             names=["lang", "phrase", "words", "f"],
         )
-        out.clear()
+        for waiting in (out, keys, rows):
+            waiting.clear()
         return made
 
-    now, total, size, lines = None, 0, 0, []
-    keys: list[tuple] = []
-    rows: list[tuple] = []
+    held, size = None, 0
     for batch in batches:
-        for lang, key, n, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "key", "n", "lines")), strict=True):
-            if (lang, key) != now:
-                if now:
-                    ended(*now, total, lines, keys, rows)
-                    size += total if total >= LEAST_COUNT else 0
-                    if size >= BATCH_WORDS:
-                        solved(keys, rows)
-                        keys, rows, size = [], [], 0
-                        yield told()
-                now, total, lines = (lang, key), 0, []
-            total += n
-            lines.append((n, text))
-    if now:
-        ended(*now, total, lines, keys, rows)
-    solved(keys, rows)
-    out += [(lang, phrase, n) for (lang, phrase), n in parts.items()]
+        if not batch.num_rows:
+            continue
+        lang, key, lines = (batch.column(c) for c in ("lang", "key", "lines"))
+        n = batch.column("n").to_numpy()
+        same = pc.and_(pc.equal(key[1:], key[:-1]), pc.equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False).astype(bool)
+        starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
+        stops = np.append(starts[1:], batch.num_rows)
+        totals = np.add.reduceat(n, starts)
+        first = 0
+        if held and held[:2] == (lang[0].as_py(), key[0].as_py()):
+            held = (*held[:2], held[2] + int(totals[0]), held[3] + lines[: stops[0]].to_pylist())
+            first = 1
+        if first < len(starts):
+            if held:
+                size += ended(*held)
+            for k in (first + np.flatnonzero(totals[first:-1] >= LEAST_COUNT)).tolist():
+                size += ended(lang[starts[k]].as_py(), key[starts[k]].as_py(), int(totals[k]), lines[starts[k] : stops[k]].to_pylist())
+            held = (lang[starts[-1]].as_py(), key[starts[-1]].as_py(), int(totals[-1]), lines[starts[-1] :].to_pylist())
+        if size >= BATCH_WORDS:
+            yield told()
+            size = 0
+    if held:
+        ended(*held)
     yield told()
 
 
@@ -280,8 +294,7 @@ def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         hot.setdefault(row["lang"], set()).add(bytes(row["phrase"]))
     lines = texts.mapInArrow(lambda b: _lines(b, hot), "lang string, key binary, n long, lines binary")
     dealt = lines.repartition(tasks, "lang", "key").sortWithinPartitions("lang", "key")
-    counted = dealt.mapInArrow(lambda b: _counted(b, hot), "lang string, phrase string, words int, f long")
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= LEAST_COUNT), lengths
+    return dealt.mapInArrow(_counted, "lang string, phrase string, words int, f long"), lengths
 
 
 def collocations(docs: DataFrame) -> DataFrame:

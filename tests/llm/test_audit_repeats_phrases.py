@@ -265,7 +265,7 @@ def test_hot_words_are_dealt_by_longer_prefixes(monkeypatch, batch_words):
     for hot in ({}, {"en": {b"the"}}, {"en": {b"the", b"the cat"}}, {"en": {b"the", b"the cat", b"the cat sat"}}):
         lines = pa.Table.from_batches(phrases._lines(batches, hot)).sort_by("key").combine_chunks().to_batches()
         found = Counter()
-        for out in phrases._counted(lines, hot):
+        for out in phrases._counted(lines):
             for lang, phrase, words, f in zip(*(out.column(k).to_pylist() for k in range(4))):
                 assert words == len(phrase.split())
                 found[lang, tuple(phrase.split())] += f
