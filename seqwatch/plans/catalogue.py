@@ -14,7 +14,7 @@ from seqwatch.functions import runs as R
 from seqwatch.operators import channels
 from seqwatch.operators import counts as C
 from seqwatch.operators import evaluate as E
-from seqwatch.operators import explore, inject, lifecycle, narrate, replies, sequence
+from seqwatch.operators import explore, inject, lifecycle, narrate, operating, replies, sequence
 from seqwatch.operators import surprise as S
 from seqwatch.plans import decode, fit, joint, lexical, recipes, traces
 from seqwatch.sources import annotations, events
@@ -583,17 +583,23 @@ def type_confusion(spark, d):
     return found.groupBy("error_type", "predicted").agg(F.count("*").alias("steps"))
 
 
-def judged_ticks(w: Degraded, t: channels.Tables, alphas: list[float], by_channel: bool = False) -> DataFrame:
-    """Ticks of healthy and degraded trials: key, seg_idx, is_error, is_positive, and the alphas at which they are flagged."""
+def true_ticks(w: Degraded) -> DataFrame:
+    """Ticks of healthy and degraded trials: key, tick, seg_idx, is_error, is_positive."""
     truth = written(E.truth_steps(w.steps, w.windows).select(*DEGRADED, "seg_idx"), "truth")
     positive = truth.unionByName(E.debris_steps(w.rows, truth)).withColumn("is_positive", F.lit(True))
     key = F.concat_ws("/", F.col("trial_id").cast("string"), "error_type")
     bad = w.rows.select(*DEGRADED, "tick", "seg_idx").join(positive, [*DEGRADED, "seg_idx"], "left").select(key.alias("key"), "tick", "seg_idx", F.lit(True).alias("is_error"), F.coalesce("is_positive", F.lit(False)).alias("is_positive"))
     good = R.run_numbers(w.ticks.select("trial_id", "tick", "verb_id"), ["verb_id"]).select(F.col("trial_id").cast("string").alias("key"), "tick", "seg_idx", F.lit(False).alias("is_error"), F.lit(False).alias("is_positive"))
+    return bad.unionByName(good)
+
+
+def judged_ticks(w: Degraded, t: channels.Tables, alphas: list[float], by_channel: bool = False) -> DataFrame:
+    """Ticks of healthy and degraded trials: key, seg_idx, is_error, is_positive, and the alphas at which they are flagged."""
+    key = F.concat_ws("/", F.col("trial_id").cast("string"), "error_type")
     flags = degraded_channel_flags(w, t, alphas).select(key.alias("key"), "tick", "channel", "alpha").unionByName(healthy_channel_flags(w, t, alphas).select(F.col("trial_id").cast("string").alias("key"), "tick", "channel", "alpha"))
     group = ["key", "tick", *(["channel"] if by_channel else [])]
     flags = flags.groupBy(*group).agg(F.collect_set("alpha").alias("alphas"))  # a few alphas
-    return bad.unionByName(good).join(flags, ["key", "tick"], "left")
+    return true_ticks(w).join(flags, ["key", "tick"], "left")
 
 
 @query
@@ -631,6 +637,30 @@ def channel_sweep(spark, d):
     return rounded(cells.select("channel", "alpha", "tp", "fp", "fn", "tn", *E.rates(*map(F.col, ("tp", "fp", "fn", "tn")))))
 
 
+def all_points(spark, d) -> DataFrame:
+    w = degraded(spark, d)
+    t = channel_tables(w)
+    key = F.concat_ws("/", F.col("trial_id").cast("string"), "error_type")
+    tails = written(operating.tail_masses(t).coalesce(1), "tails")
+    bad = operating.least_alphas(channels.scores(w.rows, recipe_steps(w), DEGRADED, t), tails).select(key.alias("key"), "tick", "channel", "alpha")
+    good = operating.least_alphas(channels.scores(w.ticks, healthy_steps(w), HEALTHY, t), tails).select(F.col("trial_id").cast("string").alias("key"), "tick", "channel", "alpha")
+    rows = written(true_ticks(w), "true-ticks")
+    parts = events.split_parts(rows.select("key", F.split_part("key", F.lit("/"), F.lit(1)).cast("long").alias("trial_id")).distinct()).join(rows.select("key", F.split_part("key", F.lit("/"), F.lit(1)).cast("long").alias("trial_id")).distinct(), "trial_id").select("key", "part")
+    return operating.operating_points(rows, bad.unionByName(good), parts)
+
+
+@query
+def operating_points(spark, d):
+    """Confusion counts of steps and of trials with location, by channel and part, at every alpha where they change."""
+    return all_points(spark, d)
+
+
+@query
+def tuned_points(spark, d):
+    """The alpha of each channel that is best on training trials, and what it does on test trials."""
+    return rounded(operating.tuned(written(all_points(spark, d), "points")))
+
+
 @query
 def coordinate_sweep(spark, d):
     """The alphas that a sweep of one channel after another chooses; iterative, so without SQL."""

@@ -264,6 +264,45 @@ marks AS (SELECT trial_id || '/' || error_type AS key, tick, channel, alpha FROM
 world AS (SELECT d.trial_id || '/' || d.error_type AS key, tick, d.seg_idx, true AS e, p.seg_idx IS NOT NULL AS p FROM dnumbered d LEFT JOIN positive p ON p.trial_id = d.trial_id AND p.error_type = d.error_type AND p.seg_idx = d.seg_idx
   UNION ALL SELECT trial_id::VARCHAR, tick, seg_idx, false, false FROM numbered)"""
 )
+def tails_of() -> str:
+    """CTE masses: (channel, place, recipe, level, tail), the mass of scores as great or greater; null at the lowest level."""
+    rows = [f"SELECT '{c}' AS channel, {place} AS place, {recipe} AS recipe, score, mass FROM ({support})" for c, (support, place, recipe) in {
+        "s_verb": ("SELECT state, -logp AS score, exp(logp) AS mass FROM ev", "state", "NULL::INTEGER"),
+        "s_noun": ("SELECT state, -logp AS score, exp(logp) AS mass FROM en", "state", "NULL::INTEGER"),
+        "s_emit": ("SELECT state, -ev.logp - en.logp AS score, exp(ev.logp + en.logp) AS mass FROM ev JOIN en USING (state)", "state", "NULL::INTEGER"),
+        "s_transition": (TRANSITION, "from_state", "NULL::INTEGER"),
+        "s_recipe_transition": ("SELECT recipe, from_state, m.logp - r.logp AS score, exp(r.logp) AS mass FROM rlogp r JOIN marginal m USING (from_state, to_state)", "from_state", "recipe"),
+    }.items()]
+    return ",\nlevels AS (SELECT channel, place, recipe, round(score, 9) AS level, sum(mass) AS mass FROM (" + " UNION ALL ".join(rows) + """) WHERE mass > 0 GROUP BY ALL),
+masses AS (SELECT *, CASE WHEN level > min(level) OVER (PARTITION BY channel, place, recipe) THEN sum(mass) OVER (PARTITION BY channel, place, recipe ORDER BY level DESC) END AS tail FROM levels)"""
+
+
+POINTS = (
+    BOTH
+    + ",\nbundle AS (SELECT '' AS channel, 0 AS place, 0 AS recipe, 0.1::DOUBLE AS alpha, 0.0::DOUBLE AS threshold WHERE false)"
+    + channel_flags("hf", "after", "hst", "trial_id")
+    + channel_flags("df", "dticks", "dst", "trial_id, error_type")
+    + tails_of()
+    + JUDGED
+    + """,
+heard AS (SELECT key, tick, channel, round(alpha, 9) AS alpha FROM (
+  SELECT s.key, tick, s.channel, CASE WHEN s.channel IN ('s_temporal', 's_dur_two') THEN exp(-value) ELSE m.tail END AS alpha FROM (
+    SELECT trial_id || '/' || error_type AS key, tick, channel, place, recipe, value FROM df_scores UNION ALL SELECT trial_id::VARCHAR, tick, channel, place, recipe, value FROM hf_scores) s
+  LEFT JOIN masses m ON m.channel = s.channel AND m.place = s.place AND m.recipe IS NOT DISTINCT FROM s.recipe AND m.level = round(value, 9)) WHERE round(alpha, 9) < 1),
+parted AS (SELECT *, CASE WHEN CAST(split_part(key, '/', 1) AS BIGINT) % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM world),
+spoken AS (SELECT p.*, unnest([channel, 'all']) AS channel, alpha FROM parted p JOIN heard USING (key, tick)),
+stepped AS (SELECT key, part, seg_idx, bool_or(p) AS p FROM parted GROUP BY ALL),
+totals_ AS (SELECT 'step' AS level, part, count(*) FILTER (p) AS positives, count(*) FILTER (NOT p) AS negatives FROM stepped GROUP BY ALL
+  UNION ALL SELECT 'trial_loc', part, count(DISTINCT key) FILTER (e), count(DISTINCT key) FILTER (NOT e) FROM parted GROUP BY ALL),
+changes AS (
+  SELECT 'step' AS level, part, channel, alpha, CASE WHEN p THEN 1 ELSE 0 END AS tp, CASE WHEN p THEN 0 ELSE 1 END AS fp, CASE WHEN p THEN 0 ELSE 1 END AS gone
+  FROM (SELECT key, part, seg_idx, channel, min(alpha) AS alpha FROM spoken GROUP BY ALL) JOIN stepped USING (key, part, seg_idx)
+  UNION ALL SELECT 'trial_loc', part, channel, alpha, CASE WHEN e AND p THEN 1 ELSE 0 END, CASE WHEN e AND p THEN 0 ELSE 1 END, CASE WHEN e THEN 0 ELSE 1 END
+  FROM (SELECT key, part, e, p, channel, min(alpha) AS alpha FROM spoken GROUP BY ALL)
+  UNION ALL SELECT level, part, unnest(['s_transition', 's_dur_two', 's_temporal', 's_noun', 's_verb', 's_recipe_transition', 's_emit', 'all']), 0, 0, 0, 0 FROM totals_),
+runs_ AS (SELECT level, part, channel, alpha, sum(sum(tp)) OVER w AS tp, sum(sum(fp)) OVER w AS fp, sum(sum(gone)) OVER w AS gone FROM changes GROUP BY level, part, channel, alpha WINDOW w AS (PARTITION BY level, part, channel ORDER BY alpha)),
+points AS (SELECT s.level, channel, s.part, alpha, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(positives - tp AS BIGINT) AS fn, CAST(negatives - gone AS BIGINT) AS tn FROM runs_ s JOIN totals_  t ON t.level = s.level AND t.part = s.part)"""
+)
 RATES = """round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
   round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS fpr"""
 CELLS = "count(*) FILTER (p AND f) AS tp, count(*) FILTER (NOT p AND f) AS fp, count(*) FILTER (p AND NOT f) AS fn, count(*) FILTER (NOT p AND NOT f) AS tn"
@@ -303,6 +342,16 @@ SQL: dict[str, str] = {
     "view_disagreement": "SELECT l_orderkey, l_returnflag, count(DISTINCT l_partkey) AS n_contents FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey) > 1",
     "canonical_cameras": CAMERAS + "SELECT trial_id, camera, recipe, content FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY CASE camera WHEN 'cam01' THEN 1 WHEN 'cam02' THEN 2 WHEN 'stereo01' THEN 3 WHEN 'webcam01' THEN 4 ELSE 5 END) AS rank FROM views) WHERE rank = 1",
     "camera_disagreements": CAMERAS + "SELECT trial_id, count(DISTINCT content)::INTEGER AS n_contents FROM views GROUP BY ALL HAVING count(DISTINCT content) > 1",
+    "operating_points": sql("SELECT level, channel, part, alpha, tp, fp, fn, tn FROM points", POINTS),
+    "tuned_points": sql(
+        "SELECT t.level, t.channel, round(t.alpha, 6) AS alpha, " + ", ".join(f"{p}.{c} AS {n}_{c}" for p, n in (("t", "train"), ("s", "test")) for c in ("tp", "fp", "fn", "tn")) + ", "
+        + ", ".join(f"round({e.format(p=p)}, 6) AS {n}_{r}" for p, n in (("t", "train"), ("s", "test")) for r, e in {
+            "accuracy": "({p}.tp + {p}.tn) / ({p}.tp + {p}.fp + {p}.fn + {p}.tn)", "precision": "coalesce({p}.tp / nullif({p}.tp + {p}.fp, 0), 0)", "recall": "coalesce({p}.tp / nullif({p}.tp + {p}.fn, 0), 0)",
+            "f1": "coalesce(2 * {p}.tp / nullif(2 * {p}.tp + {p}.fp + {p}.fn, 0), 0)", "fpr": "coalesce({p}.fp / nullif({p}.fp + {p}.tn, 0), 0)"}.items())
+        + """ FROM best t LEFT JOIN (SELECT p.*, row_number() OVER (PARTITION BY p.level, p.channel ORDER BY p.alpha DESC) AS rank FROM points p JOIN best b ON b.level = p.level AND b.channel = p.channel AND p.alpha <= b.alpha WHERE p.part = 'test') s
+  ON s.level = t.level AND s.channel = t.channel AND s.rank = 1""",
+        POINTS + ",\nbest AS (SELECT * FROM points WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY level, channel ORDER BY round((tp + tn) / (tp + fp + fn + tn), 9) DESC, alpha) = 1)",
+    ),
     "segment_parse": sql("SELECT trial_id, tick, verb || '_item_' || noun_id AS label, CAST(tick * 10 + 1 AS INTEGER) AS start_frame, CAST(tick * 10 + 10 AS INTEGER) AS end_frame FROM ticks WHERE tick % 7 <> 3"),
     "verb_noun_split": sql(f"SELECT trial_id, tick, CASE WHEN label = 'SIL' THEN 'stall' ELSE split_part(label, '_', 1) END AS verb, CASE WHEN label = 'SIL' THEN 'kitchen' ELSE substr(label, instr(label, '_') + 1) END AS noun FROM (SELECT *, {LABEL} AS label FROM ticks)"),
     "tick_expand_plurality": sql(expanded("verb_id", "verb_id"), FRAMES),
