@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqwatch.sources.durable import written
@@ -123,6 +123,118 @@ def false_discoveries(tests: DataFrame, q: float = 0.10) -> DataFrame:
     return rows.join(F.broadcast(last), F.lit(True)).withColumn("rejected", F.col("rank") <= F.col("last")).drop("last")  # one row
 
 
+def binomial_p(k: Column, n: Column, rate: Column) -> Column:
+    """Two-sided exact p of k of n at a rate strictly between 0 and 1: the mass of counts that are no likelier than k.
+
+    One pass over the counts from 0 to n, each log mass from the one before.
+    """
+    odds = F.log(rate) - F.log(1 - rate)
+    step = lambda i: F.log((n - i + 1) / i) + odds  # noqa: E731  from i - 1 to i
+    none = n * F.log(1 - rate)
+    upto = lambda m: F.when(m >= 1, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
+    own = F.aggregate(upto(k), none, lambda a, i: a + step(i)) + NEAR
+    seen = lambda log_mass: F.when(log_mass <= own, F.exp(log_mass)).otherwise(0.0)
+    start = F.struct(none.alias("m"), seen(none).alias("p"))
+    return F.least(F.aggregate(upto(n), start, lambda a, i: F.struct((a["m"] + step(i)).alias("m"), (a["p"] + seen(a["m"] + step(i))).alias("p")), lambda a: a["p"]), F.lit(1.0))
+
+
+#: Masses that differ by less are equal.
+NEAR = 1e-7
+
+
+def ingredient_tests(uses: DataFrame, least_trials: int = 3, least_uses: int = 5, q: float = 0.10) -> DataFrame:
+    """participant, item, k, n, rate, p, rank, rejected: whether a participant uses an item oftener or less often than all do.
+
+    `uses` has (participant, trial, item), an item in a trial once or more; a trial without items has one row with a null
+    item. Items in fewer than `least_uses` trials, those in all trials and participants with fewer than `least_trials` are
+    left out. The share of false discoveries among the rejected is bounded by q.
+    """
+    once = uses.distinct()
+    trials = once.groupBy("participant").agg(F.count_distinct("trial").cast("int").alias("n"))
+    total = trials.agg(F.sum("n").alias("total"))
+    items = once.filter("item IS NOT NULL").groupBy("item").agg(F.count("*").alias("used")).filter(F.col("used") >= least_uses)
+    rates = items.join(F.broadcast(total), F.lit(True)).filter("used < total").select("item", (F.col("used") / F.col("total")).alias("rate"))  # one row each, of a vocabulary
+    counts = once.groupBy("participant", "item").agg(F.count("*").cast("int").alias("k"))
+    cells = trials.filter(F.col("n") >= least_trials).join(F.broadcast(rates), F.lit(True)).join(counts, ["participant", "item"], "left").fillna(0, ["k"])
+    tests = written(cells.withColumn("p", F.round(binomial_p(F.col("k"), F.col("n"), F.col("rate")), 9)).withColumn("id", F.struct("participant", "item")), "tests")
+    found = false_discoveries(tests.select("id", "p"), q).select("id.*", "rank", "rejected")
+    return tests.drop("id").join(found, ["participant", "item"]).select("participant", "item", "k", "n", "rate", "p", "rank", "rejected")
+
+
+def average_linkage(distances: np.ndarray, clusters: int) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """(cluster of each element, numbered by first element; merges as (smallest elements of both, distance)): the pair of
+    clusters with the least mean distance merges first, of equals that with the smallest elements."""
+    n = len(distances)
+    d = distances.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    sizes, member, merges = np.ones(n), np.arange(n), []
+    for _ in range(n - clusters):
+        a, b = divmod(int(np.round(d, 9).argmin()), n)
+        a, b = min(a, b), max(a, b)
+        merges.append((a, b, float(d[a, b])))
+        mean = (sizes[a] * d[a] + sizes[b] * d[b]) / (sizes[a] + sizes[b])
+        d[a], d[:, a] = mean, mean
+        d[a, a], d[b], d[:, b] = np.inf, np.inf, np.inf
+        sizes[a] += sizes[b]
+        member[member == b] = a
+    return np.unique(member, return_inverse=True)[1], merges
+
+
+def order_clusters(pairs: DataFrame, key: str = "recipe", clusters: int = 2, least_n: int = 6) -> DataFrame:
+    """`key`, trial_id, cluster, from the distances (key, a, b, distance) of all pairs of trials of each key.
+
+    A key's distances are one matrix in one task; like the pairs themselves, they are those of a study. Keys with fewer
+    than `least_n` trials are left out.
+    """
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([rows["a"], rows["b"]]))
+        if len(ids) < least_n:
+            return pd.DataFrame({key: [], "trial_id": [], "cluster": []})
+        d = np.zeros((len(ids), len(ids)))
+        a, b = np.searchsorted(ids, rows["a"]), np.searchsorted(ids, rows["b"])
+        d[a, b] = d[b, a] = rows["distance"]
+        return pd.DataFrame({key: rows[key].iloc[0], "trial_id": ids, "cluster": average_linkage(d, clusters)[0]})
+
+    kind = dict(pairs.dtypes)[key]
+    return pairs.groupBy(key).applyInPandas(fit, f"{key} {kind}, trial_id long, cluster int")
+
+
+def within_distance(members: DataFrame, pairs: DataFrame, by: list[str], key: str = "recipe") -> DataFrame:
+    """`by` and the mean over clusters of the mean distance within each, clusters of one trial left out.
+
+    `members` has (*by, trial_id, cluster), `by` with `key` among them.
+    """
+    of = lambda name: members.select(*by, F.col("trial_id").alias(name), "cluster")
+    same = pairs.join(of("a"), [key, "a"]).join(of("b"), [*by, "b", "cluster"])
+    return same.groupBy(*by, "cluster").agg(F.avg("distance").alias("mean")).groupBy(*by).agg(F.avg("mean").alias("within"))
+
+
+def permuted(members: DataFrame, draws: int, seed: int, key: str = "recipe") -> DataFrame:
+    """(key, draw, trial_id, cluster): the trials of each key dealt anew to clusters of the same sizes, `draws` times.
+
+    The order of a draw is that of a hash of seed, draw and trial, so it is the same in every run.
+    """
+    rows = members.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    nth = F.row_number().over(Window.partitionBy(key, "draw").orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), "draw", "trial_id")), "trial_id"))
+    place = F.row_number().over(Window.partitionBy(key, "draw").orderBy("cluster", "trial_id"))
+    dealt = rows.select(key, "draw", nth.alias("nth"), "trial_id").join(rows.select(key, "draw", place.alias("nth"), "cluster"), [key, "draw", "nth"])
+    return dealt.drop("nth")
+
+
+def order_structure(steps: DataFrame, key: str = "recipe", clusters: int = 2, draws: int = 100, seed: int = 0) -> DataFrame:
+    """By key: trials, size of the smallest cluster, mean distance within clusters, the mean and deviation of the same over
+    random splits into clusters of these sizes, and the share of those that are looser: near 1 if the orders really part.
+    """
+    pairs = written(edit_distances(steps, key), "pairs")
+    members = written(order_clusters(pairs, key, clusters), "members")
+    null = within_distance(permuted(members, draws, seed, key), pairs, [key, "draw"], key)
+    observed = within_distance(members, pairs, [key], key).withColumnRenamed("within", "observed")
+    sizes = members.groupBy(key, "cluster").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("trials"), F.min("n").alias("least"))
+    looser = F.avg((F.round("within", 9) > F.round("observed", 9)).cast("int"))
+    return sizes.join(observed, key).join(null, key).groupBy(key, "trials", "least", "observed").agg(F.avg("within").alias("null_mean"), F.stddev_pop("within").alias("null_sd"), looser.alias("looser"))
+
+
 def spherical_kmeans(bags: DataFrame, k: int, iterations: int = 20) -> DataFrame:
     """trial_id, cluster of unit-length bags (trial_id, item, weight): assignment by cosine, centres by grouped sums.
 

@@ -856,6 +856,18 @@ def bh_fdr(spark, d):
     return rounded(explore.false_discoveries(rows))
 
 
+@query
+def ingredient_tests(spark, d):
+    """Whether a trial's blocks of ten ticks hold an item oftener or less often than those of all trials do."""
+    uses = ticks(spark, d).select(F.col("trial_id").alias("participant"), F.floor(F.col("tick") / 10).alias("trial"), F.col("noun_id").alias("item"))
+    return rounded(explore.ingredient_tests(uses))
+
+
+@query
+def order_structure(spark, d):
+    return rounded(explore.order_structure(segments(spark, d)))
+
+
 @query
 def duration_power(spark, d):
     return S.duration_power(segments(spark, d), D_MAX, [0.02, 0.05, 0.1, 0.3, 0.5])

@@ -352,6 +352,17 @@ SQL: dict[str, str] = {
   ON s.level = t.level AND s.channel = t.channel AND s.rank = 1""",
         POINTS + ",\nbest AS (SELECT * FROM points WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY level, channel ORDER BY round((tp + tn) / (tp + fp + fn + tn), 9) DESC, alpha) = 1)",
     ),
+    "ingredient_tests": sql(
+        """SELECT participant, item, k, n, round(rate, 6) AS rate, round(p, 6) AS p, rank, rank <= (SELECT coalesce(max(rank) FILTER (p <= rank / m * 0.1), 0) FROM ranked_) AS rejected FROM ranked_""",
+        """,
+uses AS (SELECT DISTINCT trial_id AS participant, tick // 10 AS trial, noun_id AS item FROM ticks),
+each_ AS (SELECT participant, CAST(count(DISTINCT trial) AS INTEGER) AS n FROM uses GROUP BY participant),
+rates_ AS (SELECT item, used / total AS rate FROM (SELECT item, count(*) AS used FROM uses GROUP BY item), (SELECT sum(n) AS total FROM each_) WHERE used >= 5 AND used < total),
+cells_ AS (SELECT e.participant, r.item, CAST(coalesce(u.k, 0) AS INTEGER) AS k, n, rate FROM each_ e CROSS JOIN rates_ r LEFT JOIN (SELECT participant, item, count(*) AS k FROM uses GROUP BY ALL) u ON u.participant = e.participant AND u.item = r.item WHERE n >= 3),
+mass_ AS (SELECT *, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(rate) + (n - i) * ln(1 - rate) AS m FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM cells_)),
+tests_ AS (SELECT participant, item, k, n, rate, round(least(1, sum(exp(m)) FILTER (m <= own + 1e-7)), 9) AS p FROM (SELECT *, max(CASE WHEN i = k THEN m END) OVER (PARTITION BY participant, item) AS own FROM mass_) GROUP BY ALL),
+ranked_ AS (SELECT *, CAST(row_number() OVER (ORDER BY p, participant, item) AS INTEGER) AS rank, count(*) OVER () AS m FROM tests_)""",
+    ),
     "segment_parse": sql("SELECT trial_id, tick, verb || '_item_' || noun_id AS label, CAST(tick * 10 + 1 AS INTEGER) AS start_frame, CAST(tick * 10 + 10 AS INTEGER) AS end_frame FROM ticks WHERE tick % 7 <> 3"),
     "verb_noun_split": sql(f"SELECT trial_id, tick, CASE WHEN label = 'SIL' THEN 'stall' ELSE split_part(label, '_', 1) END AS verb, CASE WHEN label = 'SIL' THEN 'kitchen' ELSE substr(label, instr(label, '_') + 1) END AS noun FROM (SELECT *, {LABEL} AS label FROM ticks)"),
     "tick_expand_plurality": sql(expanded("verb_id", "verb_id"), FRAMES),
