@@ -20,6 +20,7 @@ from seqwatch.plans import decode, fit, joint, lexical, recipes, traces
 from seqwatch.sources import annotations, events
 from seqwatch.sources.durable import written
 from seqwatch.sources.events import table
+from seqwatch.streaming import alarms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -397,6 +398,15 @@ for _kind in inject.ERROR_TYPES:
     query(_inject)
 
 
+@query
+def stall_alarms(spark, d):
+    """Segments that outlast their state's limit in time, up to the last event: what timers on a stream would tell."""
+    t = ticks(spark, d).select("trial_id", F.col("ts").cast("timestamp").alias("ts"), F.col("verb_id").alias("state"))
+    until = t.agg(F.max("ts").cast("string")).first()[0]
+    found = alarms.stalls(t, {k: (k + 1) * 6 * 3_600_000 for k in range(5)}, until)
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "alarm")})
+
+
 @query
 def inject_stall(spark, d):
     s = segments(spark, d)

@@ -362,6 +362,11 @@ cells_ AS (SELECT e.participant, r.item, CAST(coalesce(u.k, 0) AS INTEGER) AS k,
 mass_ AS (SELECT *, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(rate) + (n - i) * ln(1 - rate) AS m FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM cells_)),
 tests_ AS (SELECT participant, item, k, n, rate, round(least(1, sum(exp(m)) FILTER (m <= own + 1e-7)), 9) AS p FROM (SELECT *, max(CASE WHEN i = k THEN m END) OVER (PARTITION BY participant, item) AS own FROM mass_) GROUP BY ALL),
 ranked_ AS (SELECT *, CAST(row_number() OVER (ORDER BY p, participant, item) AS INTEGER) AS rank, count(*) OVER () AS m FROM tests_)""",
+    ),
+    "stall_alarms": sql(
+        "SELECT trial_id, ts AS started, state, alarm FROM (SELECT *, ts + to_hours((state + 1) * 6) AS alarm, coalesce(lead(ts) OVER (PARTITION BY trial_id ORDER BY ts), (SELECT max(ts) FROM ticks)) AS until FROM changes_ WHERE before IS NULL OR before <> state) WHERE alarm < until",
+        """,
+changes_ AS (SELECT *, lag(state) OVER (PARTITION BY trial_id ORDER BY ts) AS before FROM (SELECT trial_id, ts, min(verb_id) AS state FROM ticks GROUP BY ALL))""",
     ),
     "segment_parse": sql("SELECT trial_id, tick, verb || '_item_' || noun_id AS label, CAST(tick * 10 + 1 AS INTEGER) AS start_frame, CAST(tick * 10 + 10 AS INTEGER) AS end_frame FROM ticks WHERE tick % 7 <> 3"),
     "verb_noun_split": sql(f"SELECT trial_id, tick, CASE WHEN label = 'SIL' THEN 'stall' ELSE split_part(label, '_', 1) END AS verb, CASE WHEN label = 'SIL' THEN 'kitchen' ELSE substr(label, instr(label, '_') + 1) END AS noun FROM (SELECT *, {LABEL} AS label FROM ticks)"),
