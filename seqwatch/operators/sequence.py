@@ -22,6 +22,14 @@ def bridges(logp: DataFrame) -> DataFrame:
     return top.join(logp, ["from_state", "to_state"]).select("from_state", "to_state", "bridge", (F.col("two_hop") - F.col("logp")).alias("gain"))
 
 
+def lookup_table(logp: DataFrame) -> DataFrame:
+    """One row: `t`, an array by from_state of arrays by to_state, null where there is no transition; a model's table."""
+    rows = logp.groupBy("from_state").agg(F.map_from_entries(F.collect_list(F.struct("to_state", "logp"))).alias("m"), F.max(F.greatest("from_state", "to_state")).alias("top"))
+    one = rows.agg(F.map_from_entries(F.collect_list(F.struct("from_state", "m"))).alias("m"), F.max("top").alias("top"))
+    states = F.sequence(F.lit(0), "top")
+    return one.select(F.transform(states, lambda x: F.transform(states, lambda y: F.col("m")[x][y])).alias("t"))
+
+
 def swap_gains(segments: DataFrame, logp: DataFrame) -> DataFrame:
     """Each junction's gain in log probability if its two segments changed places.
 
@@ -29,8 +37,10 @@ def swap_gains(segments: DataFrame, logp: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("trial_id").orderBy("seg_idx")
     rows = segments.select("trial_id", "seg_idx", F.col("state").alias("a"), F.lead("state", 1).over(w).alias("b"), F.lag("state", 1).over(w).alias("before"), F.lead("state", 2).over(w).alias("after")).filter("b is not null")
-    for name, x, y in (("old", "a", "b"), ("new", "b", "a"), ("old_in", "before", "a"), ("new_in", "before", "b"), ("old_out", "b", "after"), ("new_out", "a", "after")):
-        rows = rows.join(logp.select(F.col("from_state").alias(x), F.col("to_state").alias(y), F.col("logp").alias(name)), [x, y], "left")
+    rows = rows.join(F.broadcast(lookup_table(logp)), F.lit(True))  # one row
+    at = lambda x, y: F.get(F.get("t", F.col(x)), F.col(y))
+    pairs = {"old": ("a", "b"), "new": ("b", "a"), "old_in": ("before", "a"), "new_in": ("before", "b"), "old_out": ("b", "after"), "new_out": ("a", "after")}
+    rows = rows.withColumns({name: at(*pair) for name, pair in pairs.items()}).drop("t")
     same = lambda x, y, c: F.when(F.col(x) == F.col(y), F.lit(float("-inf"))).otherwise(F.coalesce(c, F.lit(0.0)))
     into = F.when(F.col("before").isNull(), 0.0).otherwise(same("before", "b", F.col("new_in")) - same("before", "a", F.col("old_in")))
     out = F.when(F.col("after").isNull(), 0.0).otherwise(same("a", "after", F.col("new_out")) - same("b", "after", F.col("old_out")))

@@ -76,8 +76,8 @@ def emissions(spark: SparkSession, d: str, token: str) -> DataFrame:
 @query
 def flags_long(spark, d):
     """The flagship: transitions whose surprise exceeds the exact tail threshold of the state that they leave."""
-    lp = logp(spark, d)
-    rows = S.transition_flags(S.transition_surprise(segments(spark, d), lp), S.transition_thresholds(lp, ALPHA)).filter("flagged")
+    w = world(spark, d)
+    rows = S.transition_flags(S.transition_surprise(w.segments, w.logp), S.transition_thresholds(w.logp, ALPHA)).filter("flagged")
     return rounded(rows.select("trial_id", F.col("tick_start").alias("tick"), "from_state", "state", "s_transition", "threshold", S.severity(F.col("s_transition"), F.col("threshold")).alias("severity")))
 
 
@@ -340,7 +340,8 @@ def missing_step(spark, d):
 
 @query
 def swap_gain(spark, d):
-    rows = sequence.swap_gains(segments(spark, d), logp(spark, d))  # without a gain where a state would follow itself
+    w = world(spark, d)
+    rows = sequence.swap_gains(w.segments, w.logp)  # without a gain where a state would follow itself
     return rounded(rows.withColumn("gain", F.when(F.col("gain") > -1e300, F.col("gain"))))
 
 
@@ -351,8 +352,8 @@ def repetition_ratio(spark, d):
 
 @query
 def sequence_verdicts(spark, d):
-    s = segments(spark, d)
-    return rounded(sequence.verdicts(s, logp(spark, d), C.duration_moments(C.duration_counts(s, 50)), 0.05, 2.5, -1.35))
+    w = world(spark, d)
+    return rounded(sequence.verdicts(w.segments, w.logp, C.duration_moments(C.duration_counts(w.segments, 50)), 0.05, 2.5, -1.35))
 
 
 @dataclass
@@ -616,7 +617,7 @@ def judged_ticks(w: Degraded, t: channels.Tables, alphas: list[float], by_channe
 def level_counts(spark, d):
     """Confusion counts of the union of all channels on four levels, with their rates."""
     w = degraded(spark, d)
-    rows = judged_ticks(w, channel_tables(w), [CHANNEL_ALPHA]).withColumn("is_flagged", F.col("alphas").isNotNull())
+    rows = written(judged_ticks(w, channel_tables(w), [CHANNEL_ALPHA]).withColumn("is_flagged", F.col("alphas").isNotNull()), "judged")
     cells = channels.level_counts(rows, [], ["key"])
     return rounded(cells.select("level", "tp", "fp", "fn", "tn", *E.rates(*map(F.col, ("tp", "fp", "fn", "tn")))))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqwatch.functions import runs as R
 from seqwatch.operators import counts as C
+from seqwatch.sources.durable import written
 
 #: The mass of a state's own token, the mass shared by all tokens, the ticks that make a pair a state.
 ANCHOR, BACKGROUND, MIN_TICKS = 50.0, 1.0, 5
@@ -30,7 +31,7 @@ def pair_segments(ticks: DataFrame, pairs: DataFrame) -> DataFrame:
 def anchored(pairs: DataFrame, tokens: DataFrame, token: str, anchor: float = ANCHOR, background: float = BACKGROUND) -> DataFrame:
     """state, token, logp: the background spread over all tokens, and the anchor on the state's own."""
     width = tokens.agg(F.count("*").alias("width"))
-    cells = pairs.select("state", F.col(token).alias("own")).join(tokens.select(token), F.lit(True)).join(width, F.lit(True))  # states times tokens, one width
+    cells = pairs.select("state", F.col(token).alias("own")).join(F.broadcast(tokens.select(token)), F.lit(True)).join(F.broadcast(width), F.lit(True))  # states times tokens, one width
     mass = background / F.col("width") + F.when(F.col("own") == F.col(token), anchor).otherwise(0.0)
     return cells.select("state", token, F.log(mass / (anchor + background)).alias("logp"))
 
@@ -42,14 +43,14 @@ def lexical_start(ticks: DataFrame, min_ticks: int = MIN_TICKS, tau: float = 5.0
     pooled ones with weights `init_scale` and `tau`. `verb`, `noun`: anchored emissions. `dur_r`, `dur_p`: moments by
     state. Only the segments grow with the input; all else is of the size of the vocabularies.
     """
-    pairs = pair_states(ticks, min_ticks)
-    segments = pair_segments(ticks, pairs)
+    pairs = written(pair_states(ticks, min_ticks).coalesce(1), "pairs")
+    segments = written(pair_segments(ticks, pairs), "pair-segments")
     whole = Window.partitionBy()
     first = C.initial_counts(segments, ["recipe"])
     trials = first.groupBy("recipe").agg(F.sum("n").alias("trials"))
     share = (F.col("trials") + 1.0) / F.sum(F.col("trials") + 1.0).over(whole)
     pooled = first.groupBy("state").agg(F.sum("n").alias("pool")).withColumn("share", F.col("pool") / F.sum("pool").over(whole))
-    init = trials.join(pooled, F.lit(True)).join(first, ["recipe", "state"], "left")  # recipes times states
+    init = trials.join(F.broadcast(pooled), F.lit(True)).join(first, ["recipe", "state"], "left")  # recipes times states
     init_value = F.log((F.coalesce("n", F.lit(0)) + init_scale * F.col("share")) / (F.col("trials") + init_scale))
     trans = C.backoff(C.transition_counts(segments, ["recipe"]), tau).filter("from_state != to_state")
     moved = F.log(F.col("n") / F.sum("n").over(Window.partitionBy("recipe", "from_state")))
