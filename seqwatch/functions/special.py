@@ -109,3 +109,61 @@ def fit_nb(hist, r_old=5.0, r_max: float = 1e4, steps: int = 5):
         new = r - slope / curve
         r = float(np.clip(new if new > 0 else r / 2, 1e-3, r_max))
     return r, float(np.clip(r * n / (r * n + s + 1e-8), 1e-8, 1 - 1e-8))
+
+
+def nb_log_hazard(d, r, p):
+    """Log probability of a duration of d among those of d or more; minus infinity where the tail has vanished."""
+    survival = nb_log_survival(d, r, p)
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isfinite(survival), nb_log_pmf(d, r, p) - survival, -np.inf)
+
+
+#: Bounds of log r and of the log odds of p in the fit below.
+BOUNDS = np.array([[np.log(1e-3), np.log(1e4)], [-12.0, 12.0]])
+
+
+def censored_gradient(at: np.ndarray, closed: np.ndarray, open_: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean log likelihood of durations 1..D, closed ones by mass and open ones by survival, and its slope in (log r, log
+    odds of p). The slope of a survival is that of the mass below it."""
+    r, p = np.exp(at[0]), 1 / (1 + np.exp(-at[1]))
+    d = np.arange(1, len(closed) + 1)
+    mass, survival = nb_log_pmf(d, r, p), nb_log_survival(d, r, p)
+    slopes = np.stack([r * (digamma(d - 1 + r) - digamma(r) + np.log(p)), (1 - p) * r - p * (d - 1)])
+    below = np.cumsum(np.exp(mass) * slopes, axis=1) - np.exp(mass) * slopes
+    total = closed.sum() + open_.sum()
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        of_open = np.where(open_ > 0, -below / np.exp(survival), 0.0)
+        value = np.where(closed > 0, closed * mass, 0.0).sum() + np.where(open_ > 0, open_ * survival, 0.0).sum()
+    return value / total, (slopes @ closed + of_open @ open_) / total
+
+
+def fit_censored(closed, open_, steps: int = 100) -> tuple[float, float, float]:
+    """(r, p, mean log likelihood) that are likeliest for closed and open durations, by Newton steps that never lose.
+
+    A step goes along the gradient where the likelihood isn't concave, is halved until it gains, and stays within `BOUNDS`,
+    where fits of durations without spread end. Without any closed duration only the bounds hold the fit.
+    """
+    closed, open_ = np.asarray(closed, float), np.asarray(open_, float)
+    r, p = fit_nb(closed + open_)
+    at = np.clip([np.log(r), np.log(p) - np.log1p(-p)], *BOUNDS.T)
+    value, slope = censored_gradient(at, closed, open_)
+    for _ in range(steps):
+        free = ~((at <= BOUNDS[:, 0]) & (slope < 0) | (at >= BOUNDS[:, 1]) & (slope > 0))
+        if not free.any() or np.abs(slope[free]).max() < 1e-9:
+            break
+        h = 1e-5
+        bend = np.stack([(censored_gradient(at + h * e, closed, open_)[1] - censored_gradient(at - h * e, closed, open_)[1]) / (2 * h) for e in np.eye(2)])
+        bend = ((bend + bend.T) / 2)[np.ix_(free, free)]
+        step = np.zeros(2)
+        step[free] = np.linalg.solve(-bend, slope[free]) if np.linalg.eigvalsh(bend).max() < -1e-12 else slope[free]
+        step *= min(1.0, 3.0 / np.abs(step).max())
+        for _ in range(40):
+            new = np.clip(at + step, *BOUNDS.T)
+            gain, after = censored_gradient(new, closed, open_)
+            if gain > value or gain == value and np.abs(after).max() < np.abs(slope).max():
+                break
+            step /= 2
+        else:
+            break
+        at, value, slope = new, gain, after
+    return float(np.exp(at[0])), float(1 / (1 + np.exp(-at[1]))), float(value)

@@ -16,7 +16,7 @@ from seqwatch.operators import counts as C
 from seqwatch.operators import evaluate as E
 from seqwatch.operators import explore, inject, lifecycle, narrate, operating, replies, sequence
 from seqwatch.operators import surprise as S
-from seqwatch.plans import decode, fit, joint, lexical, recipes, traces
+from seqwatch.plans import decode, durations, fit, joint, lexical, recipes, traces
 from seqwatch.sources import annotations, events
 from seqwatch.sources.durable import written
 from seqwatch.sources.events import table
@@ -964,6 +964,12 @@ def soft_em_iter(spark, d):
     return fit.soft_em(ticks(spark, d), event_model(spark, d), 1, anneal=1.0)[0].long(spark)
 
 
+@query
+def duration_refit(spark, d):
+    """Durations of each recipe and state, the last segments and the longest ones taken as cut off."""
+    return rounded(durations.refit(segments(spark, d), 50).drop("hazard"))
+
+
 @query
 def joint_em_iter(spark, d):
     """One step of the joint model of two recipes, in its stored form."""
