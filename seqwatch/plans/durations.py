@@ -21,17 +21,15 @@ def refit(segments: DataFrame, d_max: int, by: list[str] = ("recipe", "state"))
     by = list(by)
     open_ = F.col("is_last") | (F.col("duration") >= d_max)
     counts = segments.groupBy(*by, F.least("duration", F.lit(d_max)).alias("d"), open_.alias("open")).agg(F.count("*").alias("n"))
+    closed = counts.filter("NOT open").select(*by).distinct()
     kinds = dict(segments.dtypes)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         tables = np.zeros((2, d_max))
         np.add.at(tables, (rows["open"].astype(int), rows["d"] - 1), rows["n"])
-        cell = {c: [rows[c].iloc[0]] for c in by}
-        if not tables[0].any():
-            return pd.DataFrame({c: [] for c in [*by, "n_closed", "n_open", "r", "p", "mean", "log_likelihood", "hazard"]})
         r, p, value = fit_censored(*tables)
         hazard = np.exp(nb_log_hazard(np.arange(1, d_max + 1), r, p)).tolist()
-        return pd.DataFrame({**cell, "n_closed": int(tables[0].sum()), "n_open": int(tables[1].sum()), "r": r, "p": p, "mean": 1 + r * (1 - p) / p, "log_likelihood": value, "hazard": [hazard]})
+        return rows[by].head(1).assign(n_closed=int(tables[0].sum()), n_open=int(tables[1].sum()), r=r, p=p, mean=1 + r * (1 - p) / p, log_likelihood=value, hazard=[hazard])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", n_closed long, n_open long, r double, p double, mean double, log_likelihood double, hazard array<double>"
-    return counts.groupBy(*by).applyInPandas(fit, schema)
+    return counts.join(closed, by, "left_semi").groupBy(*by).applyInPandas(fit, schema)
