@@ -98,3 +98,12 @@ def duration_drift(recent: DataFrame, frozen: DataFrame, least_n: int = 5, least
     out = sums.withColumn("p", p_of("delta", "n_recent", "n_frozen", "rx", "ry", "ties"))
     report = (F.col("n_recent") >= least_n) & (F.col("n_frozen") >= least_n) & (F.abs("delta") >= least_delta) & (F.col("p") < alpha)
     return out.select("state", "n_recent", "n_frozen", "mean_recent", "mean_frozen", "delta", "p", F.coalesce(report, F.lit(False)).alias("reportable"))
+
+
+def narrated_drift(drift: DataFrame, names: DataFrame, window: str = "this week") -> DataFrame:
+    """state, rank, text of the changes to report, the largest first, of equals the smallest state; a row a state at most."""
+    order = Window.orderBy(F.desc(F.round(F.abs("delta"), 9)), "state")
+    rows = drift.filter("reportable").join(names, "state").withColumn("rank", F.row_number().over(order))
+    way = F.when(F.col("delta") > 0, "slower").otherwise("faster")
+    text = F.format_string("'%s' goes %s %s: about %d ticks, usually %d (p = %s).", "name", way, F.lit(window), F.round("mean_recent").cast("int"), F.round("mean_frozen").cast("int"), F.format_number("p", 3))
+    return rows.select("state", "rank", text.alias("text"))

@@ -16,7 +16,7 @@ from seqwatch.operators import counts as C
 from seqwatch.operators import evaluate as E
 from seqwatch.operators import explore, inject, lifecycle, narrate, operating, replies, sequence
 from seqwatch.operators import surprise as S
-from seqwatch.plans import decode, durations, fit, joint, lexical, recipes, traces
+from seqwatch.plans import decode, durations, fit, joint, lexical, recipes, traces, warm
 from seqwatch.sources import annotations, events
 from seqwatch.sources.durable import written
 from seqwatch.sources.events import table
@@ -1059,6 +1059,23 @@ def junction_fates(spark, d):
     return traces.junction_fates(bad, found, rows, decoded, decoded.select("trial_id", "recipe").distinct())
 
 
+@query
+def warm_counts(spark, d):
+    """Counts of a start of the joint model: each segment three parts its trial's recipe, one part the next one."""
+    s = segments(spark, d)
+    parts = F.array(F.struct("recipe", F.lit(0.75).alias("w")), F.struct(((F.col("recipe") + 1) % 5).cast("int").alias("recipe"), F.lit(0.25).alias("w")))
+    labels = s.select("trial_id", "seg_idx", F.explode(parts).alias("x")).select("trial_id", "seg_idx", "x.recipe", "x.w")
+    return rounded(warm.weighted_counts(s, labels, D_MAX))
+
+
+@query
+def warm_start(spark, d):
+    """The joint model started from one model and an HMM over its segments, in stored form."""
+    s, m = segments(spark, d), event_model(spark, d)
+    hmm = recipes.recipe_em(s, 3, 5, 3, [0])[0]
+    return rounded(warm.warm_start(s, warm.segment_labels(s, hmm), m, 3).long(spark))
+
+
 @query
 def recipe_hmm(spark, d):
     """The recipe of each trial by an HMM over its segments, after three iterations."""

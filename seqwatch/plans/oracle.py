@@ -367,6 +367,13 @@ ranked_ AS (SELECT *, CAST(row_number() OVER (ORDER BY p, participant, item) AS
         "SELECT trial_id, ts AS started, state, alarm FROM (SELECT *, ts + to_hours((state + 1) * 6) AS alarm, coalesce(lead(ts) OVER (PARTITION BY trial_id ORDER BY ts), (SELECT max(ts) FROM ticks)) AS until FROM changes_ WHERE before IS NULL OR before <> state) WHERE alarm < until",
         """,
 changes_ AS (SELECT *, lag(state) OVER (PARTITION BY trial_id ORDER BY ts) AS before FROM (SELECT trial_id, ts, min(verb_id) AS state FROM ticks GROUP BY ALL))""",
+    ),
+    "warm_counts": sql(
+        "SELECT family, recipe, i, j, round(sum(w * part), 6) AS n FROM cells_ GROUP BY ALL",
+        """,
+labelled AS (SELECT s.*, r.recipe AS label, w FROM (SELECT *, lag(state) OVER (PARTITION BY trial_id ORDER BY seg_idx) AS before, count(*) OVER (PARTITION BY trial_id) AS of_ FROM segments) s, LATERAL (VALUES (s.recipe, 0.75::DOUBLE), (CAST((s.recipe + 1) % 5 AS INTEGER), 0.25::DOUBLE)) r(recipe, w)),
+cells_ AS (SELECT 'pi' AS family, label AS recipe, 0 AS i, 0 AS j, w, 1.0::DOUBLE / of_ AS part FROM labelled UNION ALL SELECT 'init', label, state, 0, w, 1 FROM labelled WHERE before IS NULL
+  UNION ALL SELECT 'trans', label, before, state, w, 1 FROM labelled WHERE before IS NOT NULL UNION ALL SELECT 'dur', label, state, least(duration, 6), w, 1 FROM labelled)""",
     ),
     "segment_parse": sql("SELECT trial_id, tick, verb || '_item_' || noun_id AS label, CAST(tick * 10 + 1 AS INTEGER) AS start_frame, CAST(tick * 10 + 10 AS INTEGER) AS end_frame FROM ticks WHERE tick % 7 <> 3"),
     "verb_noun_split": sql(f"SELECT trial_id, tick, CASE WHEN label = 'SIL' THEN 'stall' ELSE split_part(label, '_', 1) END AS verb, CASE WHEN label = 'SIL' THEN 'kitchen' ELSE substr(label, instr(label, '_') + 1) END AS noun FROM (SELECT *, {LABEL} AS label FROM ticks)"),

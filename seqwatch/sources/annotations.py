@@ -99,6 +99,16 @@ def random_split(trials: DataFrame, test_frac: float, seed: int) -> DataFrame:
     return ids.select("trial_id", F.when(chosen, "test").otherwise("train").alias("part"))
 
 
+def nested_split(split: DataFrame, dev_frac: float, seed: int) -> DataFrame:
+    """(trial_id, part) of the training trials of a split only: `dev_frac` of these become `test`, the others stay `train`."""
+    return random_split(split.filter("part = 'train'"), dev_frac, seed)
+
+
+def of_recipes(rows: DataFrame, trials: DataFrame, recipes: list[str]) -> DataFrame:
+    """Rows of the trials (trial_id, recipe) of these recipes: a smaller data set with the ids of the whole."""
+    return rows.join(trials.filter(F.col("recipe").isin(recipes)).select("trial_id").distinct(), "trial_id", "left_semi")
+
+
 def write_sequences(ticks: DataFrame, path: str) -> None:
     """One JSON row per trial: trial_id, verb_ids, noun_ids."""
     packed = ticks.groupBy("trial_id").agg(F.array_sort(F.collect_list(F.struct("tick", "verb_id", "noun_id"))).alias("t"))
