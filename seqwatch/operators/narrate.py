@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqwatch.operators.surprise import PLACES, severity
 
 
-def order_questions(flagged: DataFrame, expected: DataFrame, bridges: DataFrame, names: DataFrame, least_gain: float = 2.0) -> DataFrame:
-    """Of flagged transitions: a skipped step if a bridge explains it, else a step out of order."""
-    over = bridges.filter(F.col("gain") >= least_gain).select("from_state", F.col("to_state").alias("state"), "bridge")
+def order_questions(flagged: DataFrame, expected: DataFrame, bridges: DataFrame, names: DataFrame, least_gain: float = 2.0, by: Sequence[str] = ()) -> DataFrame:
+    """Of flagged transitions: a skipped step if a bridge explains it, else a step out of order.
+
+    With `by`, what is expected and what bridges depends on these columns of the transitions.
+    """
+    over = bridges.filter(F.col("gain") >= least_gain).select(*by, "from_state", F.col("to_state").alias("state"), "bridge")
     name = lambda of, alias: names.select(F.col("state").alias(of), F.col("name").alias(alias))
-    rows = flagged.filter("flagged").join(over, ["from_state", "state"], "left").join(expected, "from_state")
+    rows = flagged.filter("flagged").join(over, [*by, "from_state", "state"], "left").join(expected, [*by, "from_state"])
     for of, alias in (("from_state", "n_from"), ("state", "n_state"), ("expected_state", "n_expected"), ("bridge", "n_bridge")):
         rows = rows.join(name(of, alias), of, "left")
     skipped = F.format_string("Did you skip '%s' between '%s' and '%s'?", "n_bridge", "n_from", "n_state")
@@ -23,10 +28,10 @@ def order_questions(flagged: DataFrame, expected: DataFrame, bridges: DataFrame,
     )
 
 
-def duration_questions(completed: DataFrame, segments: DataFrame, names: DataFrame, expected: DataFrame, alpha: float) -> DataFrame:
-    """Of closed segments with durations in the tails: left early, or stuck."""
+def duration_questions(completed: DataFrame, segments: DataFrame, names: DataFrame, expected: DataFrame, alpha: float, by: Sequence[str] = ()) -> DataFrame:
+    """Of closed segments with durations in the tails: left early, or stuck; expected durations may depend on `by`."""
     limit = -F.log(F.lit(alpha))
-    rows = completed.filter(F.round("s_dur_two", PLACES) > F.round(limit, PLACES)).join(segments.select("trial_id", "seg_idx", "tick_end"), ["trial_id", "seg_idx"]).join(names, "state").join(expected.select("state", "mean_duration"), "state")
+    rows = completed.filter(F.round("s_dur_two", PLACES) > F.round(limit, PLACES)).join(segments.select("trial_id", "seg_idx", "tick_end"), ["trial_id", "seg_idx"]).join(names, "state").join(expected.select(*by, "state", "mean_duration"), [*by, "state"])
     early = F.format_string("'%s' ended after %d ticks; usually it takes about %d. Was it left early?", "name", "duration", F.round("mean_duration").cast("int"))
     late = F.format_string("'%s' took %d ticks; usually about %d. Was something wrong?", "name", "duration", F.round("mean_duration").cast("int"))
     return rows.select(
@@ -61,10 +66,10 @@ def emission_questions(flags: DataFrame, ticks: DataFrame, log_nouns: DataFrame,
     return item.select(*columns).unionByName(verb.select(*columns))
 
 
-def stall_questions(flags: DataFrame, names: DataFrame, expected: DataFrame, segments: DataFrame) -> DataFrame:
-    """The first tick of each segment that lasts too long so far."""
+def stall_questions(flags: DataFrame, names: DataFrame, expected: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The first tick of each segment that lasts too long so far; expected durations may depend on `by` of the segments."""
     first = flags.filter("channel = 's_temporal'").groupBy("trial_id", "seg_idx").agg(F.min_by(F.struct("tick", "value", "threshold"), "tick").alias("x")).select("trial_id", "seg_idx", "x.*")
-    rows = first.join(segments.select("trial_id", "seg_idx", "state", "tick_start"), ["trial_id", "seg_idx"]).join(names, "state").join(expected.select("state", "mean_duration"), "state")
+    rows = first.join(segments.select("trial_id", "seg_idx", *by, "state", "tick_start"), ["trial_id", "seg_idx"]).join(names, "state").join(expected.select(*by, "state", "mean_duration"), [*by, "state"])
     text = F.format_string("Still at '%s' after %d ticks? Usually it takes about %d.", "name", (F.col("tick") - F.col("tick_start") + 1).cast("int"), F.round("mean_duration").cast("int"))
     return rows.select("trial_id", "tick", F.lit("s_temporal").alias("channel"), F.lit("stall").alias("kind"), severity(F.col("value"), F.col("threshold")).alias("severity"), text.alias("text"))
 

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqwatch.operators.surprise import PLACES
 
 
-def bridges(logp: DataFrame) -> DataFrame:
-    """Each pair of different states with the best state between them: from_state, to_state, bridge, gain.
+def bridges(logp: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each pair of different states with the best state between them: `by`, from_state, to_state, bridge, gain.
 
     The gain is that of going through the bridge over going directly; the smaller state of equals wins. A join of a
     model's transition table with itself, K cubed rows for K states.
     """
-    one = logp.select("from_state", F.col("to_state").alias("bridge"), F.col("logp").alias("l1"))
-    two = logp.select(F.col("from_state").alias("bridge"), "to_state", F.col("logp").alias("l2"))
-    paths = one.join(two, "bridge").filter("from_state != to_state").withColumn("two_hop", F.col("l1") + F.col("l2"))
-    best = Window.partitionBy("from_state", "to_state").orderBy(F.desc(F.round("two_hop", PLACES)), "bridge")
+    one = logp.select(*by, "from_state", F.col("to_state").alias("bridge"), F.col("logp").alias("l1"))
+    two = logp.select(*by, F.col("from_state").alias("bridge"), "to_state", F.col("logp").alias("l2"))
+    paths = one.join(two, [*by, "bridge"]).filter("from_state != to_state").withColumn("two_hop", F.col("l1") + F.col("l2"))
+    best = Window.partitionBy(*by, "from_state", "to_state").orderBy(F.desc(F.round("two_hop", PLACES)), "bridge")
     top = paths.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
-    return top.join(logp, ["from_state", "to_state"]).select("from_state", "to_state", "bridge", (F.col("two_hop") - F.col("logp")).alias("gain"))
+    return top.join(logp, [*by, "from_state", "to_state"]).select(*by, "from_state", "to_state", "bridge", (F.col("two_hop") - F.col("logp")).alias("gain"))
 
 
 def lookup_table(logp: DataFrame) -> DataFrame:

@@ -1034,6 +1034,16 @@ def trace_cascade(spark, d):
     return found.groupBy("trial_id", "channel").agg(F.count("*").alias("flags"))
 
 
+@query
+def narrated_traces(spark, d):
+    """Questions on the flags of traces, with what each trial's own recipe expects."""
+    m, w, trace = healthy_trace(spark, d)
+    found = written(traces.flags(trace, written(traces.bundle(spark, m, [CHANNEL_ALPHA]).coalesce(1), "bundle"), HEALTHY), "trace-flags")
+    names = events.vocabulary(table(spark, d, "events"), "event_type").select(F.col("id").alias("state"), F.col("token").alias("name"))
+    items = w.ticks.select("noun_id", F.concat(F.lit("item"), F.col("noun_id").cast("string")).alias("item")).distinct()
+    return traces.narrated(trace, found, w.ticks, m, names, items, CHANNEL_ALPHA)
+
+
 @query
 def belief_diagnostic(spark, d):
     return rounded(traces.belief_diagnostic(healthy_trace(spark, d)[2], HEALTHY))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seqwatch.functions import kernels
 from seqwatch.functions.special import nb_log_cdf, nb_log_pmf, nb_log_survival
-from seqwatch.operators import channels
+from seqwatch.operators import channels, narrate, sequence
 from seqwatch.operators import surprise as S
 from seqwatch.plans.decode import Model
 from seqwatch.plans.joint import JointModel
@@ -273,3 +273,28 @@ def junction_fates(trace: DataFrame, flagged: DataFrame, degraded: DataFrame, se
     each = trace.groupBy(*keys).agg(F.first("recipe").alias("recipe")).join(recipes.select("trial_id", F.col("recipe").alias("was")), "trial_id").join(fates, keys, "left")
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return each.groupBy("error_type").agg(F.count("*").alias("n"), n(F.col("decoded").isNotNull()).alias("novel"), n(F.col("decoded")).alias("decoded"), n(F.col("flagged")).alias("flagged"), n(F.col("recipe") != F.col("was")).alias("flipped"))
+
+
+def narrated(trace: DataFrame, flagged: DataFrame, ticks: DataFrame, model: JointModel, names: DataFrame, items: DataFrame, alpha: float) -> DataFrame:
+    """Questions on flags of the traces of trials: what is expected is what each trial's own recipe expects.
+
+    `names` has (state, name), `items` (noun_id, item). Recipes' moves have no question of their own.
+    """
+    spark, keys, by = trace.sparkSession, ["trial_id"], ["recipe"]
+    rows = model.long(spark)
+    own = rows.filter("family = 'trans' AND i <> j").select(F.col("r").alias("recipe"), F.col("i").alias("from_state"), F.col("j").alias("to_state"), F.col("value").alias("logp"))
+    logs = lambda family, token: rows.filter(F.col("family") == family).select(F.col("i").alias("state"), F.col("j").alias(token), F.col("value").alias("logp"))
+    means = spark.createDataFrame([(int(r), int(k), float(m)) for (r, k), m in np.ndenumerate(1 + model.r * (1 - model.p) / model.p)], "recipe int, state int, mean_duration double")
+    best = Window.partitionBy("recipe", "from_state").orderBy(F.desc(F.round("logp", S.PLACES)), "to_state")
+    expected = own.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("recipe", "from_state", F.col("to_state").alias("expected_state"))
+    spans = segments_of(trace, keys)
+    at = flagged.join(trace.select("trial_id", "tick", "seg_idx"), ["trial_id", "tick"])
+    moves = flagged.filter("channel = 's_transition'").select("trial_id", F.col("tick").alias("tick_start"), "recipe", F.col("place").alias("from_state"), F.col("value").alias("s_transition"), "threshold", F.lit(True).alias("flagged"))
+    moves = moves.join(spans.select("trial_id", "tick_start", "state"), ["trial_id", "tick_start"])
+    closed = trace.filter("cause IS NOT NULL").select("trial_id", "seg_idx", "s_dur_two", "cause").join(spans.select("trial_id", "seg_idx", "recipe", "state", "duration"), ["trial_id", "seg_idx"])
+    return narrate.narrated(
+        narrate.order_questions(moves, expected, sequence.bridges(own, by), names, by=by),
+        narrate.duration_questions(closed, spans, names, means, alpha, by=by),
+        narrate.emission_questions(at, ticks, logs("nouns", "noun_id"), logs("verbs", "verb_id"), names, items),
+        narrate.stall_questions(at, names, means, spans, by=by),
+    )

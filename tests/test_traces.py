@@ -208,3 +208,33 @@ def test_one_tick_and_single_models(spark):
     assert (row["tick"], row["from_state"], row["s_transition"], row["s_dur_two"]) == (0, None, None, None)
     own = traces.single(model.recipe(0))
     assert decode.decode(one, model.recipe(0)).select("state").first() == traces.segments_of(traces.trace_joint(one, own, ["trial_id"]), ["trial_id"]).select("state").first()
+
+
+def test_questions_speak_for_the_trials_own_recipe(spark):
+    model, trials, keys, alpha = random_model(5, states=4, verbs=6, nouns=6), sequences(6, n=60, verbs=6, nouns=6), ["trial_id"], 0.3
+    ticks = as_ticks(spark, trials).cache()
+    trace = traces.trace_joint(ticks, model, keys).cache()
+    flagged = traces.flags(trace, traces.bundle(spark, model, [alpha]), keys).cache()
+    names = spark.createDataFrame([(k, f"s{k}") for k in range(6)], "state int, name string")
+    items = spark.createDataFrame([(k, f"i{k}") for k in range(6)], "noun_id int, item string")
+    found = {(r["trial_id"], r["tick"], r["channel"]): r for r in traces.narrated(trace, flagged, ticks, model, names, items, alpha).collect()}
+    rows = {(r["trial_id"], r["tick"]): r for r in trace.collect()}
+    marks = {(r["trial_id"], r["tick"], r["channel"]) for r in flagged.collect()}
+    assert {k for k in marks if k[2] in ("s_transition", "s_dur_two")} == {k for k in found if k[2] in ("s_transition", "s_dur_two")}
+    assert set(found) <= marks and {c for *_, c in found} >= {"s_dur_two", "s_transition", "s_verb"}
+    for (trial, tick, channel), r in found.items():
+        row = rows[trial, tick]
+        q, z, f = row["recipe"], row["z_star"], row["from_state"]
+        if channel == "s_transition":
+            hops = {b: model.trans[q, f, b] + model.trans[q, b, z] for b in range(4) if b not in (f, z)}
+            best = max(hops, key=lambda b: (round(hops[b], 9), -b))
+            if hops[best] - model.trans[q, f, z] >= 2:
+                assert r["text"] == f"Did you skip 's{best}' between 's{f}' and 's{z}'?"
+            else:
+                assert r["text"] == f"'s{z}' came after 's{f}'; usually 's{model.trans[q, f].argmax()}' does. Is that right?"
+        if channel in ("s_dur_two", "s_temporal"):
+            mean = 1 + model.r[q, z] * (1 - model.p[q, z]) / model.p[q, z]
+            assert f"'s{z}'" in r["text"] and f"about {math.floor(mean + 0.5)}." in r["text"]
+        if channel in ("s_verb", "s_noun"):
+            table, name, seen = (model.verbs, "s", trials[trial][0]) if channel == "s_verb" else (model.nouns, "i", trials[trial][1])
+            assert r["text"] == f"Was '{name}{seen[tick]}' meant here? '{name}{table[z].argmax()}' was expected."
