@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,7 +139,3 @@ def divergence(p: DataFrame, q: DataFrame, row: str, column: str) -> DataFrame:
     """Kullback-Leibler divergence of each row of two tables of log probabilities."""
     joined = p.select(row, column, F.col("logp").alias("lp")).join(q.select(row, column, F.col("logp").alias("lq")), [row, column])
     return joined.groupBy(row).agg(F.sum(F.when(F.col("lp") > -700, F.exp("lp") * (F.col("lp") - F.col("lq"))).otherwise(0.0)).alias("kl"))
-
-
-def any_of(flags: list[str]):
-    return reduce(lambda x, y: x | y, map(F.col, flags))
