@@ -130,6 +130,23 @@ def step_outcomes(flagged_steps: DataFrame, truth: DataFrame, debris: DataFrame,
     )
 
 
+def sequence_report(healthy: DataFrame, trials: DataFrame, found: DataFrame, truth: DataFrame) -> DataFrame:
+    """By type of error: trials (n), those with a verdict at the error (detected) and one that names its type (named), and of
+    healthy trials how many there are and how many have a verdict at all.
+
+    `healthy` are verdicts on healthy `trials`; `found` (trial_id, error_type, seg_idx, verdict) those on degraded ones. A
+    verdict is at the error if its segment is one of the true ones, the one before or the one after.
+    """
+    keys = ["trial_id", "error_type"]
+    alarms = trials.select("trial_id").distinct().join(healthy.select("trial_id", F.lit(True).alias("said")).distinct(), "trial_id", "left")
+    alarms = alarms.agg(F.count("*").alias("healthy"), F.count("said").alias("healthy_flagged"))
+    span = truth.groupBy(*keys).agg(F.min("seg_idx").alias("g0"), F.max("seg_idx").alias("g1"))
+    rows = span.join(found, keys, "left").withColumn("at", F.coalesce(F.col("seg_idx").between(F.col("g0") - 1, F.col("g1") + 1), F.lit(False)))
+    each = rows.groupBy(*keys).agg(F.max(F.col("at").cast("int")).alias("hit"), F.max((F.col("at") & (F.col("verdict") == F.col("error_type"))).cast("int")).alias("right"))
+    by = each.groupBy("error_type").agg(F.count("*").alias("n"), F.sum("hit").alias("detected"), F.sum(F.coalesce("right", F.lit(0))).alias("named"))
+    return by.join(F.broadcast(alarms), F.lit(True))  # one row
+
+
 def rates(tp: Column, fp: Column, fn: Column, tn: Column) -> list[Column]:
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
     return [ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(fp, fp + tn).alias("fpr")]

@@ -69,6 +69,18 @@ def sample_threshold(values: DataFrame, key: list[str], score: str, alpha: float
     return tail_threshold(values.withColumn("mass", 1 / n), key, score, "mass", alpha)
 
 
+def pooled_threshold(values: DataFrame, score: str, alpha: float) -> float | None:
+    """The tail threshold of a whole sample, each value with equal mass; None for an empty one.
+
+    Values are counted by level first, so only distinct levels are ordered in one task.
+    """
+    levels = values.groupBy(F.round(score, PLACES).alias("score")).agg(F.count("*").alias("n"))
+    total = levels.agg(F.sum("n").alias("total"))
+    support = levels.join(F.broadcast(total), F.lit(True)).select(F.lit(0).alias("all"), "score", (F.col("n") / F.col("total")).alias("mass"))
+    row = tail_threshold(support, ["all"], "score", "mass", alpha).first()
+    return row["threshold"] if row else None
+
+
 def duration_tails(histogram: DataFrame) -> DataFrame:
     """state, d, and the shares at least d, at most d, below d and at d, of observed durations."""
     up = Window.partitionBy("state").orderBy("d")

@@ -902,6 +902,21 @@ def verdict_steps(spark, d):
     return sequence.step_verdicts(found, w.segments, numbered)
 
 
+@query
+def sequence_evaluation(spark, d):
+    """What verdicts on order and lengths of segments find of injected errors; limits are tails of all healthy trials."""
+    w = degraded(spark, d)
+    means = written(C.duration_moments(C.duration_counts(w.segments, 50)).coalesce(1), "moments")
+    swap = S.pooled_threshold(sequence.swap_gains(w.segments, w.logp).filter(F.col("gain") > -1e300), "gain", 0.05)
+    ratio = S.pooled_threshold(sequence.repetition_ratios(w.segments, means), "ratio", 0.05)
+    judge = lambda s: sequence.verdicts(s, w.logp, means, swap + 1e-9, ratio + 1e-9, -1.35)  # noqa: E731  equal scores are at the limit
+    key = F.concat_ws("/", F.col("trial_id").cast("string"), "error_type")
+    bad = judge(w.steps.select(key.alias("trial_id"), "seg_idx", "state", "duration")).select(
+        F.split_part("trial_id", F.lit("/"), F.lit(1)).cast("long").alias("trial_id"), F.split_part("trial_id", F.lit("/"), F.lit(2)).alias("error_type"), "seg_idx", F.col("error_type").alias("verdict")
+    )
+    return E.sequence_report(judge(w.segments), w.segments, bad, E.truth_steps(w.steps, w.windows))
+
+
 @query
 def correction_accuracy(spark, d):
     """By error type: windows, those with a proposal, and the shares whose state and whose duration are those before the

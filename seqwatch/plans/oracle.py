@@ -375,6 +375,26 @@ labelled AS (SELECT s.*, r.recipe AS label, w FROM (SELECT *, lag(state) OVER (P
 cells_ AS (SELECT 'pi' AS family, label AS recipe, 0 AS i, 0 AS j, w, 1.0::DOUBLE / of_ AS part FROM labelled UNION ALL SELECT 'init', label, state, 0, w, 1 FROM labelled WHERE before IS NULL
   UNION ALL SELECT 'trans', label, before, state, w, 1 FROM labelled WHERE before IS NOT NULL UNION ALL SELECT 'dur', label, state, least(duration, 6), w, 1 FROM labelled)""",
     ),
+    "sequence_evaluation": sql(
+        """SELECT error_type, count(*) AS n, sum(hit) AS detected, sum(hit_right) AS named, (SELECT count(DISTINCT trial_id) FROM segments) AS healthy, (SELECT count(DISTINCT trial_id) FROM hverdict) AS healthy_flagged
+FROM (SELECT s.trial_id, s.error_type, coalesce(max(CASE WHEN v.seg_idx BETWEEN g0 - 1 AND g1 + 1 THEN 1 ELSE 0 END), 0) AS hit, coalesce(max(CASE WHEN v.seg_idx BETWEEN g0 - 1 AND g1 + 1 AND verdict = s.error_type THEN 1 ELSE 0 END), 0) AS hit_right
+  FROM (SELECT trial_id, error_type, min(seg_idx) AS g0, max(seg_idx) AS g1 FROM truth GROUP BY ALL) s LEFT JOIN dverdict v ON v.trial_id = s.trial_id || '/' || s.error_type GROUP BY ALL) GROUP BY error_type""",
+        ALL_DEGRADED
+        + BRIDGES
+        + GAINS
+        + ",\ndkeyed AS (SELECT trial_id || '/' || error_type AS trial_id, seg_idx, state, duration FROM dsteps)"
+        + GAINS.replace("junctions", "djunctions").replace("\ngains AS", "\ndgains AS").replace("FROM segments WINDOW", "FROM dkeyed WINDOW")
+        + tail("swapped_", "SELECT 0 AS k, gain AS score, 1.0::DOUBLE / count(*) OVER () AS mass FROM gains", "k", "0.05")
+        + tail("repeated_", "SELECT 0 AS k, duration / mean_duration AS score, 1.0::DOUBLE / count(*) OVER () AS mass FROM segments JOIN moments USING (state)", "k", "0.05")
+        + "".join(
+            f""",
+{name} AS (SELECT trial_id, seg_idx, verdict FROM (
+    SELECT j.trial_id, j.seg_idx, CASE WHEN round(g.gain, 9) > (SELECT threshold FROM swapped_) THEN 'transposition' WHEN b.gain >= -1.35 THEN 'omission' END AS verdict
+    FROM {j} j LEFT JOIN {g} g ON g.trial_id = j.trial_id AND g.seg_idx = j.seg_idx LEFT JOIN bridges b ON b.from_state = j.a AND b.to_state = j.b) WHERE verdict IS NOT NULL
+  UNION ALL SELECT trial_id, seg_idx, 'repetition' FROM {s} JOIN moments USING (state) WHERE round(duration / mean_duration, 9) > (SELECT threshold FROM repeated_))"""
+            for name, j, g, s in (("hverdict", "junctions", "gains", "segments"), ("dverdict", "djunctions", "dgains", "dkeyed"))
+        ),
+    ),
     "segment_parse": sql("SELECT trial_id, tick, verb || '_item_' || noun_id AS label, CAST(tick * 10 + 1 AS INTEGER) AS start_frame, CAST(tick * 10 + 10 AS INTEGER) AS end_frame FROM ticks WHERE tick % 7 <> 3"),
     "verb_noun_split": sql(f"SELECT trial_id, tick, CASE WHEN label = 'SIL' THEN 'stall' ELSE split_part(label, '_', 1) END AS verb, CASE WHEN label = 'SIL' THEN 'kitchen' ELSE substr(label, instr(label, '_') + 1) END AS noun FROM (SELECT *, {LABEL} AS label FROM ticks)"),
     "tick_expand_plurality": sql(expanded("verb_id", "verb_id"), FRAMES),
