@@ -14,7 +14,7 @@ from seqwatch.functions import runs as R
 from seqwatch.operators import channels
 from seqwatch.operators import counts as C
 from seqwatch.operators import evaluate as E
-from seqwatch.operators import explore, inject, lifecycle, narrate, operating, replies, sequence
+from seqwatch.operators import explore, inject, lifecycle, narrate, operating, prompts, replies, sequence
 from seqwatch.operators import surprise as S
 from seqwatch.plans import decode, durations, fit, joint, lexical, recipes, traces, warm
 from seqwatch.sources import annotations, events
@@ -833,6 +833,42 @@ def prefix_prompt(spark, d):
     return replies.prefix_prompts(steps.withColumn("text", replies.step_text(F.col("verb"), F.col("noun"), F.col("duration"))))
 
 
+def step_lines(spark, d) -> DataFrame:
+    steps = R.runs(ticks(spark, d).withColumn("noun", F.concat(F.lit("item"), F.col("noun_id").cast("string"))), ["verb", "noun"])
+    return steps.select("trial_id", "seg_idx", replies.step_text(F.col("verb"), F.col("noun"), F.col("duration")).alias("text"))
+
+
+@query
+def system_prompts(spark, d):
+    verbs = events.vocabulary(table(spark, d, "events"), "event_type")
+    nouns = ticks(spark, d).select(F.concat(F.lit("item"), F.col("noun_id").cast("string")).alias("token"), F.col("noun_id").alias("id")).distinct()
+    recipe = prompts.recipe_block(replies.canonical_orders(segments(spark, d)), verbs.select(F.col("id").alias("state"), F.col("token").alias("name")))
+    return prompts.system_prompts(prompts.vocabulary_block(verbs, nouns), recipe)
+
+
+@query
+def trial_texts(spark, d):
+    return prompts.trial_texts(step_lines(spark, d))
+
+
+@query
+def conversation_turns(spark, d):
+    """The messages of a conversation before each step's answer, as one text; every third step has got none."""
+    lines = step_lines(spark, d)
+    told = lines.filter("seg_idx % 3 <> 2").select("trial_id", "seg_idx", F.lit("No Anomaly").alias("reply"))
+    rows = prompts.conversations(lines, told)
+    return rows.select("trial_id", "seg_idx", F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n").alias("messages"))
+
+
+@query
+def prefix_requests(spark, d):
+    """By variant: requests, and the characters that they send."""
+    asked = replies.prefix_prompts(step_lines(spark, d))
+    rows = prompts.prefix_requests(asked, system_prompts(spark, d))
+    chars = F.aggregate("messages", F.lit(0), lambda a, m: a + F.length(m["content"]))
+    return rows.groupBy("variant").agg(F.count("*").alias("requests"), F.sum(chars).alias("chars"))
+
+
 @query
 def canonical_recipe(spark, d):
     return replies.canonical_orders(segments(spark, d))

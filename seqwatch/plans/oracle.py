@@ -264,6 +264,25 @@ marks AS (SELECT trial_id || '/' || error_type AS key, tick, channel, alpha FROM
 world AS (SELECT d.trial_id || '/' || d.error_type AS key, tick, d.seg_idx, true AS e, p.seg_idx IS NOT NULL AS p FROM dnumbered d LEFT JOIN positive p ON p.trial_id = d.trial_id AND p.error_type = d.error_type AND p.seg_idx = d.seg_idx
   UNION ALL SELECT trial_id::VARCHAR, tick, seg_idx, false, false FROM numbered)"""
 )
+BEST = """,
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY n_trials DESC, states) AS rank, count(*) OVER (PARTITION BY recipe) AS n_orders FROM (
+  SELECT recipe, states, count(*) AS n_trials FROM (SELECT trial_id, recipe, string_agg(state::VARCHAR, '-' ORDER BY seg_idx) AS states FROM segments GROUP BY ALL) GROUP BY ALL)) WHERE rank = 1)"""
+TASK = (
+    "'You watch a person do a task, step by step, and judge the last step shown.' || chr(10) || 'Answer in one line: `No Anomaly`, or `TYPE Anomaly. Correct move would have been ACTION ITEM for N seconds`,' || chr(10)"
+    " || 'where TYPE is one of substitution, abandonment, omission, transposition, repetition, and action and item are from the lists below. Most steps are fine.'"
+)
+PROMPTS = (
+    TEXTS
+    + BEST
+    + f""",
+vocab_block AS (SELECT a || chr(10) || b AS v FROM (SELECT 'Actions (' || count(*) || '): ' || string_agg(token, ', ' ORDER BY id) AS a FROM vocab), (SELECT 'Items (' || count(*) || '): ' || string_agg('item' || noun_id, ', ' ORDER BY noun_id) AS b FROM (SELECT DISTINCT noun_id FROM ticks))),
+usual AS (SELECT recipe, state, trunc(median(duration))::INTEGER AS d FROM segments GROUP BY ALL),
+shown AS (SELECT recipe, string_agg(token || ' (~' || d || ' s)', ', ' ORDER BY step) AS steps FROM (SELECT recipe, unnest(string_split(states, '-'))::INTEGER AS state, unnest(range(len(string_split(states, '-')))) AS step FROM best) JOIN usual USING (recipe, state) JOIN vocab ON id = state GROUP BY recipe),
+recipe_block AS (SELECT string_agg('recipe ' || recipe || ': ' || steps || ' [in ' || n_trials || ' trials; ' || n_orders || ' orders seen]', chr(10) ORDER BY recipe) AS r FROM shown JOIN best USING (recipe)),
+systems AS (SELECT 'plain' AS variant, {TASK} || chr(10) || chr(10) || v AS text FROM vocab_block UNION ALL SELECT 'with recipes', {TASK} || chr(10) || chr(10) || v || chr(10) || chr(10) || r FROM vocab_block, recipe_block)"""
+)
+
+
 def tails_of() -> str:
     """CTE masses: (channel, place, recipe, level, tail), the mass of scores as great or greater; null at the lowest level."""
     rows = [f"SELECT '{c}' AS channel, {place} AS place, {recipe} AS recipe, score, mass FROM ({support})" for c, (support, place, recipe) in {
@@ -395,6 +414,16 @@ FROM (SELECT s.trial_id, s.error_type, coalesce(max(CASE WHEN v.seg_idx BETWEEN
             for name, j, g, s in (("hverdict", "junctions", "gains", "segments"), ("dverdict", "djunctions", "dgains", "dkeyed"))
         ),
     ),
+    "system_prompts": sql("SELECT variant, text FROM systems", PROMPTS),
+    "trial_texts": sql("SELECT trial_id, string_agg((seg_idx + 1) || '. ' || text, chr(10) ORDER BY seg_idx) AS text FROM texts GROUP BY trial_id", TEXTS),
+    "conversation_turns": sql(
+        """SELECT trial_id, seg_idx, coalesce(string_agg('user: ' || text || CASE WHEN seg_idx % 3 = 2 THEN '' ELSE chr(10) || 'assistant: No Anomaly' END, chr(10)) OVER (PARTITION BY trial_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) || chr(10), '') || 'user: ' || text AS messages FROM texts""",
+        TEXTS,
+    ),
+    "prefix_requests": sql(
+        """SELECT variant, count(*) AS requests, sum(length(s.text) + length(prompt))::BIGINT AS chars FROM systems s, (SELECT string_agg((seg_idx + 1) || '. ' || text, chr(10)) OVER (PARTITION BY trial_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING) AS prompt FROM texts) GROUP BY variant""",
+        PROMPTS,
+    ),
     "segment_parse": sql("SELECT trial_id, tick, verb || '_item_' || noun_id AS label, CAST(tick * 10 + 1 AS INTEGER) AS start_frame, CAST(tick * 10 + 10 AS INTEGER) AS end_frame FROM ticks WHERE tick % 7 <> 3"),
     "verb_noun_split": sql(f"SELECT trial_id, tick, CASE WHEN label = 'SIL' THEN 'stall' ELSE split_part(label, '_', 1) END AS verb, CASE WHEN label = 'SIL' THEN 'kitchen' ELSE substr(label, instr(label, '_') + 1) END AS noun FROM (SELECT *, {LABEL} AS label FROM ticks)"),
     "tick_expand_plurality": sql(expanded("verb_id", "verb_id"), FRAMES),
