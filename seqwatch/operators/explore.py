@@ -222,12 +222,12 @@ def permuted(members: DataFrame, draws: int, seed: int, key: str = "recipe") ->
     return dealt.drop("nth")
 
 
-def order_structure(steps: DataFrame, key: str = "recipe", clusters: int = 2, draws: int = 100, seed: int = 0) -> DataFrame:
+def order_structure(steps: DataFrame, key: str = "recipe", clusters: int = 2, draws: int = 100, seed: int = 0, least_n: int = 6) -> DataFrame:
     """By key: trials, size of the smallest cluster, mean distance within clusters, the mean and deviation of the same over
     random splits into clusters of these sizes, and the share of those that are looser: near 1 if the orders really part.
     """
     pairs = written(edit_distances(steps, key), "pairs")
-    members = written(order_clusters(pairs, key, clusters), "members")
+    members = written(order_clusters(pairs, key, clusters, least_n), "members")
     null = within_distance(permuted(members, draws, seed, key), pairs, [key, "draw"], key)
     observed = within_distance(members, pairs, [key], key).withColumnRenamed("within", "observed")
     sizes = members.groupBy(key, "cluster").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("trials"), F.min("n").alias("least"))

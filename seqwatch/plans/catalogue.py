@@ -912,7 +912,7 @@ def ingredient_tests(spark, d):
 
 @query
 def order_structure(spark, d):
-    return rounded(explore.order_structure(segments(spark, d)))
+    return rounded(explore.order_structure(segments(spark, d), least_n=3))
 
 
 @query
