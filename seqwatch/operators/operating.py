@@ -73,7 +73,8 @@ def operating_points(ticks: DataFrame, alphas: DataFrame, parts: DataFrame) -> D
 
     `ticks` has (key, tick, seg_idx, is_error, is_positive) of all sequences, `alphas` (key, tick, channel, alpha), `parts`
     (key, part). A step is positive if a tick of it is. On the level of location an error that is found is tp, a flag
-    elsewhere fp as well; of healthy sequences flagged ones are fp, the others tn. The union of channels is one more.
+    elsewhere fp as well; of healthy sequences flagged ones are fp, the others tn. The union of channels is one more. What
+    durations tell at an alpha holds just above it.
     """
     rows = ticks.join(parts, "key")
     n = lambda c: F.sum(c.cast("long"))
