@@ -1,13 +1,47 @@
-"""Recursions over one sequence of an explicit-duration hidden semi-Markov model, in log space.
+"""Recursions over sequences of an explicit-duration hidden semi-Markov model, in log space.
 
 `look` (T, K) has the log likelihood of each tick in each state, `pmf` and `survival` (K, D) the log probabilities of
 durations 1..D. The last segment is cut off by the end of the sequence, so its duration counts by survival.
+
+The work is done on many sequences at once, `look` (T, K, B): a tick costs a few calls for all of them. Sequence b has
+`n[b]` ticks, what is beyond them is padding, and no result of a sequence depends on the others or on its padding.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 
+#: Ticks times states of the sequences that go through a recursion together, padding included.
+BATCH_CELLS = 1 << 19
+
+
+def batches(lengths: np.ndarray, states: int) -> Iterator[np.ndarray]:
+    """The numbers of all sequences in batches of similar lengths, each of at most `BATCH_CELLS` or of one sequence."""
+    order = np.argsort(-np.asarray(lengths), kind="stable")
+    at = 0
+    while at < len(order):
+        size = max(1, BATCH_CELLS // max(1, states * int(lengths[order[at]])))
+        yield order[at : at + size]
+        at += size
+
+
+def stacked(sequences: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences of numbers as columns, (T, B) with zeros beyond their ends, and their lengths."""
+    n = np.array([len(s) for s in sequences])
+    out = np.zeros((n.max(), len(n)), int)
+    for b, s in enumerate(sequences):
+        out[: len(s), b] = s
+    return out, n
+
+
+def columns(*sequences: Sequence[np.ndarray], states: int) -> Iterator[tuple]:
+    """(numbers of the sequences, each kind of them stacked, their lengths) by batches; a sequence's kinds are equally long."""
+    for some in batches([len(s) for s in sequences[0]], states):
+        tables = [stacked([kind[b] for b in some]) for kind in sequences]
+        yield some, *(table for table, _ in tables), tables[0][1]
+
 
 def lse(x: np.ndarray, axis: int) -> np.ndarray:
     top = np.max(x, axis=axis, keepdims=True)
@@ -20,115 +54,161 @@ def filter_step(window: np.ndarray, look: np.ndarray, trans: np.ndarray, pmf: np
     """One tick of the causal filter: (log belief before the tick, log weight of all ticks so far, new window).
 
     window (D, K) has the weight of segments that began r ticks ago, their likelihood included. It is all the state
-    that the filter needs, in batch and in streams.
+    that the filter needs, in batch and in streams. All arrays may have one more axis, of sequences.
     """
-    before = lse(window + survival.T, 0)
+    pmf, survival = pmf.swapaxes(0, 1), survival.swapaxes(0, 1)
+    before = lse(window + survival, 0)
     belief = before - lse(before, 0)
     window = window + look
-    total = lse(lse(window + survival.T, 0), 0)
-    ended = lse(window + pmf.T, 0)
+    total = lse(lse(window + survival, 0), 0)
+    ended = lse(window + pmf, 0)
     fresh = lse(ended[:, None] + trans, 0)
     return belief, total, ended, np.concatenate([fresh[None], window[:-1]])
 
 
 def first_window(init: np.ndarray, d_max: int) -> np.ndarray:
-    window = np.full((d_max, len(init)), -np.inf)
+    window = np.full((d_max, *init.shape), -np.inf)
     window[0] = init
     return window
 
 
+def forward_all(look, n, init, trans, pmf, survival):
+    """(beliefs (T, K, B), ended (T, K, B), fresh starts (T, K, B), log likelihoods (B,))."""
+    window = first_window(np.repeat(init[:, None], len(n), 1), pmf.shape[1])
+    trans, pmf, survival = trans[..., None], pmf[..., None], survival[..., None]
+    beliefs, ends, starts, total = np.empty(look.shape), np.empty(look.shape), np.empty(look.shape), np.full(len(n), -np.inf)
+    for t, x in enumerate(look):
+        starts[t] = window[0]
+        beliefs[t], weight, ends[t], window = filter_step(window, x, trans, pmf, survival)
+        total = np.where(t == n - 1, weight, total)
+    return beliefs, ends, starts, total
+
+
 def forward(look, init, trans, pmf, survival):
     """(beliefs (T, K), ended (T, K), fresh starts (T, K), log likelihood)."""
-    window = first_window(init, pmf.shape[1])
-    beliefs, ends, starts, total = [], [], [], -np.inf
-    for x in look:
-        starts.append(window[0])
-        belief, total, ended, window = filter_step(window, x, trans, pmf, survival)
-        beliefs.append(belief)
-        ends.append(ended)
-    return np.array(beliefs), np.array(ends), np.array(starts), float(total)
+    *found, total = forward_all(look[..., None], np.array([len(look)]), init, trans, pmf, survival)
+    return *(x[..., 0] for x in found), float(total[0])
 
 
-def stacked_likelihoods(look, init, trans, pmf, survival) -> np.ndarray:
-    """Log likelihoods (R,) of one sequence under R models at once: init (R, K), trans (R, K, K), pmf and survival (R, K, D)."""
-    pmf, survival = pmf.transpose(0, 2, 1), survival.transpose(0, 2, 1)
-    window = np.full(pmf.shape, -np.inf)
-    window[:, 0] = init
+def likelihoods(look, n, init, trans, pmf, survival) -> np.ndarray:
+    """Log likelihoods (B,) alone."""
+    window = first_window(np.repeat(init[:, None], len(n), 1), pmf.shape[1])
+    pmf, survival, total = pmf.T[..., None], survival.T[..., None], np.full(len(n), -np.inf)
     for t, x in enumerate(look):
         window = window + x
+        done = np.flatnonzero(n - 1 == t)
+        if len(done):
+            total[done] = lse(lse(window[..., done] + survival, 0), 0)
         if t + 1 < len(look):
-            ended = lse(window + pmf, 1)
-            window = np.concatenate([lse(ended[:, :, None] + trans, 1)[:, None], window[:, :-1]], axis=1)
-    return lse(lse(window + survival, 1), 1)
+            ended = lse(window + pmf, 0)
+            window = np.concatenate([lse(ended[:, None] + trans[..., None], 0)[None], window[:-1]])
+    return total
 
 
-def expectations(look, init, trans, pmf, survival):
-    """Expected statistics of one sequence: transitions (K, K), closed durations (K, D), the open one (K, D),
-    occupancy (T, K), log likelihood."""
-    n, k = look.shape
+def stacked_likelihoods(look, init, trans, pmf, survival) -> np.ndarray:
+    """Log likelihoods (R,) of one sequence under R models: init (R, K), trans (R, K, K), pmf and survival (R, K, D)."""
+    n = np.array([len(look)])
+    return np.array([likelihoods(look[..., None], n, *tables)[0] for tables in zip(init, trans, pmf, survival)])
+
+
+def expectations_all(look, n, init, trans, pmf, survival):
+    """Expected statistics of each sequence: transitions (K, K, B), closed durations (K, D, B), the open one (K, D, B),
+    occupancy (T, K, B), log likelihoods (B,)."""
+    size, k, many = look.shape
     d_max = pmf.shape[1]
-    _, ends, starts, total = forward(look, init, trans, pmf, survival)
-    sums = np.concatenate([np.zeros((1, k)), np.cumsum(look, 0)])
-    after = np.full((n, k), -np.inf)  # of what follows a segment that ends at t
-    after[n - 1] = 0.0
-    begin = np.full((n + 1, k), -np.inf)  # of a segment that begins at u and all after it
-    closed, open_, gamma = np.zeros((k, d_max)), np.zeros((k, d_max)), np.zeros((n + 1, k))
-    for u in range(n - 1, -1, -1):
-        m = min(d_max, n - u)
-        last = np.arange(u, u + m)
-        weight = np.where((last == n - 1)[:, None], survival[:, :m].T, pmf[:, :m].T) + sums[u + 1 : u + m + 1] - sums[u] + after[u : u + m]
+    _, ends, starts, total = forward_all(look, n, init, trans, pmf, survival)
+    trans, pmf, survival = trans[..., None], pmf.T[..., None], survival.T[..., None]
+    sums = np.concatenate([np.zeros((1, k, many)), np.cumsum(look, 0)])
+    after = np.full((size, k, many), -np.inf)  # of what follows a segment that ends at t
+    after[n - 1, :, np.arange(many)] = 0.0
+    begin = np.full((size + 1, k, many), -np.inf)  # of a segment that begins at u and all after it
+    closed, open_, gamma = np.zeros((d_max, k, many)), np.zeros((d_max, k, many)), np.zeros((size + 1, k, many))
+    for u in range(size - 1, -1, -1):
+        m = min(d_max, size - u)
+        last = np.arange(u, u + m)[:, None, None]
+        ended_here = last == n - 1
+        weight = np.where(ended_here, survival[:m], pmf[:m]) + sums[u + 1 : u + m + 1] - sums[u] + after[u : u + m]
         begin[u] = lse(weight, 0)
         if u:
-            after[u - 1] = lse(trans + begin[u][None, :], 1)
+            after[u - 1] = np.where(u == n, after[u - 1], lse(trans + begin[u][None], 1))
         q = np.exp(starts[u] + weight - total)
-        ended_here = last == n - 1
-        closed[:, :m] += np.where(ended_here[:, None], 0.0, q).T
-        open_[:, :m] += np.where(ended_here[:, None], q, 0.0).T
+        closed[:m] += np.where(ended_here, 0.0, q)
+        open_[:m] += np.where(ended_here, q, 0.0)
         gamma[u] += q.sum(0)
         gamma[u + 1 : u + m + 1] -= q
-    xi = np.zeros((k, k))
-    for t in range(n - 1):
-        xi += np.exp(ends[t][:, None] + trans + begin[t + 1][None, :] - total)
-    return xi, closed, open_, np.cumsum(gamma, 0)[:n], total
+    xi = np.zeros((k, k, many))
+    for t in range(size - 1):
+        xi += np.exp(ends[t][:, None] + trans + begin[t + 1][None] - total)
+    return xi, closed.swapaxes(0, 1), open_.swapaxes(0, 1), np.cumsum(gamma, 0)[:size], total
 
 
-def viterbi(look, init, trans, pmf, survival) -> tuple[list[tuple[int, int]], float]:
-    """The likeliest segments (state, duration) that tile the sequence, and their log weight; ties to the lowest index."""
-    n, k = look.shape
-    window = first_window(init, pmf.shape[1])
-    closed, previous = np.zeros((n, k), int), np.full((n, k), -1)
-    for t in range(n):
+def expectations(look, init, trans, pmf, survival):
+    """The same of one sequence: transitions (K, K), closed durations (K, D), the open one (K, D), occupancy (T, K), log
+    likelihood."""
+    *found, total = expectations_all(look[..., None], np.array([len(look)]), init, trans, pmf, survival)
+    return *(x[..., 0] for x in found), float(total[0])
+
+
+def viterbi_all(look, n, init, trans, pmf, survival):
+    """The likeliest segments that tile each sequence, ties to the lowest index: (segments of each sequence (B,), states and
+    durations of all segments, sequence by sequence, log weights (B,))."""
+    size, k, many = look.shape
+    window = first_window(np.repeat(init[:, None], many, 1), pmf.shape[1])
+    pmf, survival = pmf.T[..., None], survival.T[..., None]
+    closed, previous = np.zeros((size, k, many), np.int32), np.full((size, k, many), -1, np.int32)
+    state, back, best = np.zeros(many, int), np.zeros(many, int), np.empty(many)
+    for t in range(size):
         window = window + look[t]
-        with_pmf = window + pmf.T
+        done = np.flatnonzero(n - 1 == t)
+        if len(done):
+            final = window[..., done] + survival
+            state[done], best[done] = final.max(0).argmax(0), final.max((0, 1))
+            back[done] = final.argmax(0)[state[done], np.arange(len(done))]
+        with_pmf = window + pmf
         closed[t] = with_pmf.argmax(0)
-        ended = with_pmf.max(0)
-        step = ended[:, None] + trans
-        if t + 1 < n:
+        step = with_pmf.max(0)[:, None] + trans[..., None]
+        if t + 1 < size:
             previous[t + 1] = step.argmax(0)
             window = np.concatenate([step.max(0)[None], window[:-1]])
-    final = window + survival.T
-    state, end = int(final.max(0).argmax()), n - 1
-    best, back = float(final.max()), int(final[:, state].argmax())
-    found = []
-    while True:
-        found.append((state, back + 1))
+    at, end, rounds = np.arange(many), n - 1, []
+    while len(at):  # all sequences go one segment back
+        rounds.append((at, state, back + 1))
         begin = end - back
-        if begin <= 0:
-            return found[::-1], best
-        state, end = int(previous[begin, state]), begin - 1
-        back = int(closed[end, state])
+        more = begin > 0
+        at, begin, state = at[more], begin[more], state[more]
+        state, end = previous[begin, state, at].astype(int), begin - 1
+        back = closed[end, state, at].astype(int)
+    owner, states, durations = (np.concatenate(x) for x in zip(*rounds))
+    order = np.lexsort((-np.repeat(np.arange(len(rounds)), [len(r[0]) for r in rounds]), owner))
+    return np.bincount(owner, minlength=many), states[order], durations[order], best
 
 
-def hmm_expectations(symbols, init, trans, emit):
-    """Expected statistics of a plain HMM over symbols: gamma (T, K), transitions (K, K), log likelihood."""
-    look = emit[:, symbols].T
-    n, k = look.shape
-    alpha, beta = np.empty((n, k)), np.zeros((n, k))
-    alpha[0] = init + look[0]
-    for t in range(1, n):
+def viterbi(look, init, trans, pmf, survival) -> tuple[list[tuple[int, int]], float]:
+    """The likeliest segments (state, duration) that tile one sequence, and their log weight; ties to the lowest index."""
+    _, states, durations, best = viterbi_all(look[..., None], np.array([len(look)]), init, trans, pmf, survival)
+    return list(zip(states.tolist(), durations.tolist())), float(best[0])
+
+
+def hmm_expectations_all(symbols, n, init, trans, emit):
+    """Expected statistics of a plain HMM over symbols (T, B): gamma (T, K, B), zero beyond the ends, transitions (K, K, B),
+    log likelihoods (B,)."""
+    look = np.ascontiguousarray(emit[:, symbols].swapaxes(0, 1))
+    size, k, many = look.shape
+    trans = trans[..., None]
+    alpha, beta, xi = np.empty(look.shape), np.zeros(look.shape), np.zeros((k, k, many))
+    alpha[0] = init[:, None] + look[0]
+    for t in range(1, size):
         alpha[t] = lse(alpha[t - 1][:, None] + trans, 0) + look[t]
-    for t in range(n - 2, -1, -1):
-        beta[t] = lse(trans + (look[t + 1] + beta[t + 1])[None, :], 1)
-    total = float(lse(alpha[-1], 0))
-    xi = sum((np.exp(alpha[t][:, None] + trans + (look[t + 1] + beta[t + 1])[None, :] - total) for t in range(n - 1)), np.zeros((k, k)))
-    return np.exp(alpha + beta - total), xi, total
+    for t in range(size - 2, -1, -1):
+        beta[t] = np.where(t < n - 1, lse(trans + (look[t + 1] + beta[t + 1])[None], 1), 0.0)
+    total = lse(alpha[n - 1, :, np.arange(many)].T, 0)
+    for t in range(size - 1):
+        xi += np.where(t < n - 1, np.exp(alpha[t][:, None] + trans + (look[t + 1] + beta[t + 1])[None] - total), 0.0)
+    inside = (np.arange(size)[:, None] < n)[:, None]
+    return np.where(inside, np.exp(alpha + beta - total), 0.0), xi, total
+
+
+def hmm_expectations(symbols, init, trans, emit):
+    """The same of one sequence of symbols: gamma (T, K), transitions (K, K), log likelihood."""
+    gamma, xi, total = hmm_expectations_all(np.asarray(symbols)[:, None], np.array([len(symbols)]), init, trans, emit)
+    return gamma[..., 0], xi[..., 0], float(total[0])

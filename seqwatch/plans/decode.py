@@ -1,4 +1,4 @@
-"""Decoding trials with a fitted model: one grouped map per trial, tables broadcast."""
+"""Decoding trials with a fitted model: maps over batches of packed trials, tables broadcast."""
 
 from __future__ import annotations
 
@@ -13,6 +13,11 @@ from seqwatch.functions import kernels
 from seqwatch.functions.special import duration_tables
 
 
+def looks(verbs: np.ndarray, nouns: np.ndarray, verb_ids: np.ndarray, noun_ids: np.ndarray) -> np.ndarray:
+    """Log likelihoods (T, K) of the ticks of a sequence, or (T, K, B) of sequences (T, B)."""
+    return np.ascontiguousarray((verbs[:, verb_ids] + nouns[:, noun_ids]).swapaxes(0, 1))
+
+
 @dataclass
 class Model:
     """Log tables of one explicit-duration model over verbs and nouns."""
@@ -29,7 +34,7 @@ class Model:
         return duration_tables(self.r, self.p, self.d_max)
 
     def look(self, verb_ids: np.ndarray, noun_ids: np.ndarray) -> np.ndarray:
-        return self.verbs[:, verb_ids].T + self.nouns[:, noun_ids].T
+        return looks(self.verbs, self.nouns, verb_ids, noun_ids)
 
     def long(self, spark: SparkSession) -> DataFrame:
         """(family, i, j, value) rows, the stored form."""
@@ -67,34 +72,48 @@ def random_counts(states: int, n_verbs: int, n_nouns: int, seed: int, alpha: flo
     return init, rows(alpha, states) * (1 - np.eye(states)), rows(float(n_verbs), n_verbs), rows(float(n_nouns), n_nouns), r, r / (r + mean)
 
 
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` by `keys` into a fixed number of partitions, which are not merged for having few bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def packed_trials(ticks: DataFrame) -> DataFrame:
-    """trial_id, verb_ids, noun_ids in order of ticks."""
+    """trial_id, verb_ids, noun_ids in order of ticks, dealt evenly."""
     t = F.array_sort(F.collect_list(F.struct("tick", "verb_id", "noun_id")))
-    return ticks.groupBy("trial_id").agg(t.alias("t")).select("trial_id", F.col("t.verb_id").alias("verb_ids"), F.col("t.noun_id").alias("noun_ids"))
+    return dealt(ticks, ["trial_id"]).groupBy("trial_id").agg(t.alias("t")).select("trial_id", F.col("t.verb_id").alias("verb_ids"), F.col("t.noun_id").alias("noun_ids"))
 
 
 def _map_trials(ticks: DataFrame, model: Model, kernel, schema: str) -> DataFrame:
+    """`kernel(model, look, lengths, pmf, survival)` of batches of trials: places of its rows' trials and their columns."""
     shared = ticks.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         pmf, survival = m.durations()
         for b in batches:
-            out = [kernel(trial, m, m.look(np.asarray(v), np.asarray(n)), pmf, survival) for trial, v, n in zip(b["trial_id"], b["verb_ids"], b["noun_ids"])]
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            trials = b["trial_id"].to_numpy()
+            for some, v, n, size in kernels.columns(b["verb_ids"], b["noun_ids"], states=len(m.init)):
+                owner, rows = kernel(m, m.look(v, n), size, pmf, survival)
+                yield pd.DataFrame({"trial_id": trials[some][owner], **rows})
 
     return packed_trials(ticks).mapInPandas(run, schema)
 
 
+def segments_by_trial(counts: np.ndarray, durations: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, number within the sequence, first tick) of segments, sequence by sequence."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    first = (np.cumsum(counts) - counts)[owner]
+    start = np.cumsum(durations) - durations
+    return owner, np.arange(len(owner)) - first, start - start[first]
+
+
 def decode(ticks: DataFrame, model: Model) -> DataFrame:
     """The likeliest segments of each trial: trial_id, seg_idx, state, tick_start, tick_end, duration, is_last."""
 
-    def kernel(trial, m, look, pmf, survival):
-        found, _ = kernels.viterbi(look, m.init, m.trans, pmf, survival)
-        d = np.array([x for _, x in found])
-        end = np.cumsum(d)
-        return pd.DataFrame({"trial_id": trial, "seg_idx": np.arange(len(d)), "state": [s for s, _ in found], "tick_start": end - d, "tick_end": end, "duration": d, "is_last": np.arange(len(d)) == len(d) - 1})
+    def kernel(m, look, size, pmf, survival):
+        counts, states, d, _ = kernels.viterbi_all(look, size, m.init, m.trans, pmf, survival)
+        owner, seg, start = segments_by_trial(counts, d)
+        return owner, {"seg_idx": seg, "state": states, "tick_start": start, "tick_end": start + d, "duration": d, "is_last": seg == counts[owner] - 1}
 
     return _map_trials(ticks, model, kernel, "trial_id long, seg_idx int, state int, tick_start int, tick_end int, duration int, is_last boolean")
 
@@ -102,9 +121,11 @@ def decode(ticks: DataFrame, model: Model) -> DataFrame:
 def beliefs(ticks: DataFrame, model: Model) -> DataFrame:
     """Causal beliefs and emission surprises of each tick: trial_id, tick, belief (array by state), s_verb, s_noun, s_emit."""
 
-    def kernel(trial, m, look, pmf, survival):
-        log_belief, *_ = kernels.forward(look, m.init, m.trans, pmf, survival)
-        return pd.DataFrame({"trial_id": trial, "tick": np.arange(len(look)), "belief": list(np.exp(log_belief)), "s_emit": -kernels.lse(log_belief + look, 1)})
+    def kernel(m, look, size, pmf, survival):
+        log_belief, *_ = kernels.forward_all(look, size, m.init, m.trans, pmf, survival)
+        tick, owner = np.nonzero(np.arange(len(look))[:, None] < size)
+        log_belief, look = log_belief[tick, :, owner], look[tick, :, owner]
+        return owner, {"tick": tick, "belief": list(np.exp(log_belief)), "s_emit": -kernels.lse(log_belief + look, 1)}
 
     return _map_trials(ticks, model, kernel, "trial_id long, tick int, belief array<double>, s_emit double")
 
@@ -116,7 +137,10 @@ def log_likelihoods(ticks: DataFrame, models: list[Model]) -> DataFrame:
     def run(batches):
         tables = [(m, *m.durations()) for m in shared.value]
         for b in batches:
-            yield pd.DataFrame({"trial_id": b["trial_id"], "log_z": [[kernels.forward(m.look(np.asarray(v), np.asarray(n)), m.init, m.trans, pmf, sv)[3] for m, pmf, sv in tables] for v, n in zip(b["verb_ids"], b["noun_ids"])]})
+            out = np.empty((len(b), len(tables)))
+            for some, v, n, size in kernels.columns(b["verb_ids"], b["noun_ids"], states=max(len(m.init) for m, *_ in tables)):
+                out[some] = np.stack([kernels.likelihoods(m.look(v, n), size, m.init, m.trans, pmf, survival) for m, pmf, survival in tables], 1)
+            yield pd.DataFrame({"trial_id": b["trial_id"], "log_z": list(out)})
 
     return packed_trials(ticks).mapInPandas(run, "trial_id long, log_z array<double>")
 

@@ -22,16 +22,17 @@ def expected_statistics(trials: DataFrame, model: Model, temperature: float = 1.
         k = len(m.init)
         sums = {"init": np.zeros((k, 1)), "trans": np.zeros((k, k)), "verbs": np.zeros_like(m.verbs), "nouns": np.zeros_like(m.nouns), "closed": np.zeros_like(pmf), "open": np.zeros_like(pmf), "log_z": np.zeros((1, 1))}
         for b in batches:
-            for v, n in zip(b["verb_ids"], b["noun_ids"]):
-                v, n = np.asarray(v), np.asarray(n)
-                xi, closed, open_, gamma, total = kernels.expectations(m.look(v, n) / temperature, m.init, m.trans, pmf, survival)
-                sums["init"] += gamma[:1].T
-                sums["trans"] += xi
-                np.add.at(sums["verbs"].T, v, gamma)
-                np.add.at(sums["nouns"].T, n, gamma)
-                sums["closed"] += closed
-                sums["open"] += open_
-                sums["log_z"] += total
+            for _, v, n, size in kernels.columns(b["verb_ids"], b["noun_ids"], states=k):
+                xi, closed, open_, gamma, total = kernels.expectations_all(m.look(v, n) / temperature, size, m.init, m.trans, pmf, survival)
+                tick, owner = np.nonzero(np.arange(len(v))[:, None] < size)
+                seen = gamma[tick, :, owner]
+                sums["init"] += gamma[0].sum(1)[:, None]
+                sums["trans"] += xi.sum(2)
+                np.add.at(sums["verbs"].T, v[tick, owner], seen)
+                np.add.at(sums["nouns"].T, n[tick, owner], seen)
+                sums["closed"] += closed.sum(2)
+                sums["open"] += open_.sum(2)
+                sums["log_z"] += total.sum()
         for family, table in sums.items():
             i, j = np.nonzero(table)
             yield pd.DataFrame({"family": family, "i": i, "j": j, "value": table[i, j]})

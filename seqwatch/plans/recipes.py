@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seqwatch.functions import kernels
 from seqwatch.operators.counts import contingency, majority
-from seqwatch.plans.decode import normalised
+from seqwatch.plans.decode import dealt, normalised
 
 
 @dataclass
@@ -31,7 +31,7 @@ def start(recipes: int, states: int, seed: int, alpha: float = 0.5) -> RecipeMod
 
 def packed_segments(segments: DataFrame) -> DataFrame:
     s = F.array_sort(F.collect_list(F.struct("seg_idx", "state")))
-    return segments.groupBy("trial_id").agg(s.alias("s")).select("trial_id", F.col("s.state").alias("states"))
+    return dealt(segments, ["trial_id"]).groupBy("trial_id").agg(s.alias("s")).select("trial_id", F.col("s.state").alias("states"))
 
 
 def expected_statistics(trials: DataFrame, model: RecipeModel) -> pd.DataFrame:
@@ -42,13 +42,13 @@ def expected_statistics(trials: DataFrame, model: RecipeModel) -> pd.DataFrame:
         m = shared.value
         sums = {"init": np.zeros((len(m.init), 1)), "trans": np.zeros_like(m.trans), "emit": np.zeros_like(m.emit), "log_z": np.zeros((1, 1))}
         for b in batches:
-            for states in b["states"]:
-                states = np.asarray(states)
-                gamma, xi, total = kernels.hmm_expectations(states, m.init, m.trans, m.emit)
-                sums["init"] += gamma[:1].T
-                sums["trans"] += xi
-                np.add.at(sums["emit"].T, states, gamma)
-                sums["log_z"] += total
+            for _, states, size in kernels.columns(b["states"], states=len(m.init)):
+                gamma, xi, total = kernels.hmm_expectations_all(states, size, m.init, m.trans, m.emit)
+                tick, owner = np.nonzero(np.arange(len(states))[:, None] < size)
+                sums["init"] += gamma[0].sum(1)[:, None]
+                sums["trans"] += xi.sum(2)
+                np.add.at(sums["emit"].T, states[tick, owner], gamma[tick, :, owner])
+                sums["log_z"] += total.sum()
         for family, table in sums.items():
             i, j = np.nonzero(table)
             yield pd.DataFrame({"family": family, "i": i, "j": j, "value": table[i, j]})
@@ -89,9 +89,11 @@ def decoded_recipes(segments: DataFrame, model: RecipeModel) -> DataFrame:
     def run(batches):
         m = shared.value
         for b in batches:
-            found = [kernels.hmm_expectations(np.asarray(s), m.init, m.trans, m.emit)[0].argmax(1) for s in b["states"]]
-            if found:
-                yield pd.DataFrame({"trial_id": np.repeat(b["trial_id"].to_numpy(), [len(f) for f in found]), "recipe_id": np.concatenate(found)})
+            trials = b["trial_id"].to_numpy()
+            for some, states, size in kernels.columns(b["states"], states=len(m.init)):
+                found = kernels.hmm_expectations_all(states, size, m.init, m.trans, m.emit)[0].argmax(1)
+                tick, owner = np.nonzero(np.arange(len(states))[:, None] < size)
+                yield pd.DataFrame({"trial_id": trials[some][owner], "recipe_id": found[tick, owner]})
 
     each = packed_segments(segments).mapInPandas(run, "trial_id long, recipe_id int")
     return majority(each, "trial_id", "recipe_id").select("trial_id", "recipe_id")

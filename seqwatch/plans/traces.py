@@ -1,4 +1,4 @@
-"""Traces: what a fitted model makes of each trial, tick by tick, from one pass of its recursions over the trial.
+"""Traces: what a fitted model makes of each trial, tick by tick, from passes of recursions over batches of trials.
 
 A trial is first given its likeliest recipe, then goes to a task that holds that recipe's tables, where it is filtered,
 decoded and scored. Sequences are named by `keys`, as in `operators.channels`, whose flags the scores feed.
@@ -11,16 +11,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from seqwatch.functions import kernels
 from seqwatch.functions.special import nb_log_cdf, nb_log_pmf, nb_log_survival
 from seqwatch.operators import channels, narrate, sequence
 from seqwatch.operators import surprise as S
-from seqwatch.plans.decode import Model
+from seqwatch.plans.decode import Model, dealt, looks, segments_by_trial
 from seqwatch.plans.joint import JointModel
 from seqwatch.plans.recipes import RecipeModel
+from seqwatch.sources.durable import written
 
 #: Trials of one recipe in one group of a task.
 TRIALS_OF_PART = 1000
@@ -42,9 +46,10 @@ def _typed(df: DataFrame, keys: list[str]) -> str:
 
 
 def packed(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    """`keys`, verb_ids, noun_ids in order of ticks."""
+    """`keys`, verb_ids, noun_ids in order of ticks, dealt evenly: recursions cost much more than the bytes of a trial tell,
+    so small partitions aren't merged."""
     t = F.array_sort(F.collect_list(F.struct("tick", "verb_id", "noun_id")))
-    return ticks.groupBy(*keys).agg(t.alias("t")).select(*keys, F.col("t.verb_id").alias("verb_ids"), F.col("t.noun_id").alias("noun_ids"))
+    return dealt(ticks, keys).groupBy(*keys).agg(t.alias("t")).select(*keys, F.col("t.verb_id").alias("verb_ids"), F.col("t.noun_id").alias("noun_ids"))
 
 
 def recipes_of(trials: DataFrame, model: JointModel, keys: list[str]) -> DataFrame:
@@ -56,12 +61,14 @@ def recipes_of(trials: DataFrame, model: JointModel, keys: list[str]) -> DataFra
 
     def run(batches):
         m = shared.value
-        pmf, survival = (np.stack(x) for x in zip(*(m.recipe(r).durations() for r in range(len(m.pi)))))
+        tables = [m.recipe(r).durations() for r in range(len(m.pi))]
         for b in batches:
-            looks = [m.verbs[:, np.asarray(v)].T + m.nouns[:, np.asarray(n)].T for v, n in zip(b["verb_ids"], b["noun_ids"])]
-            weights = [m.pi + kernels.stacked_likelihoods(look, m.init, m.trans, pmf, survival) for look in looks]
-            b["recipe"] = [int(w.argmax()) for w in weights]
-            b["rho"] = [np.exp(w - kernels.lse(w, 0)) for w in weights]
+            weights = np.empty((len(b), len(m.pi)))
+            for some, v, n, size in kernels.columns(b["verb_ids"], b["noun_ids"], states=m.init.shape[1]):
+                look = looks(m.verbs, m.nouns, v, n)
+                weights[some] = np.stack([m.pi[r] + kernels.likelihoods(look, size, m.init[r], m.trans[r], *t) for r, t in enumerate(tables)], 1)
+            b["recipe"] = weights.argmax(1)
+            b["rho"] = list(np.exp(weights - kernels.lse(weights, 1)[:, None]))
             yield b
 
     return trials.mapInPandas(run, f"{_typed(trials, keys)}verb_ids array<int>, noun_ids array<int>, recipe int, rho array<double>")
@@ -74,104 +81,119 @@ def slices(spark: SparkSession, model: JointModel) -> DataFrame:
 
 
 def conditioned(trials: DataFrame, model: JointModel, keys: list[str], kernel: Callable, schema: str) -> DataFrame:
-    """`kernel(verb_ids, noun_ids, model, pmf, survival, recipe)` of each packed trial, under the tables of its `recipe`.
+    """`kernel(verb_ids, noun_ids, lengths, model, pmf, survival, recipe)` of batches of packed trials of one recipe, under
+    the tables of this recipe. It returns the place in the batch of each of its rows, and their columns.
 
     Trials go to their recipe's slice by a join of groups: a task reads the slices of its own recipes only. A recipe
     with many trials is dealt to several groups, so that none holds more than a bounded number.
     """
     spark = trials.sparkSession
+    trials = written(trials.select(*keys, "verb_ids", "noun_ids", "recipe"), "trials")
     n_parts = trials.groupBy("recipe").agg(F.ceil(F.count("*") / TRIALS_OF_PART).cast("int").alias("parts"))  # one row a recipe
     left = trials.join(F.broadcast(n_parts), "recipe").withColumn("part", F.pmod(F.xxhash64(*keys), "parts").cast("int")).select(*keys, "verb_ids", "noun_ids", "recipe", "part")
     right = slices(spark, model).join(F.broadcast(n_parts), "recipe").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     shared = spark.sparkContext.broadcast((model.verbs, model.nouns, model.d_max))  # of all recipes alike
-    columns = [c.split()[0] for c in schema.split(", ")]
+    out = to_arrow_schema(StructType([*(trials.schema[k] for k in keys), *_parse_datatype_string(schema)]))
 
-    def run(some: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
+    def run(some: pa.Table, tables: pa.Table) -> pa.Table:
         verbs, nouns, d_max = shared.value
-        t = tables.iloc[0]
-        k = len(t["init"])
-        own = Model(np.asarray(t["init"]), np.asarray(t["trans"]).reshape(k, k), verbs, nouns, np.asarray(t["r"]), np.asarray(t["p"]), d_max)
-        out = []
-        for row in some.itertuples(index=False):
-            found = kernel(np.asarray(row.verb_ids), np.asarray(row.noun_ids), own, *own.durations(), int(t["recipe"]))
-            for name in keys:
-                found[name] = getattr(row, name)
-            out.append(found)
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[*keys, *columns])
+        init, trans, r, p = (np.array(tables[c][0].as_py()) for c in ("init", "trans", "r", "p"))
+        own = Model(init, trans.reshape(len(init), -1), verbs, nouns, r, p, d_max)
+        found = []
+        sequences = [[np.asarray(x) for x in some[c].to_pylist()] for c in ("verb_ids", "noun_ids")]
+        for at, v, n, size in kernels.columns(*sequences, states=len(init)):
+            owner, rows = kernel(v, n, size, own, *own.durations(), tables["recipe"][0].as_py())
+            found.append(pa.table([*(some[k].take(pa.array(at[owner])) for k in keys), *(rows[c] for c in out.names[len(keys) :])], names=out.names).cast(out))
+        return pa.concat_tables(found) if found else out.empty_table()
 
-    return left.groupBy("recipe", "part").cogroup(right.groupBy("recipe", "part")).applyInPandas(run, _typed(trials, keys) + schema)
+    by = ["recipe", "part"]
+    return dealt(left, by).groupBy(*by).cogroup(dealt(right, by).groupBy(*by)).applyInArrow(run, _typed(trials, keys) + schema)
 
 
 def decode_conditioned(trials: DataFrame, model: JointModel, keys: list[str]) -> DataFrame:
     """The likeliest segments of each packed trial under its own recipe."""
 
-    def kernel(v, n, own, pmf, survival, recipe):
-        found, _ = kernels.viterbi(own.look(v, n), own.init, own.trans, pmf, survival)
-        d = np.array([x for _, x in found])
-        end = np.cumsum(d)
-        return pd.DataFrame({"seg_idx": np.arange(len(d)), "state": [s for s, _ in found], "tick_start": end - d, "tick_end": end, "duration": d, "is_last": np.arange(len(d)) == len(d) - 1, "recipe": recipe})
+    def kernel(v, n, size, own, pmf, survival, recipe):
+        counts, states, d, _ = kernels.viterbi_all(looks(own.verbs, own.nouns, v, n), size, own.init, own.trans, pmf, survival)
+        owner, seg, start = segments_by_trial(counts, d)
+        rows = {"seg_idx": seg, "state": states, "tick_start": start, "tick_end": start + d, "duration": d, "is_last": seg == counts[owner] - 1, "recipe": np.full(len(d), recipe)}
+        return owner, {c: pa.array(x) for c, x in rows.items()}
 
     return conditioned(trials, model, keys, kernel, SEGMENTS)
 
 
-def trace_of(v: np.ndarray, n: np.ndarray, own: Model, pmf: np.ndarray, survival: np.ndarray, recipe: int, marginal: np.ndarray | None = None, hmm: RecipeModel | None = None) -> pd.DataFrame:
-    """The trace of one sequence: decoded segments, belief before each tick, and all surprises.
+def traces_of(v: np.ndarray, n: np.ndarray, size: np.ndarray, own: Model, pmf: np.ndarray, survival: np.ndarray, recipe: int, marginal: np.ndarray | None = None, hmm: RecipeModel | None = None) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(owner of each tick, its columns): the traces of sequences (T, B): decoded segments, belief before each tick, and all
+    surprises.
 
     With `marginal`, log transitions of all recipes together, s_recipe_transition is what the recipe's own ones add to
     the surprise. With `hmm`, each segment has the likeliest recipe of an HMM over the decoded segments, and the channel
     is the surprise of its moves. Scores of segments stand at their first tick (moves) or last one (durations of closed
     segments), and are null elsewhere.
     """
-    look = own.look(v, n)
-    log_belief, *_ = kernels.forward(look, own.init, own.trans, pmf, survival)
-    found, _ = kernels.viterbi(look, own.init, own.trans, pmf, survival)
-    states, d = (np.array(x) for x in zip(*found))
-    end = np.cumsum(d)
-    start = end - d
-    t = np.arange(len(v))
-    seg = np.repeat(np.arange(len(d)), d)
-    z = states[seg]
+    look = looks(own.verbs, own.nouns, v, n)
+    log_belief, *_ = kernels.forward_all(look, size, own.init, own.trans, pmf, survival)
+    counts, states, d, _ = kernels.viterbi_all(look, size, own.init, own.trans, pmf, survival)
+    seg_owner, seg_idx, start = segments_by_trial(counts, d)
+    at = np.repeat(np.arange(len(d)), d)  # the segment of each tick; ticks are in order of sequences
+    owner, z = seg_owner[at], states[at]
+    t = np.arange(len(at)) - (np.cumsum(size) - size)[owner]
+    log_belief, look, v, n = log_belief[t, :, owner], look[t, :, owner], v[t, owner], n[t, owner]
     belief = np.exp(log_belief)
     told = belief >= LEAST_BELIEF
-    out = pd.DataFrame({"tick": t, "seg_idx": seg, "z_star": z, "recipe": recipe, "s_verb": -kernels.lse(log_belief + own.verbs[:, v].T, 1), "s_noun": -kernels.lse(log_belief + own.nouns[:, n].T, 1), "s_emit": -kernels.lse(log_belief + look, 1)})
-    out["s_temporal"] = -survival[z, np.minimum(t - start[seg], own.d_max - 1)]
-    out["expected_verb"], out["expected_noun"] = own.verbs[z].argmax(1), own.nouns[z].argmax(1)
-    out["pi_max"], out["pi_z"] = belief.max(1), belief[t, z]
-    out["belief"] = [[{"state": int(s), "p": float(b[s])} for s in np.flatnonzero(k)] for b, k in zip(belief, told)]
-    out["dropped"] = np.where(told, 0.0, belief).sum(1)
-    for c in ("s_dur_long", "s_dur_short", "s_dur_two", "pit", "s_transition", "s_recipe_transition"):
-        out[c] = None
-    for c in ("from_state", "from_recipe", "expected_state"):
-        out[c] = pd.array([None] * len(t), "Int32")
-    out["cause"] = None
+    rows = {"tick": t, "seg_idx": seg_idx[at], "z_star": z, "recipe": np.full(len(t), recipe)}
+    rows |= {"s_verb": -kernels.lse(log_belief + own.verbs[:, v].T, 1), "s_noun": -kernels.lse(log_belief + own.nouns[:, n].T, 1), "s_emit": -kernels.lse(log_belief + look, 1)}
+    rows |= {"s_temporal": -survival[z, np.minimum(t - start[at], own.d_max - 1)], "expected_verb": own.verbs.argmax(1)[z], "expected_noun": own.nouns.argmax(1)[z]}
+    rows |= {"pi_max": belief.max(1), "pi_z": belief[np.arange(len(t)), z], "dropped": np.where(told, 0.0, belief).sum(1)}
     path = None
     if hmm is not None:
-        path = kernels.hmm_expectations(states, hmm.init, hmm.trans, hmm.emit)[0].argmax(1)
-        out["recipe"] = path[seg]
-    a, b = states[:-1], states[1:]
-    if len(a):
-        r, p, closed = own.r[a], own.p[a], d[:-1].astype(float)
-        longer, shorter = nb_log_survival(closed, r, p), nb_log_cdf(closed, r, p)
-        below = np.where(closed <= 1, 0.0, np.exp(nb_log_cdf(np.maximum(closed - 1, 1.0), r, p)))
-        at = out.index[end[:-1] - 1]
-        out.loc[at, "s_dur_long"], out.loc[at, "s_dur_short"] = -longer, -shorter
-        out.loc[at, "s_dur_two"] = np.maximum(0.0, -(np.log(2.0) + np.minimum(longer, shorter)))
-        out.loc[at, "cause"] = np.where(longer < shorter, "stuck", "left_early")
-        out.loc[at, "pit"] = below + 0.5 * np.exp(nb_log_pmf(closed, r, p))
-        at = out.index[start[1:]]
-        out.loc[at, "s_transition"], out.loc[at, "from_state"] = -own.trans[a, b], a
-        out.loc[at, "expected_state"] = own.trans[a].argmax(1)
-        if marginal is not None:
-            out.loc[at, "s_recipe_transition"] = marginal[a, b] - own.trans[a, b]
-        if path is not None:
-            out.loc[at, "s_recipe_transition"], out.loc[at, "from_recipe"] = -hmm.trans[path[:-1], path[1:]], path[:-1]
-    return out
+        path = np.empty(len(d), int)
+        first = np.cumsum(counts) - counts
+        for some, symbols, many in kernels.columns([states[f : f + c] for f, c in zip(first, counts)], states=len(hmm.init)):
+            likeliest = kernels.hmm_expectations_all(symbols, many, hmm.init, hmm.trans, hmm.emit)[0].argmax(1)
+            for k, b in enumerate(some):
+                path[first[b] : first[b] + counts[b]] = likeliest[: many[k], k]
+        rows["recipe"] = path[at]
+    closed = np.flatnonzero(seg_idx < counts[seg_owner] - 1)  # a segment follows
+    a, b, ended = states[closed], states[closed + 1], d[closed]
+    lengths = np.arange(1, own.d_max + 1)[None]
+    r, p = own.r[:, None], own.p[:, None]
+    longer, cdf, mass = (x[a, ended - 1] for x in (nb_log_survival(lengths, r, p), nb_log_cdf(lengths, r, p), np.exp(nb_log_pmf(lengths, r, p))))
+    below = np.where(ended <= 1, 0.0, np.exp(nb_log_cdf(np.maximum(lengths - 1, 1), r, p))[a, ended - 1])
+    end = np.cumsum(d)
+    last, begun = end[closed] - 1, end[closed]  # ticks of all sequences
+
+    def only(where, values, kind=float):
+        out, missing = np.zeros(len(t), kind), np.ones(len(t), bool)
+        out[where], missing[where] = values, False
+        return pa.array(out, mask=missing)
+
+    found = {c: pa.array(x) for c, x in rows.items()}
+    found["s_dur_long"], found["s_dur_short"] = only(last, -longer), only(last, -cdf)
+    found["s_dur_two"] = only(last, np.maximum(0.0, -(np.log(2.0) + np.minimum(longer, cdf))))
+    found["cause"] = only(last, np.where(longer < cdf, "stuck", "left_early"), object)
+    found["pit"] = only(last, below + 0.5 * mass)
+    found["s_transition"], found["from_state"], found["expected_state"] = only(begun, -own.trans[a, b]), only(begun, a, int), only(begun, own.trans.argmax(1)[a], int)
+    found["s_recipe_transition"], found["from_recipe"] = only([], []), only([], [], int)
+    if marginal is not None:
+        found["s_recipe_transition"] = only(begun, marginal[a, b] - own.trans[a, b])
+    if path is not None:
+        found["s_recipe_transition"], found["from_recipe"] = only(begun, -hmm.trans[path[closed], path[closed + 1]]), only(begun, path[closed], int)
+    tick, state = np.nonzero(told)
+    shares = pa.StructArray.from_arrays([pa.array(state.astype(np.int32)), pa.array(belief[tick, state])], names=["state", "p"])
+    found["belief"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(told.sum(1))]).astype(np.int32)), shares)
+    return owner, found
+
+
+def trace_of(v: np.ndarray, n: np.ndarray, own: Model, pmf: np.ndarray, survival: np.ndarray, recipe: int, marginal: np.ndarray | None = None, hmm: RecipeModel | None = None) -> pd.DataFrame:
+    """The trace of one sequence."""
+    return pa.table(traces_of(v[:, None], n[:, None], np.array([len(v)]), own, pmf, survival, recipe, marginal, hmm)[1]).to_pandas()
 
 
 def trace_joint(ticks: DataFrame, model: JointModel, keys: list[str]) -> DataFrame:
     """The traces of all sequences, each under its likeliest recipe."""
     marginal = model.marginal_transitions()
-    return conditioned(recipes_of(packed(ticks, keys), model, keys), model, keys, lambda *x: trace_of(*x, marginal=marginal), TRACE)
+    return conditioned(recipes_of(packed(ticks, keys), model, keys), model, keys, lambda *x: traces_of(*x, marginal=marginal), TRACE)
 
 
 def single(model: Model) -> JointModel:
@@ -182,7 +204,7 @@ def single(model: Model) -> JointModel:
 def trace_cascade(ticks: DataFrame, model: Model, hmm: RecipeModel, keys: list[str]) -> DataFrame:
     """The traces of all sequences under one model, with the recipe of each segment by an HMM over the segments."""
     trials = packed(ticks, keys).withColumn("recipe", F.lit(0))
-    return conditioned(trials, single(model), keys, lambda *x: trace_of(*x, hmm=hmm), TRACE)
+    return conditioned(trials, single(model), keys, lambda *x: traces_of(*x, hmm=hmm), TRACE)
 
 
 def segments_of(trace: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqwatch.functions import kernels
 from seqwatch.functions.special import duration_tables, fit_nb
-from seqwatch.plans.decode import Model, normalised
+from seqwatch.plans.decode import Model, dealt, normalised
 from seqwatch.plans.joint import JointModel
 from seqwatch.plans.recipes import RecipeModel
 
@@ -20,16 +20,19 @@ LEAST_TRIALS = 2.0
 def segment_labels(segments: DataFrame, model: RecipeModel) -> DataFrame:
     """(trial_id, seg_idx, recipe, w): the posterior of each recipe at each segment, by an HMM over the segments' states."""
     s = F.array_sort(F.collect_list(F.struct("seg_idx", "state")))
-    trials = segments.groupBy("trial_id").agg(s.alias("s")).select("trial_id", F.col("s.seg_idx").alias("at"), F.col("s.state").alias("states"))
+    trials = dealt(segments, ["trial_id"]).groupBy("trial_id").agg(s.alias("s")).select("trial_id", F.col("s.seg_idx").alias("at"), F.col("s.state").alias("states"))
     shared = segments.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for b in batches:
-            for trial, at, states in zip(b["trial_id"], b["at"], b["states"]):
-                gamma = kernels.hmm_expectations(np.asarray(states), m.init, m.trans, m.emit)[0]
-                n, k = gamma.shape
-                yield pd.DataFrame({"trial_id": trial, "seg_idx": np.repeat(at, k), "recipe": np.tile(np.arange(k), n), "w": gamma.reshape(-1)})
+            trial, at = b["trial_id"].to_numpy(), b["at"].to_numpy()
+            for some, states, size in kernels.columns(b["states"], states=len(m.init)):
+                gamma = kernels.hmm_expectations_all(states, size, m.init, m.trans, m.emit)[0]
+                owner, tick = np.nonzero(np.arange(len(states)) < size[:, None])  # by sequence
+                k = gamma.shape[1]
+                segs = np.concatenate([at[q] for q in some])
+                yield pd.DataFrame({"trial_id": np.repeat(trial[some][owner], k), "seg_idx": np.repeat(segs, k), "recipe": np.tile(np.arange(k), len(owner)), "w": gamma[tick, :, owner].reshape(-1)})
 
     return trials.mapInPandas(run, "trial_id long, seg_idx int, recipe int, w double")
 
