@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seqwatch.operators import channels
 from seqwatch.operators.evaluate import rates
 from seqwatch.operators.surprise import PLACES
-from seqwatch.sources.durable import written
+from seqwatch.sources.durable import data, written
 
 #: The name of the union of all channels.
 ALL = "all"
@@ -76,20 +76,20 @@ def operating_points(ticks: DataFrame, alphas: DataFrame, parts: DataFrame) -> D
     elsewhere fp as well; of healthy sequences flagged ones are fp, the others tn. The union of channels is one more. What
     durations tell at an alpha holds just above it.
     """
-    rows = ticks.join(parts, "key")
+    rows = written(ticks.join(data(parts), "key"), "parted")
     n = lambda c: F.sum(c.cast("long"))
     by_step = rows.groupBy("key", "part", "seg_idx").agg(F.bool_or("is_positive").alias("p"))
     by_key = rows.select("key", "part", "is_error").distinct()
     totals = by_step.groupBy("part").agg(n(F.col("p")).alias("positives"), n(~F.col("p")).alias("negatives")).withColumn("level", F.lit("step"))
     totals = totals.unionByName(by_key.groupBy("part").agg(n(F.col("is_error")).alias("positives"), n(~F.col("is_error")).alias("negatives")).withColumn("level", F.lit("trial_loc")))
-    heard = rows.join(alphas, ["key", "tick"]).withColumn("channel", F.explode(F.array("channel", F.lit(ALL))))
-    steps = heard.groupBy("key", "part", "seg_idx", "channel").agg(F.min("alpha").alias("alpha")).join(by_step, ["key", "part", "seg_idx"])
+    heard = written(rows.join(data(alphas), ["key", "tick"]), "heard").withColumn("channel", F.explode(F.array("channel", F.lit(ALL))))
+    steps = heard.groupBy("key", "part", "seg_idx", "channel").agg(F.min("alpha").alias("alpha")).join(data(by_step), ["key", "part", "seg_idx"])
     step = steps.select(F.lit("step").alias("level"), "part", "channel", "alpha", F.col("p").cast("long").alias("tp"), (~F.col("p")).cast("long").alias("fp"), (~F.col("p")).cast("long").alias("tn"))
     kinds = heard.groupBy("key", "part", "is_error", "channel", "is_positive").agg(F.min("alpha").alias("alpha"))
     hit = F.col("is_error") & F.col("is_positive")
     trial = kinds.select(F.lit("trial_loc").alias("level"), "part", "channel", "alpha", hit.cast("long").alias("tp"), (~hit).cast("long").alias("fp"), (~F.col("is_error")).cast("long").alias("tn"))
     start = totals.select("level", "part", F.explode(F.array(*map(F.lit, [*channels.CHANNELS, ALL]))).alias("channel"), F.lit(0.0).alias("alpha"), *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "tn")])
-    changes = step.unionByName(trial).unionByName(start).groupBy("level", "channel", "part", "alpha").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn")])
+    changes = written(step.unionByName(trial).unionByName(start).groupBy("level", "channel", "part", "alpha").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn")]), "changes")  # ranges are told by a pass of its own
     counted = running_sums(changes, ["level", "channel", "part"], "alpha", ["tp", "fp", "tn"]).join(F.broadcast(totals), ["level", "part"])
     return counted.select("level", "channel", "part", "alpha", "tp", "fp", (F.col("positives") - F.col("tp")).alias("fn"), (F.col("negatives") - F.col("tn")).alias("tn"))
 

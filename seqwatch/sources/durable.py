@@ -26,6 +26,15 @@ def durable_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def data(df: DataFrame) -> DataFrame:
+    """`df` for a join with rows of its own kind: sorted and merged, not broadcast.
+
+    Spark tells the size of a table by that of its files, and sequences are packed so well there that millions of rows
+    seem small enough to be gathered on the driver.
+    """
+    return df.hint("merge")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back."""
     spark = df.sparkSession

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqwatch.functions import kernels
 from seqwatch.functions.special import duration_tables
+from seqwatch.operators import operating
 from seqwatch.plans import decode
 
 
@@ -49,3 +50,20 @@ def test_packed_trials_keep_their_partitions(spark):
     ticks = spark.range(200).selectExpr("id % 40 as trial_id", "cast(id / 40 as int) as tick", "0 as verb_id", "0 as noun_id")
     n = decode.packed_trials(ticks).select(F.spark_partition_id().alias("p")).distinct().count()
     assert n == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_joins_of_sequences_are_not_broadcast(spark, monkeypatch):
+    """Tables of all ticks and flags look small by their files; gathered on the driver they are not."""
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    monkeypatch.setattr(operating, "written", kept)
+    ticks = spark.createDataFrame([("1", t, t // 2, False, False) for t in range(6)] + [("1/omission", t, t // 2, True, t > 3) for t in range(6)], "key string, tick int, seg_idx int, is_error boolean, is_positive boolean")
+    alphas = spark.createDataFrame([("1", 0, "s_verb", 0.1), ("1/omission", 4, "s_verb", 0.05)], "key string, tick int, channel string, alpha double")
+    parts = spark.createDataFrame([("1", "train"), ("1/omission", "train")], "key string, part string")
+    rows = operating.operating_points(ticks, alphas, parts).filter("level = 'trial_loc' and channel = 's_verb'").orderBy("alpha").collect()
+    assert [(r["alpha"], r["tp"], r["fp"]) for r in rows] == [(0.0, 0, 0), (0.05, 1, 0), (0.1, 1, 1)]
+    assert all("BroadcastHashJoin" not in plans[name] and "SortMergeJoin" in plans[name] for name in ("parted", "heard"))
