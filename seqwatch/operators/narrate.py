@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqwatch.operators.surprise import PLACES, severity
+from seqwatch.sources.durable import data
 
 
 def order_questions(flagged: DataFrame, expected: DataFrame, bridges: DataFrame, names: DataFrame, least_gain: float = 2.0, by: Sequence[str] = ()) -> DataFrame:
@@ -31,7 +32,7 @@ def order_questions(flagged: DataFrame, expected: DataFrame, bridges: DataFrame,
 def duration_questions(completed: DataFrame, segments: DataFrame, names: DataFrame, expected: DataFrame, alpha: float, by: Sequence[str] = ()) -> DataFrame:
     """Of closed segments with durations in the tails: left early, or stuck; expected durations may depend on `by`."""
     limit = -F.log(F.lit(alpha))
-    rows = completed.filter(F.round("s_dur_two", PLACES) > F.round(limit, PLACES)).join(segments.select("trial_id", "seg_idx", "tick_end"), ["trial_id", "seg_idx"]).join(names, "state").join(expected.select(*by, "state", "mean_duration"), [*by, "state"])
+    rows = completed.filter(F.round("s_dur_two", PLACES) > F.round(limit, PLACES)).join(data(segments.select("trial_id", "seg_idx", "tick_end")), ["trial_id", "seg_idx"]).join(names, "state").join(expected.select(*by, "state", "mean_duration"), [*by, "state"])
     early = F.format_string("'%s' ended after %d ticks; usually it takes about %d. Was it left early?", "name", "duration", F.round("mean_duration").cast("int"))
     late = F.format_string("'%s' took %d ticks; usually about %d. Was something wrong?", "name", "duration", F.round("mean_duration").cast("int"))
     return rows.select(
@@ -48,12 +49,12 @@ def emission_questions(flags: DataFrame, ticks: DataFrame, log_nouns: DataFrame,
     surprising than its action, and the other way round. `names` has (state, name) of actions, `items` (noun_id, item).
     """
     sums = flags.groupBy("trial_id", "tick").pivot("channel", ["s_noun", "s_verb"]).agg(F.first("value")).withColumnsRenamed({"s_noun": "vn", "s_verb": "vv"})
-    rows = flags.filter("channel in ('s_noun', 's_verb')").join(sums, ["trial_id", "tick"])
+    rows = flags.filter("channel in ('s_noun', 's_verb')").join(data(sums), ["trial_id", "tick"])
     other = F.when(F.col("channel") == "s_noun", F.coalesce("vv", F.lit(float("-inf")))).otherwise(F.coalesce("vn", F.lit(float("-inf"))))
     best = Window.partitionBy("trial_id", "seg_idx", "channel").orderBy(F.desc(F.round("value", PLACES)), "tick")
     rows = rows.filter(F.round("value", PLACES) > F.round(other, PLACES)).withColumn("rank", F.row_number().over(best)).filter("rank = 1")
     top = lambda t, token: t.groupBy("state").agg(F.min_by(token, F.struct(-F.round("logp", PLACES), F.col(token))).alias("likeliest")).withColumnRenamed("state", "place")
-    rows = rows.join(ticks.select("trial_id", "tick", "verb_id", "noun_id"), ["trial_id", "tick"])
+    rows = rows.join(data(ticks.select("trial_id", "tick", "verb_id", "noun_id")), ["trial_id", "tick"])
     item = rows.filter("channel = 's_noun'").join(top(log_nouns, "noun_id"), "place")
     for of, alias in (("noun_id", "n_seen"), ("likeliest", "n_likeliest")):
         item = item.join(items.select(F.col("noun_id").alias(of), F.col("item").alias(alias)), of)
@@ -69,7 +70,7 @@ def emission_questions(flags: DataFrame, ticks: DataFrame, log_nouns: DataFrame,
 def stall_questions(flags: DataFrame, names: DataFrame, expected: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The first tick of each segment that lasts too long so far; expected durations may depend on `by` of the segments."""
     first = flags.filter("channel = 's_temporal'").groupBy("trial_id", "seg_idx").agg(F.min_by(F.struct("tick", "value", "threshold"), "tick").alias("x")).select("trial_id", "seg_idx", "x.*")
-    rows = first.join(segments.select("trial_id", "seg_idx", *by, "state", "tick_start"), ["trial_id", "seg_idx"]).join(names, "state").join(expected.select(*by, "state", "mean_duration"), [*by, "state"])
+    rows = first.join(data(segments.select("trial_id", "seg_idx", *by, "state", "tick_start")), ["trial_id", "seg_idx"]).join(names, "state").join(expected.select(*by, "state", "mean_duration"), [*by, "state"])
     text = F.format_string("Still at '%s' after %d ticks? Usually it takes about %d.", "name", (F.col("tick") - F.col("tick_start") + 1).cast("int"), F.round("mean_duration").cast("int"))
     return rows.select("trial_id", "tick", F.lit("s_temporal").alias("channel"), F.lit("stall").alias("kind"), severity(F.col("value"), F.col("threshold")).alias("severity"), text.alias("text"))
 

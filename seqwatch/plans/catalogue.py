@@ -1175,12 +1175,13 @@ def narrated_flags(spark, d):
     names = events.vocabulary(table(spark, d, "events"), "event_type").select(F.col("id").alias("state"), F.col("token").alias("name"))
     items = w.ticks.select("noun_id", F.concat(F.lit("item"), F.col("noun_id").cast("string")).alias("item")).distinct()
     numbered = R.run_numbers(w.ticks.select("trial_id", "tick", "verb_id"), ["verb_id"]).select("trial_id", "tick", "seg_idx")
-    flags = written(healthy_channel_flags(w, t, [CHANNEL_ALPHA]).join(numbered, ["trial_id", "tick"]), "flags")
+    flags = written(healthy_channel_flags(w, t, [CHANNEL_ALPHA]).join(data(numbered), ["trial_id", "tick"]), "flags")
     flagged = S.transition_flags(S.transition_surprise(w.segments, w.logp), S.transition_thresholds(w.logp, ALPHA))
     means = C.duration_moments(C.duration_counts(w.segments, 50))
     order = narrate.order_questions(flagged, S.expected_next(w.logp).drop("logp"), sequence.bridges(w.logp), names)
     durations = narrate.duration_questions(S.completed_durations(w.segments, t.tails, D_MAX), w.segments, names, means, CHANNEL_ALPHA)
-    return narrate.narrated(order, durations, narrate.emission_questions(flags, w.ticks, t.nouns, t.verbs, names, items), narrate.stall_questions(flags, names, means, w.segments))
+    emitted, stalled = narrate.emission_questions(flags, w.ticks, t.nouns, t.verbs, names, items), narrate.stall_questions(flags, names, means, w.segments)
+    return narrate.narrated(*(written(q, "questions") for q in (order, durations, emitted, stalled)))  # their order is told by a pass of its own
 
 
 def queries() -> dict[str, Query]:
