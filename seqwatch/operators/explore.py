@@ -12,18 +12,27 @@ from seqwatch.sources.durable import written
 
 #: Letters of two bytes from 256 on, below the surrogates.
 MOST_STATES = 0xD800 - 256
+#: Trials of a recipe in one block.
+TRIALS_OF_BLOCK = 500
 
 
 def edit_distances(steps: DataFrame, key: str = "recipe") -> DataFrame:
     """a, b, distance of all pairs of trials of one recipe: edits between their sequences of states.
 
     Each state is one letter, so the built-in edit distance counts steps; states from 0 to `MOST_STATES` have one. Pairs grow with the square of a recipe's
-    trials, which is what is asked for; give it trials of one study, not a corpus.
+    trials, which is what is asked for; give it trials of one study, not a corpus. They are dealt by pairs of blocks of a recipe's
+    trials, so that no task has all pairs of a recipe.
     """
     letter = F.when(F.col("state").between(0, MOST_STATES - 1), F.decode(F.unhex(F.lpad(F.hex(F.col("state") + 256), 4, "0")), "UTF-16BE")).otherwise(F.raise_error(F.lit("a state beyond those that letters stand for")))
     words = steps.groupBy("trial_id", key).agg(F.array_sort(F.collect_list(F.struct("seg_idx", letter.alias("c")))).alias("s")).select("trial_id", key, F.array_join("s.c", "").alias("w"))
-    a, b = words.select(key, F.col("trial_id").alias("a"), F.col("w").alias("wa")), words.select(key, F.col("trial_id").alias("b"), F.col("w").alias("wb"))
-    return a.join(b, key).filter("a < b").select(key, "a", "b", F.levenshtein("wa", "wb").alias("distance"))
+    words = written(words, "words")
+    n_blocks = words.groupBy(key).agg(F.ceil(F.count("*") / TRIALS_OF_BLOCK).cast("int").alias("blocks"))  # one row a recipe
+    block = F.pmod(F.xxhash64("trial_id"), "blocks").cast("int")
+    cells = words.join(F.broadcast(n_blocks), key).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "trial_id", "w")
+    by, parts = [key, "low", "high"], int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda x: cells.select(*by, F.col("block").alias(f"block_{x}"), F.col("trial_id").alias(x), F.col("w").alias(f"w{x}")).repartition(parts, *by)  # noqa: E731  a fixed number: few bytes make many pairs
+    return side("a").join(side("b").hint("merge"), by).filter("a < b and (low = high or block_a <> block_b)").select(key, "a", "b", F.levenshtein("wa", "wb").alias("distance"))
 
 
 def participant_features(ticks: DataFrame, idle_verb: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqwatch.functions import kernels
 from seqwatch.functions.special import duration_tables
-from seqwatch.operators import operating
+from seqwatch.operators import explore, narrate, operating
 from seqwatch.plans import decode
 
 
@@ -67,3 +67,30 @@ def test_joins_of_sequences_are_not_broadcast(spark, monkeypatch):
     rows = operating.operating_points(ticks, alphas, parts).filter("level = 'trial_loc' and channel = 's_verb'").orderBy("alpha").collect()
     assert [(r["alpha"], r["tp"], r["fp"]) for r in rows] == [(0.0, 0, 0), (0.05, 1, 0), (0.1, 1, 1)]
     assert all("BroadcastHashJoin" not in plans[name] and "SortMergeJoin" in plans[name] for name in ("parted", "heard"))
+
+
+def test_questions_join_segments_by_sorting(spark):
+    flags = spark.createDataFrame([(1, 3, 0, "s_temporal", 2.0, 1.0)], "trial_id long, tick int, seg_idx int, channel string, value double, threshold double")
+    names, means = spark.createDataFrame([(0, "walk")], "state int, name string"), spark.createDataFrame([(0, 2.0)], "state int, mean_duration double")
+    rows = narrate.stall_questions(flags, names, means, spark.createDataFrame([(1, 0, 0, 1)], "trial_id long, seg_idx int, state int, tick_start int"))
+    assert "SortMergeJoin" in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r["text"] for r in rows.collect()] == ["Still at 'walk' after 3 ticks? Usually it takes about 2."]
+
+
+def test_edit_distances_are_dealt_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(explore, "TRIALS_OF_BLOCK", 3)
+    draw = np.random.default_rng(2)
+    rows = [(t, t % 2, k, int(s)) for t in range(21) for k, s in enumerate(draw.integers(0, 3, draw.integers(1, 6)))]
+    found = explore.edit_distances(spark.createDataFrame(rows, "trial_id long, recipe int, seg_idx int, state int"))
+    told = {(r["recipe"], r["a"], r["b"]): r["distance"] for r in found.collect()}
+    words = {t: [s for u, _, _, s in rows if u == t] for t in range(21)}
+
+    def distance(x, y):
+        line = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            line = [i] + [0] * len(y) if (last := line) else line
+            for j, q in enumerate(y, 1):
+                line[j] = min(last[j] + 1, line[j - 1] + 1, last[j - 1] + (p != q))
+        return line[-1]
+
+    assert found.count() == len(told) and told == {(a % 2, a, b): distance(words[a], words[b]) for a in words for b in words if a < b and a % 2 == b % 2}
