@@ -10,6 +10,8 @@ when those bytes are and no neighbour between their suffixes has a shorter commo
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,10 +26,12 @@ SIZE = 200
 KEY_BYTES, CUT_BYTES, CUT_EVERY = 16, 8, 32
 #: Windows of one piece at most; longer pieces are told in several.
 MOST_WINDOWS = 4096
-#: A key with more occurrences has its windows dealt one by one, each under a hash of its own.
-MOST_OF_KEY = 65_536
-#: Bytes of pieces in one suffix array, beyond those of the last key.
-BATCH_BYTES = 1 << 21
+#: A key with more occurrences, or more bytes of them, has its windows dealt one by one, each under a hash of its own.
+MOST_OF_KEY, MOST_BYTES_OF_KEY = 65_536, 1 << 22
+#: Bytes of pieces in one suffix array, unless one key has more.
+BATCH_BYTES = 1 << 20
+#: Bytes of pieces and number of places that a task tells at a time, and bytes that it hashes at a time.
+TOLD_BYTES, TOLD_PLACES, HASHED_BYTES = 1 << 22, 1 << 16, 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -83,61 +87,81 @@ def repeated_windows(pieces: list[bytes], weights: list[int], size: int = SIZE)
     A piece of weight w counts as w copies of itself.
     """
     lengths = np.array([len(p) for p in pieces])
-    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    whole = b"".join(pieces)
+    raw = np.frombuffer(whole, np.uint8)
     n = len(raw)
     ends_at = np.cumsum(lengths)
-    begins_at = ends_at - lengths
-    owner = np.repeat(np.arange(len(pieces)), lengths)
-    end = ends_at[owner]
-    places = np.arange(n)
+    # arrays over all bytes have four bytes each and live until the cuts are known
+    places = np.arange(n, dtype=np.int32)
+    left_over = np.repeat(ends_at.astype(np.int32), lengths) - places
     # cuts: where the hash of the next bytes of the piece is a multiple, and where no such place lies in the window
-    hashes = gram_hashes(np.concatenate([raw, np.zeros(CUT_BYTES, np.uint8)]), CUT_BYTES)[:n]
-    marked = (hashes % np.uint64(CUT_EVERY) == 0) & (places + CUT_BYTES <= end)
-    next_mark = np.minimum.accumulate(np.where(marked, places, n + size)[::-1])[::-1]
-    next_mark = np.where(next_mark + CUT_BYTES <= end, next_mark, n + size)
-    is_window = places + size <= end
-    cuts = np.flatnonzero(marked | is_window & (next_mark + CUT_BYTES > places + size))
-    after = np.append(next_mark, n + size)[cuts + 1]
-    after = np.where(after < end[cuts], after, n + size)
-    phrase_ends = np.minimum(np.minimum(after + CUT_BYTES, cuts + size), end[cuts])
-    whole = raw.tobytes()
+    padded = np.concatenate([raw, np.zeros(CUT_BYTES, np.uint8)])
+    marked = left_over >= CUT_BYTES
+    for at in range(0, n, HASHED_BYTES):
+        marked[at : at + HASHED_BYTES] &= gram_hashes(padded[at : at + HASHED_BYTES + CUT_BYTES - 1], CUT_BYTES)[: n - at] % np.uint64(CUT_EVERY) == 0
+    far = np.int32(n + size)
+    next_mark = np.where(marked, places, far)
+    np.minimum.accumulate(next_mark[::-1], out=next_mark[::-1])
+    next_mark[next_mark - places + CUT_BYTES > left_over] = far
+    is_window = left_over >= size
+    cuts = np.flatnonzero(marked | is_window & (next_mark - places + CUT_BYTES > size))
+    owner = np.searchsorted(ends_at, cuts, side="right")
+    end = ends_at[owner]
+    after = np.append(next_mark, far)[cuts + 1].astype(np.int64)
+    after = np.where(after < end, after, n + size)
+    phrase_ends = np.minimum(np.minimum(after + CUT_BYTES, cuts + size), end)
+    windows = np.flatnonzero(is_window).astype(np.int32)
+    del places, left_over, padded, marked, next_mark, is_window, after
     phrases = [whole[a:b] for a, b in zip(cuts.tolist(), phrase_ends.tolist(), strict=True)]
     # letters: an end of its own for each piece, then the phrases in byte order
     ranks = {p: k for k, p in enumerate(sorted(set(phrases)), start=len(pieces))}
-    slots = np.arange(len(cuts)) + owner[cuts]
+    slots = np.arange(len(cuts)) + owner
     letters = np.empty(len(cuts) + len(pieces), np.int64)
     letters[np.searchsorted(cuts, ends_at) + np.arange(len(pieces))] = np.arange(len(pieces))
     letters[slots] = [ranks[p] for p in phrases]
+    del phrases, ranks
     cut_of = np.full(len(letters), -1)
     cut_of[slots] = np.arange(len(cuts))
     sorted_cuts = cut_of[suffix_array(letters)]
     sorted_cuts = sorted_cuts[sorted_cuts >= 0]
     rank_of = np.empty(len(cuts), np.int64)
     rank_of[sorted_cuts] = np.arange(len(cuts))
-    shared = _common_prefixes(raw, cuts[sorted_cuts], end[cuts[sorted_cuts]], size)
+    shared = _common_prefixes(raw, cuts[sorted_cuts], end[sorted_cuts], size)
     # windows by the distance to their first cut: equal when the bytes before it are and the suffixes share the rest
-    windows = np.flatnonzero(is_window)
-    cut = np.searchsorted(cuts, windows)
-    distance = cuts[cut] - windows
-    one = np.ones(1, np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_CODES[raw] * np.cumprod(np.concatenate([one, np.full(n - 1, _STEP)]))[:n])])
-    inverse = np.cumprod(np.concatenate([one, np.full(n, _STEP_INVERSE)]))
-    by_distance = np.argsort(distance.astype(np.uint16), kind="stable")
-    bounds = np.searchsorted(distance[by_distance], np.arange(size + 1))
-    heavy = np.array(weights, np.int64)[owner[windows]]
+    cut = np.searchsorted(cuts, windows).astype(np.int32)
+    distance = (cuts[cut] - windows).astype(np.uint16)
+    left = _left_hashes(raw, windows, distance, size)
+    heavy = np.array(weights, np.int64)
+    of_window = np.searchsorted(ends_at, windows, side="right").astype(np.int32)
+    by_distance = np.argsort(distance, kind="stable").astype(np.int32)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(distance, minlength=size))])
     again = np.zeros(len(windows), bool)
     for j in np.flatnonzero(np.diff(bounds)):
         here = by_distance[bounds[j] : bounds[j + 1]]
         classes = np.cumsum(shared < size - j)[rank_of[cut[here]]].astype(np.uint64)
-        left = (sums[windows[here] + j] - sums[windows[here]]) * inverse[windows[here]]
-        keys = mix64(mix64(left) + classes * _ODD)
+        keys = mix64(left[here] + classes * _ODD)
         order = np.argsort(keys)
         first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
-        total = np.add.reduceat(heavy[here][order], first)
+        total = np.add.reduceat(heavy[of_window[here]][order], first)
         again[here[order]] = np.repeat(total, np.diff(np.append(first, len(here)))) > 1
     return np.split(again, np.searchsorted(windows, ends_at[:-1]))
 
 
+def _left_hashes(raw: np.ndarray, windows: np.ndarray, distance: np.ndarray, size: int) -> np.ndarray:
+    """For each window, in ascending order, a hash of its first `distance` bytes."""
+    out = np.empty(len(windows), np.uint64)
+    span = HASHED_BYTES + size
+    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(span - 1, _STEP)]))
+    inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(span - 1, _STEP_INVERSE)]))
+    for at in range(0, len(raw), HASHED_BYTES):
+        a, b = np.searchsorted(windows, [at, at + HASHED_BYTES])
+        codes = _BYTE_CODES[raw[at : at + span]]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers[: len(codes)])])
+        first = windows[a:b] - at
+        out[a:b] = mix64((sums[first + distance[a:b]] - sums[first]) * inverse[first])
+    return out
+
+
 def _common_prefixes(raw: np.ndarray, at: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
     """For each place but the first, how many bytes it shares with the place before, `size` at most; 0 for the first."""
     out = np.zeros(len(at), np.int64)
@@ -169,9 +193,9 @@ def _pieces(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["tid", "key", "start", "windows", "times"])
 
 
-def _spans(row: dict, raw: bytes):
+def _spans(found: list[dict], raw: bytes):
     """(first window, key or None where it is the digest's, bytes) of what a text tells; of hot keys each window alone."""
-    for at in row["found"]:
+    for at in found:
         if not at["hot"]:
             yield at["start"], at["key"], raw[at["start"] : at["start"] + at["windows"] + SIZE - 1]
             continue
@@ -187,28 +211,47 @@ def _cut(batches):
     """(key, digest, bytes, weight) of the pieces of some texts, equal ones combined."""
     import pyarrow as pa
 
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+
+    def told(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found.values()], t) for k, t in enumerate(types)], names=["key", "digest", "piece", "weight"])
+
     for batch in slices(batches):
         found: dict[bytes, list] = {}
-        for row in batch.to_pylist():
-            for _, key, piece in _spans(row, row["text"].encode("utf-8", "surrogatepass")):
+        size = 0
+        for text, copies, spans in zip(*(batch.column(c) for c in ("text", "copies", "found")), strict=True):
+            for _, key, piece in _spans(spans.as_py(), text.as_py().encode("utf-8", "surrogatepass")):
                 digest = _digest(piece)
                 held = found.get(digest)
                 if held:
-                    held[3] += row["copies"]
-                else:
-                    found[digest] = [int.from_bytes(digest[:8], "little", signed=True) if key is None else key, digest, piece, row["copies"]]
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found.values()], t) for k, t in enumerate(types)], names=["key", "digest", "piece", "weight"])
+                    held[3] += copies.as_py()
+                    continue
+                found[digest] = [int.from_bytes(digest[:8], "little", signed=True) if key is None else key, digest, piece, copies.as_py()]
+                size += len(piece)
+                if size > TOLD_BYTES:
+                    yield told(found)
+                    found, size = {}, 0
+        yield told(found)
 
 
 def _places(batches):
     """(text, first window, digest) of each piece."""
     import pyarrow as pa
 
+    types = [pa.binary(), pa.int64(), pa.binary()]
+
+    def told(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["tid", "start", "digest"])
+
     for batch in slices(batches):
-        out = [(row["tid"], start, _digest(piece)) for row in batch.to_pylist() for start, _, piece in _spans(row, row["text"].encode("utf-8", "surrogatepass"))]
-        types = [pa.binary(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["tid", "start", "digest"])
+        out: list[tuple] = []
+        for tid, text, spans in zip(*(batch.column(c) for c in ("tid", "text", "found")), strict=True):
+            for start, _, piece in _spans(spans.as_py(), text.as_py().encode("utf-8", "surrogatepass")):
+                out.append((tid.as_py(), start, _digest(piece)))
+                if len(out) >= TOLD_PLACES:
+                    yield told(out)
+                    out = []
+        yield told(out)
 
 
 def _marks(batches):
@@ -220,17 +263,24 @@ def _marks(batches):
         kept = [(r[2], np.packbits(m, bitorder="little").tobytes()) for r, m in zip(rows, marks, strict=True) if m.any()]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], pa.binary()) for k in (0, 1)], names=["digest", "marks"])
 
-    held: list[tuple] = []
-    size = 0
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "digest", "weight")), strict=True):
-            if size > BATCH_BYTES and row[0] != held[-1][0]:
-                yield solved(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[1])
+    for rows in piece_batches(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "digest", "weight")), strict=True)):
+        yield solved(rows)
+
+
+def piece_batches(rows, most: int | None = None):
+    """Rows (key, piece, ...) that come by their keys, in lists of whole keys: of up to `most` bytes, or of one key."""
+    most = BATCH_BYTES if most is None else most
+    held, size = [], 0
+    for _, group in groupby(rows, key=itemgetter(0)):
+        own = list(group)
+        own_size = sum(len(r[1]) for r in own)
+        if held and size + own_size > most:
+            yield held
+            held, size = [], 0
+        held += own
+        size += own_size
     if held:
-        yield solved(held)
+        yield held
 
 
 def _kept(batches):
@@ -254,7 +304,7 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["tid", "n_removed", "n_spans", "left", "left_sha"])
 
 
-def without_repeats(docs: DataFrame, most_of_key: int = MOST_OF_KEY) -> DataFrame:
+def without_repeats(docs: DataFrame, most_of_key: int = MOST_OF_KEY, most_bytes: int = MOST_BYTES_OF_KEY) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of each row; `kept` holds the bytes that are left.
 
     A byte goes if a string of `SIZE` bytes that covers it starts anywhere else: in another row, equal rows included, or
@@ -268,7 +318,8 @@ def without_repeats(docs: DataFrame, most_of_key: int = MOST_OF_KEY) -> DataFram
     long = rows.filter(F.col("n_bytes") >= SIZE).select("tid", "text")
     texts = long.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     pieces = written(long.mapInArrow(_pieces, "tid binary, key long, start long, windows int, times int"), "pieces")
-    again = pieces.groupBy("key").agg(F.sum("times").alias("times"), (F.count("*") > most_of_key).alias("hot")).filter("times > 1").select("key", "hot")
+    hot = (F.count("*") > most_of_key) | (F.sum(F.col("windows") + SIZE - 1) > most_bytes)
+    again = pieces.groupBy("key").agg(F.sum("times").alias("times"), hot.alias("hot")).filter("times > 1").select("key", "hot")
     shared = pieces.join(again, "key").groupBy("tid").agg(F.collect_set(F.struct("key", "start", "windows", "hot")).alias("found"))
     told = texts.join(shared, "tid").select("tid", "text", "copies", "found")
     cut = told.mapInArrow(_cut, "key long, digest binary, piece binary, weight long").repartition("key")

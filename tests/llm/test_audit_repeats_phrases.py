@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import permutations
 
@@ -197,6 +198,36 @@ def test_small_batches_find_the_same(spark, monkeypatch):
     assert bits == {b"a": 51, b"b": 51, b"d": 21}
 
 
+def test_windows_of_one_large_key_take_bounded_memory():
+    draw = random.Random(9)
+    base = [prose(70, k).encode()[:290] for k in range(20)]
+    pieces = []
+    for k in range(3000):
+        piece = bytearray(base[k % 20])
+        piece[draw.randrange(len(piece))] = 97 + k % 26
+        pieces.append(bytes(piece))
+    tracemalloc.start()
+    suffix_dedup.repeated_windows(pieces, [1] * len(pieces))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * sum(map(len, pieces))
+
+
+def test_batches_hold_whole_keys_and_few_bytes():
+    rows = [(k // 3, b"x" * 100, k) for k in range(30)] + [(99, b"x" * 700, 30), (99, b"x" * 700, 31), (100, b"x", 32)]
+    batches = list(suffix_dedup.piece_batches(iter(rows), 1000))
+    assert [r for b in batches for r in b] == rows
+    assert len({(r[0], k) for k, b in enumerate(batches) for r in b}) == len({r[0] for r in rows})
+    assert all(sum(len(r[1]) for r in b) <= 1000 or len({r[0] for r in b}) == 1 for b in batches)
+
+
+def test_keys_with_many_bytes_are_dealt_by_windows(spark):
+    rows = shared_rows()
+    found = suffix_dedup.without_repeats(documents(spark, rows).repartition(5), most_bytes=1500).collect()
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["kept_sha256"]) for r in found)
+    assert got == Counter(left_over(rows))
+
+
 def test_repeats_of_empty_tables(spark):
     assert suffix_dedup.without_repeats(documents(spark, [])).count() == 0
     alone = suffix_dedup.without_repeats(documents(spark, [(1, prose(90, 1), "en", "s", 1)])).first()
