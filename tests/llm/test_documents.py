@@ -79,6 +79,29 @@ def test_long_pieces_merge_like_the_library():
         assert bpe.merge_piece(piece.encode(), ranks) == library.encode_ordinary(piece)
 
 
+def test_pieces_merged_together_equal_those_merged_alone(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks, _ = bpe.load_ranks(path)
+    draw = random.Random(4)
+    letters = ["ab", "etaoin shrdlu", "éßжあ🙂x", "".join(map(chr, range(32, 127)))]
+    pieces = ["".join(draw.choices(draw.choice(letters), k=draw.randint(2, 64))).encode()[: draw.randint(2, 64)] for _ in range(3000)]
+    pieces = [p for p in pieces if p not in ranks]
+    monkeypatch.setattr(bpe, "LEAVES", 512)
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.merge_together(pieces, path)] == [bpe.merge_piece(p, ranks) for p in pieces]
+
+
+def test_texts_keep_their_ids_when_few_pieces_are_remembered(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = [None, "", *(prose(50, k) + " qwx" * k + " " + "zq" * 90 for k in range(20)), "one", None]
+    whole = bpe.Codec(path, public_tokenizers.PATTERN).encode_all(texts)
+    for remembered, chars in ((5, 300), (300, 1), (0, 1 << 20)):
+        monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+        monkeypatch.setattr(bpe, "CHARS", chars)
+        codec = bpe.Codec(path, public_tokenizers.PATTERN)
+        assert codec.encode_all(texts) == whole and len(codec.known) <= remembered
+    assert [codec.encode(t) for t in texts] == whole
+
+
 def test_token_files_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
