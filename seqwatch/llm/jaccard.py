@@ -425,7 +425,9 @@ def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent:
     """
     rows = cell_rows.join(comps.withColumnRenamed("node", "sid"), "sid", "left")
     rows = rows.select("key", "sid", "n", "reach", strong(F.col("n") - F.col("reach"), F.col("n"), percent).alias("strong"), F.coalesce("comp", "sid").alias("comp"))
-    rows = dealt(written(rows, "jaccard-cells")).join(points.select("sid", "coarse", F.col("fine" if thin else "finer").alias("fine")), "sid")
+    rows = written(dealt(written(rows, "jaccard-cells")), "jaccard-tiles")
+    met = maybe_in(points, ["sid"], written(id_filter(rows, "sid"), "jaccard-filter")).filter("maybe")
+    rows = rows.join(met.select("sid", "coarse", F.col("fine" if thin else "finer").alias("fine")), "sid")
     group = ["key", "low", "high"]
     parts_all = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts_all, *group).sortWithinPartitions(*group)
@@ -467,12 +469,22 @@ def by_component(rows: DataFrame, of_comp: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(of_comp.select("*", salts), ["comp", "salt"]).drop("salt")
 
 
+def point_rows(found: DataFrame) -> DataFrame:
+    """One row of each set, with the least doc_id. Only rows whose set may be that of several, by a bit set of fixed
+    size, are shuffled with their counts and written again."""
+    own = found.filter("sid is not null").drop("print")
+    several = own.groupBy("sid").agg(F.count("*").alias("rows")).filter("rows > 1")
+    marked = maybe_in(own, ["sid"], written(id_filter(several, "sid"), "jaccard-filter"))
+    first = [F.first(c).alias(c) for c in ("rare", "common", "coarse", "fine", "finer")]
+    shared = written(marked.filter("maybe").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *first), "jaccard-points")
+    return marked.filter(~F.col("maybe")).select(*shared.columns).unionByName(shared)
+
+
 def grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, print, n, sid, comp and component_id of every row; rows of linked documents share the last two, empty
     sets have none."""
     found = document_points(docs, shingle, percent)
-    first = F.first("rare").alias("rare"), F.first("common").alias("common"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine"), F.first("finer").alias("finer")
-    points = written(found.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *first), "jaccard-points")
+    points = point_rows(found)
     cell_rows = cells(points, percent)
     met = cell_rows.filter("sid != pivot").groupBy("sid").agg(F.min_by("pivot", "key").alias("a")).select("a", F.col("sid").alias("b"))
     heads = cell_rows.filter("sid = pivot and sid != first").select(F.col("first").alias("a"), F.col("sid").alias("b"))

@@ -227,6 +227,23 @@ def test_cell_pairs_join_all_components():
     assert all(root[a] == root[b] for a, b in map(tuple, expected))
 
 
+def test_only_points_of_several_rows_are_written_again(spark, monkeypatch):
+    rows = [(k, prose(40, k), "en", "s", 1) for k in range(60)] + [(100 + k, prose(40, k), "en", "s", 1) for k in range(5)] + [(None, prose(40, 1), "en", "s", 1), (200, None, "en", "s", 1)]
+    sizes = {}
+    real = jaccard.written
+
+    def noted(df, name):
+        found = real(df, name)
+        sizes.setdefault(name, []).append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    found = jaccard.jaccard_groups(documents(spark, rows).repartition(3)).collect()
+    assert sizes["jaccard-points"][0] < 10
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["component_id"]) for r in found if r["doc_id"] is not None) == sorted((False, k, k - 100 if 100 <= k < 200 else k) for k, *_ in rows if k is not None)
+    assert [r["component_id"] for r in found if r["doc_id"] is None] == [1]
+
+
 def test_common_shingles_are_found_however_dealt(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COUNTED_ROWS", 50)
     shared = prose(6, 77)
