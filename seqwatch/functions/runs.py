@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def run_numbers(ticks: DataFrame, values: list[str], key: str = "trial_id", order: str = "tick") -> DataFrame:
+def run_numbers(ticks: DataFrame, values: list[str], key: str | list[str] = "trial_id", order: str = "tick") -> DataFrame:
     """Adds `seg_idx`: the number of the maximal run of equal values that a row is in."""
-    w = Window.partitionBy(key).orderBy(order)
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order)
     before = F.lag(F.struct(*values)).over(w)
     new = F.when(before.eqNullSafe(F.struct(*values)), 0).otherwise(1)
     return ticks.withColumn("__new", new).withColumn("seg_idx", (F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).drop("__new")

@@ -31,6 +31,14 @@ def matched_corrections(rows: DataFrame, least_seconds: float = 2.0, part: float
     return rows.withColumn("move_ok", F.when(both, F.col("move") == F.col("true_move"))).withColumn("duration_ok", F.when(both, near))
 
 
+def is_touched() -> Column:
+    """Whether a degraded tick holds or borders an edited one, or is the last before a splice within its step."""
+    w = Window.partitionBy("trial_id", "error_type").orderBy("tick")
+    by_edit = F.col("edited") | F.coalesce(F.lag("edited").over(w), F.lit(False)) | F.coalesce(F.lead("edited").over(w), F.lit(False))
+    splice = (F.lead("seg_idx").over(w) == F.col("seg_idx")) & (F.lead("src_tick").over(w) != F.col("src_tick") + 1)
+    return by_edit | F.coalesce(splice, F.lit(False))
+
+
 def debris_steps(degraded: DataFrame, truth: DataFrame) -> DataFrame:
     """Steps that the injection made or stretched without being the error: they hold or border an edited tick, or
     span a place where successive ticks don't come from successive source ticks.
@@ -38,10 +46,7 @@ def debris_steps(degraded: DataFrame, truth: DataFrame) -> DataFrame:
     The ticks carry the number of their step (seg_idx), so no interval is joined.
     """
     keys = ["trial_id", "error_type"]
-    w = Window.partitionBy(*keys).orderBy("tick")
-    by_edit = F.col("edited") | F.coalesce(F.lag("edited").over(w), F.lit(False)) | F.coalesce(F.lead("edited").over(w), F.lit(False))
-    splice = (F.lead("seg_idx").over(w) == F.col("seg_idx")) & (F.lead("src_tick").over(w) != F.col("src_tick") + 1)
-    near = degraded.select(*keys, "seg_idx", (by_edit | F.coalesce(splice, F.lit(False))).alias("touched"))
+    near = degraded.select(*keys, "seg_idx", is_touched().alias("touched"))
     touched = near.groupBy(*keys, "seg_idx").agg(F.bool_or("touched").alias("touched")).filter("touched").drop("touched")
     return touched.join(truth.select(*keys, "seg_idx"), [*keys, "seg_idx"], "left_anti")
 

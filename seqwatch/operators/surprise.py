@@ -135,6 +135,15 @@ def pit_deciles(completed: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # ten rows
 
 
+def survival(tails: DataFrame) -> DataFrame:
+    """state, top (the longest duration seen), e from 1 to top, and the share p of durations at least e: that at the next
+    duration seen from e on."""
+    spine = tails.groupBy("state").agg(F.max("d").alias("top")).select("state", "top", F.explode(F.sequence(F.lit(1), F.col("top"))).alias("e"))
+    seen = spine.join(tails.select("state", F.col("d").alias("e"), "p_ge"), ["state", "e"], "left")
+    onward = Window.partitionBy("state").orderBy("e").rowsBetween(0, Window.unboundedFollowing)
+    return seen.select("state", "top", "e", F.first("p_ge", ignorenulls=True).over(onward).alias("p"))
+
+
 def live_stall(segments: DataFrame, tails: DataFrame, d_max: int, keys: list[str] | None = None) -> DataFrame:
     """trial_id, tick, elapsed and -log P(duration >= elapsed | state): grows within a segment, starts anew with the next.
 
@@ -142,13 +151,9 @@ def live_stall(segments: DataFrame, tails: DataFrame, d_max: int, keys: list[str
     """
     keys = keys or ["trial_id"]
     rows = segments.select(*keys, "state", "tick_start", F.explode(F.sequence("tick_start", F.col("tick_end") - 1)).alias("tick")).withColumn("elapsed", F.col("tick") - F.col("tick_start") + 1)
-    # The share of durations at least e is that at the next duration seen from e on.
-    spine = tails.groupBy("state").agg(F.max("d").alias("top")).select("state", "top", F.explode(F.sequence(F.lit(1), F.col("top"))).alias("e"))
-    seen = spine.join(tails.select("state", F.col("d").alias("e"), "p_ge"), ["state", "e"], "left")
-    onward = Window.partitionBy("state").orderBy("e").rowsBetween(0, Window.unboundedFollowing)
-    survival = seen.select("state", "top", "e", F.first("p_ge", ignorenulls=True).over(onward).alias("p"))
-    tops = survival.select("state", "top").distinct()
-    rows = rows.join(tops, "state").withColumn("e", F.least("elapsed", F.lit(d_max), "top")).join(survival.drop("top"), ["state", "e"])
+    shares = survival(tails)
+    tops = shares.select("state", "top").distinct()
+    rows = rows.join(tops, "state").withColumn("e", F.least("elapsed", F.lit(d_max), "top")).join(shares.drop("top"), ["state", "e"])
     return rows.select(*keys, "tick", "state", "elapsed", (-F.log("p")).alias("s_temporal"))
 
 

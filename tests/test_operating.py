@@ -41,3 +41,36 @@ def test_pooled_threshold_is_the_exact_tail(spark):
         expected = next(t for t in sorted(set(values)) if sum(v > t for v in values) <= alpha * len(values) + 1e-9)
         assert S.pooled_threshold(df, "x", alpha) == pytest.approx(expected)
     assert S.pooled_threshold(df.limit(0), "x", 0.1) is None
+
+
+def test_least_alphas_of_steps_are_those_of_their_scores(spark):
+    """Steps with the least alpha of each channel against the flags of all scores, tick by tick; no score may be a row."""
+    w = catalogue.degraded(spark, SMALL)
+    t = catalogue.channel_tables(w)
+    cells = catalogue.written_cells(t, catalogue.SWEPT)
+    for steps, flags, keys in (
+        (catalogue.degraded_least(w, t, cells), catalogue.degraded_channel_flags(w, t, catalogue.SWEPT), catalogue.DEGRADED),
+        (catalogue.healthy_least(w, t, cells), catalogue.healthy_channel_flags(w, t, catalogue.SWEPT), catalogue.HEALTHY),
+    ):
+        expected = {}
+        by_tick = {}
+        for r in flags.collect():
+            at = (*(r[k] for k in keys), r["tick"])
+            by_tick.setdefault(at, {}).setdefault(r["channel"], []).append(r["alpha"])
+        found = steps.collect()
+        for r in found:
+            own = expected.setdefault((*(r[k] for k in keys), r["seg_idx"]), {})
+            for tick in range(r["tick_start"], r["tick_end"]):
+                for c, alphas in by_tick.pop((*(r[k] for k in keys), tick), {}).items():
+                    own[c] = min([own.get(c, 9.0), *alphas])
+        assert not by_tick and len(expected) == len(found) > 100
+        for r in found:
+            assert {c: r[c] for c in channels.CHANNELS if r[c] is not None} == expected[(*(r[k] for k in keys), r["seg_idx"])]
+
+
+def test_coordinate_sweep_of_no_trials_and_of_one(spark):
+    names = [f"{side}_{c}" for side in ("hit", "stray") for c in ("x", "y")]
+    schema = "is_error boolean, " + ", ".join(f"{n} double" for n in names)
+    assert channels.coordinate_sweep(spark.createDataFrame([], schema), ["x", "y"], [0.1, 0.2], 0.1, 1) == [("x", 0.1, 0.0), ("y", 0.1, 0.0)]
+    rows = [(True, 0.2, None, None, None), (False, None, None, None, 0.2)]
+    assert channels.coordinate_sweep(spark.createDataFrame(rows, schema), ["x", "y"], [0.1, 0.2], 0.1, 1) == [("x", 0.2, 1.0), ("y", 0.1, 1.0)]
