@@ -32,6 +32,7 @@ from pyspark.sql import Window
 
 from seqwatch.llm.components import components
 from seqwatch.llm.shared import mix64, shingle_set, slices, written
+from seqwatch.sources.durable import data
 
 SHINGLE, PERCENT = 5, 80
 #: A shingle that this share of the documents has is common and comes late in the order; those of less than a sixth of
@@ -50,6 +51,8 @@ LEAF = 16
 HELD, HELD_THIN = 1 << 20, 1 << 17
 #: Tasks that the members of one component are dealt to.
 SALTS = 16
+#: Bits of a rare shingle's key that are left out. Two shingles of one key only make more candidates.
+KEY_BITS_OFF = 24
 FILTER_BITS = 1 << 23
 
 
@@ -271,16 +274,20 @@ def point_id(tokens: np.ndarray) -> int:
 
 
 def document_points(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, print (hash of the text), sid (hash of the set; null without words), n, the first shingles (rare, then
-    common ones) and the counts."""
+    """doc_id, print (hash of the text), rid (task and place of the row), sid (hash of the set; null without words), n, the
+    first shingles (rare, then common ones) and the counts."""
     common, often = common_shingles(docs, shingle)
     shared = docs.sparkSession.sparkContext.broadcast((common, often))  # MOST_COMMON entries at most
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         common, often = shared.value
+        row = TaskContext.get().partitionId() << 32
         for b in slices(batches):
+            rids = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
             sids, ns, rare, late, coarse, fine, finer = [], [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 tokens = shingle_set(text, shingle)
@@ -304,44 +311,50 @@ def document_points(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 finer.append(parities(tokens, FINER))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("print"), pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(rare, longs), pa.array(late, longs), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary()), pa.array(finer, pa.binary())],
-                names=["doc_id", "print", "sid", "n", "rare", "common", "coarse", "fine", "finer"],
+                [b.column("doc_id"), b.column("print"), rids, pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(rare, longs), pa.array(late, longs), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary()), pa.array(finer, pa.binary())],
+                names=["doc_id", "print", "rid", "sid", "n", "rare", "common", "coarse", "fine", "finer"],
             )
 
-    schema = "doc_id long, print long, sid long, n long, rare array<long>, common array<long>, coarse binary, fine binary, finer binary"
+    schema = "doc_id long, print long, rid long, sid long, n long, rare array<long>, common array<long>, coarse binary, fine binary, finer binary"
     return written(docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(run, schema), "jaccard-documents")
 
 
 def cells(points: DataFrame, percent: int) -> DataFrame:
-    """(key, sid, n, reach, pivot, first) of all points that share one of their first shingles with another point.
+    """(key, rid, sid, n, reach, size, pivot, first) of all points that share one of their first shingles with another point.
 
-    `reach` is the largest overlap that the point can have with those that share no earlier shingle; `pivot` is one of
-    the cell's strong points, dealt to each thousand points, and `first` the least strong point. Cells without a strong
+    `reach` is the largest overlap that the point can have with those that share no earlier shingle; `pivot` is the rid of
+    one of the cell's strong points, dealt to each thousand points, and `first` that of the least one. Most shingles are
+    one point's alone: what is gathered of them is small, a key without its last bits, a row number (of which neighbours
+    differ little) and the place; sets and sizes join the rest. Cells without a strong
     point have no links. The common shingles are known to be shared and need no gathering: their aggregates are combined
     before the shuffle. Each of the others belongs to a bounded share of the documents.
     """
-    rare = points.select("sid", "n", F.posexplode("rare").alias("place", "key"))
-    late = points.select("sid", "n", F.size("rare").alias("before"), F.posexplode("common").alias("at", "key")).select("sid", "n", (F.col("before") + F.col("at")).alias("place"), "key")
-    columns = ["key", "sid", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("place")).cast("int").alias("reach")]
-    head = F.when(strong(F.col("n") - F.col("reach"), F.col("n"), percent), F.col("sid"))
+    rare = points.select("rid", "n", F.posexplode("rare").alias("place", "key"))
+    late = points.select("rid", "sid", "n", F.size("rare").alias("before"), F.posexplode("common").alias("at", "key")).select("rid", "sid", "n", (F.col("before") + F.col("at")).alias("place"), "key")
+    columns = ["key", "rid", "sid", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("place")).cast("int").alias("reach")]
+    head = F.when(strong(F.col("n") - F.col("reach"), F.col("n"), percent), F.col("rid"))
     whole = Window.partitionBy("key")
-    rare = rare.select(*columns).select("*", F.count("*").over(whole).alias("size"), F.min(head).over(whole).alias("first")).filter("size > 1 and first is not null")
+    kind = F.when(strong(F.col("place"), F.col("n"), percent), F.col("place")).otherwise(-1 - F.col("place")).alias("kind")
+    rare = rare.select(F.expr(f"shiftleft(shiftright(key, {KEY_BITS_OFF}), {KEY_BITS_OFF})").alias("key"), "rid", kind)
+    rare = rare.select("*", F.count("*").over(whole).alias("size"), F.min(F.when(F.col("kind") >= 0, F.col("rid"))).over(whole).alias("first")).filter("size > 1 and first is not null")
+    rare = rare.withColumn("place", F.when(F.col("kind") >= 0, F.col("kind")).otherwise(-1 - F.col("kind"))).join(data(points.select("rid", "sid", "n")), "rid")
+    rare = rare.select(*columns, "size", "first")
     late = late.select(*columns)
     sizes = late.groupBy("key").agg(F.count("*").alias("size"), F.min(head).alias("first")).filter("size > 1 and first is not null")
     late = late.join(F.broadcast(sizes), "key")  # MOST_COMMON rows at most
-    rows = written(rare.unionByName(late.select("key", "sid", "n", "reach", "size", "first")), "jaccard-cells")
+    rows = written(rare.unionByName(late.select(*rare.columns)), "jaccard-cells")
     part = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / PIVOT_ROWS))
     large = rows.filter(F.col("size") > PIVOT_ROWS).withColumn("part", part)
     pivots = large.groupBy("key", "part").agg(F.min(head).alias("pivot"))
     far = large.join(pivots, ["key", "part"]).withColumn("pivot", F.coalesce("pivot", "first"))
     near = rows.filter(F.col("size") <= PIVOT_ROWS).withColumn("pivot", F.col("first"))
-    kept = ["key", "sid", "n", "reach", "pivot", "first"]
+    kept = ["key", "rid", "sid", "n", "reach", "size", "pivot", "first"]
     return near.select(*kept).unionByName(far.select(*kept))
 
 
 def passing(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the bound on the parities."""
-    side = lambda x: points.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    side = lambda x: data(points).select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
 
     def run(batches):
         import pyarrow as pa
@@ -384,19 +397,19 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, shingle: int,
     bits = written(id_filter(points.join(needed, "sid").select("doc_id"), "doc_id"), "jaccard-filter")
     texts = maybe_in(docs.select("doc_id", "text"), ["doc_id"], bits).filter("maybe").select("text")
     sets = written(texts.mapInArrow(run, "sid long, tokens array<long>"), "jaccard-sets")
-    side = lambda x: sets.select(F.col("sid").alias(x), F.col("tokens").alias(f"t{x}"))
+    side = lambda x: data(sets).select(F.col("sid").alias(x), F.col("tokens").alias(f"t{x}"))
     both = F.size(F.array_intersect("ta", "tb"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
     return written(met.filter(may_link(F.col("both"), F.size("ta"), F.size("tb"), percent)).select("a", "b").distinct(), "jaccard-links")
 
 
-def dealt(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, percent: int) -> DataFrame:
     """The rows of cells with several components, a copy for each `tile` that they are searched in.
 
     A cell of up to CHUNK points is one tile. In a larger one the points outside the largest component, strong and weak
     apart, are dealt to chunks, and so are the points of the largest; a tile is a pair of chunks that may have links:
     none of two weak ones, and none within the largest component. A point of that has a copy for each chunk of the
-    others only.
+    others only. A point of a small cell without another one of a size to link with is left out.
     """
     by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("size"), F.count_if("strong").alias("heads"), F.bit_xor(F.xxhash64("sid")).alias("print"), F.sum("reach").alias("reach"))
     by_key = by_comp.groupBy("key").agg(
@@ -415,7 +428,21 @@ def dealt(rows: DataFrame) -> DataFrame:
     others = F.when(F.col("kind") == 0, F.concat(*map(units, range(4)))).when(F.col("kind") == 1, F.concat(units(0), units(2))).when(F.col("kind") == 2, F.concat(units(0), units(1))).otherwise(units(0))
     mine = F.coalesce(*[F.when(F.col("kind") == c, F.pmod(F.xxhash64("sid"), chunks(c)).cast("int") + F.lit(c << 28)) for c in range(4)])
     tiles = F.transform(others, lambda x: F.struct(F.least(x, mine).alias("low"), F.greatest(x, mine).alias("high")))
-    return met.withColumn("tile", F.explode(F.when(F.col("size") > CHUNK, tiles).otherwise(F.array(F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high")))))).select("key", "tile.*", "sid", "comp", "n", "reach")
+    columns = ["key", "low", "high", "sid", "comp", "n", "reach"]
+    large = met.filter(F.col("size") > CHUNK).withColumn("tile", F.explode(tiles)).select("*", "tile.*").select(*columns)
+    small = met.filter(F.col("size") <= CHUNK).withColumns({"low": F.lit(-1), "high": F.lit(-1)})
+    return sized(small, percent).select(*columns).unionByName(large)
+
+
+def sized(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of small cells that have one of another component in their cell, not too small or large for a link: a
+    strong one, or any if they are strong. Sizes are compared on a scale of logarithms, a little too freely."""
+    scale = 1 << 20
+    far = int(np.ceil(np.log(100 / percent) * scale)) + 2
+    near = Window.partitionBy("key").orderBy(F.floor(F.log("n") * scale)).rangeBetween(-far, far)
+    head = F.when(F.col("strong"), F.col("comp"))
+    low, high = (F.when(F.col("strong"), f("comp").over(near)).otherwise(f(head).over(near)) for f in (F.min, F.max))
+    return rows.withColumns({"least": low, "most": high}).filter("least != comp or most != comp")
 
 
 def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent: int, thin: bool) -> DataFrame:
@@ -425,9 +452,9 @@ def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent:
     """
     rows = cell_rows.join(comps.withColumnRenamed("node", "sid"), "sid", "left")
     rows = rows.select("key", "sid", "n", "reach", strong(F.col("n") - F.col("reach"), F.col("n"), percent).alias("strong"), F.coalesce("comp", "sid").alias("comp"))
-    rows = written(dealt(written(rows, "jaccard-cells")), "jaccard-tiles")
+    rows = written(dealt(written(rows, "jaccard-cells"), percent), "jaccard-tiles")
     met = maybe_in(points, ["sid"], written(id_filter(rows, "sid"), "jaccard-filter")).filter("maybe")
-    rows = rows.join(met.select("sid", "coarse", F.col("fine" if thin else "finer").alias("fine")), "sid")
+    rows = rows.join(data(met).select("sid", "coarse", F.col("fine" if thin else "finer").alias("fine")), "sid")
     group = ["key", "low", "high"]
     parts_all = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts_all, *group).sortWithinPartitions(*group)
@@ -476,7 +503,7 @@ def point_rows(found: DataFrame) -> DataFrame:
     several = own.groupBy("sid").agg(F.count("*").alias("rows")).filter("rows > 1")
     marked = maybe_in(own, ["sid"], written(id_filter(several, "sid"), "jaccard-filter"))
     first = [F.first(c).alias(c) for c in ("rare", "common", "coarse", "fine", "finer")]
-    shared = written(marked.filter("maybe").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *first), "jaccard-points")
+    shared = written(marked.filter("maybe").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.max("n").alias("n"), *first), "jaccard-points")
     return marked.filter(~F.col("maybe")).select(*shared.columns).unionByName(shared)
 
 
@@ -486,10 +513,19 @@ def grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     found = document_points(docs, shingle, percent)
     points = point_rows(found)
     cell_rows = cells(points, percent)
-    met = cell_rows.filter("sid != pivot").groupBy("sid").agg(F.min_by("pivot", "key").alias("a")).select("a", F.col("sid").alias("b"))
-    heads = cell_rows.filter("sid = pivot and sid != first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
-    links = verified(passing(met.union(heads).distinct(), points, percent), points, docs, shingle, percent)
+    met = cell_rows.filter("rid != pivot").groupBy("sid").agg(F.min_by("pivot", "key").alias("rid")).select("rid", F.col("sid").alias("b"))
+    heads = cell_rows.filter("rid = pivot and rid != first").select(F.col("first").alias("rid"), F.col("sid").alias("b"))
+    first = met.union(heads).distinct().join(points.select("rid", F.col("sid").alias("a")), "rid").select("a", "b")
+    links = verified(passing(first, points, percent), points, docs, shingle, percent)
     comps = components(links)
+    crowded = cell_rows.filter(F.col("size") > CHUNK)
+    if not crowded.isEmpty():
+        # a forest of each point's largest cell alone, so that not every cell of a large group makes one
+        one = crowded.groupBy("sid").agg(F.max_by(F.struct("key", "n", "reach"), F.struct("size", "key")).alias("cell")).select("cell.key", "sid", "cell.n", "cell.reach")
+        pairs = searched(one, comps, points, percent, True).filter("a is not null").select("a", "b")
+        if not pairs.isEmpty():
+            links = links.union(verified(pairs, points, docs, shingle, percent))
+            comps = components(links)
     for thin in (True, False):
         rest = searched(cell_rows, comps, points, percent, thin)
         pairs = rest.filter("a is not null").select("a", "b")
