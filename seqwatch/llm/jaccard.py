@@ -221,6 +221,17 @@ def cell_pairs(cell, points, sizes, reach, comps, fine: list[bytes], percent: in
     return np.concatenate(left), np.concatenate(right), np.unique(np.concatenate(less))
 
 
+def first_shared(keys: list, i: np.ndarray, j: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which pairs of places have no earlier cell in common than `key` of the first: both bounds are widest in that cell."""
+    held: dict[int, frozenset] = {}
+    out = np.empty(len(i), bool)
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        if b not in held:
+            held[b] = frozenset(keys[b])
+        out[k] = next(x for x in keys[a] if x in held[b]) == key[a]
+    return out
+
+
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The most common shingles, sorted, and their counts; they only decide the order of shingles, never a link.
 
@@ -448,13 +459,18 @@ def sized(rows: DataFrame, percent: int) -> DataFrame:
 def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent: int, thin: bool) -> DataFrame:
     """Pairs of points of different components that share a cell and pass both bounds, as (a, b).
 
-    With `thin`, forests of them; the rows (again) then hold the keys of cells of which pairs were left out.
+    With `thin`, forests of them; the rows (again) then hold the keys of cells of which pairs were left out. Else a pair
+    is told once, in the cell of the first shingle that both points are searched by.
     """
     rows = cell_rows.join(comps.withColumnRenamed("node", "sid"), "sid", "left")
     rows = rows.select("key", "sid", "n", "reach", strong(F.col("n") - F.col("reach"), F.col("n"), percent).alias("strong"), F.coalesce("comp", "sid").alias("comp"))
     rows = written(dealt(written(rows, "jaccard-cells"), percent), "jaccard-tiles")
     met = maybe_in(points, ["sid"], written(id_filter(rows, "sid"), "jaccard-filter")).filter("maybe")
-    rows = rows.join(data(met).select("sid", "coarse", F.col("fine" if thin else "finer").alias("fine")), "sid")
+    met = data(met).select("sid", "coarse", F.col("fine" if thin else "finer").alias("fine"))
+    if not thin:  # a point's cells in the order of its shingles, so that a pair is told by its first one alone
+        own = rows.groupBy("sid").agg(F.sort_array(F.collect_set(F.struct((-F.col("reach")).alias("far"), "key"))).getField("key").alias("keys"))
+        met = met.join(data(own), "sid")
+    rows = rows.join(met, "sid")
     group = ["key", "low", "high"]
     parts_all = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts_all, *group).sortWithinPartitions(*group)
@@ -468,6 +484,9 @@ def searched(cell_rows: DataFrame, comps: DataFrame, points: DataFrame, percent:
             cell = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).any(1)]))
             points, sizes, reach, comps, sid = coarse_rows(t["coarse"].tolist()), *(t[c].to_numpy() for c in ("n", "reach", "comp", "sid"))
             i, j, less = cell_pairs(cell, points, sizes, reach, comps, t["fine"].tolist(), percent, thin)
+            if not thin and len(i):
+                ok = first_shared(t["keys"].tolist(), i, j, key[:, 0])
+                i, j = i[ok], j[ok]
             again = np.unique(key[np.searchsorted(cell, less), 0]).tolist()
             out = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1), axis=0)
             none = [None] * len(out)

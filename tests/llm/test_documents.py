@@ -512,3 +512,9 @@ def test_points_of_no_fitting_size_are_left_out(spark):
     rows = [("k", 1, 1, 100, True), ("k", 2, 2, 81, False), ("k", 3, 3, 300, True), ("k", 4, 4, 374, False), ("k", 5, 5, 1000, False), ("k", 6, 6, 1100, False), ("l", 7, 7, 90, True), ("l", 8, 7, 90, True), ("l", 9, 9, 200, True)]
     found = jaccard.sized(spark.createDataFrame(rows, "key string, sid long, comp long, n int, strong boolean"), 80)
     assert sorted(r["sid"] for r in found.collect()) == [1, 2, 3, 4]  # 5 and 6 are weak both; 7 and 8 one component
+
+
+def test_pairs_are_told_by_their_first_cell():
+    keys = [[5, 7, 9], [7, 9], [9, 5]]
+    i, j = np.array([0, 0, 0, 0]), np.array([1, 1, 2, 2])
+    assert [bool(jaccard.first_shared(keys, i[k : k + 1], j[k : k + 1], np.array([at] * 3))[0]) for k, at in enumerate((7, 9, 5, 9))] == [True, False, True, False]
