@@ -5,6 +5,10 @@ are a piece. Equal windows have equal keys, so only pieces whose key occurs agai
 key meet in one task. There they become one string of phrases, cut where a hash of the next 8 bytes says so. Its suffix
 array is built by linear grouping; a window is the bytes up to its first cut and the suffix there, so windows are equal
 when those bytes are and no neighbour between their suffixes has a shorter common prefix than the rest of the window.
+
+A key with too many pieces for one task is told anew: its windows get the least hash of their byte 128-grams as key, so
+its pieces fall into few shorter ones that agree in 128 bytes, of which those that don't occur again go. Only where even
+such a key has too many different pieces do windows go one by one, each under a hash of its own.
 """
 
 from __future__ import annotations
@@ -22,11 +26,13 @@ from seqwatch.llm.suffix_array import suffix_array
 
 #: Bytes of a string that is removed where it occurs again.
 SIZE = 200
-#: Bytes that a key is a hash of, bytes that a cut depends on, and one of how many places is a cut.
-KEY_BYTES, CUT_BYTES, CUT_EVERY = 16, 8, 32
+#: Bytes that a key is a hash of, first and where that key has too many pieces, bytes that a cut depends on, and one of how
+#: many places is a cut.
+KEY_BYTES, LONG_KEY_BYTES, CUT_BYTES, CUT_EVERY = 16, 128, 8, 32
 #: Windows of one piece at most; longer pieces are told in several.
 MOST_WINDOWS = 4096
-#: A key with more occurrences, or more bytes of them, has its windows dealt one by one, each under a hash of its own.
+#: A key with more occurrences, or more bytes of them, is dealt by longer keys; one of those with more different pieces, or
+#: more bytes of them, has its windows dealt one by one, each under a hash of its own.
 MOST_OF_KEY, MOST_BYTES_OF_KEY = 65_536, 1 << 22
 #: Bytes of pieces in one suffix array, unless one key has more.
 BATCH_BYTES = 1 << 20
@@ -57,12 +63,12 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def pieces_of(raw: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces_of(raw: np.ndarray, size: int = SIZE, key_bytes: int = KEY_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, first window, windows, 2 if the key may occur again within the text and 1 if not) of a text's pieces."""
     if len(raw) < size:
         return (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
-    grams = gram_hashes(raw, KEY_BYTES)
-    width = size - KEY_BYTES + 1
+    grams = gram_hashes(raw, key_bytes)
+    width = size - key_bytes + 1
     keys = sliding_least(grams, width)
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     counts = np.diff(np.append(starts, len(keys)))
@@ -193,6 +199,30 @@ def _pieces(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["tid", "key", "start", "windows", "times"])
 
 
+def _long_keys(batches):
+    """(text, longer key, digest, first window, windows, times) of the pieces that each of a text's pieces falls into."""
+    import pyarrow as pa
+
+    types = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+
+    def told(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["tid", "key", "digest", "start", "windows", "times"])
+
+    for batch in slices(batches):
+        out: list[tuple] = []
+        for tid, text, copies, found in zip(*(batch.column(c) for c in ("tid", "text", "copies", "found")), strict=True):
+            raw, tid, copies = text.as_py().encode("utf-8", "surrogatepass"), tid.as_py(), copies.as_py()
+            for at in found.as_py():
+                piece = raw[at["start"] : at["start"] + at["windows"] + SIZE - 1]
+                keys, starts, counts, times = pieces_of(np.frombuffer(piece, np.uint8), key_bytes=LONG_KEY_BYTES)
+                for key, start, count, n in zip(keys.view(np.int64).tolist(), starts.tolist(), counts.tolist(), times.tolist(), strict=True):
+                    out.append((tid, key, _digest(piece[start : start + count + SIZE - 1]), at["start"] + start, count, n * copies))
+                if len(out) >= TOLD_PLACES:
+                    yield told(out)
+                    out = []
+        yield told(out)
+
+
 def _spans(found: list[dict], raw: bytes):
     """(first window, key or None where it is the digest's, bytes) of what a text tells; of hot keys each window alone."""
     for at in found:
@@ -320,14 +350,20 @@ def without_repeats(docs: DataFrame, most_of_key: int = MOST_OF_KEY, most_bytes:
     pieces = written(long.mapInArrow(_pieces, "tid binary, key long, start long, windows int, times int"), "pieces")
     hot = (F.count("*") > most_of_key) | (F.sum(F.col("windows") + SIZE - 1) > most_bytes)
     again = pieces.groupBy("key").agg(F.sum("times").alias("times"), hot.alias("hot")).filter("times > 1").select("key", "hot")
-    shared = pieces.join(again, "key").groupBy("tid").agg(F.collect_set(F.struct("key", "start", "windows", "hot")).alias("found"))
+    met = pieces.join(again, "key").select("tid", "key", "start", "windows", "hot")
+    crowded = met.filter("hot").groupBy("tid").agg(F.collect_set(F.struct("key", "start", "windows", "hot")).alias("found"))
+    # here as below all columns of `texts` are taken, so that one shuffle of it serves all
+    longer = texts.join(crowded, "tid").select("tid", "text", "copies", "found").mapInArrow(_long_keys, "tid binary, key long, digest binary, start long, windows int, times long")
+    distinct = longer.groupBy("key", "digest").agg(F.sum("times").alias("times"), F.first("windows").alias("windows"))
+    again = distinct.groupBy("key").agg(F.sum("times").alias("times"), hot.alias("hot")).filter("times > 1").select("key", "hot")
+    met = met.filter("not hot").unionByName(longer.join(again, "key").select("tid", "key", "start", "windows", "hot"))
+    shared = met.groupBy("tid").agg(F.collect_set(F.struct("key", "start", "windows", "hot")).alias("found"))
     told = texts.join(shared, "tid").select("tid", "text", "copies", "found")
     cut = told.mapInArrow(_cut, "key long, digest binary, piece binary, weight long").repartition("key")
     distinct = cut.groupBy("key", "digest", "piece").agg(F.sum("weight").alias("weight")).sortWithinPartitions("key")
     marks = distinct.mapInArrow(_marks, "digest binary, marks binary")
     places = told.mapInArrow(_places, "tid binary, start long, digest binary")
     found = places.join(marks, "digest").groupBy("tid").agg(F.collect_list(F.struct("start", "marks")).alias("found"))
-    # the same columns as `told` has, so that one shuffle of the texts serves both
     kept = texts.join(found, "tid").select("tid", "text", "copies", "found").mapInArrow(_kept, "tid binary, n_removed long, n_spans long, left binary, left_sha string")
     none = F.lit(0).cast("long")
     return rows.join(kept, "tid", "left").select(

@@ -228,6 +228,42 @@ def test_keys_with_many_bytes_are_dealt_by_windows(spark):
     assert got == Counter(left_over(rows))
 
 
+def test_a_crowded_key_falls_into_few_pieces():
+    import pyarrow as pa
+
+    draw = random.Random(4)
+    base, texts = prose(70, 11)[:384], []
+    for k in range(40):
+        at = draw.randrange(150)
+        texts.append(prose(20, 200 + k)[:at] + base + prose(20, 300 + k))
+    found = [[{"key": 1, "start": 0, "windows": len(t.encode()) - 199, "hot": True}] for t in [*texts, "z" * 5000]]
+    columns = [pa.array([b"%d" % k for k in range(len(found))]), pa.array([*texts, "z" * 5000]), pa.array([1] * len(found)), pa.array(found)]
+    out = [r for b in suffix_dedup._long_keys([pa.RecordBatch.from_arrays(columns, names=["tid", "text", "copies", "found"])]) for r in b.to_pylist()]
+    assert len(out) < sum(f[0]["windows"] for f in found) / 15
+    key_of = {}
+    for tid, text in enumerate([*texts, "z" * 5000]):
+        own = [r for r in out if r["tid"] == b"%d" % tid]
+        assert [i for r in own for i in range(r["start"], r["start"] + r["windows"])] == list(range(len(text) - 199))
+        for r in own:
+            for i in range(r["start"], r["start"] + r["windows"]):
+                assert key_of.setdefault(text[i : i + 200], r["key"]) == r["key"]
+
+
+@pytest.mark.parametrize("most_of_key", [1, 12, 30])
+def test_near_copies_of_a_crowded_key_equal_brute_force(spark, most_of_key):
+    draw = random.Random(8)
+    base, rows = prose(80, 21), []
+    for k in range(40):
+        text = bytearray(base.encode())
+        for _ in range(draw.randint(0, 2)):
+            text[draw.randrange(len(text))] = 97 + draw.randrange(26)
+        rows.append((k, prose(draw.randint(0, 9), 400 + k % 9) + text.decode() + prose(5, 500 + k % 3), "en", "s", 1))
+    rows += [*rows[:5], (90, "z" * 900, "en", "s", 1), (91, "y" + "z" * 700, "en", "s", 1)]
+    found = suffix_dedup.without_repeats(documents(spark, rows).repartition(5), most_of_key).collect()
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["kept_sha256"]) for r in found)
+    assert got == Counter(left_over(rows))
+
+
 def test_repeats_of_empty_tables(spark):
     assert suffix_dedup.without_repeats(documents(spark, [])).count() == 0
     alone = suffix_dedup.without_repeats(documents(spark, [(1, prose(90, 1), "en", "s", 1)])).first()
