@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from seqwatch.llm.shared import map_columns
 
 NONE = 1 << 62
-#: Pieces that a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
+#: Pieces that a worker remembers beside the tokens, and the longest of them. Workers keep them, and the room that a step has
+#: taken, while they serve other queries.
+REMEMBERED, REMEMBERED_CHARS = 1 << 16, 64
 #: Bytes of a piece that is merged together with others, leaves of such trees at a time, and characters of texts at a time.
 MOST_TOGETHER, LEAVES, CHARS = 64, 1 << 17, 1 << 20
 
@@ -175,13 +176,13 @@ class Codec:
         self.known: dict[str, bytes] = {}
 
     def _new(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces; short ones are remembered."""
-        found, waiting = {}, []
+        """The ids of pieces; short ones that are no tokens are remembered."""
+        found, waiting, tokens = {}, [], {}
         for piece in pieces:
             raw = piece.encode("utf-8")
             whole = self.ranks.get(raw)
             if whole is not None:
-                found[piece] = whole.to_bytes(4, "little")
+                tokens[piece] = whole.to_bytes(4, "little")
             elif len(raw) <= MOST_TOGETHER:
                 waiting.append((piece, raw))
             else:
@@ -192,7 +193,7 @@ class Codec:
             self.known.clear()
         if len(short) <= REMEMBERED:
             self.known.update(short)
-        return found
+        return found | tokens
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; few characters are in pieces at a time."""
@@ -229,9 +230,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, `ids` (little-endian unsigned 32-bit integers) and `decoded` (the bytes of those ids) of every text.
 
     Each match of `pattern` is merged separately, without special tokens. A map over rows: nothing is shuffled. New
-    short pieces of about a million characters of texts are merged together. A worker keeps the ids of short pieces that it has met, up to a fixed number; very long pieces cost n log n. Null
-    and empty texts have no ids and decode to no bytes; a null doc_id stays null. Of pairs of equal rank the leftmost
-    merges first. Rows, repeated ones included, keep their ids; an empty table gives no rows. Other columns are
+    short pieces of about a million characters of texts are merged together. A worker keeps the ids of short pieces
+    that it has met and that are no tokens, up to a fixed number; very long pieces cost n log n. Null and empty texts
+    have no ids and decode to no bytes; a null doc_id stays null. Of pairs of equal rank the leftmost merges first. Rows, repeated ones included, keep their ids; an empty table gives no rows. Other columns are
     ignored, those named ids or decoded too.
     """
 

@@ -48,7 +48,9 @@ PIVOT_ROWS = 1000
 CHUNK = 1024
 LEAF = 16
 #: Pairs of points and boxes that a task holds at a time; while a forest is made, fewer, as each step spares the next.
-HELD, HELD_THIN = 1 << 20, 1 << 17
+HELD, HELD_THIN = 1 << 18, 1 << 17
+#: Pairs whose counts a task holds at a time, and numbers of parities.
+HELD_COUNTS, HELD_PARITIES = 1 << 15, 1 << 19
 #: Tasks that the members of one component are dealt to.
 SALTS = 16
 #: Bits of a rare shingle's key that are left out. Two shingles of one key only make more candidates.
@@ -84,7 +86,7 @@ class Parities:
         for kind in np.unique(kinds):
             n, m = int(kind) >> 32, int(kind) & 0xFFFFFFFF
             same = np.flatnonzero(kinds == kind)
-            for part in np.array_split(same, min(len(same), 1 + len(same) * max(n, m) // (1 << 21))):
+            for part in np.array_split(same, min(len(same), 1 + len(same) * max(n, m) // HELD_PARITIES)):
                 x, y = self.tables[n][self.place[i[part]]], self.tables[m][self.place[j[part]]]
                 g = min(n, m)
                 x, y = (np.bitwise_xor.reduce(v.reshape(len(v), -1, g), 1) for v in (x, y))
@@ -157,7 +159,7 @@ class CountTree:
             ok = ((at + 1) * LEAF**depth - 1 > q) & (first[at] <= cell) & (last[at] >= cell)
             ok &= (most[at] * 100 >= percent * n) & (least[at] * percent <= 100 * n) & may_link(np.minimum(reach[at], self.reach[q]), least[at], n, percent)
             q, at = q[ok], at[ok]
-            ok = np.concatenate([np.empty(0, bool), *(may_link(np.minimum(high[at[k]], self.points[q[k]]).sum(1), least[at[k]], self.sizes[q[k]], percent) for k in np.array_split(np.arange(len(q)), 1 + len(q) // HELD_THIN))])
+            ok = np.concatenate([np.empty(0, bool), *(may_link(np.minimum(high[at[k]], self.points[q[k]]).sum(1), least[at[k]], self.sizes[q[k]], percent) for k in np.array_split(np.arange(len(q)), 1 + len(q) // HELD_COUNTS))])
             q, at = q[ok], at[ok]
         return q, at
 

@@ -102,6 +102,12 @@ def test_texts_keep_their_ids_when_few_pieces_are_remembered(monkeypatch):
     assert [codec.encode(t) for t in texts] == whole
 
 
+def test_only_pieces_that_are_no_tokens_are_remembered():
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    codec.encode_all([prose(400, 1), "the of and " * 20])
+    assert codec.known and not any(piece.encode() in codec.ranks for piece in codec.known)
+
+
 def test_token_files_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
@@ -190,6 +196,21 @@ def test_jaccard_in_chunks_and_by_many_pivots(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == brute_groups(rows)
 
 
+def test_parities_of_many_pairs_take_little_memory():
+    import tracemalloc
+
+    draw = np.random.default_rng(2)
+    bits = jaccard.Parities([draw.bytes(1024) for _ in range(64)])
+    i, j = (draw.integers(0, 64, 1 << 15) for _ in range(2))
+    tracemalloc.start()
+    odd = bits.odd(i, j)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    whole = bits.tables[128]
+    assert odd[:50].tolist() == [int(np.bitwise_count(whole[bits.place[a]] ^ whole[bits.place[b]]).sum()) for a, b in zip(i[:50], j[:50])]
+
+
 def test_count_tree_finds_all_within_the_bounds():
     draw = np.random.default_rng(1)
     points = draw.poisson(4, (700, jaccard.COARSE)).astype(np.int32)
