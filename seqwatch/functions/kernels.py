@@ -212,3 +212,79 @@ def hmm_expectations(symbols, init, trans, emit):
     """The same of one sequence of symbols: gamma (T, K), transitions (K, K), log likelihood."""
     gamma, xi, total = hmm_expectations_all(np.asarray(symbols)[:, None], np.array([len(symbols)]), init, trans, emit)
     return gamma[..., 0], xi[..., 0], float(total[0])
+
+
+#: Pairs of sequences whose edit distances are told together, and cells of a table of places.
+PAIR_CELLS, PLACE_CELLS = 1 << 15, 1 << 22
+
+
+def edit_matrix(texts: np.ndarray, n_texts: np.ndarray, patterns: np.ndarray, n_patterns: np.ndarray) -> np.ndarray:
+    """The edit distance of each text (row) to each pattern (column).
+
+    Sequences are columns of symbols, as `stacked` makes them. A text's symbol is one step for all pairs: the differences
+    of the distances of a pattern's successive prefixes, each -1, 0 or 1, are bits of words of 64 (Myers; carries as in
+    Hyyrö).
+    """
+    known = np.unique(patterns)
+    out = np.empty((len(n_texts), len(n_patterns)), np.int32)
+    at = np.searchsorted(known, texts)
+    seen = np.where(known[np.minimum(at, len(known) - 1)] == texts, at, len(known)) if len(known) else np.zeros_like(texts)
+    numbers, words = np.searchsorted(known, patterns), np.maximum(1, -(-n_patterns // 64))
+    order = np.argsort(words, kind="stable")
+    while len(order):
+        w = int(words[order[0]])
+        some = order[: max(1, PLACE_CELLS // ((len(known) + 1) * w))]
+        some = some[words[some] == w]
+        order = order[len(some) :]
+        _edits(seen, n_texts, numbers[:, some], n_patterns[some], len(known) + 1, w, some, out)
+    return out
+
+
+def _edits(texts, n_texts, patterns, n_patterns, symbols, words, some, out) -> None:
+    one, high, full = np.uint64(1), np.uint64(63), ~np.uint64(0)
+    places = np.zeros((words, symbols, len(some)), np.uint64)
+    for i in range(int(n_patterns.max(initial=0))):
+        has = np.flatnonzero(n_patterns > i)
+        places[i >> 6, patterns[i, has], has] |= one << np.uint64(i & 63)
+    bits = np.clip(n_patterns - 64 * np.arange(words)[:, None], 0, 64).astype(np.uint64)
+    within = np.where(bits > 0, full >> (np.uint64(64) - np.maximum(bits, one)), np.uint64(0))
+    order = np.argsort(-n_texts, kind="stable")
+    step = max(1, PAIR_CELLS // (len(some) * words))
+    for rows in (order[lo : lo + step] for lo in range(0, len(order), step)):
+        length, text = n_texts[rows], texts[:, rows]
+        more, less = np.full((words, len(rows), len(some)), full), np.zeros((words, len(rows), len(some)), np.uint64)
+        buffers = [np.empty((len(rows), len(some)), np.uint64) for _ in range(4)]
+        for t in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -t))  # texts with a symbol here
+            up, down = one, None
+            eq, v, p, m = (b[:n] for b in buffers)
+            for w in range(words):
+                pv, mv = more[w, :n], less[w, :n]
+                np.take(places[w], text[t, :n], axis=0, out=eq, mode="clip")
+                np.bitwise_or(eq, mv, out=v)
+                if down is not None:
+                    eq |= down
+                np.bitwise_and(eq, pv, out=p)
+                p += pv
+                p ^= pv
+                p |= eq
+                np.bitwise_and(pv, p, out=m)
+                p |= pv
+                np.invert(p, out=p)
+                p |= mv
+                carry = (p >> high, m >> high) if w + 1 < words else (None, None)
+                p <<= one
+                p |= up
+                m <<= one
+                if down is not None:
+                    m |= down
+                np.bitwise_and(p, v, out=mv)
+                p |= v
+                np.invert(p, out=p)
+                np.bitwise_or(p, m, out=pv)
+                up, down = carry
+        found = np.repeat(length[:, None].astype(np.int32), len(some), 1)
+        for w in range(words):
+            found += np.bitwise_count(more[w] & within[w])
+            found -= np.bitwise_count(less[w] & within[w])
+        out[np.ix_(rows, some)] = found

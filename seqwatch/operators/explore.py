@@ -2,37 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqwatch.functions import kernels
 from seqwatch.sources.durable import written
 
-
 #: Letters of two bytes from 256 on, below the surrogates.
 MOST_STATES = 0xD800 - 256
 #: Trials of a recipe in one block.
 TRIALS_OF_BLOCK = 500
 
 
+def trial_blocks(steps: DataFrame, key: str) -> DataFrame:
+    """(key, block, total, trials): the trials of each key in the order of their ids, `TRIALS_OF_BLOCK` in a block, with
+    the number of all of them. Each is (nth, trial_id, w), numbered from 0 within its key, its states as letters.
+    """
+    letter = F.when(F.col("state").between(0, MOST_STATES - 1), F.decode(F.unhex(F.lpad(F.hex(F.col("state") + 256), 4, "0")), "UTF-16BE")).otherwise(F.raise_error(F.lit("a state beyond those that letters stand for")))
+    words = steps.filter(F.col("trial_id").isNotNull() & F.col(key).isNotNull()).groupBy("trial_id", key).agg(F.array_sort(F.collect_list(F.struct("seg_idx", letter.alias("c")))).alias("s")).select("trial_id", key, F.array_join("s.c", "").alias("w"))
+    rows = ranked(words, key, "trial_id")
+    first = rows.groupBy(key).agg(F.min("rank").alias("first"), F.count("*").cast("int").alias("total"))  # one row a recipe
+    rows = rows.join(F.broadcast(first), key).withColumn("nth", F.col("rank") - F.col("first")).withColumn("block", F.floor(F.col("nth") / TRIALS_OF_BLOCK).cast("int"))
+    return rows.groupBy(key, "block", "total").agg(F.sort_array(F.collect_list(F.struct("nth", "trial_id", "w"))).alias("trials"))
+
+
+def pairs_of_blocks(blocks: DataFrame, key: str, what: str) -> DataFrame:
+    """(key, low, high, total, sides): each pair of blocks of one key, a block and itself too, with (block, `what`) of both.
+
+    They are dealt to a fixed number of partitions, as few bytes make many pairs.
+    """
+    last = F.ceil(F.col("total") / TRIALS_OF_BLOCK).cast("int") - 1
+    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.select(key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "total", "block", what).repartition(parts, key, "low", "high")
+    return cells.groupBy(key, "low", "high", "total").agg(F.sort_array(F.collect_list(F.struct("block", what))).alias("sides"))
+
+
+def _sides(rows: pa.RecordBatch, what: str) -> Iterator[tuple[int, dict[str, pa.Array], dict[str, pa.Array]]]:
+    """The number of each row, and the fields of its lower and its higher block."""
+    for k, sides in enumerate(rows["sides"]):
+        fields = [s for s in sides.values.field(what)]
+        low, high = fields[0].values, fields[-1].values
+        yield k, *({f.name: x.field(f.name) for f in x.type} for x in (low, high))
+
+
+def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    words = words.to_pylist()
+    n = np.array([len(w) for w in words])
+    out = np.zeros((n.max(initial=0), len(n)), np.int64)
+    out.T[np.arange(len(out)) < n[:, None]] = np.frombuffer("".join(words).encode("utf-16-le"), np.uint16)
+    return out, n
+
+
 def edit_distances(steps: DataFrame, key: str = "recipe") -> DataFrame:
     """a, b, distance of all pairs of trials of one recipe: edits between their sequences of states.
 
-    Each state is one letter, so the built-in edit distance counts steps; states from 0 to `MOST_STATES` have one. Pairs grow with the square of a recipe's
-    trials, which is what is asked for; give it trials of one study, not a corpus. They are dealt by pairs of blocks of a recipe's
-    trials, so that no task has all pairs of a recipe.
+    States from 0 to `MOST_STATES` have a letter. Pairs grow with the square of a recipe's trials, which is what is asked
+    for. They are dealt by pairs of blocks of a recipe's trials, so that no task has all pairs of a recipe; the distances
+    of two blocks are told together.
     """
-    letter = F.when(F.col("state").between(0, MOST_STATES - 1), F.decode(F.unhex(F.lpad(F.hex(F.col("state") + 256), 4, "0")), "UTF-16BE")).otherwise(F.raise_error(F.lit("a state beyond those that letters stand for")))
-    words = steps.groupBy("trial_id", key).agg(F.array_sort(F.collect_list(F.struct("seg_idx", letter.alias("c")))).alias("s")).select("trial_id", key, F.array_join("s.c", "").alias("w"))
-    words = written(words, "words")
-    n_blocks = words.groupBy(key).agg(F.ceil(F.count("*") / TRIALS_OF_BLOCK).cast("int").alias("blocks"))  # one row a recipe
-    block = F.pmod(F.xxhash64("trial_id"), "blocks").cast("int")
-    cells = words.join(F.broadcast(n_blocks), key).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select(key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "trial_id", "w")
-    by, parts = [key, "low", "high"], int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = lambda x: cells.select(*by, F.col("block").alias(f"block_{x}"), F.col("trial_id").alias(x), F.col("w").alias(f"w{x}")).repartition(parts, *by)  # noqa: E731  a fixed number: few bytes make many pairs
-    return side("a").join(side("b").hint("merge"), by).filter("a < b and (low = high or block_a <> block_b)").select(key, "a", "b", F.levenshtein("wa", "wb").alias("distance"))
+    schema = f"{key} {dict(steps.dtypes)[key]}, a {dict(steps.dtypes)['trial_id']}, b {dict(steps.dtypes)['trial_id']}, distance int"
+
+    def run(batches):
+        for rows in batches:
+            for k, low, high in _sides(rows, "trials"):
+                d = kernels.edit_matrix(*_letters(low["w"]), *_letters(high["w"]))
+                i, j = np.nonzero(low["nth"].to_numpy()[:, None] < high["nth"].to_numpy())
+                key_of = pa.repeat(rows[key][k], len(i))
+                yield pa.RecordBatch.from_arrays([key_of, low["trial_id"].take(pa.array(i)), high["trial_id"].take(pa.array(j)), pa.array(d[i, j])], names=[key, "a", "b", "distance"])
+
+    blocks = written(trial_blocks(steps, key), "blocks")
+    return pairs_of_blocks(blocks, key, "trials").mapInArrow(run, schema)
 
 
 def participant_features(ticks: DataFrame, idle_verb: int) -> DataFrame:

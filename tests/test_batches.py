@@ -94,3 +94,35 @@ def test_edit_distances_are_dealt_by_blocks(spark, monkeypatch):
         return line[-1]
 
     assert found.count() == len(told) and told == {(a % 2, a, b): distance(words[a], words[b]) for a in words for b in words if a < b and a % 2 == b % 2}
+
+
+def test_edit_matrix_equals_a_loop():
+    draw = np.random.default_rng(4)
+    sequences = [[draw.integers(0, 3 + side, n) for n in lengths] for side, lengths in enumerate(((0, 1, 63, 64, 65, 127, 128, 129, 200), (0, 3, 64, 65, 30, 150)))]
+    sequences[1].append(sequences[0][-1])
+
+    def distance(x, y):
+        line = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            last, line = line, [i] + [0] * len(y)
+            for j, q in enumerate(y, 1):
+                line[j] = min(last[j] + 1, line[j - 1] + 1, last[j - 1] + (p != q))
+        return line[-1]
+
+    expected = [[distance(x, y) for y in sequences[0]] for x in sequences[1]]
+    sizes = kernels.PAIR_CELLS, kernels.PLACE_CELLS
+    try:
+        for kernels.PAIR_CELLS, kernels.PLACE_CELLS in (sizes, (1, 1), (20, 30)):
+            assert kernels.edit_matrix(*kernels.stacked(sequences[1]), *kernels.stacked(sequences[0])).tolist() == expected
+    finally:
+        kernels.PAIR_CELLS, kernels.PLACE_CELLS = sizes
+
+
+def test_edit_distances_are_told_by_blocks_at_once(spark):
+    """A pair of trials is no row before its distance is known: rows that are shuffled hold blocks of trials."""
+    rows = spark.range(1200).selectExpr("id as trial_id", "0 as recipe", "0 as seg_idx", "cast(id % 7 as int) as state")
+    found = explore.edit_distances(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert "levenshtein" not in plan and "join" not in plan
+    told = found.groupBy("distance").count().collect()
+    assert {r["distance"]: r["count"] for r in told} == {0: sum(n * (n - 1) // 2 for n in (172, 172, 172, 171, 171, 171, 171)), 1: 1200 * 1199 // 2 - sum(n * (n - 1) // 2 for n in (172, 172, 172, 171, 171, 171, 171))}
