@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,27 +21,28 @@ TRIALS_OF_BLOCK = 500
 
 
 def trial_blocks(steps: DataFrame, key: str) -> DataFrame:
-    """(key, block, total, trials): the trials of each key in the order of their ids, `TRIALS_OF_BLOCK` in a block, with
-    the number of all of them. Each is (nth, trial_id, w), numbered from 0 within its key, its states as letters.
+    """(key, block, total, longest, trials): the trials of each key in the order of their ids, `TRIALS_OF_BLOCK` in a block,
+    with the number of all of them and the most steps of one. Each is (nth, trial_id, w), numbered from 0 within its key, its
+    states as letters.
     """
     letter = F.when(F.col("state").between(0, MOST_STATES - 1), F.decode(F.unhex(F.lpad(F.hex(F.col("state") + 256), 4, "0")), "UTF-16BE")).otherwise(F.raise_error(F.lit("a state beyond those that letters stand for")))
     words = steps.filter(F.col("trial_id").isNotNull() & F.col(key).isNotNull()).groupBy("trial_id", key).agg(F.array_sort(F.collect_list(F.struct("seg_idx", letter.alias("c")))).alias("s")).select("trial_id", key, F.array_join("s.c", "").alias("w"))
     rows = ranked(words, key, "trial_id")
-    first = rows.groupBy(key).agg(F.min("rank").alias("first"), F.count("*").cast("int").alias("total"))  # one row a recipe
+    first = rows.groupBy(key).agg(F.min("rank").alias("first"), F.count("*").cast("int").alias("total"), F.max(F.length("w")).alias("longest"))  # one row a recipe
     rows = rows.join(F.broadcast(first), key).withColumn("nth", F.col("rank") - F.col("first")).withColumn("block", F.floor(F.col("nth") / TRIALS_OF_BLOCK).cast("int"))
-    return rows.groupBy(key, "block", "total").agg(F.sort_array(F.collect_list(F.struct("nth", "trial_id", "w"))).alias("trials"))
+    return rows.groupBy(key, "block", "total", "longest").agg(F.sort_array(F.collect_list(F.struct("nth", "trial_id", "w"))).alias("trials"))
 
 
 def pairs_of_blocks(blocks: DataFrame, key: str, what: str) -> DataFrame:
-    """(key, low, high, total, sides): each pair of blocks of one key, a block and itself too, with (block, `what`) of both.
+    """(key, low, high, total, longest, sides): each pair of blocks of one key, a block and itself too, with (block, `what`) of both.
 
     They are dealt to a fixed number of partitions, as few bytes make many pairs.
     """
     last = F.ceil(F.col("total") / TRIALS_OF_BLOCK).cast("int") - 1
     cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.select(key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "total", "block", what).repartition(parts, key, "low", "high")
-    return cells.groupBy(key, "low", "high", "total").agg(F.sort_array(F.collect_list(F.struct("block", what))).alias("sides"))
+    cells = cells.select(key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "total", "longest", "block", what).repartition(parts, key, "low", "high")
+    return cells.groupBy(key, "low", "high", "total", "longest").agg(F.sort_array(F.collect_list(F.struct("block", what))).alias("sides"))
 
 
 def _sides(rows: pa.RecordBatch, what: str) -> Iterator[tuple[int, dict[str, pa.Array], dict[str, pa.Array]]]:
@@ -215,30 +217,89 @@ def ingredient_tests(uses: DataFrame, least_trials: int = 3, least_uses: int = 5
     return tests.drop("id").join(found, ["participant", "item"]).select("participant", "item", "k", "n", "rate", "p", "rank", "rejected")
 
 
+#: Bytes of a table of distances above which it is kept in a file of the task.
+MOST_IN_MEMORY = 1 << 26
+
+
+def scratch(shape: tuple[int, int], kind: type) -> np.ndarray:
+    """A table to be filled; a large one lies in a file that goes with it, so that the system holds what of it is in use."""
+    if shape[0] * shape[1] * np.dtype(kind).itemsize <= MOST_IN_MEMORY:
+        return np.empty(shape, kind)
+    return np.memmap(tempfile.TemporaryFile(), kind, shape=shape)
+
+
 def average_linkage(distances: np.ndarray, clusters: int) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
     """(cluster of each element, numbered by first element; merges as (smallest elements of both, distance)): the pair of
-    clusters with the least mean distance merges first, of equals that with the smallest elements."""
-    n = len(distances)
-    d = distances.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    sizes, member, merges = np.ones(n), np.arange(n), []
-    for _ in range(n - clusters):
-        a, b = divmod(int(np.round(d, 9).argmin()), n)
-        a, b = min(a, b), max(a, b)
-        merges.append((a, b, float(d[a, b])))
-        mean = (sizes[a] * d[a] + sizes[b] * d[b]) / (sizes[a] + sizes[b])
-        d[a], d[:, a] = mean, mean
-        d[a, a], d[b], d[:, b] = np.inf, np.inf, np.inf
-        sizes[a] += sizes[b]
-        member[member == b] = a
-    return np.unique(member, return_inverse=True)[1], merges
+    clusters with the least mean distance merges first, of equals that with the smallest elements.
+
+    When a quarter of the clusters is left, their rows become a smaller table of sums.
+    """
+    exact = np.issubdtype(distances.dtype, np.integer)
+    member, first, sizes, sums, merges = np.arange(len(distances)), np.arange(len(distances)), np.ones(len(distances)), distances, []
+    while len(first) > clusters:
+        of, row, found = merged(sums, sizes, max(clusters, len(first) // 4), exact)
+        merges += [(int(first[a]), int(first[b]), d) for a, b, d in found]
+        left = np.unique(of)
+        smaller = scratch((len(left), len(left)), np.float64)
+        for k, i in enumerate(left):
+            smaller[k] = np.bincount(of, row(i), minlength=len(of))[left]
+        sums, sizes = smaller, np.bincount(of, sizes, minlength=len(of))[left]
+        first, member = first[left], np.searchsorted(left, of)[member]
+    return member, merges
+
+
+def merged(sums: np.ndarray, sizes: np.ndarray, stop: int, exact: bool) -> tuple[np.ndarray, Callable[[int], np.ndarray], list[tuple[int, int, float]]]:
+    """Merges until `stop` clusters are left: (the first row of each row's cluster, its sums with all rows, merges).
+
+    A cluster's row is the sum of its elements' rows, so a merge writes one row. Each cluster knows its nearest among those
+    after it. A merge moves no mean below both it comes from, so what is known of a cluster that has changed is a lower
+    bound, and it is looked for anew only when no other is less.
+    """
+    n = len(sums)
+    of, size, rows, merges, left = np.arange(n), sizes.copy(), {}, [], n
+    small = exact and sums.dtype.itemsize < 4 and n * np.iinfo(sums.dtype).max < 1 << 31
+    store = scratch((n // 2 + 1, n), np.int32 if small else np.float64)
+    free = list(range(len(store)))[::-1]
+    nearest, partner, stale = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
+    row = lambda i: store[rows[i]] if i in rows else sums[i]
+
+    def look(i: int) -> None:
+        later, nearest[i], stale[i] = slice(i + 1, None), np.inf, False
+        if i + 1 < n:
+            total = np.bincount(of[later], row(i)[later], minlength=n)[later]
+            mean = np.full(n - i - 1, np.inf)
+            np.divide(total, size[later] * size[i], out=mean, where=size[later] > 0)
+            mean = mean if exact else np.round(mean, 9)
+            partner[i] = i + 1 + int(mean.argmin())
+            nearest[i] = mean[partner[i] - i - 1]
+
+    for i in range(n):
+        look(i)
+    while left > stop:
+        i = int(nearest.argmin())
+        if stale[i]:
+            look(i)
+            continue
+        j = int(partner[i])
+        merges.append((i, j, float(nearest[i])))
+        both = np.add(row(i), row(j), dtype=store.dtype)
+        if i not in rows:
+            rows[i] = free.pop()
+        store[rows[i]] = both
+        if j in rows:
+            free.append(rows.pop(j))
+        of[of == j] = i
+        size[i], size[j], nearest[j], left = size[i] + size[j], 0, np.inf, left - 1
+        stale |= ((partner == i) | (partner == j)) & (size > 0)
+        look(i)
+    return of, row, merges
 
 
 def order_clusters(pairs: DataFrame, key: str = "recipe", clusters: int = 2, least_n: int = 6) -> DataFrame:
     """`key`, trial_id, cluster, from the distances (key, a, b, distance) of all pairs of trials of each key.
 
-    A key's distances are one matrix in one task; like the pairs themselves, they are those of a study. Keys with fewer
-    than `least_n` trials are left out.
+    A key's distances are one matrix in one task; give it those of a study, and blocks of distances to `clusters_of_blocks`.
+    Keys with fewer than `least_n` trials are left out.
     """
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -267,26 +328,116 @@ def within_distance(members: DataFrame, pairs: DataFrame, by: list[str], key: st
 def permuted(members: DataFrame, draws: int, seed: int, key: str = "recipe") -> DataFrame:
     """(key, draw, trial_id, cluster): the trials of each key dealt anew to clusters of the same sizes, `draws` times.
 
-    The order of a draw is that of a hash of seed, draw and trial, so it is the same in every run.
+    The order of a draw is that of a hash of seed, draw and trial, so it is the same in every run. Other columns of
+    `members` stay with their trial.
     """
-    rows = members.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    of = [c for c in members.columns if c not in (key, "cluster")]
+    rows = members.select(key, *of, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     nth = F.row_number().over(Window.partitionBy(key, "draw").orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), "draw", "trial_id")), "trial_id"))
-    place = F.row_number().over(Window.partitionBy(key, "draw").orderBy("cluster", "trial_id"))
-    dealt = rows.select(key, "draw", nth.alias("nth"), "trial_id").join(rows.select(key, "draw", place.alias("nth"), "cluster"), [key, "draw", "nth"])
-    return dealt.drop("nth")
+    upto = F.sum("n").over(Window.partitionBy(key).orderBy("cluster"))
+    places = members.groupBy(key, "cluster").agg(F.count("*").alias("n")).select(key, "cluster", (upto - F.col("n")).alias("after"), upto.alias("upto"))  # one row a cluster
+    dealt = rows.withColumn("nth_drawn", nth).join(F.broadcast(places), key).filter("nth_drawn > after and nth_drawn <= upto")
+    return dealt.select(key, "draw", *of, "cluster")
+
+
+def distances_of_blocks(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, low, high, total, longest, distances): of each pair of blocks the distances of their trials, row by row as bytes,
+    one for each if no sequence of the key has more than 255 steps, else four."""
+    schema = f"{key} {dict(blocks.dtypes)[key]}, low int, high int, total int, longest int, distances binary"
+
+    def run(batches):
+        for rows in batches:
+            for k, low, high in _sides(rows, "trials"):
+                d = kernels.edit_matrix(*_letters(low["w"]), *_letters(high["w"])).astype(_kind(rows["longest"][k].as_py()))
+                yield pa.RecordBatch.from_arrays([*[rows[c].slice(k, 1) for c in (key, "low", "high", "total", "longest")], pa.array([d.tobytes()], pa.binary())], names=[key, "low", "high", "total", "longest", "distances"])
+
+    return pairs_of_blocks(blocks, key, "trials").mapInArrow(run, schema)
+
+
+def _kind(longest: int) -> type:
+    return np.uint8 if longest < 256 else np.int32
+
+
+def clusters_of_blocks(distances: DataFrame, key: str, clusters: int, least_n: int) -> DataFrame:
+    """(key, nth, cluster) of the trials of keys with `least_n` or more, two at least.
+
+    Merging goes from one pair to the next, so that a key's distances meet in one task; its table of them and those of
+    its sums are files, and what it holds in memory grows with the number of trials.
+    """
+    size = TRIALS_OF_BLOCK
+    schema = f"{key} {dict(distances.dtypes)[key]}, nth int, cluster int"
+
+    def told(of, table):
+        found = average_linkage(table, clusters)[0]
+        return pa.RecordBatch.from_arrays([pa.repeat(of, len(found)), pa.array(np.arange(len(found)), pa.int32()), pa.array(found, pa.int32())], names=[key, "nth", "cluster"])
+
+    def run(batches):
+        of = table = None
+        for rows in batches:
+            for k, (low, high, total, longest) in enumerate(zip(*[rows[c].to_pylist() for c in ("low", "high", "total", "longest")])):
+                if of is None or rows[key][k] != of:
+                    if of is not None:
+                        yield told(of, table)
+                    of, table = rows[key][k], scratch((total, total), _kind(longest))
+                a, b = slice(low * size, min(total, low * size + size)), slice(high * size, min(total, high * size + size))
+                d = np.frombuffer(rows["distances"][k].as_buffer(), table.dtype).reshape(a.stop - a.start, -1)
+                table[a, b], table[b, a] = d, d.T
+        if of is not None:
+            yield told(of, table)
+
+    parts = int(distances.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return distances.filter(F.col("total") >= max(2, least_n)).repartition(parts, key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def sums_within(distances: DataFrame, drawn: DataFrame, key: str, clusters: int) -> DataFrame:
+    """(key, draw, cluster, total): the sums of the distances within each cluster of each draw.
+
+    `drawn` has (key, total, longest, nth, draw, cluster), each trial of a key once a draw, draws numbered from 0. Two blocks
+    of trials meet their distances, and the sums of all draws are products of these with the trials of each cluster.
+    """
+    labels = drawn.groupBy(key, "total", "longest", "nth").agg(F.transform(F.sort_array(F.collect_list(F.struct("draw", "cluster"))), lambda x: x["cluster"]).alias("of"))
+    labels = labels.groupBy(key, F.floor(F.col("nth") / TRIALS_OF_BLOCK).cast("int").alias("block"), "total", "longest").agg(F.sort_array(F.collect_list(F.struct("nth", "of"))).alias("labels"))
+    schema = f"{key} {dict(distances.dtypes)[key]}, draw int, cluster int, total long"
+
+    def run(batches):
+        found = {}
+        for rows in batches:
+            for k, low, high in _sides(rows, "labels"):
+                a, b = (x["of"].flatten().to_numpy().reshape(len(x["nth"]), -1) for x in (low, high))
+                d = np.frombuffer(rows["distances"][k].as_buffer(), _kind(rows["longest"][k].as_py())).reshape(len(a), len(b)).astype(float)
+                sums = np.stack([((d @ (b == c)) * (a == c)).sum(0) for c in range(clusters)])  # whole numbers
+                times = 2 if rows["low"][k] == rows["high"][k] else 1
+                of = rows[key][k]
+                found[of] = found.get(of, 0) + (sums / times).astype(np.int64)
+        for of, sums in found.items():
+            draw, cluster = np.meshgrid(np.arange(sums.shape[1]), np.arange(clusters))
+            yield pa.RecordBatch.from_arrays([pa.repeat(of, sums.size), pa.array(draw.ravel(), pa.int32()), pa.array(cluster.ravel(), pa.int32()), pa.array(sums.ravel())], names=[key, "draw", "cluster", "total"])
+
+    sides = pairs_of_blocks(labels, key, "labels").drop("total", "longest")
+    both = distances.join(sides.hint("merge"), [key, "low", "high"]).select(key, "low", "high", "longest", "distances", "sides")
+    return both.mapInArrow(run, schema).groupBy(key, "draw", "cluster").agg(F.sum("total").alias("total"))
 
 
 def order_structure(steps: DataFrame, key: str = "recipe", clusters: int = 2, draws: int = 100, seed: int = 0, least_n: int = 6) -> DataFrame:
     """By key: trials, size of the smallest cluster, mean distance within clusters, the mean and deviation of the same over
     random splits into clusters of these sizes, and the share of those that are looser: near 1 if the orders really part.
+
+    The distances of all pairs are told once, by blocks; no pair of trials is ever a row.
     """
-    pairs = written(edit_distances(steps, key), "pairs")
-    members = written(order_clusters(pairs, key, clusters, least_n), "members")
-    null = within_distance(permuted(members, draws, seed, key), pairs, [key, "draw"], key)
-    observed = within_distance(members, pairs, [key], key).withColumnRenamed("within", "observed")
-    sizes = members.groupBy(key, "cluster").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("trials"), F.min("n").alias("least"))
+    blocks = written(trial_blocks(steps, key), "blocks")
+    distances = written(distances_of_blocks(blocks, key), "distances")
+    found = written(clusters_of_blocks(distances, key, clusters, least_n), "clusters")
+    trials = blocks.select(key, "total", "longest", F.explode("trials").alias("t")).select(key, "total", "longest", "t.nth", "t.trial_id")
+    members = written(trials.join(found.hint("merge"), [key, "nth"]), "members")
+    drawn = permuted(members, draws, seed, key).unionByName(members.withColumn("draw", F.lit(0)))
+    sizes = members.groupBy(key, "cluster").agg(F.count("*").alias("n"))
+    n_pairs = sizes.withColumn("pairs", F.col("n") * (F.col("n") - 1) / 2).filter("pairs > 0")  # one row a cluster
+    means = sums_within(distances, drawn, key, clusters).join(F.broadcast(n_pairs), [key, "cluster"])
+    within = written(means.groupBy(key, "draw").agg(F.avg(F.col("total") / F.col("pairs")).alias("within")), "within")
+    null, observed = within.filter("draw > 0"), within.filter("draw = 0").select(key, F.col("within").alias("observed"))
+    whole = sizes.groupBy(key).agg(F.sum("n").alias("trials"), F.min("n").alias("least"))
     looser = F.avg((F.round("within", 9) > F.round("observed", 9)).cast("int"))
-    return sizes.join(observed, key).join(null, key).groupBy(key, "trials", "least", "observed").agg(F.avg("within").alias("null_mean"), F.stddev_pop("within").alias("null_sd"), looser.alias("looser"))
+    return whole.join(observed, key).join(null, key).groupBy(key, "trials", "least", "observed").agg(F.avg("within").alias("null_mean"), F.stddev_pop("within").alias("null_sd"), looser.alias("looser"))
 
 
 def spherical_kmeans(bags: DataFrame, k: int, iterations: int = 20) -> DataFrame:

@@ -36,6 +36,20 @@ def test_average_linkage_equals_its_definition(seed):
     assert len(set(member)) == 2 and member[0] == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_linkage_of_ties_in_files_equals_its_definition(seed, monkeypatch):
+    monkeypatch.setattr(explore, "MOST_IN_MEMORY", 0)
+    draw = np.random.default_rng(seed)
+    n, clusters = int(draw.integers(2, 30)), int(draw.integers(1, 4))
+    d = np.triu(draw.integers(0, 5, (n, n)), 1).astype((np.uint8, np.int32)[seed % 2])
+    d[:, : n // 3] = 0  # some equal each other
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    member, merges = explore.average_linkage(d, clusters)
+    groups, expected = linked(d, clusters)
+    assert [m[:2] for m in merges] == [m[:2] for m in expected] and [m[2] for m in merges] == pytest.approx([m[2] for m in expected])
+    assert sorted(sorted(np.flatnonzero(member == c).tolist()) for c in set(member)) == groups
+
+
 def steps_of(spark, orders):
     rows = [(r, t, k, s) for t, (r, states) in orders.items() for k, s in enumerate(states)]
     return spark.createDataFrame(rows, "recipe int, trial_id long, seg_idx int, state int")
@@ -62,6 +76,29 @@ def test_two_orders_part_and_one_doesnt(spark):
     assert len({(t % 2, c) for t, c in sides.items()}) == 2
 
 
+@pytest.mark.parametrize("longest, clusters", [(9, 2), (300, 3)])
+def test_order_structure_by_blocks_equals_that_of_pairs(spark, monkeypatch, longest, clusters):
+    """Blocks of trials instead of pairs: the same clusters and means, and no pair of trials is a row."""
+    draw = np.random.default_rng(3)
+    orders = {7 * t: (t % 2, draw.integers(0, 4, 1 + t % 9 if t else longest).tolist()) for t in range(27)} | {1000: (2, [1]), 1001: (2, [2])}
+    steps = steps_of(spark, orders)
+    pairs = explore.edit_distances(steps).persist()
+    members = explore.order_clusters(pairs, clusters=clusters).persist()
+    observed = {r["recipe"]: r["within"] for r in explore.within_distance(members, pairs, ["recipe"]).collect()}
+    null = {}
+    for r in explore.within_distance(explore.permuted(members, 20, 0), pairs, ["recipe", "draw"]).collect():
+        null.setdefault(r["recipe"], []).append(r["within"])
+    monkeypatch.setattr(explore, "TRIALS_OF_BLOCK", 4)
+    monkeypatch.setattr(explore, "edit_distances", None)
+    found = {r["recipe"]: r for r in explore.order_structure(steps, clusters=clusters, draws=20).collect()}
+    assert set(found) == set(observed) == set(null) == {0, 1}
+    for k, r in found.items():
+        sizes = [x["count"] for x in members.filter(F.col("recipe") == k).groupBy("cluster").count().collect()]
+        assert (r["trials"], r["least"]) == (sum(sizes), min(sizes)) and r["observed"] == pytest.approx(observed[k])
+        assert r["null_mean"] == pytest.approx(np.mean(null[k])) and r["null_sd"] == pytest.approx(np.std(null[k]), abs=1e-9)
+        assert r["looser"] == pytest.approx(np.mean([round(x, 9) > round(observed[k], 9) for x in null[k]]))
+
+
 def test_permutations_keep_sizes_and_are_even(spark):
     members = spark.createDataFrame([(0, t, int(t >= 3)) for t in range(8)], "recipe int, trial_id long, cluster int")
     rows = explore.permuted(members, 400, 7).collect()
