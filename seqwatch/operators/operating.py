@@ -88,10 +88,39 @@ def operating_points(ticks: DataFrame, alphas: DataFrame, parts: DataFrame) -> D
     kinds = heard.groupBy("key", "part", "is_error", "channel", "is_positive").agg(F.min("alpha").alias("alpha"))
     hit = F.col("is_error") & F.col("is_positive")
     trial = kinds.select(F.lit("trial_loc").alias("level"), "part", "channel", "alpha", hit.cast("long").alias("tp"), (~hit).cast("long").alias("fp"), (~F.col("is_error")).cast("long").alias("tn"))
+    return counted(step.unionByName(trial), totals)
+
+
+def points_of_steps(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """What `operating_points` tells, of steps (*keys, part, is_error, is_positive) with the least alpha of each channel at
+    which a tick of theirs is flagged, or null. No tick and no score is a row, and steps are not joined.
+    """
+    n = lambda c: F.sum(c.cast("long"))
+    of = lambda name: F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"{name}{c}").alias("alpha")) for c in [*channels.CHANNELS, ALL]])
+    steps = steps.withColumn(ALL, F.least(*channels.CHANNELS))
+    p, e = F.col("is_positive"), F.col("is_error")
+    mins = [F.min(F.when(cond, F.col(c))).alias(f"{name}_{c}") for c in [*channels.CHANNELS, ALL] for name, cond in (("hit", p), ("stray", ~p))]
+    trials = written(steps.groupBy(*keys, "part", "is_error").agg(*mins), "located")
+    by_step = steps.select("part", p.alias("p"), F.explode(of("")).alias("x")).select("part", "p", "x.*").filter("alpha is not null").groupBy("part", "p", "channel", "alpha").agg(F.count("*").alias("n"))
+    totals = steps.groupBy("part").agg(n(p).alias("positives"), n(~p).alias("negatives")).withColumn("level", F.lit("step"))
+    totals = totals.unionByName(trials.groupBy("part").agg(n(e).alias("positives"), n(~e).alias("negatives")).withColumn("level", F.lit("trial_loc")))
+    none = F.lit(0).cast("long")
+    step = by_step.select(F.lit("step").alias("level"), "part", "channel", "alpha", F.when(F.col("p"), F.col("n")).otherwise(none).alias("tp"), *[F.when(F.col("p"), none).otherwise(F.col("n")).alias(c) for c in ("fp", "tn")])
+    both = [trials.select("part", "is_error", F.lit(name == "hit").alias("p"), F.explode(of(f"{name}_")).alias("x")) for name in ("hit", "stray")]
+    told = both[0].unionByName(both[1]).select("part", "is_error", "p", "x.*").filter("alpha is not null").groupBy("part", "is_error", "p", "channel", "alpha").agg(F.count("*").alias("n"))
+    hit = F.col("is_error") & F.col("p")
+    trial = told.select(F.lit("trial_loc").alias("level"), "part", "channel", "alpha", F.when(hit, F.col("n")).otherwise(none).alias("tp"), F.when(hit, none).otherwise(F.col("n")).alias("fp"), F.when(F.col("is_error"), none).otherwise(F.col("n")).alias("tn"))
+    return counted(step.unionByName(trial), totals)
+
+
+def counted(flagged: DataFrame, totals: DataFrame) -> DataFrame:
+    """The counts at alpha 0 and at each alpha of `flagged` (level, part, channel, alpha, tp, fp, tn), which has what that
+    alpha flags first, `tn` no longer counted. `totals` has (level, part, positives, negatives).
+    """
     start = totals.select("level", "part", F.explode(F.array(*map(F.lit, [*channels.CHANNELS, ALL]))).alias("channel"), F.lit(0.0).alias("alpha"), *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "tn")])
-    changes = written(step.unionByName(trial).unionByName(start).groupBy("level", "channel", "part", "alpha").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn")]), "changes")  # ranges are told by a pass of its own
-    counted = running_sums(changes, ["level", "channel", "part"], "alpha", ["tp", "fp", "tn"]).join(F.broadcast(totals), ["level", "part"])
-    return counted.select("level", "channel", "part", "alpha", "tp", "fp", (F.col("positives") - F.col("tp")).alias("fn"), (F.col("negatives") - F.col("tn")).alias("tn"))
+    changes = written(flagged.unionByName(start).groupBy("level", "channel", "part", "alpha").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn")]), "changes")  # ranges are told by a pass of its own
+    sums = running_sums(changes, ["level", "channel", "part"], "alpha", ["tp", "fp", "tn"]).join(F.broadcast(totals), ["level", "part"])
+    return sums.select("level", "channel", "part", "alpha", "tp", "fp", (F.col("positives") - F.col("tp")).alias("fn"), (F.col("negatives") - F.col("tn")).alias("tn"))
 
 
 def tuned(points: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECIPES = 5
@@ -35,9 +35,14 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(verbs, "verb")
 
 
+def part_of(test_of: int = 5) -> Column:
+    """The part of a row's trial_id: every `test_of`-th is for testing."""
+    return F.when(F.col("trial_id") % test_of == 0, "test").otherwise("train")
+
+
 def split_parts(trials: DataFrame, test_of: int = 5) -> DataFrame:
     """(trial_id, part): every `test_of`-th trial id is for testing; a scalable, stateless split."""
-    return trials.select("trial_id").distinct().withColumn("part", F.when(F.col("trial_id") % test_of == 0, "test").otherwise("train"))
+    return trials.select("trial_id").distinct().withColumn("part", part_of(test_of))
 
 
 def keep_part(rows: DataFrame, split: DataFrame, part: str) -> DataFrame:

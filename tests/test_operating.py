@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqwatch.operators import channels, operating
 from seqwatch.operators import surprise as S
@@ -22,6 +23,24 @@ def test_points_equal_a_sweep_of_alphas(spark):
         assert tuple(sum(x[k] for x in last) for k in range(1, 5)) == (r["tp"], r["fp"], r["fn"], r["tn"]), r
 
 
+def test_points_of_steps_equal_those_of_scores(spark, monkeypatch):
+    """The query against the points of all scores of all ticks as rows; it makes no such rows itself."""
+    d = "/root/testdata/sf0.001"
+    w = catalogue.degraded(spark, d)
+    t = catalogue.channel_tables(w)
+    key = F.concat_ws("/", F.col("trial_id").cast("string"), "error_type")
+    tails = operating.tail_masses(t)
+    bad = operating.least_alphas(channels.scores(w.rows, catalogue.recipe_steps(w), catalogue.DEGRADED, t), tails).select(key.alias("key"), "tick", "channel", "alpha")
+    good = operating.least_alphas(channels.scores(w.ticks, catalogue.healthy_steps(w), catalogue.HEALTHY, t), tails).select(F.col("trial_id").cast("string").alias("key"), "tick", "channel", "alpha")
+    ticks = catalogue.true_ticks(w)
+    parts = ticks.select("key").distinct().withColumn("part", F.when(F.split_part("key", F.lit("/"), F.lit(1)).cast("long") % 5 == 0, "test").otherwise("train"))
+    expected = operating.operating_points(ticks, bad.unionByName(good), parts).collect()
+    monkeypatch.setattr(channels, "scores", None)
+    found = catalogue.QUERIES["operating_points"](spark, d)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected)) and found.columns == list(expected[0].asDict()) and len(expected) > 100
+    assert catalogue.QUERIES["tuned_points"](spark, d).count() == 16
+
+
 def test_running_sums_equal_a_loop(spark):
     draw = random.Random(1)
     rows = [(k, x, draw.randint(0, 9), draw.randint(-3, 3)) for k in ("a", "b", "hot") for x in draw.sample(range(10_000), 2000 if k == "hot" else 7)]
